@@ -114,32 +114,21 @@ def local_probability(cves: Column, base: float = BASE_PROBABILITY) -> Column:
     return F.least(F.lit(0.99), F.lit(base) + F.coalesce(cves, F.lit(0)) * PER_CVE)
 
 
-def propagate_belief(nodes: DataFrame, edges: DataFrame, attenuation: float = ATTENUATION, base: float = BASE_PROBABILITY,
-                     interventions: DataFrame | None = None, max_levels: int = 10_000) -> DataFrame:
-    """Compromise probability of every node of a DAG; empty when the graph has a cycle.
+def _no_beliefs(nodes: DataFrame) -> DataFrame:
+    kind = nodes.schema["id"].dataType.simpleString()
+    return nodes.sparkSession.createDataFrame([], f"scenario string, id {kind}, p double")
+
+
+def _settle(state: DataFrame, edges: DataFrame, attenuation: float, max_levels: int) -> tuple[DataFrame | None, bool]:
+    """Settle (scenario, id) rows level by level.
 
-    total = local or-ed with 1 - prod(1 - p(parent) x weight x attenuation). Nodes settle level by level: a
-    node is ready when all its incoming edges have been delivered, each edge is joined exactly once, and what
-    cannot be delivered at the end lies on a cycle. `interventions(scenario, id, value)` forces nodes; all
-    scenarios run in the same rounds.
+    `state(scenario, id, local, forced, indeg, safe)` lists what is to be computed, how many incoming edges each
+    row waits for and the safety already known from parents outside the state. A row is ready when all its
+    edges have been delivered; each edge is joined once per scenario it takes part in.
     """
-    if interventions is None:
-        scenarios = nodes.sparkSession.range(1).select(F.lit("observed").alias("scenario"))
-    else:
-        scenarios = interventions.select("scenario").distinct()
-    degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("indeg"))
-    # One row per node and scenario; the scenario list is the small side by definition of a what-if run.
-    state = nodes.select("id", local_probability(F.col("cves"), base).alias("local")).join(degree, "id", "left").withColumn(
-        "indeg", F.coalesce("indeg", F.lit(0)))
-    state = state.withColumn("_k", F.lit(1)).join(scenarios.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    if interventions is not None:
-        state = state.join(interventions.select("scenario", "id", F.col("value").cast("double").alias("forced")), ["scenario", "id"], "left")
-    else:
-        state = state.withColumn("forced", F.lit(None).cast("double"))
-    pending = cut(state.withColumns({"seen": F.lit(0).cast("long"), "safe": F.lit(1.0)}))
-    total = pending.count()
+    pending = cut(state.withColumn("seen", F.lit(0).cast("long")))
+    total, done, settled = pending.count(), 0, None
     out = edges.select(F.col("src").alias("id"), "dst", "weight")
-    settled, done = None, 0
     for _ in range(max_levels):
         is_ready = F.col("seen") == F.col("indeg")
         upstream = F.lit(1.0) - F.col("safe")
@@ -155,23 +144,69 @@ def propagate_belief(nodes: DataFrame, edges: DataFrame, attenuation: float = AT
         passed = ready.join(out, "id").groupBy("scenario", F.col("dst").alias("id")).agg(
             F.count(F.lit(1)).alias("_n"), F.product(F.lit(1.0) - F.col("p") * F.col("weight") * attenuation).alias("_f"))
         pending = cut(pending.filter(~is_ready).join(passed, ["scenario", "id"], "left").withColumns({
-            "seen": F.col("seen") + F.coalesce("_n", F.lit(0)), "safe": F.col("safe") * F.coalesce("_f", F.lit(1.0))}).drop("_n", "_f"))
-    if done < total or settled is None:
-        return nodes.sparkSession.createDataFrame([], f"scenario string, id {nodes.schema['id'].dataType.simpleString()}, p double")
-    return settled
+            "seen": F.col("seen") + F.coalesce("_n", F.lit(0)),
+            "safe": F.col("safe") * F.coalesce("_f", F.lit(1.0))}).drop("_n", "_f"))
+    return settled, done == total
+
+
+def propagate_belief(nodes: DataFrame, edges: DataFrame, attenuation: float = ATTENUATION, base: float = BASE_PROBABILITY,
+                     interventions: DataFrame | None = None, max_scenarios: int = 1_000, max_levels: int = 10_000) -> DataFrame:
+    """(scenario, id, p): compromise probability of every node of a DAG; empty when the graph has a cycle.
+
+    total = local or-ed with 1 - prod(1 - p(parent) x weight x attenuation). `interventions(scenario, id, value)`
+    forces nodes whatever their parents; all scenarios run in the same rounds. The scenario names of a what-if run
+    are a short list; for effects of many sources use causal_effects, which follows descendants only.
+    """
+    names = ["observed"]
+    if interventions is not None:
+        names = [r[0] for r in interventions.select("scenario").distinct().limit(max_scenarios + 1).collect()]
+        if len(names) > max_scenarios:
+            raise ValueError(f"more than {max_scenarios} scenarios over the whole graph; use causal_effects")
+    degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("indeg"))
+    state = nodes.select("id", local_probability(F.col("cves"), base).alias("local")).join(degree, "id", "left").select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario"), "id", "local",
+        F.coalesce("indeg", F.lit(0)).cast("long").alias("indeg"), F.lit(1.0).alias("safe"))
+    if interventions is not None:
+        forced = interventions.select("scenario", "id", F.col("value").cast("double").alias("forced"))
+        state = state.join(forced, ["scenario", "id"], "left")
+    else:
+        state = state.withColumn("forced", F.lit(None).cast("double"))
+    settled, complete = _settle(state, edges, attenuation, max_levels)
+    return settled if complete and settled is not None else _no_beliefs(nodes)
 
 
-def causal_effects(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, strength: float = CAUSAL_STRENGTH) -> DataFrame:
-    """Average causal effect of each (target, source) pair: risk of the target under do(1) less under do(0)."""
+def causal_effects(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, strength: float = CAUSAL_STRENGTH,
+                   base: float = BASE_PROBABILITY, max_levels: int = 10_000) -> DataFrame:
+    """Average causal effect of each (target, source) pair: risk of the target under do(1) less under do(0).
+
+    Only descendants of a source can change, so each source carries just its descendants; parents outside them
+    keep their observed belief and enter as a constant. No source x node table is formed.
+    """
+    observed = propagate_belief(nodes, edges, strength, base, max_levels=max_levels).select("id", "p")
     sources = pairs.select(F.col("source").alias("id")).distinct()
-    forced = sources.select(
-        "id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("value")).withColumn(
-        "scenario", F.concat(F.col("id").cast("string"), F.lit("|"), F.col("value").cast("string")))
-    risk = propagate_belief(nodes, edges, strength, interventions=forced)
-    labelled = risk.join(forced.select("scenario", F.col("id").alias("source"), "value"), "scenario")
-    wanted = labelled.withColumnRenamed("id", "target").join(pairs, ["target", "source"], "right")
-    signed = F.when(F.col("value") == 1.0, F.col("p")).otherwise(-F.col("p"))
-    return wanted.groupBy("target", "source").agg(F.coalesce(F.sum(signed), F.lit(0.0)).alias("effect"))
+    reach = cut(nth_party(edges, sources, max_levels).select("root", F.col("node").alias("id")))
+    incoming = reach.join(edges.select(F.col("dst").alias("id"), F.col("src"), "weight"), "id")
+    inside = reach.select("root", F.col("id").alias("src"), F.lit(True).alias("_in"))
+    seen_parents = incoming.join(inside, ["root", "src"], "left").join(observed.withColumnRenamed("id", "src"), "src")
+    outside = F.col("_in").isNull()
+    per_node = seen_parents.groupBy("root", "id").agg(
+        F.count_if(~outside).alias("indeg"),
+        F.product(F.when(outside, F.lit(1.0) - F.col("p") * F.col("weight") * strength).otherwise(1.0)).alias("safe"))
+    is_source = F.col("id") == F.col("root")
+    rows = reach.join(per_node, ["root", "id"], "left").join(
+        nodes.select("id", local_probability(F.col("cves"), base).alias("local")), "id")
+    state = rows.select(
+        "root", "id", "local", F.when(is_source, 0).otherwise(F.coalesce("indeg", F.lit(0))).cast("long").alias("indeg"),
+        F.coalesce("safe", F.lit(1.0)).alias("safe"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("v"))
+    state = state.select(
+        F.struct("root", "v").alias("scenario"), "id", "local", "indeg", "safe", F.when(is_source, F.col("v")).alias("forced"))
+    settled, complete = _settle(state, edges, strength, max_levels)
+    zero = pairs.select("target", "source", F.lit(0.0).alias("effect"))
+    if settled is None or not complete:
+        return zero
+    signed = F.when(F.col("scenario.v") == 1.0, F.col("p")).otherwise(-F.col("p"))
+    effects = settled.groupBy(F.col("scenario.root").alias("source"), F.col("id").alias("target")).agg(F.sum(signed).alias("_e"))
+    return pairs.join(effects, ["target", "source"], "left").select("target", "source", F.coalesce("_e", F.lit(0.0)).alias("effect"))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_000) -> tuple[DataFrame, int]:

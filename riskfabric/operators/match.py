@@ -133,10 +133,8 @@ def map_requirements(texts: DataFrame, key: str, text: str, corpus: DataFrame, k
     weighted = known.withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.join(F.broadcast(control), "term").groupBy(key, "c").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"))
-    # At most one row per control and text remains, so the k best are picked from a short array.
+    # One row per control and text remains, so the k best are picked from an array no longer than the table.
     scored = dots.join(norms, key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
     ranked = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "c", "score"))).alias("all"))
     best = ranked.select(key, F.posexplode(F.slice("all", 1, k)).alias("pos", "hit"))
-    named = F.broadcast(corpus.withColumnRenamed("position", "c"))
-    return best.select(key, (F.col("pos") + 1).alias("rank"), F.col("hit.c").alias("c"), F.col("hit.score").alias("score")).join(
-        named, "c").drop("c", "description")
+    return best.select(key, (F.col("pos") + 1).alias("rank"), F.col("hit.c").alias("position"), F.col("hit.score").alias("score"))
