@@ -91,6 +91,12 @@ VIEWS: dict[str, str] = {
                CASE lang WHEN 'en' THEN ' attributed to LAZARUS' WHEN 'fr' THEN ' by apt29 and Sandworm'
                     WHEN 'es' THEN ' equation group' ELSE '' END) AS text
         FROM documents""",
+    "requirements_txt": """
+        SELECT doc_id, concat(text, CASE lang WHEN 'en' THEN ' We need to encrypt our databases'
+               WHEN 'fr' THEN ' Access control policy reviewed, security measures for information' WHEN 'es'
+               THEN ' transmission of information to external users' ELSE '' END,
+               CASE WHEN n_chars > 2000 THEN ' appropriate to the risk' ELSE '' END) AS text
+        FROM documents""",
     "web_assets": """
         SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme,
                regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,

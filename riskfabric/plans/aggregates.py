@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskfabric.bindings import Lake
-from riskfabric.functions.numeric import dot, euclidean, half_up
+from riskfabric.functions.numeric import euclidean, half_up
 from riskfabric.operators import aggregates, evaluate, govern, graph, joins, remediate, risk, textscan
 from riskfabric.plans.joins import ASSETS_ALL, HOST_EDGES, SHADOW, TRIPLETS
 from riskfabric.plans.registry import query, rounded
@@ -116,7 +116,6 @@ def a10(t: Lake):
     return evaluate.promotion_gate(metrics, 0.2).select("asset_id", half_up(F.col("f1_score"), 6).alias("f1_score"))
 
 
-MEAN = "list_sum(list_transform({0}, lambda v: v)) / len({0})"
 MOVED = "list_transform(embedding, lambda v: greatest(0e0, least(1e0, CAST(v AS DOUBLE) + 0.05e0 * sign(0.5e0 - CAST(v AS DOUBLE)))))"
 
 
@@ -211,6 +210,3 @@ def a17(t: Lake):
 @query("a18_feedback_targets", f"""SELECT asset_id, {rounded('avg(CASE WHEN y = 1 THEN 1e0 ELSE -1e0 END)')} AS mean_target, count(*) AS feedback FROM predictions GROUP BY asset_id""")
 def a18(t: Lake):
     return aggregates.feedback_targets(t.predictions, "asset_id", "y").withColumn("mean_target", half_up(F.col("mean_target"), 6))
-
-
-__all__ = ["REACH", "dot"]

@@ -398,13 +398,13 @@ WORD_TERMS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'),
 
 
 def requirement_sql(k: int) -> str:
-    return f"""WITH {tfidf_sql(_controls_sql(), "SELECT doc_id AS k, text FROM documents", WORD_TERMS)},
+    return f"""WITH {tfidf_sql(_controls_sql(), "SELECT doc_id AS k, text FROM requirements_txt", WORD_TERMS)},
  top AS (SELECT q AS doc_id, c, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM pair WHERE score > 0)
 SELECT doc_id, c AS control_no, {rounded('score')} AS score, rank FROM top WHERE rank <= {k}"""
 
 
 def mapped(t: Lake, k: int):
-    out = match.map_requirements(t.documents, "doc_id", "text", govern.controls(t.spark).select("position", "description"), k)
+    out = match.map_requirements(t.requirements_txt, "doc_id", "text", govern.controls(t.spark).select("position", "description"), k)
     return out.select("doc_id", F.col("position").alias("control_no"), half_up(F.col("score"), 6).alias("score"), "rank")
 
 

@@ -77,8 +77,8 @@ WITH e AS (SELECT event_id, source AS src, ts_us, CASE WHEN severity IN ('HIGH',
  l AS (SELECT *, lag(state_after) OVER (PARTITION BY src ORDER BY ts_us, event_id) AS before, lag(ts_us) OVER (PARTITION BY src ORDER BY ts_us, event_id) AS before_ts FROM s)
 SELECT event_id, failures_in_row, state_after, CASE WHEN before = 'OPEN' THEN CASE WHEN ts_us - before_ts > 60000000 THEN 'HALF_OPEN' ELSE 'OPEN' END ELSE 'CLOSED' END AS state_before FROM l""")
 def w6(t: Lake):
-    failed = F.coalesce(F.col("severity").isin("HIGH", "CRITICAL", "MEDIUM") | False, F.lit(False)) | F.coalesce(
-        F.col("cve_count") > 0, F.lit(False)) | F.coalesce(F.col("dependencies_count") > 20, F.lit(False))
+    signs = (F.col("severity").isin("HIGH", "CRITICAL", "MEDIUM"), F.col("cve_count") > 0, F.col("dependencies_count") > 20)
+    failed = F.coalesce(signs[0], F.lit(False)) | F.coalesce(signs[1], F.lit(False)) | F.coalesce(signs[2], F.lit(False))
     rows = t.signals.select(F.col("signal_id").alias("event_id"), "source", "ts_us", failed.alias("failed"))
     out = windows.source_health(rows, "source", ["ts_us", "event_id"], F.col("failed"), "ts_us")
     return out.select("event_id", "failures_in_row", "state_after", "state_before")
@@ -111,18 +111,18 @@ def w8(t: Lake):
     return picked.select("insight_id", "pb_id", half_up(F.col("q"), 6).alias("q"))
 
 
-WORKFLOW = """SELECT user_id AS workflow_id, EPOCH_US(ts) AS at, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'advance' WHEN 'purchase' THEN 'evidence' ELSE 'note' END AS kind
+WORKFLOW = """SELECT user_id AS workflow_id, EPOCH_US(ts) AS at_us, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'advance' WHEN 'purchase' THEN 'evidence' ELSE 'note' END AS kind
   FROM events WHERE value > 70"""
 
 
 @query("w9_workflow_state", f"""
-WITH e AS ({WORKFLOW}), s AS (SELECT workflow_id, min(at) FILTER (kind = 'start') AS t0 FROM e GROUP BY workflow_id),
- a AS (SELECT s.workflow_id, t0, (SELECT min(at) FROM e WHERE e.workflow_id = s.workflow_id AND kind = 'advance' AND at > t0) AS t1 FROM s),
- b AS (SELECT *, (SELECT min(at) FROM e WHERE e.workflow_id = a.workflow_id AND kind = 'evidence' AND at > t1) AS t2 FROM a)
+WITH e AS ({WORKFLOW}), s AS (SELECT workflow_id, min(at_us) FILTER (kind = 'start') AS t0 FROM e GROUP BY workflow_id),
+ a AS (SELECT s.workflow_id, t0, (SELECT min(at_us) FROM e WHERE e.workflow_id = s.workflow_id AND kind = 'advance' AND at_us > t0) AS t1 FROM s),
+ b AS (SELECT *, (SELECT min(at_us) FROM e WHERE e.workflow_id = a.workflow_id AND kind = 'evidence' AND at_us > t1) AS t2 FROM a)
 SELECT workflow_id, CASE WHEN t2 IS NOT NULL THEN 2 WHEN t1 IS NOT NULL THEN 1 ELSE 0 END AS step_index,
  CASE WHEN t0 IS NULL THEN 'PENDING' WHEN t2 IS NOT NULL THEN 'COMPLETED' WHEN t1 IS NOT NULL THEN 'WAITING_EVIDENCE' ELSE 'IN_PROGRESS' END AS state FROM b""")
 def w9(t: Lake):
-    return windows.workflow_state(t.sql(WORKFLOW), "workflow_id", "at", "kind", [False, True])
+    return windows.workflow_state(t.sql(WORKFLOW), "workflow_id", "at_us", "kind", [False, True])
 
 
 @query("l2_page_components", "SELECT comp_id, name, kind FROM components WHERE kind = 'LARGE' ORDER BY comp_id LIMIT 100 OFFSET 20")
