@@ -1,0 +1,82 @@
+"""Seeded generators: one row per id row given, so their size follows the table they are drawn for."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Names the generators choose from.
+PACKAGES_NPM = ("react", "lodash", "express", "left-pad")
+PACKAGES_PYPI = ("requests", "django", "flask", "numpy")
+SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+ADDRESSES = ("192.168.1.50", "10.0.0.12", "172.16.0.100", "192.168.2.200")
+FEED_ACTORS = ("APT29", "Lazarus", "Unknown")
+KINDS = (("github", "commit"), ("npm", "sbom"), ("pypi", "vulnerability"), ("threat_feed", "report"), ("network_scanner", "network_scan"))
+
+
+def _unit(ident: str, seed: int, salt: int) -> Column:
+    """Uniform in [0, 1) from the id; unlike rand() it does not depend on how rows are split into tasks."""
+    return F.pmod(F.xxhash64(F.col(ident), F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _normal(ident: str, seed: int, salt: int) -> Column:
+    u, v = _unit(ident, seed, salt), _unit(ident, seed, salt + 1)
+    return F.sqrt(F.log(F.lit(1.0) - u) * -2.0) * F.cos(v * 6.283185307179586)
+
+
+def _poisson(ident: str, seed: int, salt: int, mean: float) -> Column:
+    """Rounded normal for the larger means used here."""
+    return F.greatest(F.lit(0.0), F.floor(_normal(ident, seed, salt) * (mean**0.5) + mean + 0.5))
+
+
+def _exponential(ident: str, seed: int, salt: int, scale: float) -> Column:
+    return F.log(F.lit(1.0) - _unit(ident, seed, salt)) * -scale
+
+
+def _choice(ident: str, seed: int, salt: int, values: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(_unit(ident, seed, salt) * len(values)) + 1).cast("int"))
+
+
+def gen_signals(ids: DataFrame, ident: str, seed: int = 42) -> DataFrame:
+    """Five kinds of raw signals."""
+    slot = F.floor(_unit(ident, seed, 0) * len(KINDS)).cast("int")
+    base = ids.select(F.col(ident), slot.alias("_k"))
+    kinds = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("type")) for s, t in KINDS])
+    rows = base.withColumn("_s", F.element_at(kinds, F.col("_k") + 1))
+    kind = F.col("_s.source")
+    number = F.floor(_unit(ident, seed, 3) * 46 + 5).cast("int")
+    cve = F.concat(F.lit("CVE-202"), F.floor(_unit(ident, seed, 4) * 7).cast("string"), F.lit("-"), (F.floor(_unit(ident, seed, 5) * 9000) + 1000).cast("string"))
+    return rows.select(
+        ident, F.col("_s.source").alias("source"), F.col("_s.type").alias("type"),
+        F.when(kind == "github", F.concat(F.lit("org/repo-"), number.cast("string"))).alias("repo"),
+        F.when(kind == "npm", _choice(ident, seed, 1, PACKAGES_NPM)).when(kind == "pypi", _choice(ident, seed, 1, PACKAGES_PYPI)).alias("package"),
+        F.when(kind == "npm", number).alias("dependencies_count"),
+        F.when(kind == "pypi", cve).alias("cve_id"),
+        F.when(kind == "pypi", _choice(ident, seed, 2, SEVERITIES)).alias("severity"),
+        F.when(kind == "threat_feed", _choice(ident, seed, 1, FEED_ACTORS)).alias("actor"),
+        F.when(kind == "network_scanner", _choice(ident, seed, 1, ADDRESSES)).alias("ip_address"))
+
+
+def gen_breach(ids: DataFrame, ident: str, seed: int = 42, anomaly_share: float = 0.05) -> DataFrame:
+    """Telemetry features, a share of them breach-like."""
+    odd = _unit(ident, seed, 0) < anomaly_share
+    pick = lambda normal, breach: F.when(odd, breach).otherwise(normal)
+    return ids.select(
+        ident, odd.cast("int").alias("is_anomaly"),
+        pick(_normal(ident, seed, 1) * 2 + 10, _normal(ident, seed, 1) * 20 + 100).alias("avg_connection_rate"),
+        pick(_exponential(ident, seed, 3, 1.5), _normal(ident, seed, 4) * 3 + 15).alias("cve_criticality_sum"),
+        pick(_poisson(ident, seed, 6, 5.0), _poisson(ident, seed, 6, 50.0)).alias("unique_ips_contacted"),
+        pick(_unit(ident, seed, 8) * 0.09 + 0.01, _unit(ident, seed, 8) * 0.6 + 0.2).alias("degree_centrality"))
+
+
+def gen_traffic(ids: DataFrame, ident: str, seed: int = 42, attack_share: float = 0.1) -> DataFrame:
+    """Network traffic features, a share of them attacks."""
+    odd = _unit(ident, seed, 0) < attack_share
+    return ids.select(
+        ident, odd.cast("double").alias("is_attack"),
+        F.when(odd, _normal(ident, seed, 1) * 2000 + 5000).otherwise(_normal(ident, seed, 1) * 100 + 500).alias("bytes_in"),
+        (_normal(ident, seed, 3) * 300 + 1500).alias("bytes_out"),
+        F.when(odd, _exponential(ident, seed, 5, 500.0)).otherwise(_exponential(ident, seed, 5, 50.0)).alias("duration_ms"),
+        (_unit(ident, seed, 6) < 0.4).cast("double").alias("protocol_modbus"),
+        (_unit(ident, seed, 7) < 0.3).cast("double").alias("protocol_mqtt"),
+        F.when(odd, _poisson(ident, seed, 8, 5.0)).otherwise((_unit(ident, seed, 10) < 0.01).cast("double")).alias("failed_logins"))
