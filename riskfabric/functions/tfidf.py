@@ -60,29 +60,31 @@ def vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """One row per text: its normalised vector, rarest term first (ties by term)."""
     weighted = counts.join(idf, "term").select(
         key, F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    packed = weighted.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("raw"))
+    packed = weighted.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("raw"))
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
     return packed.withColumn("_norm", norm).select(
         key, F.transform("raw", lambda e: F.struct(e["term"].alias("term"), (e["w"] / F.col("_norm")).alias("w"))).alias("vec"))
 
 
-def prefix_terms(vec: Column, threshold: float) -> Column:
-    """Terms at whose place the rest of the vector can still reach the threshold.
+def prefix_terms(vec: Column, remainder: float) -> Column:
+    """Leading (term, w) entries of a vector, up to where the norm of the rest falls below `remainder`.
 
-    Terms are in one global order, rarest first. If two unit vectors reach the threshold, their first shared
-    term lies in both prefixes: were it later in one of them, all shared terms would be, and that rest has a
-    norm below the threshold. Joining prefixes alone therefore loses no pair.
+    Terms stand in one global order, rarest first. Take two unit vectors cut this way. The shared terms missing
+    from either prefix all lie in the rest of the one that was cut earlier, so they add less than `remainder`
+    to the dot product: prefixes whose partial dot product is below threshold - remainder can be dropped, and
+    with remainder <= threshold a pair that reaches the threshold shares at least one prefix term.
     """
-    slack = threshold - 1e-9
-    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<string>").alias("kept"))
-    return F.aggregate(
+    limit = (remainder - 1e-9) ** 2
+    start = F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n"))
+    length = F.aggregate(
         vec, start,
         lambda acc, e: F.struct(
             (acc["rest"] - e["w"] * e["w"]).alias("rest"),
-            F.when(acc["rest"] >= slack * slack, F.concat(acc["kept"], F.array(e["term"]))).otherwise(acc["kept"]).alias("kept"),
+            (acc["n"] + (acc["rest"] >= limit).cast("int")).alias("n"),
         ),
-        lambda acc: acc["kept"],
+        lambda acc: acc["n"],
     )
+    return F.slice(vec, F.lit(1), length)
 
 
 def cosine(a: Column, b_map: Column) -> Column:

@@ -40,7 +40,7 @@ def build_chain(df: DataFrame, key: str, order: list[str], event: str, segment_r
     placed = numbered.withColumn("segment", F.floor((F.col("_rn") - 1) / segment_rows)).withColumn(
         "index", ((F.col("_rn") - 1) % segment_rows).cast("long"))
     rows = placed.groupBy(key, "segment").agg(
-        F.array_sort(F.collect_list(F.struct("index", F.col(event).alias("event")))).alias("blocks"))
+        F.sort_array(F.collect_list(F.struct("index", F.col(event).alias("event")))).alias("blocks"))
     empty = F.array().cast("array<string>")
     hashes = F.aggregate(
         "blocks", empty,

@@ -36,16 +36,20 @@ def match_exact(ext: DataFrame, internal: DataFrame) -> DataFrame:
 def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, tokenize: Tokenizer) -> DataFrame:
     """(q, c, score >= threshold) between distinct texts.
 
-    `queries(q, text)` and `corpus(c, text, copies)` hold distinct texts with unique keys. Candidates come
-    from an equi-join of prefix terms (exact, see prefix_terms); the cosine is then computed in full.
+    `queries(q, text)` and `corpus(c, text, copies)` hold distinct texts with unique keys. An equi-join of the
+    prefixes gives each candidate pair its partial dot product; only pairs whose partial can still reach the
+    threshold (exact, see prefix_terms) are computed in full. A shorter remainder verifies fewer pairs but joins
+    more terms; both costs grow alike, so the share between them is fixed.
     """
+    remainder = 0.75 * threshold
     corpus_counts = cut(term_counts(corpus, "c", "text", tokenize))
-    idf = cut(fit_idf(corpus_counts, corpus, "c", "copies"))
+    idf = fit_idf(corpus_counts, corpus, "c", "copies")
     c_vec = cut(vectors(corpus_counts, idf, "c"))
     q_vec = cut(vectors(term_counts(queries, "q", "text", tokenize), idf, "q"))
-    c_prefix = c_vec.select("c", F.explode(prefix_terms(F.col("vec"), threshold)).alias("term"))
-    q_prefix = q_vec.select("q", F.explode(prefix_terms(F.col("vec"), threshold)).alias("term"))
-    candidates = q_prefix.join(c_prefix, "term").select("q", "c").distinct()
+    c_prefix = c_vec.select("c", F.inline(prefix_terms(F.col("vec"), remainder))).withColumnRenamed("w", "cw")
+    q_prefix = q_vec.select("q", F.inline(prefix_terms(F.col("vec"), remainder))).withColumnRenamed("w", "qw")
+    partial = q_prefix.join(c_prefix, "term").groupBy("q", "c").agg(F.sum(F.col("qw") * F.col("cw")).alias("partial"))
+    candidates = partial.filter(F.col("partial") >= threshold - remainder - 1e-9).select("q", "c")
     with_vectors = candidates.join(q_vec, "q").join(
         c_vec.select("c", F.map_from_entries("vec").alias("cmap")), "c")
     scored = with_vectors.select("q", "c", F.round(cosine(F.col("vec"), F.col("cmap")), 9).alias("score"))
@@ -117,24 +121,27 @@ def resolve_identities(names: DataFrame, name: str = "name", threshold: float =
         F.col("id").alias("name"), F.col("component").alias("resolved"), (F.col("id") != F.col("component")).alias("merged"))
 
 
-def map_requirements(texts: DataFrame, key: str, text: str, corpus: DataFrame, k: int = 2) -> DataFrame:
+def map_requirements(texts: DataFrame, key: str, text: str, corpus: DataFrame, k: int = 2, max_controls: int = 10_000) -> DataFrame:
     """Top-k controls per text by word TF-IDF cosine, zero scores dropped.
 
-    `corpus(position, description)` is the fixed control table; its vocabulary is small, so the words of the
-    texts meet it in a broadcast join and only vocabulary words are ever shuffled.
+    `corpus(position, description)` is the control table, checked against its bound; its vocabulary is small, so
+    the words of the texts meet it in a broadcast join and only vocabulary words are ever shuffled. Stop words
+    are not in the vocabulary, so the texts need no stop-word pass.
     """
+    if corpus.limit(max_controls + 1).count() > max_controls:
+        raise ValueError(f"more than {max_controls} controls")
     tokenize = words()
     rows = corpus.select(F.col("position").alias("c"), F.col("description").alias("text"), F.lit(1).alias("copies"))
     counts = term_counts(rows, "c", "text", tokenize)
     idf = fit_idf(counts, rows, "c", "copies")
     control = vectors(counts, idf, "c").select("c", F.inline("vec")).withColumnRenamed("w", "cw")
-    seen = texts.select(key, F.explode(tokenize(F.col(text))).alias("term"))
+    seen = texts.select(key, F.explode(words(stop_words=False)(F.col(text))).alias("term"))
     known = seen.join(F.broadcast(idf), "term").groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     weighted = known.withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.join(F.broadcast(control), "term").groupBy(key, "c").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"))
     # One row per control and text remains, so the k best are picked from an array no longer than the table.
     scored = dots.join(norms, key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-    ranked = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "c", "score"))).alias("all"))
+    ranked = scored.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "c", "score"))).alias("all"))
     best = ranked.select(key, F.posexplode(F.slice("all", 1, k)).alias("pos", "hit"))
     return best.select(key, (F.col("pos") + 1).alias("rank"), F.col("hit.c").alias("position"), F.col("hit.score").alias("score"))

@@ -103,7 +103,7 @@ def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[P
         "q", F.coalesce("q", F.lit(START_VALUE)))
     best = valued.groupBy(*columns).agg(
         F.max_by(F.struct("pb_id", "q"), F.struct("q", -F.col("pb_position"))).alias("best"),
-        F.array_sort(F.collect_list(F.struct("pb_position", "pb_id", "q"))).alias("eligible"))
+        F.sort_array(F.collect_list(F.struct("pb_position", "pb_id", "q"))).alias("eligible"))
     left, right = insights.alias("i"), best.alias("b")
     same = reduce(lambda a, b: a & b, [F.col(f"i.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
     joined = left.join(right, same).select("i.*", "b.best", "b.eligible")

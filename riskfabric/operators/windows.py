@@ -58,13 +58,13 @@ def source_health(results: DataFrame, source: str, order: list[str], failed: Col
     marked = results.withColumn("_f", failed.cast("int"))
     scanner = KeyedScan(marked, [source], order, **scan).prefix_sum(F.col("_f"), "_fails")
     scanner.last_value(F.when(F.col("_f") == 0, F.col("_fails")), "_base")
-    rows = scanner.done().withColumn("failures_in_row", F.col("_fails") - F.coalesce("_base", F.lit(0)))
-    state = F.when(F.col("failures_in_row") >= threshold, "OPEN").otherwise("CLOSED")
-    rows = rows.withColumn("state_after", state).drop("_f", "_fails", "_base")
-    lagged = KeyedScan(rows, [source], order, **scan).lag(["state_after", ts_us]).done()
+    in_row = F.col("_fails") - F.coalesce("_base", F.lit(0))
+    scanner.df = scanner.df.withColumn("failures_in_row", in_row).withColumn(
+        "state_after", F.when(F.col("failures_in_row") >= threshold, "OPEN").otherwise("CLOSED"))
+    lagged = scanner.lag(["state_after", ts_us]).done()
     waited = F.col(ts_us) - F.col(f"{ts_us}_prev") > recovery * 1_000_000
     met = F.when(F.col("state_after_prev") == "OPEN", F.when(waited, "HALF_OPEN").otherwise("OPEN")).otherwise("CLOSED")
-    return lagged.withColumn("state_before", met).drop("state_after_prev", f"{ts_us}_prev")
+    return lagged.withColumn("state_before", met).drop("state_after_prev", f"{ts_us}_prev", "_f", "_fails", "_base")
 
 
 def workflow_state(events: DataFrame, key: str, order: str, kind: str, needs_evidence: Sequence[bool]) -> DataFrame:

@@ -9,6 +9,7 @@ from riskfabric.functions.numeric import half_up
 from riskfabric.operators import ledger, normalize, remediate, textscan, windows
 from riskfabric.plans.registry import query, rounded
 from riskfabric.plans.scalar import PENALTY_SQL
+from riskfabric.session import cut
 
 VERSIONS = """SELECT user_id, event_id, EPOCH_US(ts) AS ts_us, CASE WHEN value > 20 THEN event_type END AS last_type, value AS last_value,
   CASE WHEN event_type = 'view' THEN props END AS view_props, event_type IN ('click', 'view') AS is_old FROM events"""
@@ -38,6 +39,11 @@ def chain(t: Lake):
     return ledger.build_chain(t.sql(LOG), "user_id", ["ts_us", "event_id"], "event", segment_rows=SEGMENT)
 
 
+def written_chain(t: Lake):
+    """A ledger is a stored table; verification reads it more than once."""
+    return cut(chain(t))
+
+
 @query("w3_build_chain", f"WITH RECURSIVE {CHAIN} SELECT user_id, segment, index, event, prev_hash, hash FROM chain")
 def w3(t: Lake):
     return chain(t)
@@ -50,14 +56,14 @@ TAMPERED = "contains(event, 'asset-17\"') AND contains(event, 'purchase')"
 SELECT user_id, segment, bool_and(ok) AS valid, count(*) AS blocks, min(index) FILTER (NOT ok) AS first_bad FROM ok GROUP BY user_id, segment""")
 def w2(t: Lake):
     changed = F.contains("event", F.lit('asset-17"')) & F.contains("event", F.lit("purchase"))
-    edited = chain(t).withColumn("event", F.when(changed, F.replace(F.col("event"), F.lit("purchase"), F.lit("refund"))).otherwise(F.col("event")))
+    edited = written_chain(t).withColumn("event", F.when(changed, F.replace(F.col("event"), F.lit("purchase"), F.lit("refund"))).otherwise(F.col("event")))
     return ledger.verify_chain(edited, ["user_id", "segment"])
 
 
 @query("u3_custody_log", f"""WITH RECURSIVE {CHAIN} SELECT user_id, segment, index, hash, true AS integrity_verified FROM chain
 WHERE json_extract_string(event, '$.target') = 'asset-42' OR json_extract_string(event, '$.details.target_asset') = 'asset-42'""")
 def u3(t: Lake):
-    return ledger.custody_log(chain(t), ["user_id", "segment"], "asset-42").select("user_id", "segment", "index", "hash", "integrity_verified")
+    return ledger.custody_log(written_chain(t), ["user_id", "segment"], "asset-42").select("user_id", "segment", "index", "hash", "integrity_verified")
 
 
 @query("w5_rolling_zscore", f"""WITH w AS (SELECT event_id, cve_criticality AS x, avg(cve_criticality) OVER p AS m, stddev_samp(cve_criticality) OVER p AS s FROM telemetry

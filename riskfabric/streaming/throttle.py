@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskfabric.operators.scan import KeyedScan
+from riskfabric.session import cut
 
 CAPACITY, REFILL = 100.0, 10.0
 SLOW_CAPACITY, SLOW_REFILL = 10.0, 0.5
@@ -38,10 +39,9 @@ def throttle(df: DataFrame, key: str, order: list[str], capacity: float = CAPACI
     """
     ts = order[0]
     pause = int(capacity / rate * 1e6) + 1
-    lagged = KeyedScan(df, [key], order, **scan).lag([ts]).done()
+    scanner = KeyedScan(df, [key], order, **scan).lag([ts])
     fresh = F.when(F.col(f"{ts}_prev").isNull() | (F.col(ts) - F.col(f"{ts}_prev") >= pause), 1).otherwise(0)
-    numbered = KeyedScan(lagged.withColumn("_new", fresh).drop(f"{ts}_prev"), [key], order, **scan).prefix_sum(
-        F.col("_new"), "_session").done().drop("_new")
+    numbered = scanner.prefix_sum(fresh, "_session").done().drop(f"{ts}_prev")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     laid = numbered.repartition(key, "_session").sortWithinPartitions(key, "_session", *order)
 
@@ -63,7 +63,7 @@ def throttle_jobs(df: DataFrame, target: str, source_ip: str, order: list[str],
                   limits: tuple[float, float] | None = None, **scan: float) -> DataFrame:
     """Target bucket first, then the source address bucket for jobs the target let pass."""
     capacity, rate = limits or ((SLOW_CAPACITY, SLOW_REFILL) if slow else (CAPACITY, REFILL))
-    by_target = throttle(df, target, order, capacity, rate, **scan).withColumnRenamed("allowed", "target_allowed")
+    by_target = cut(throttle(df, target, order, capacity, rate, **scan).withColumnRenamed("allowed", "target_allowed"))
     passed = by_target.filter("target_allowed").drop("target_allowed")
     by_ip = throttle(passed, source_ip, order, capacity, rate, **scan)
     stopped = by_target.filter("NOT target_allowed").drop("target_allowed")
