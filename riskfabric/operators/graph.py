@@ -77,29 +77,36 @@ def restart_vector(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", (base / total).alias("p"))
 
 
-def risk_pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tol: float | None = 1e-6) -> DataFrame:
+def risk_pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tol: float | None = 1e-6,
+                  fan: int = 100_000) -> DataFrame:
     """Personalised PageRank along weighted edges; dangling mass goes back by the restart vector.
 
-    Edges are laid out by source once and checkpointed, so a round only moves rank values. With `tol` the loop
-    stops when the total change falls below N x tol, and raises when it has not after `iterations` rounds.
+    Edges are laid out by source once and checkpointed, so a round only moves rank values. The edges of a hub are
+    spread over slots of at most `fan` edges, to each of which its rank is sent. With `tol` the loop stops when the
+    total change falls below N x tol, and raises when it has not after `iterations` rounds.
     """
-    out_weight = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
-    share = cut(edges.join(out_weight, "src").filter(F.col("_out") > 0).select("src", "dst", (F.col("weight") / F.col("_out")).alias("w")))
-    dangling = share.select(F.col("src").alias("id")).distinct().withColumn("_has_out", F.lit(True))
-    base = cut(restart_vector(nodes).join(dangling, "id", "left").withColumn("dangling", F.col("_has_out").isNull()).drop("_has_out"))
+    out = edges.groupBy("src").agg(F.sum("weight").alias("_out"), F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("slots"))
+    share = cut(edges.join(out, "src").filter(F.col("_out") > 0).select(
+        "src", F.pmod(F.hash("dst"), F.col("slots")).alias("slot"), "dst", (F.col("weight") / F.col("_out")).alias("w")
+    ).repartition("src", "slot"))
+    base = cut(restart_vector(nodes).join(out.filter(F.col("_out") > 0).select(F.col("src").alias("id"), "slots"), "id", "left").select(
+        "id", "p", F.coalesce("slots", F.lit(0)).alias("slots")))
     total = base.count()
     if total == 0:
         return base.select("id", F.col("p").alias("rank"))
+    adrift = F.sum(F.when(F.col("slots") == 0, F.col("rank")))
     ranks = base.withColumn("rank", F.lit(1.0 / total))
-    loose = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
+    loose = ranks.agg(adrift).first()[0] or 0.0
     converged = tol is None
     for _ in range(iterations):
-        moved = share.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(
+        sent = ranks.filter(F.col("slots") > 0).select(
+            F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "rank")
+        moved = share.join(sent, ["src", "slot"]).groupBy("dst").agg(
             F.sum(F.col("rank") * F.col("w")).alias("inflow")).withColumnRenamed("dst", "id")
         fresh = (F.coalesce("inflow", F.lit(0.0)) + F.lit(loose) * F.col("p")) * alpha + F.col("p") * (1.0 - alpha)
         ranks = cut(ranks.withColumnRenamed("rank", "_old").join(moved, "id", "left").withColumn("rank", fresh).select(
-            "id", "p", "dangling", "rank", F.abs(F.col("rank") - F.col("_old")).alias("_delta")))
-        state = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.sum("_delta")).first()
+            "id", "p", "slots", "rank", F.abs(F.col("rank") - F.col("_old")).alias("_delta")))
+        state = ranks.agg(adrift, F.sum("_delta")).first()
         loose = state[0] or 0.0
         ranks = ranks.drop("_delta")
         if tol is not None and state[1] < total * tol:

@@ -169,8 +169,8 @@ def plan_actions(matched: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS)
 def approval_status(requests: DataFrame, approvals: DataFrame, key: str = "execution_id") -> DataFrame:
     """Per pending execution: approved, which roles remain, or the status of a rejection.
 
-    Votes are reduced to the distinct required roles before they are joined; roles outside the required set
-    count as INVALID_ROLE, votes on unknown executions as NOT_FOUND.
+    Votes are reduced to the distinct roles of an execution (a short list) before they are joined. Only roles
+    outside the required set give INVALID_ROLE, votes on unknown executions NOT_FOUND.
     """
     votes = approvals.groupBy(key).agg(
         F.collect_set(F.when(F.col("decision") == "approve", F.col("role"))).alias("_voted"),

@@ -1,9 +1,9 @@
 """Ordered scans per key that stay parallel when one key holds much of the data.
 
-A window partitioned by the key alone sorts a whole key in one task. Here a key with more rows than a task should
-sort is cut into chunks of the ordering column; the window runs per (key, chunk) and what a chunk needs from the
-ones before it (counts, sums, the last row) is carried over from a per-chunk table. There are at most
-rows / min_rows hot keys and about rows / chunk_rows chunks, so those tables are bounded and safe to broadcast.
+A window partitioned by the key alone sorts a whole key in one task. When some key has more rows than a task should
+sort, the rows are laid out by range of (key, order), so a hot key spreads over many partitions. The window then
+runs per (key, partition), and what a partition needs from the ones before it (counts, sums, the last row) is carried
+over from a table with a row per key and partition border, which is at most as long as there are partitions.
 """
 
 from __future__ import annotations
@@ -12,61 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskfabric.session import cut
+
 MIN_ROWS = 2_000_000
 CHUNK_ROWS = 1_000_000
-QUANTILES = 64
 
 
 class KeyedScan:
-    """Rows of `df` scanned per `keys` in the order of `order`; the first order column must be numeric.
-
-    One pass counts rows per key. Only if some key is hot, a second pass takes quantiles of the ordering column
-    over the hot rows; each quantile interval is cut further into equal slices until chunks are small enough.
-    """
+    """Rows of `df` scanned per `keys` in the order of `order`, which should be unique within a key."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], descending: bool = False,
-                 min_rows: int = MIN_ROWS, chunk_rows: int = CHUNK_ROWS, quantiles: int = QUANTILES) -> None:
+                 min_rows: int = MIN_ROWS, chunk_rows: int = CHUNK_ROWS) -> None:
         self.keys, self.order, self.descending = keys, order, descending
-        marked, rows = self._mark_hot(df, min_rows)
-        self.split = rows > 0
+        sizes = df.groupBy(*keys).count()
+        self.split = not sizes.filter(F.col("count") > min_rows).isEmpty()
         if not self.split:
             self.df = df.withColumn("_chunk", F.lit(0))
             return
-        chunk = self._position(marked, rows, chunk_rows, quantiles)
-        if descending:
-            chunk = -chunk
-        self.df = marked.withColumn("_chunk", F.when(F.col("_hot"), chunk).otherwise(F.lit(0))).drop("_hot")
-
-    def _mark_hot(self, df: DataFrame, min_rows: int) -> tuple[DataFrame, int]:
-        if not self.keys:
-            total = df.count()
-            return df.withColumn("_hot", F.lit(True)), total if total > min_rows else 0
-        rows = df.groupBy(*self.keys).count().filter(F.col("count") > min_rows).collect()
-        if not rows:
-            return df, 0
-        names = [f"_k{i}" for i in range(len(self.keys))]
-        kinds = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, self.keys))
-        hot = df.sparkSession.createDataFrame([tuple(r[k] for k in self.keys) for r in rows], kinds)
-        on = F.lit(True)
-        for name, key in zip(names, self.keys):
-            on = on & F.col(key).eqNullSafe(F.col(name))
-        marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left").drop(*names)
-        return marked.withColumn("_hot", F.coalesce("_hot", F.lit(False))), sum(r["count"] for r in rows)
-
-    def _position(self, marked: DataFrame, rows: int, chunk_rows: int, quantiles: int) -> Column:
-        lead = F.col(self.order[0]).cast("double")
-        probes = [i / quantiles for i in range(quantiles + 1)]
-        cuts = marked.filter("_hot").agg(F.percentile_approx(lead, probes, 10_000)).first()[0] or [0.0]
-        edges = sorted(set(cuts))
-        slices = max(1, -(-rows // (chunk_rows * quantiles)))
-        interval = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= lead))
-        if slices == 1 or len(edges) < 2:
-            return F.coalesce(interval, F.lit(0))
-        lower = F.element_at(F.array(*[F.lit(e) for e in edges]), F.greatest(interval, F.lit(1)))
-        upper = F.element_at(F.array(*[F.lit(e) for e in edges]), F.least(interval + 1, F.lit(len(edges))))
-        part = F.when(upper > lower, F.floor((lead - lower) / (upper - lower) * slices)).otherwise(0)
-        inside = F.least(F.greatest(part, F.lit(0)), F.lit(slices - 1)).cast("int")
-        return F.coalesce(interval * slices + inside, F.lit(0))
+        ranges = max(2, -(-df.count() // chunk_rows))
+        laid = df.repartitionByRange(ranges, *keys, *order)
+        place = F.spark_partition_id()
+        # Range borders come from a sample, so the layout is written out before anything is computed from it.
+        self.df = cut(laid.withColumn("_chunk", -place if descending else place))
 
     def _ordering(self) -> list[Column]:
         return [F.desc(c) if self.descending else F.asc(c) for c in self.order]
@@ -78,15 +45,15 @@ class KeyedScan:
         return Window.partitionBy(*self.keys).orderBy("_chunk")
 
     def _carry(self, table: DataFrame) -> None:
-        """Join a per-(key, chunk) table, restricted to chunks after the first, back to the rows."""
-        on = self.df["_chunk"].eqNullSafe(table["_chunk"])
-        for key in self.keys:
-            on = on & self.df[key].eqNullSafe(table[key])
-        drop = [table["_chunk"], *[table[k] for k in self.keys]]
-        joined = self.df.join(F.broadcast(table), on, "left")
-        for column in drop:
-            joined = joined.drop(column)
-        self.df = joined
+        """Join a per-(key, chunk) table, restricted to the chunks of a key after its first, back to the rows."""
+        names = [f"_t{i}" for i in range(len(self.keys))]
+        values = [c for c in table.columns if c != "_chunk" and c not in self.keys]
+        renamed = table.select(
+            F.col("_chunk").alias("_tc"), *[F.col(k).alias(n) for k, n in zip(self.keys, names)], *values)
+        on = F.col("_chunk") == F.col("_tc")
+        for name, key in zip(names, self.keys):
+            on = on & F.col(key).eqNullSafe(F.col(name))
+        self.df = self.df.join(F.broadcast(renamed), on, "left").drop("_tc", *names)
 
     def row_number(self, out: str) -> KeyedScan:
         return self.prefix_sum(F.lit(1), out)
