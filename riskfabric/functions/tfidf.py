@@ -58,12 +58,11 @@ def fit_idf(counts: DataFrame, sizes: DataFrame, key: str, copies: str) -> DataF
 
 def vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """One row per text: its normalised vector, rarest term first (ties by term)."""
-    weighted = counts.join(idf, "term").select(
-        key, F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    packed = weighted.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("raw"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    return packed.withColumn("_norm", norm).select(
-        key, F.transform("raw", lambda e: F.struct(e["term"].alias("term"), (e["w"] / F.col("_norm")).alias("w"))).alias("vec"))
+    weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    packed = weighted.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("raw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return packed.select(
+        key, F.transform("raw", lambda e: F.struct(e["term"].alias("term"), (e["w"] / F.col("norm")).alias("w"))).alias("vec"))
 
 
 def prefix_terms(vec: Column, remainder: float) -> Column:

@@ -134,26 +134,25 @@ def _settle(state: DataFrame, edges: DataFrame, attenuation: float, max_levels:
     edges have been delivered; each edge is joined once per scenario it takes part in.
     """
     pending = cut(state.withColumn("seen", F.lit(0).cast("long")))
-    total, done, settled = pending.count(), 0, None
+    settled = None
     out = edges.select(F.col("src").alias("id"), "dst", "weight")
+    is_ready = F.col("seen") == F.col("indeg")
+    upstream = F.lit(1.0) - F.col("safe")
+    belief = F.coalesce("forced", F.col("local") + upstream - F.col("local") * upstream)
     for _ in range(max_levels):
-        is_ready = F.col("seen") == F.col("indeg")
-        upstream = F.lit(1.0) - F.col("safe")
-        belief = F.coalesce("forced", F.col("local") + upstream - F.col("local") * upstream)
-        ready = cut(pending.filter(is_ready).select("scenario", "id", belief.alias("p")))
-        count = ready.count()
+        count, open_rows = pending.agg(F.count_if(is_ready), F.count_if(~is_ready)).first()
         if count == 0:
-            break
+            return settled, open_rows == 0
+        ready = pending.filter(is_ready).select("scenario", "id", belief.alias("p"))
         settled = ready if settled is None else settled.unionByName(ready)
-        done += count
-        if done == total:
-            break
+        if open_rows == 0:
+            return settled, True
         passed = ready.join(out, "id").groupBy("scenario", F.col("dst").alias("id")).agg(
             F.count(F.lit(1)).alias("_n"), F.product(F.lit(1.0) - F.col("p") * F.col("weight") * attenuation).alias("_f"))
         pending = cut(pending.filter(~is_ready).join(passed, ["scenario", "id"], "left").withColumns({
             "seen": F.col("seen") + F.coalesce("_n", F.lit(0)),
             "safe": F.col("safe") * F.coalesce("_f", F.lit(1.0))}).drop("_n", "_f"))
-    return settled, done == total
+    return settled, False
 
 
 def propagate_belief(nodes: DataFrame, edges: DataFrame, attenuation: float = ATTENUATION, base: float = BASE_PROBABILITY,
@@ -220,22 +219,21 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_
     """(id, level) by peeling nodes without open incoming edges, and how many nodes are left on cycles."""
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
     pending = cut(nodes.select("id").join(degree, "id", "left").withColumn("open", F.coalesce("open", F.lit(0))))
-    levels, left = None, pending.count()
+    levels = nodes.select("id", F.lit(0).alias("level")).limit(0)
     out = edges.select(F.col("src").alias("id"), "dst")
+    is_ready = F.col("open") == 0
+    left = 0
     for level in range(max_levels):
-        ready = cut(pending.filter(F.col("open") == 0).select("id", F.lit(level).alias("level")))
-        count = ready.count()
+        count, left = pending.agg(F.count_if(is_ready), F.count_if(~is_ready)).first()
         if count == 0:
             break
-        left -= count
-        levels = ready if levels is None else levels.unionByName(ready)
+        ready = pending.filter(is_ready).select("id", F.lit(level).alias("level"))
+        levels = ready if level == 0 else levels.unionByName(ready)
         if left == 0:
             break
         closed = ready.join(out, "id").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-        pending = cut(pending.filter(F.col("open") > 0).join(closed, "id", "left").select(
+        pending = cut(pending.filter(~is_ready).join(closed, "id", "left").select(
             "id", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open")))
-    if levels is None:
-        levels = nodes.select("id", F.lit(0).alias("level")).limit(0)
     return levels, left
 
 

@@ -33,8 +33,8 @@ def match_exact(ext: DataFrame, internal: DataFrame) -> DataFrame:
         "ext_id", F.col("_m.id").alias("int_id"), F.lit(1.0).alias("score"))
 
 
-def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, tokenize: Tokenizer) -> DataFrame:
-    """(q, c, score >= threshold) between distinct texts.
+def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float, tokenize: Tokenizer) -> DataFrame:
+    """(q, c, score >= threshold) between distinct texts; without queries, pairs q < c inside the corpus.
 
     `queries(q, text)` and `corpus(c, text, copies)` hold distinct texts with unique keys. An equi-join of the
     prefixes gives each candidate pair its partial dot product; only pairs whose partial can still reach the
@@ -42,15 +42,22 @@ def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, token
     more terms; both costs grow alike, so the share between them is fixed.
     """
     remainder = 0.75 * threshold
-    corpus_counts = cut(term_counts(corpus, "c", "text", tokenize))
-    idf = fit_idf(corpus_counts, corpus, "c", "copies")
-    c_vec = cut(vectors(corpus_counts, idf, "c"))
-    q_vec = cut(vectors(term_counts(queries, "q", "text", tokenize), idf, "q"))
-    c_prefix = c_vec.select("c", F.inline(prefix_terms(F.col("vec"), remainder))).withColumnRenamed("w", "cw")
-    q_prefix = q_vec.select("q", F.inline(prefix_terms(F.col("vec"), remainder))).withColumnRenamed("w", "qw")
-    partial = q_prefix.join(c_prefix, "term").groupBy("q", "c").agg(F.sum(F.col("qw") * F.col("cw")).alias("partial"))
+    counts = cut(term_counts(corpus, "c", "text", tokenize))
+    idf = cut(fit_idf(counts, corpus, "c", "copies"))
+    prefixed = prefix_terms(F.col("vec"), remainder).alias("prefix")
+    c_vec = cut(vectors(counts, idf, "c").select("c", "vec", prefixed))
+    if queries is None:
+        q_vec = c_vec.withColumnRenamed("c", "q")
+    else:
+        q_vec = cut(vectors(term_counts(queries, "q", "text", tokenize), idf, "q").select("q", "vec", prefixed))
+    c_terms = c_vec.select("c", F.inline("prefix")).withColumnRenamed("w", "cw")
+    q_terms = q_vec.select("q", F.inline("prefix")).withColumnRenamed("w", "qw")
+    met = q_terms.join(c_terms, "term")
+    if queries is None:
+        met = met.filter(F.col("q") < F.col("c"))
+    partial = met.groupBy("q", "c").agg(F.sum(F.col("qw") * F.col("cw")).alias("partial"))
     candidates = partial.filter(F.col("partial") >= threshold - remainder - 1e-9).select("q", "c")
-    with_vectors = candidates.join(q_vec, "q").join(
+    with_vectors = candidates.join(q_vec.select("q", "vec"), "q").join(
         c_vec.select("c", F.map_from_entries("vec").alias("cmap")), "c")
     scored = with_vectors.select("q", "c", F.round(cosine(F.col("vec"), F.col("cmap")), 9).alias("score"))
     return scored.filter(F.col("score") >= threshold)
@@ -113,9 +120,8 @@ def resolve_identities(names: DataFrame, name: str = "name", threshold: float =
     """
     distinct = cut(names.select(F.col(name).alias("text")).filter(F.col("text").isNotNull()).distinct()
                    .withColumn("c", F.col("text")))
-    pairs = similar_pairs(distinct.select(F.col("c").alias("q"), "text"),
-                          distinct.withColumn("copies", F.lit(1)), threshold, char_wb())
-    edges = pairs.filter(F.col("q") != F.col("c")).select(F.col("q").alias("src"), F.col("c").alias("dst"))
+    pairs = similar_pairs(None, distinct.withColumn("copies", F.lit(1)), threshold, char_wb())
+    edges = pairs.select(F.col("q").alias("src"), F.col("c").alias("dst"))
     component = connected_components(distinct.select(F.col("c").alias("id")), edges)
     return component.select(
         F.col("id").alias("name"), F.col("component").alias("resolved"), (F.col("id") != F.col("component")).alias("merged"))

@@ -10,6 +10,7 @@ from riskfabric.operators import aggregates, evaluate, govern, graph, joins, rem
 from riskfabric.plans.joins import ASSETS_ALL, HOST_EDGES, SHADOW, TRIPLETS
 from riskfabric.plans.registry import query, rounded
 from riskfabric.plans.scalar import PAGE_PATTERNS, _unsafe
+from riskfabric.session import cut
 
 REACH = """reach AS (SELECT vendor_id AS root, vendor_id AS node, 0 AS depth FROM vendors
   UNION SELECT reach.root, s.dst, reach.depth + 1 FROM reach JOIN supplies s ON s.src = reach.node WHERE reach.depth < 4),
@@ -26,7 +27,7 @@ PROFILE = f"""{REACH},
 
 def profiles(t: Lake):
     vendors = t.vendors
-    reach = graph.nth_party(t.supplies, vendors.select(F.col("vendor_id").alias("id")))
+    reach = graph.nth_party(cut(t.supplies.select("src", "dst")), vendors.select(F.col("vendor_id").alias("id")))
     return aggregates.subgraph_profile(reach, vendors, t.developed, t.runs, t.component_vulns)
 
 

@@ -91,7 +91,7 @@ def pagerank_sql() -> str:
 
 @query("g4_risk_pagerank", pagerank_sql())
 def g4(t: Lake):
-    out = graph.risk_pagerank(supply_nodes(t), t.supplies, iterations=ROUNDS, tol=None)
+    out = graph.risk_pagerank(supply_nodes(t), supply_edges(t), iterations=ROUNDS, tol=None)
     return out.withColumn("rank", half_up(F.col("rank"), 8))
 
 
