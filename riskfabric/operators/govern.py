@@ -35,6 +35,21 @@ AGENT_TASKS = {
     "risk_evaluator_agent": ("risk evaluator", "Risk Evaluator", ["query_subgraph", "predict_risk"]),
     "remediation_agent": ("remediation agent", "Remediation Agent", ["trigger_remediation", "verify_remediation"]),
 }
+REASONS = {
+    "not_listed": "Target asset %s is not in the approved allow-list.",
+    "issuer": "Invalid issuer claim.",
+    "override": "Governance override.",
+    "no_flow": "Unauthorized service-to-service flow: %s -> %s",
+    "not_agent": "Caller role is not an agent.",
+    "task": "Authorized task for %s.",
+    "no_task": "%s unauthorized for task: %s",
+    "no_agent": "Unknown agent type: %s",
+    "write": "Service authorized to mutate graph state.",
+    "no_write": "Service %s cannot write to graph.",
+    "read": "Service authorized to read risk intelligence.",
+    "no_read": "Service %s cannot read risk intelligence.",
+    "unknown": "Unknown action: %s",
+}
 GRAPH_WRITERS = ("semantic_fusion", "governance")
 RISK_READERS = ("predictive_inference", "agentic_execution", "governance")
 
@@ -83,39 +98,38 @@ def decide_policy(df: DataFrame, issuer: str, allow_list: Sequence[str] = ()) ->
 
     Input columns: action, iss, sub, role, agent_type, src_service, dest_service, agent_task, target_asset.
     """
-    def verdict(ok: bool, *text: Column | str) -> Column:
-        parts = [F.lit(t) if isinstance(t, str) else F.coalesce(t, F.lit("None")) for t in text]
-        return F.struct(F.lit(ok).alias("allowed"), F.concat(*parts).alias("reason"))
-
-    c = F.col
-    flow = None
-    for (src, dest), reason in SERVICE_FLOWS.items():
-        cond = (c("src_service") == src) & (c("dest_service") == dest)
-        flow = F.when(cond, verdict(True, reason)) if flow is None else flow.when(cond, verdict(True, reason))
-    flow = flow.when(c("src_service") == "governance", verdict(True, "Governance override.")).otherwise(
-        verdict(False, "Unauthorized service-to-service flow: ", c("src_service"), " -> ", c("dest_service")))
-    agent = F.when(F.coalesce(c("role"), F.lit("")) != "agent", verdict(False, "Caller role is not an agent."))
-    for kind, (short, title, tasks) in AGENT_TASKS.items():
-        agent = agent.when((c("agent_type") == kind) & c("agent_task").isin(*tasks), verdict(True, f"Authorized task for {short}."))
-        agent = agent.when(c("agent_type") == kind, verdict(False, f"{title} unauthorized for task: ", c("agent_task")))
-    agent = agent.otherwise(verdict(False, "Unknown agent type: ", c("agent_type")))
-    write = F.when(c("sub").isin(*GRAPH_WRITERS), verdict(True, "Service authorized to mutate graph state.")).otherwise(
-        verdict(False, "Service ", c("sub"), " cannot write to graph."))
-    read = F.when(c("sub").isin(*RISK_READERS), verdict(True, "Service authorized to read risk intelligence.")).otherwise(
-        verdict(False, "Service ", c("sub"), " cannot read risk intelligence."))
-    blocked = F.lit(False)
-    if allow_list:
-        target = F.coalesce(c("target_asset"), F.lit(""))
-        blocked = (c("action") == "agent_execution") & (target != "") & ~target.isin(*allow_list)
-    decision = (
-        F.when(blocked, verdict(False, "Target asset ", c("target_asset"), " is not in the approved allow-list."))
-        .when(F.coalesce(c("iss"), F.lit("")) != issuer, verdict(False, "Invalid issuer claim."))
-        .when(c("action") == "inter_service_call", flow)
-        .when(c("action") == "agent_execution", agent)
-        .when(c("action") == "graph_mutation", write)
-        .when(c("action") == "read_risk_intelligence", read)
-        .otherwise(verdict(False, "Unknown action: ", c("action")))
-    )
+    def verdict(ok: bool, reason: str, *filled: Column | str) -> Column:
+        words = [F.lit(w) if isinstance(w, str) else F.coalesce(w, F.lit("None")) for w in filled]
+        text = F.format_string(reason, *words) if words else F.lit(reason)
+        return F.struct(F.lit(ok).alias("allowed"), text.alias("reason"))
+
+    def choose(cases: list[tuple[Column, Column]], default: Column) -> Column:
+        return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), default)
+
+    c, r = F.col, REASONS
+    target = F.coalesce(c("target_asset"), F.lit(""))
+    outside = (c("action") == "agent_execution") & (target != "") & ~target.isin(*allow_list) if allow_list else F.lit(False)
+    flow = choose(
+        [((c("src_service") == src) & (c("dest_service") == dest), verdict(True, why)) for (src, dest), why in SERVICE_FLOWS.items()]
+        + [(c("src_service") == "governance", verdict(True, r["override"]))],
+        verdict(False, r["no_flow"], c("src_service"), c("dest_service")))
+    agent = choose(
+        [(F.coalesce(c("role"), F.lit("")) != "agent", verdict(False, r["not_agent"]))]
+        + [((c("agent_type") == kind) & c("agent_task").isin(*tasks), verdict(True, r["task"], short))
+           for kind, (short, _, tasks) in AGENT_TASKS.items()]
+        + [(c("agent_type") == kind, verdict(False, r["no_task"], title, c("agent_task"))) for kind, (_, title, _) in AGENT_TASKS.items()],
+        verdict(False, r["no_agent"], c("agent_type")))
+    by_action = {
+        "inter_service_call": flow,
+        "agent_execution": agent,
+        "graph_mutation": choose([(c("sub").isin(*GRAPH_WRITERS), verdict(True, r["write"]))], verdict(False, r["no_write"], c("sub"))),
+        "read_risk_intelligence": choose([(c("sub").isin(*RISK_READERS), verdict(True, r["read"]))], verdict(False, r["no_read"], c("sub"))),
+    }
+    decision = choose(
+        [(outside, verdict(False, r["not_listed"], c("target_asset"))),
+         (F.coalesce(c("iss"), F.lit("")) != issuer, verdict(False, r["issuer"]))]
+        + [(c("action") == name, answer) for name, answer in by_action.items()],
+        verdict(False, r["unknown"], c("action")))
     return df.withColumn("_d", decision).select("*", "_d.allowed", "_d.reason").drop("_d")
 
 

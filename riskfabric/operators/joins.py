@@ -9,6 +9,7 @@ from riskfabric.operators.normalize import DEFAULT_RATING, rating_tier
 from riskfabric.operators.scan import KeyedScan
 
 # The shadow exposure.
+SHADOW_TEXT = "Asset %s (%s) was discovered externally but is not present in internal telemetry systems (Splunk/Sentinel)."
 SHADOW_TITLE = "Unmanaged Shadow IT Asset"
 SHADOW_REMEDIATION = (
     "Investigate the asset owner and onboard it into internal telemetry or decommission it."
@@ -57,9 +58,7 @@ def shadow_assets(assets: DataFrame, edges: DataFrame, limit: int = SHADOW_LIMIT
 def shadow_exposures(shadow: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exposure rows and edges with ids derived from the asset, so a repeated scan changes nothing."""
     ident = F.concat(F.lit("exposure--shadow-it--"), "id")
-    text = F.concat(
-        F.lit("Asset "), "value", F.lit(" ("), "type",
-        F.lit(") was discovered externally but is not present in internal telemetry systems (Splunk/Sentinel)."))
+    text = F.format_string(SHADOW_TEXT, F.col("value"), F.col("type"))
     exposures = shadow.select(
         ident.alias("id"), F.lit(SHADOW_TITLE).alias("title"), text.alias("description"),
         F.lit("HIGH").alias("severity"), F.lit(SHADOW_REMEDIATION).alias("remediation"))
@@ -85,7 +84,7 @@ def ratings_asof(df: DataFrame, entity: str, order: list[str], rating: str, **sc
 
 def insertable_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges whose two endpoints exist, and the rest for the quarantine."""
-    ids = nodes.select("id")
+    ids = nodes.select("id").distinct()
     good = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     flagged = edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(

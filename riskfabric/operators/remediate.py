@@ -50,6 +50,23 @@ PLAYBOOKS = (
              steps=[("compensating_controls", "control_type", "waf_strict_filtering")]),
 )
 
+# Report of each action as title, impact (target, parameter or insight title), risk reduction, disruption.
+ACTION_REPORTS = {
+    "network_segmentation": (
+        "Network Segmentation", "Would isolate asset %1$s with level '%2$s'. Connections to/from this asset would be dropped.", "High", "High"),
+    "soar_integration": (
+        "SOAR Escalation", "Would create an incident ticket in %1$s for '%2$s' and trigger downstream SOAR playbooks.",
+        "Medium (Delegates to specialized SOAR)", "Low"),
+    "vendor_communication": (
+        "Vendor Communication", "Would email the '%2$s' template to %1$s representing vendor '%3$s'.", "Low (Administrative)", "None"),
+    "compensating_controls": (
+        "Apply Compensating Control", "Would apply '%2$s' temporarily blocking/filtering traffic to %1$s.",
+        "High", "Medium (Potential false positives)"),
+}
+GUIDED_REPORT = (
+    "Guided Workflow", "Would initiate a step-by-step guided workflow requiring human interaction for playbook: %s.",
+    "Variable (Depends on human execution)", "Minimal")
+
 
 def _eligible(pb: Playbook) -> Column:
     checks = [F.coalesce(F.col(k).isin(*allowed), F.lit(False)) for k, allowed in pb.rules.items()]
@@ -76,17 +93,14 @@ def fold_q(outcomes: DataFrame, keys: list[str], order: list[str], reward: str,
            start: float = START_VALUE, **scan: float) -> DataFrame:
     """q <- q + rate (reward - q) in order, per key.
 
-    The recursion has the closed form (1-rate)^n start + sum rate r_i (1-rate)^(n-i), which is an ordinary sum
-    once each outcome knows its place, so a state that holds most outcomes is folded by all tasks together.
+    The recursion has the closed form (1-rate)^n start + sum rate r_i (1-rate)^(places after i), an ordinary sum
+    once each outcome knows how many follow it, so a state that holds most outcomes is folded by all tasks together.
     """
-    placed = KeyedScan(outcomes.select(*keys, *order, reward), keys, order, **scan).row_number("_i").done()
-    counts = placed.groupBy(*keys).agg(F.max("_i").alias("n"))
-    keep = 1.0 - rate
-    # (1-rate)^(n-i) is split off as (1-rate)^n only in the exponent difference, after joining n back.
-    joined = placed.join(counts, keys)
-    term = F.lit(rate) * F.col(reward).cast("double") * F.pow(F.lit(keep), F.col("n") - F.col("_i"))
-    folded = joined.groupBy(*keys).agg(F.sum(term).alias("_s"), F.max("n").alias("n"))
-    return folded.select(*keys, (F.col("_s") + F.lit(start) * F.pow(F.lit(keep), F.col("n"))).alias("q"), F.col("n").alias("updates"))
+    placed = KeyedScan(outcomes.select(*keys, *order, reward), keys, order, descending=True, **scan).row_number("_i").done()
+    keep = F.lit(1.0 - rate)
+    term = F.lit(rate) * F.col(reward).cast("double") * F.pow(keep, F.col("_i") - 1)
+    return placed.groupBy(*keys).agg(
+        (F.sum(term) + F.lit(start) * F.pow(keep, F.count(F.lit(1)))).alias("q"), F.count(F.lit(1)).alias("updates"))
 
 
 def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS,
@@ -122,42 +136,30 @@ def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[P
 
 def plan_actions(matched: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS) -> DataFrame:
     """Simulated impact of each step of the matched playbook and whether its precondition holds."""
-    def quoted(text: str) -> Column:
-        return F.lit(f"'{text}'")
-
-    def step(action: str, value: str) -> Column:
-        asset, vendor, endpoint = F.col("asset_id"), F.col("vendor_id"), F.col("target_endpoint")
-        has = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
-        if action == "network_segmentation":
-            target = F.coalesce(asset, F.lit("Unknown"))
-            impact = F.concat(F.lit("Would isolate asset "), target, F.lit(" with level "), quoted(value),
-                              F.lit(". Connections to/from this asset would be dropped."))
-            row = ("Network Segmentation", target, impact, "High", "High", has(asset))
-        elif action == "soar_integration":
-            target = F.lit(value)
-            impact = F.concat(F.lit(f"Would create an incident ticket in {value} for '"), F.coalesce("title", F.lit("Unknown Incident")),
-                              F.lit("' and trigger downstream SOAR playbooks."))
-            row = ("SOAR Escalation", target, impact, "Medium (Delegates to specialized SOAR)", "Low", F.lit(True))
-        elif action == "vendor_communication":
-            who = F.coalesce(vendor, F.lit("Unknown Vendor"))
-            target = F.concat(F.lit("security@"), who, F.lit(".com"))
-            impact = F.concat(F.lit(f"Would email the '{value}' template to "), target, F.lit(" representing vendor '"), who, F.lit("'."))
-            row = ("Vendor Communication", target, impact, "Low (Administrative)", "None", has(vendor))
-        else:
-            target = F.coalesce(endpoint, F.lit("Unknown Endpoint"))
-            impact = F.concat(F.lit("Would apply "), quoted(value), F.lit(" temporarily blocking/filtering traffic to "), target, F.lit("."))
-            row = ("Apply Compensating Control", target, impact, "High", "Medium (Potential false positives)", has(endpoint))
-        name, target, impact, reduction, disruption, ok = row
+    vendor = F.coalesce("vendor_id", F.lit("Unknown Vendor"))
+    # Per action: what it acts on, what fills its impact text after that, and the column it cannot do without.
+    subjects = {
+        "network_segmentation": (F.coalesce("asset_id", F.lit("Unknown")), [], "asset_id"),
+        "soar_integration": (None, [F.coalesce("title", F.lit("Unknown Incident"))], None),
+        "vendor_communication": (F.concat(F.lit("security@"), vendor, F.lit(".com")), [vendor], "vendor_id"),
+        "compensating_controls": (F.coalesce("target_endpoint", F.lit("Unknown Endpoint")), [], "target_endpoint"),
+    }
+
+    def report(texts: tuple[str, str, str, str], target: Column, filled: list[Column], ok: Column) -> Column:
+        title, impact, reduction, disruption = texts
         return F.struct(
-            F.lit(name).alias("action"), target.alias("target"), impact.alias("impact"),
+            F.lit(title).alias("action"), target.alias("target"), F.format_string(impact, *filled).alias("impact"),
             F.lit(reduction).alias("risk_reduction"), F.lit(disruption).alias("business_disruption"), ok.alias("success"))
 
-    guided = lambda pb: F.struct(
-        F.lit("Guided Workflow").alias("action"), F.lit("Human Operator").alias("target"),
-        F.lit("Would initiate a step-by-step guided workflow requiring human interaction for playbook: "
-              f"{pb.name}.").alias("impact"),
-        F.lit("Variable (Depends on human execution)").alias("risk_reduction"),
-        F.lit("Minimal").alias("business_disruption"), F.lit(True).alias("success"))
+    def step(action: str, value: str) -> Column:
+        target, extra, needed = subjects[action]
+        filled = [F.lit(value), *extra] if target is None else [target, F.lit(value), *extra]
+        ok = F.lit(True) if needed is None else F.coalesce(F.length(needed) > 0, F.lit(False))
+        return report(ACTION_REPORTS[action], F.lit(value) if target is None else target, filled, ok)
+
+    def guided(pb: Playbook) -> Column:
+        return report(GUIDED_REPORT, F.lit("Human Operator"), [F.lit(pb.name)], F.lit(True))
+
     steps = None
     for pb in playbooks:
         rows = F.array(*[step(a, v) for a, _, v in pb.steps]) if pb.pb_type == "automated" else F.array(guided(pb))

@@ -12,6 +12,19 @@ WEIGHT_RATING, WEIGHT_CVE, WEIGHT_VENDOR = 0.4, 15.0, 4.0
 RISK_FLOOR, RISK_CEILING = 5.0, 95.0
 DEFAULT_VENDOR_RATING = 80.0
 
+# Contributing-factor texts.
+LOW_RATING = "Low average ecosystem security rating: %.1f"
+ACTIVE_CVES = "%d active vulnerabilities detected in downstream packages"
+DEEP_CHAIN = "Deep multi-tier dependency chain detected (%d vendors deep)"
+HIGH_CASCADE = "High vulnerability propagation probability (%.1f%%) due to shared libraries"
+HEALTHY = "No critical risk indicators detected. Baseline ecosystem healthy."
+
+# Recommended-action texts.
+QUARANTINE = "CRITICAL: Quarantined artifact/binary immediately. Deny execution on all %d affected systems."
+BLOCK_UNSIGNED = "HIGH: Signature or build provenance validation failed. Block deployments until signature can be verified."
+WATCH_DEVICES = "MEDIUM: Monitor deployments on %d devices and schedule update patches."
+KEEP_UPDATED = "LOW: Keep dependency version updated."
+
 
 def exploit_severity(score: Column) -> Column:
     return F.when(score > 0.85, "CRITICAL").when(score > 0.7, "HIGH").when(score > 0.4, "MEDIUM").otherwise("LOW")
@@ -36,25 +49,13 @@ def risk_interval(risk: Column) -> tuple[Column, Column]:
 
 
 def contributing_factors(rating: Column, cves: Column, vendors: Column, cascade: Column) -> Column:
-    texts = F.array_compact(
-        F.array(
-            F.when(rating < 70, F.format_string("Low average ecosystem security rating: %.1f", rating)),
-            F.when(cves > 0, F.concat(cves.cast("string"), F.lit(" active vulnerabilities detected in downstream packages"))),
-            F.when(
-                vendors > 2,
-                F.concat(F.lit("Deep multi-tier dependency chain detected ("), vendors.cast("string"), F.lit(" vendors deep)")),
-            ),
-            F.when(
-                cascade > 0.4,
-                F.concat(
-                    F.lit("High vulnerability propagation probability ("),
-                    F.format_string("%.1f", cascade * 100), F.lit("%) due to shared libraries"),
-                ),
-            ),
-        )
-    )
-    healthy = F.array(F.lit("No critical risk indicators detected. Baseline ecosystem healthy."))
-    return F.when(F.size(texts) > 0, texts).otherwise(healthy)
+    texts = F.array_compact(F.array(
+        F.when(rating < 70, F.format_string(LOW_RATING, rating)),
+        F.when(cves > 0, F.format_string(ACTIVE_CVES, cves)),
+        F.when(vendors > 2, F.format_string(DEEP_CHAIN, vendors)),
+        F.when(cascade > 0.4, F.format_string(HIGH_CASCADE, cascade * 100)),
+    ))
+    return F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(HEALTHY)))
 
 
 def attribute_linear(rating: Column, cves: Column, vendors: Column) -> dict[str, Column]:
@@ -87,26 +88,12 @@ def priority_score(exploit: Column, has_provenance: Column, malicious: Column, d
 
 
 def recommended_actions(malicious: Column, has_provenance: Column, devices: Column) -> Column:
-    texts = F.array_compact(
-        F.array(
-            F.when(
-                malicious,
-                F.concat(
-                    F.lit("CRITICAL: Quarantined artifact/binary immediately. Deny execution on all "),
-                    devices.cast("string"), F.lit(" affected systems."),
-                ),
-            ),
-            F.when(
-                ~has_provenance,
-                F.lit("HIGH: Signature or build provenance validation failed. Block deployments until signature can be verified."),
-            ),
-            F.when(
-                (devices > 0) & ~malicious,
-                F.concat(F.lit("MEDIUM: Monitor deployments on "), devices.cast("string"), F.lit(" devices and schedule update patches.")),
-            ),
-        )
-    )
-    return F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit("LOW: Keep dependency version updated.")))
+    texts = F.array_compact(F.array(
+        F.when(malicious, F.format_string(QUARANTINE, devices)),
+        F.when(~has_provenance, F.lit(BLOCK_UNSIGNED)),
+        F.when((devices > 0) & ~malicious, F.format_string(WATCH_DEVICES, devices)),
+    ))
+    return F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(KEEP_UPDATED)))
 
 
 def artefact_impact(reports: DataFrame, runs: DataFrame, key: str = "comp_id") -> tuple[DataFrame, DataFrame]:
