@@ -57,16 +57,16 @@ def fit_idf(counts: DataFrame, sizes: DataFrame, key: str, copies: str) -> DataF
 
 
 def vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """One row per text: its normalised vector, rarest term first (ties by term)."""
+    """One row per text: its normalised vector of (term, w, df), rarest term first (ties by term)."""
     weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     packed = weighted.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("raw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return packed.select(
-        key, F.transform("raw", lambda e: F.struct(e["term"].alias("term"), (e["w"] / F.col("norm")).alias("w"))).alias("vec"))
+    unit = F.transform("raw", lambda e: F.struct(e["term"].alias("term"), (e["w"] / F.col("norm")).alias("w"), e["df"].alias("df")))
+    return packed.select(key, unit.alias("vec"))
 
 
 def prefix_terms(vec: Column, remainder: float) -> Column:
-    """Leading (term, w) entries of a vector, up to where the norm of the rest falls below `remainder`.
+    """Leading entries of a vector, up to where the norm of the rest falls below `remainder`.
 
     Terms stand in one global order, rarest first. Take two unit vectors cut this way. The shared terms missing
     from either prefix all lie in the rest of the one that was cut earlier, so they add less than `remainder`
@@ -86,6 +86,10 @@ def prefix_terms(vec: Column, remainder: float) -> Column:
     return F.slice(vec, F.lit(1), length)
 
 
+def weight_map(vec: Column) -> Column:
+    return F.map_from_arrays(F.transform(vec, lambda e: e["term"]), F.transform(vec, lambda e: e["w"]))
+
+
 def cosine(a: Column, b_map: Column) -> Column:
     """Dot product of a vector with a term -> weight map."""
     return F.aggregate(a, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(b_map, e["term"]), F.lit(0.0)))

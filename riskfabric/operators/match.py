@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfabric.functions.tfidf import Tokenizer, char_wb, cosine, fit_idf, prefix_terms, term_counts, vectors, words
+from riskfabric.functions.tfidf import (
+    Tokenizer, char_wb, cosine, fit_idf, prefix_terms, term_counts, vectors, weight_map, words,
+)
 from riskfabric.operators.graph import connected_components
 from riskfabric.session import cut
 
@@ -33,7 +35,7 @@ def match_exact(ext: DataFrame, internal: DataFrame) -> DataFrame:
         "ext_id", F.col("_m.id").alias("int_id"), F.lit(1.0).alias("score"))
 
 
-def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float, tokenize: Tokenizer) -> DataFrame:
+def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float, tokenize: Tokenizer, fan: int = 4096) -> DataFrame:
     """(q, c, score >= threshold) between distinct texts; without queries, pairs q < c inside the corpus.
 
     `queries(q, text)` and `corpus(c, text, copies)` hold distinct texts with unique keys. An equi-join of the
@@ -50,20 +52,24 @@ def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float
         q_vec = c_vec.withColumnRenamed("c", "q")
     else:
         q_vec = cut(vectors(term_counts(queries, "q", "text", tokenize), idf, "q").select("q", "vec", prefixed))
-    c_terms = c_vec.select("c", F.inline("prefix")).withColumnRenamed("w", "cw")
-    q_terms = q_vec.select("q", F.inline("prefix")).withColumnRenamed("w", "qw")
-    met = q_terms.join(c_terms, "term")
+    # A term that many corpus texts share is cut into slots of about `fan` postings; the query side visits each.
+    slots = F.ceil(F.col("df") / fan)
+    c_terms = c_vec.select("c", F.inline("prefix")).select(
+        "c", "term", F.col("w").alias("cw"), F.pmod(F.xxhash64("c"), slots).alias("slot"))
+    q_terms = q_vec.select("q", F.inline("prefix")).select(
+        "q", "term", F.col("w").alias("qw"), F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"))
+    met = q_terms.join(c_terms, ["term", "slot"])
     if queries is None:
         met = met.filter(F.col("q") < F.col("c"))
     partial = met.groupBy("q", "c").agg(F.sum(F.col("qw") * F.col("cw")).alias("partial"))
     candidates = partial.filter(F.col("partial") >= threshold - remainder - 1e-9).select("q", "c")
     with_vectors = candidates.join(q_vec.select("q", "vec"), "q").join(
-        c_vec.select("c", F.map_from_entries("vec").alias("cmap")), "c")
+        c_vec.select("c", weight_map(F.col("vec")).alias("cmap")), "c")
     scored = with_vectors.select("q", "c", F.round(cosine(F.col("vec"), F.col("cmap")), 9).alias("score"))
     return scored.filter(F.col("score") >= threshold)
 
 
-def match_fuzzy(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def match_fuzzy(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOLD, fan: int = 4096) -> DataFrame:
     """Best internal asset per external one by character n-gram cosine of value and name.
 
     Equal texts are matched once: copies on the corpus side keep their first candidate, copies on the query
@@ -78,7 +84,7 @@ def match_fuzzy(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOL
         .withColumn("c", F.sha2("text", 256)))
     asked = doc(ext).withColumn("q", F.sha2("text", 256))
     queries = asked.select("q", "text").distinct()
-    pairs = similar_pairs(queries, corpus.select("c", "text", "copies"), threshold, char_wb())
+    pairs = similar_pairs(queries, corpus.select("c", "text", "copies"), threshold, char_wb(), fan)
     ranked = pairs.join(corpus.select("c", "first"), "c").groupBy("q").agg(
         F.max_by(F.struct(F.col("first.id").alias("id"), F.col("score").alias("score")),
                  F.struct("score", -F.col("first.ord"))).alias("best"))
@@ -140,7 +146,7 @@ def map_requirements(texts: DataFrame, key: str, text: str, corpus: DataFrame, k
     rows = corpus.select(F.col("position").alias("c"), F.col("description").alias("text"), F.lit(1).alias("copies"))
     counts = term_counts(rows, "c", "text", tokenize)
     idf = fit_idf(counts, rows, "c", "copies")
-    control = vectors(counts, idf, "c").select("c", F.inline("vec")).withColumnRenamed("w", "cw")
+    control = vectors(counts, idf, "c").select("c", F.inline("vec")).select("c", "term", F.col("w").alias("cw"))
     seen = texts.select(key, F.explode(words(stop_words=False)(F.col(text))).alias("term"))
     known = seen.join(F.broadcast(idf), "term").groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     weighted = known.withColumn("w", F.col("tf") * F.col("idf"))

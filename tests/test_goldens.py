@@ -302,8 +302,9 @@ def test_fuzzy_equals_brute_force(spark, threshold):
         best = max(range(len(row)), key=lambda j: (round(row[j], 9), -j))
         if round(row[best], 9) >= threshold:
             want[f"e{i}"] = (f"i{best}", round(row[best], 6))
-    got = {r.ext_id: (r.int_id, round(r.score, 6)) for r in match.match_fuzzy(ext, internal, threshold).collect()}
-    assert got == want
+    for fan in (4096, 3):
+        got = {r.ext_id: (r.int_id, round(r.score, 6)) for r in match.match_fuzzy(ext, internal, threshold, fan).collect()}
+        assert got == want
 
 
 def test_identities_merge(spark):
