@@ -148,7 +148,7 @@ def a13(t: Lake):
 
 
 APPROVALS = """SELECT user_id AS execution_id, CASE event_type WHEN 'click' THEN 'SOC_ANALYST' WHEN 'view' THEN 'LEGAL' ELSE 'CFO' END AS role,
-  CASE WHEN event_type = 'error' AND value > 120 THEN 'reject' ELSE 'approve' END AS decision FROM events WHERE value > 25"""
+  CASE WHEN event_type = 'error' AND value > 120 THEN 'reject' WHEN value > 25 THEN 'approve' ELSE 'comment' END AS decision FROM events"""
 
 
 @query("a14_approval_status", f"""
@@ -167,10 +167,11 @@ def a14(t: Lake):
     return out.withColumn("remaining", F.concat_ws(",", "remaining"))
 
 
-@query("u2_role_gap", f"""WITH h AS (SELECT execution_id, bool_or(role = 'SOC_ANALYST') AS soc, bool_or(role = 'LEGAL') AS legal FROM ({APPROVALS}) a GROUP BY execution_id)
+@query("u2_role_gap", f"""WITH h AS (SELECT execution_id, bool_or(role = 'SOC_ANALYST' AND decision = 'approve') AS soc, bool_or(role = 'LEGAL' AND decision = 'approve') AS legal FROM ({APPROVALS}) a GROUP BY execution_id)
 SELECT execution_id, concat_ws(',', CASE WHEN NOT soc THEN 'SOC_ANALYST' END, CASE WHEN NOT legal THEN 'LEGAL' END) AS missing, soc AND legal AS complete FROM h""")
 def u2(t: Lake):
-    held = t.sql(APPROVALS).groupBy("execution_id").agg(F.collect_set("role").alias("held"))
+    held = t.sql(APPROVALS).groupBy("execution_id").agg(
+        F.collect_set(F.when(F.col("decision") == "approve", F.col("role"))).alias("held"))
     missing, complete = remediate.role_gap(F.array(F.lit("SOC_ANALYST"), F.lit("LEGAL")), F.col("held"))
     return held.select("execution_id", F.concat_ws(",", missing).alias("missing"), complete.alias("complete"))
 

@@ -117,8 +117,8 @@ def w8(t: Lake):
     return picked.select("insight_id", "pb_id", half_up(F.col("q"), 6).alias("q"))
 
 
-WORKFLOW = """SELECT user_id AS workflow_id, EPOCH_US(ts) AS at_us, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'advance' WHEN 'purchase' THEN 'evidence' ELSE 'note' END AS kind
-  FROM events WHERE value > 70"""
+WORKFLOW = """SELECT user_id AS workflow_id, EPOCH_US(ts) AS at_us, CASE WHEN value <= 70 THEN 'note' WHEN event_type = 'signup' THEN 'start'
+    WHEN event_type = 'error' THEN 'advance' WHEN event_type = 'purchase' THEN 'evidence' ELSE 'note' END AS kind FROM events"""
 
 
 @query("w9_workflow_state", f"""
