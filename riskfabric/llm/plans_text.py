@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import binary, bpe, langid, licenses, quality, secrets
+from riskfabric.llm import binary, bpe, langid, licenses, quality, secrets, text_sql
 from riskfabric.llm.common import table
 from riskfabric.session import scratch
 
@@ -52,4 +52,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_license_scan": op1_license_scan, "op2_secret_scan": op2_secret_scan, "op4_bpe": op4_bpe, "op6_language": op6_language,
            "op9_quality": op9_quality, "op10_token_files": op10_token_files}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_license_scan": text_sql.license_sql(), "op2_secret_scan": text_sql.secret_sql()}
