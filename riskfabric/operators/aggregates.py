@@ -13,32 +13,35 @@ MODULUS = 1_000_003
 PER_COMPONENT, PER_MODEL, PER_BINARY, PER_ACTOR, PER_DEVICE = 2, 3, 1, 2, 1
 
 
+def _bits(df: DataFrame, owner: list[str], ident: str) -> DataFrame:
+    """(owner, _b, _bits): the ids of each owner as one bitmap per 32,768 ids."""
+    return df.groupBy(*owner, F.bitmap_bucket_number(F.col(ident)).alias("_b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col(ident))).alias("_bits"))
+
+
 def subgraph_profile(reach: DataFrame, vendors: DataFrame, developed: DataFrame, runs: DataFrame,
-                     vulns: DataFrame) -> DataFrame:
-    """Per root: vendors, components and devices in its subgraph, rating sum and mean, active CVEs.
+                     vulns: DataFrame, depth: int = 4) -> DataFrame:
+    """Per root: distinct vendors, components and devices in its subgraph, rating sum and mean, active CVEs.
 
-    Everything a vendor contributes is summed per vendor first; the reach table is then joined once with
-    numbers instead of with the component and device rows themselves.
+    A node counts once however many ways lead to it. Components lie one hop below their vendor, so vendors at the depth
+    limit add none. RUNS leads from a device to a component and a directed walk meets no device there; devices are
+    those that run a component of the subgraph. A component's CVEs count once. Ids are whole numbers. Sets are bitmaps, or-ed per
+    root, so no row per (root, component) or (root, device) is formed.
     """
-    per_component = (
-        developed.join(vulns.groupBy("comp_id").agg(F.count(F.lit(1)).alias("cves")), "comp_id", "left")
-        .join(runs.groupBy("comp_id").agg(F.count(F.lit(1)).alias("devices")), "comp_id", "left")
-    )
-    per_vendor = per_component.groupBy("vendor_id").agg(
-        F.count(F.lit(1)).alias("components"),
-        F.sum(F.coalesce("devices", F.lit(0))).alias("device_links"),
-        F.sum(F.coalesce("cves", F.lit(0))).alias("cves"))
-    facts = vendors.select("vendor_id", "security_score").join(per_vendor, "vendor_id", "left")
-    joined = reach.join(facts.withColumnRenamed("vendor_id", "node"), "node")
-    counted = joined.groupBy("root").agg(
-        F.count(F.lit(1)).alias("vendor_count"),
-        F.sum(F.coalesce("components", F.lit(0))).alias("component_count"),
-        F.sum(F.coalesce("device_links", F.lit(0))).alias("device_count"),
-        F.sum("security_score").alias("rating_sum"),
-        F.sum(F.coalesce("cves", F.lit(0))).alias("active_cves"))
+    cves = vulns.groupBy("comp_id").agg(F.count(F.lit(1)).alias("_cves"))
+    parts = _bits(developed.join(cves, "comp_id", "left").withColumn("_cves", F.coalesce("_cves", F.lit(0))), ["vendor_id", "_cves"], "comp_id")
+    users = developed.join(_bits(runs, ["comp_id"], "device_id"), "comp_id").groupBy("vendor_id", "_b").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    inner = reach.filter(F.col("depth") < depth).select("root", F.col("node").alias("vendor_id"))
+    by_root = inner.join(parts, "vendor_id").groupBy("root", "_b", "_cves").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n")).groupBy("root").agg(
+        F.sum("_n").alias("component_count"), F.sum(F.col("_n") * F.col("_cves")).alias("active_cves"))
+    devices = inner.join(users, "vendor_id").groupBy("root", "_b").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n")).groupBy("root").agg(
+        F.sum("_n").alias("device_count"))
+    counted = reach.join(vendors.select(F.col("vendor_id").alias("node"), "security_score"), "node").groupBy("root").agg(
+        F.count(F.lit(1)).alias("vendor_count"), F.sum("security_score").alias("rating_sum"))
     rating = F.when(F.col("vendor_count") > 0, F.col("rating_sum") / F.col("vendor_count")).otherwise(
         F.lit(DEFAULT_VENDOR_RATING))
-    return counted.withColumn("avg_rating", rating)
+    full = counted.join(by_root, "root", "left").join(devices, "root", "left")
+    return full.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("component_count", "device_count", "active_cves")}).withColumn("avg_rating", rating)
 
 
 def affected_counts(components: Column, models: Column, binaries: Column, actors: Column, devices: Column) -> Column:
@@ -56,7 +59,8 @@ def split_shares(df: DataFrame, owner: str, secret: str, parties: int, seed: int
     if parties < 2:
         raise ValueError("at least 2 parties")
     def drawn(i: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(owner), F.lit(i), F.lit(seed)), F.lit(modulus))
+        digits = F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col(owner).cast("string"), F.lit(str(i))), 256)
+        return F.pmod(F.conv(F.substring(digits, 1, 12), 16, 10).cast("long"), F.lit(modulus))
 
     first = [drawn(i) for i in range(parties - 1)]
     total = first[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskfabric.session import cut
+from riskfabric.session import cut, scratch
 
 BASE_PROBABILITY = 0.05
 PER_CVE = 0.2
@@ -41,12 +41,18 @@ def subgraph_edges(reach: DataFrame, edges: DataFrame, depth: int = 4) -> DataFr
 def discover(seeds: DataFrame, dependencies: DataFrame, infrastructure: DataFrame, max_depth: int = 3) -> DataFrame:
     """Vendors reached from the seeds over (vendor -> its supplier) rows, with their infrastructure CVEs.
 
-    A vendor reached on several paths is reported once, at its least depth.
+    One search from all seeds at once: a vendor reached on several paths is reported once, at its least depth.
     """
-    edges = dependencies.select(F.col("vendor").alias("src"), F.col("supplier").alias("dst"))
-    reach = nth_party(edges, seeds, max_depth - 1)
-    found = reach.groupBy("node").agg(F.min("depth").alias("depth"))
-    return found.withColumnRenamed("node", "vendor").join(infrastructure, "vendor", "left")
+    out = dependencies.select(F.col("vendor").alias("node"), F.col("supplier").alias("dst"))
+    frontier = cut(seeds.select(F.col("id").alias("node")).distinct())
+    found = _Levels(frontier.withColumn("depth", F.lit(0)))
+    for depth in range(max_depth):
+        found.add(frontier.withColumn("depth", F.lit(depth)))
+        if depth + 1 == max_depth:
+            break
+        step = frontier.join(out, "node").select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(found.table(), "node", "left_anti"))
+    return found.table().withColumnRenamed("node", "vendor").join(infrastructure, "vendor", "left")
 
 
 def build_graph(topology: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,76 +127,101 @@ def local_probability(cves: Column, base: float = BASE_PROBABILITY) -> Column:
     return F.least(F.lit(0.99), F.lit(base) + F.coalesce(cves, F.lit(0)) * PER_CVE)
 
 
-def _no_beliefs(nodes: DataFrame) -> DataFrame:
-    kind = nodes.schema["id"].dataType.simpleString()
-    return nodes.sparkSession.createDataFrame([], f"scenario string, id {kind}, p double")
+class _Levels:
+    """Rows that are done, written level by level, so that the plan does not grow with the depth of a graph."""
+
+    def __init__(self, like: DataFrame) -> None:
+        self.spark, self.schema, self.folder, self.any = like.sparkSession, like.schema, scratch(like.sparkSession, "levels"), False
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+        self.any = True
+
+    def table(self) -> DataFrame:
+        if not self.any:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.folder)
 
 
-def _settle(state: DataFrame, edges: DataFrame, attenuation: float, max_levels: int) -> tuple[DataFrame | None, bool]:
-    """Settle (scenario, id) rows level by level.
+def _settle(state: DataFrame, edges: DataFrame, attenuation: float) -> tuple[DataFrame, bool]:
+    """Settle (scenario, id) rows level by level; False where rows are left that wait for each other, which is a cycle.
 
     `state(scenario, id, local, forced, indeg, safe)` lists what is to be computed, how many incoming edges each
     row waits for and the safety already known from parents outside the state. A row is ready when all its
     edges have been delivered; each edge is joined once per scenario it takes part in.
     """
     pending = cut(state.withColumn("seen", F.lit(0).cast("long")))
-    settled = None
     out = edges.select(F.col("src").alias("id"), "dst", "weight")
     is_ready = F.col("seen") == F.col("indeg")
     upstream = F.lit(1.0) - F.col("safe")
     belief = F.coalesce("forced", F.col("local") + upstream - F.col("local") * upstream)
-    for _ in range(max_levels):
+    settled = _Levels(pending.select("scenario", "id", belief.alias("p")))
+    while True:
         count, open_rows = pending.agg(F.count_if(is_ready), F.count_if(~is_ready)).first()
         if count == 0:
-            return settled, open_rows == 0
+            return settled.table(), open_rows == 0
         ready = pending.filter(is_ready).select("scenario", "id", belief.alias("p"))
-        settled = ready if settled is None else settled.unionByName(ready)
+        settled.add(ready)
         if open_rows == 0:
-            return settled, True
+            return settled.table(), True
         passed = ready.join(out, "id").groupBy("scenario", F.col("dst").alias("id")).agg(
             F.count(F.lit(1)).alias("_n"), F.product(F.lit(1.0) - F.col("p") * F.col("weight") * attenuation).alias("_f"))
         pending = cut(pending.filter(~is_ready).join(passed, ["scenario", "id"], "left").withColumns({
             "seen": F.col("seen") + F.coalesce("_n", F.lit(0)),
             "safe": F.col("safe") * F.coalesce("_f", F.lit(1.0))}).drop("_n", "_f"))
-    return settled, False
 
 
 def propagate_belief(nodes: DataFrame, edges: DataFrame, attenuation: float = ATTENUATION, base: float = BASE_PROBABILITY,
-                     interventions: DataFrame | None = None, max_scenarios: int = 1_000, max_levels: int = 10_000) -> DataFrame:
+                     interventions: DataFrame | None = None) -> DataFrame:
     """(scenario, id, p): compromise probability of every node of a DAG; empty when the graph has a cycle.
 
     total = local or-ed with 1 - prod(1 - p(parent) x weight x attenuation). `interventions(scenario, id, value)`
-    forces nodes whatever their parents; all scenarios run in the same rounds. The scenario names of a what-if run
-    are a short list; for effects of many sources use causal_effects, which follows descendants only.
+    forces nodes whatever their parents; all scenarios run in the same rounds, and every scenario gets every node by
+    definition. For the effect of many sources use causal_effects, which follows what lies below each source only.
     """
-    names = ["observed"]
-    if interventions is not None:
-        names = [r[0] for r in interventions.select("scenario").distinct().limit(max_scenarios + 1).collect()]
-        if len(names) > max_scenarios:
-            raise ValueError(f"more than {max_scenarios} scenarios over the whole graph; use causal_effects")
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("indeg"))
-    state = nodes.select("id", local_probability(F.col("cves"), base).alias("local")).join(degree, "id", "left").select(
-        F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario"), "id", "local",
-        F.coalesce("indeg", F.lit(0)).cast("long").alias("indeg"), F.lit(1.0).alias("safe"))
-    if interventions is not None:
-        forced = interventions.select("scenario", "id", F.col("value").cast("double").alias("forced"))
-        state = state.join(forced, ["scenario", "id"], "left")
+    base_state = nodes.select("id", local_probability(F.col("cves"), base).alias("local")).join(degree, "id", "left").select(
+        "id", "local", F.coalesce("indeg", F.lit(0)).cast("long").alias("indeg"), F.lit(1.0).alias("safe"))
+    if interventions is None:
+        state = base_state.withColumns({"scenario": F.lit("observed"), "forced": F.lit(None).cast("double")})
     else:
-        state = state.withColumn("forced", F.lit(None).cast("double"))
-    settled, complete = _settle(state, edges, attenuation, max_levels)
-    return settled if complete and settled is not None else _no_beliefs(nodes)
+        asked = interventions.select("scenario", "id", F.col("value").cast("double").alias("forced"))
+        # The request names the scenarios: one copy of the graph for each is the result asked for.
+        names = asked.agg(F.array_sort(F.collect_set("scenario"))).scalar()
+        state = base_state.withColumn("scenario", F.explode(names)).join(asked, ["scenario", "id"], "left")
+    settled, complete = _settle(state.select("scenario", "id", "local", "forced", "indeg", "safe"), edges, attenuation)
+    return settled if complete else settled.limit(0)
+
+
+def _below(edges: DataFrame, pairs: DataFrame, levels: DataFrame) -> DataFrame:
+    """(root, id): what lies below each source, down to the level of its lowest target."""
+    level = levels.select("id", "level")
+    floor = pairs.join(level.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("root")).agg(F.max("level").alias("floor"))
+    out = cut(edges.select(F.col("src").alias("id"), "dst").join(level.select(F.col("id").alias("dst"), "level"), "dst").select("id", "dst", "level"))
+    frontier = cut(floor.select("root", F.col("root").alias("id"), "floor"))
+    found = _Levels(frontier.select("root", "id"))
+    seen = frontier
+    while not frontier.isEmpty():
+        found.add(frontier.select("root", "id"))
+        seen = found.table()
+        step = frontier.join(out, "id").filter(F.col("level") <= F.col("floor")).select("root", F.col("dst").alias("id"), "floor").distinct()
+        frontier = cut(step.join(seen, ["root", "id"], "left_anti"))
+    return seen.select("root", "id")
 
 
 def causal_effects(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, strength: float = CAUSAL_STRENGTH,
-                   base: float = BASE_PROBABILITY, max_levels: int = 10_000) -> DataFrame:
+                   base: float = BASE_PROBABILITY) -> DataFrame:
     """Average causal effect of each (target, source) pair: risk of the target under do(1) less under do(0).
 
-    Only descendants of a source can change, so each source carries just its descendants; parents outside them
-    keep their observed belief and enter as a constant. No source x node table is formed.
+    Only descendants of a source can change, and only those no lower than its lowest target matter, so each source carries
+    just these; parents outside them keep their observed belief and enter as a constant. No source x node table is formed.
+    The effect is 0 where the target does not lie below the source and null in a graph with a cycle.
     """
-    observed = propagate_belief(nodes, edges, strength, base, max_levels=max_levels).select("id", "p")
-    sources = pairs.select(F.col("source").alias("id")).distinct()
-    reach = cut(nth_party(edges, sources, max_levels).select("root", F.col("node").alias("id")))
+    levels, left = topological_levels(nodes, edges)
+    if left:
+        return pairs.select("target", "source", F.lit(None).cast("double").alias("effect"))
+    observed = cut(propagate_belief(nodes, edges, strength, base).select("id", "p"))
+    reach = cut(_below(edges, pairs, levels))
     incoming = reach.join(edges.select(F.col("dst").alias("id"), F.col("src"), "weight"), "id")
     inside = reach.select("root", F.col("id").alias("src"), F.lit(True).alias("_in"))
     seen_parents = incoming.join(inside, ["root", "src"], "left").join(observed.withColumnRenamed("id", "src"), "src")
@@ -206,35 +237,31 @@ def causal_effects(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, strengt
         F.coalesce("safe", F.lit(1.0)).alias("safe"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("v"))
     state = state.select(
         F.struct("root", "v").alias("scenario"), "id", "local", "indeg", "safe", F.when(is_source, F.col("v")).alias("forced"))
-    settled, complete = _settle(state, edges, strength, max_levels)
-    zero = pairs.select("target", "source", F.lit(0.0).alias("effect"))
-    if settled is None or not complete:
-        return zero
+    settled, _ = _settle(state, edges, strength)
     signed = F.when(F.col("scenario.v") == 1.0, F.col("p")).otherwise(-F.col("p"))
     effects = settled.groupBy(F.col("scenario.root").alias("source"), F.col("id").alias("target")).agg(F.sum(signed).alias("_e"))
     return pairs.join(effects, ["target", "source"], "left").select("target", "source", F.coalesce("_e", F.lit(0.0)).alias("effect"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_000) -> tuple[DataFrame, int]:
-    """(id, level) by peeling nodes without open incoming edges, and how many nodes are left on cycles."""
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(id, level) by peeling nodes without open incoming edges, and how many nodes are left on or behind cycles."""
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
     pending = cut(nodes.select("id").join(degree, "id", "left").withColumn("open", F.coalesce("open", F.lit(0))))
-    levels = nodes.select("id", F.lit(0).alias("level")).limit(0)
+    levels = _Levels(pending.select("id", F.lit(0).alias("level")))
     out = edges.select(F.col("src").alias("id"), "dst")
     is_ready = F.col("open") == 0
-    left = 0
-    for level in range(max_levels):
+    level = 0
+    while True:
         count, left = pending.agg(F.count_if(is_ready), F.count_if(~is_ready)).first()
-        if count == 0:
-            break
-        ready = pending.filter(is_ready).select("id", F.lit(level).alias("level"))
-        levels = ready if level == 0 else levels.unionByName(ready)
-        if left == 0:
-            break
+        if count:
+            ready = pending.filter(is_ready).select("id", F.lit(level).alias("level"))
+            levels.add(ready)
+        if not count or not left:
+            return levels.table(), left
         closed = ready.join(out, "id").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
         pending = cut(pending.filter(~is_ready).join(closed, "id", "left").select(
             "id", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open")))
-    return levels, left
+        level += 1
 
 
 def is_dag(nodes: DataFrame, edges: DataFrame) -> bool:
@@ -256,7 +283,7 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(n <= 1, F.lit(1.0)).otherwise(F.coalesce("degree", F.lit(0)) / (n - 1)).alias("centrality"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest id of each component, by alternating large-star and small-star.
 
     A round replaces each edge by one to a smaller neighbour, so the edge table never grows, and the number of
@@ -265,7 +292,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     links = cut(edges.filter(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
     marker = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: every larger neighbour of a node points to the smallest in its neighbourhood.
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -281,7 +308,5 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         if (state["n"], state["h"]) == marker:
             break
         marker = (state["n"], state["h"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.select("id").join(links.select(F.col("hi").alias("id"), "lo"), "id", "left").select(
         "id", F.coalesce("lo", "id").alias("component"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskfabric.operators.normalize import DEFAULT_RATING, rating_tier
 from riskfabric.operators.scan import KeyedScan
+from riskfabric.session import keep
 
 # The shadow exposure.
 SHADOW_TEXT = "Asset %s (%s) was discovered externally but is not present in internal telemetry systems (Splunk/Sentinel)."
@@ -15,7 +16,6 @@ SHADOW_REMEDIATION = (
     "Investigate the asset owner and onboard it into internal telemetry or decommission it."
 )
 SHADOW_CONFIDENCE = 0.9
-SHADOW_LIMIT = 100
 
 
 def match_vulns(components: DataFrame, feed: DataFrame) -> DataFrame:
@@ -50,9 +50,10 @@ def shadow_candidates(assets: DataFrame, edges: DataFrame) -> DataFrame:
     return external.join(known, "id", "left_anti")
 
 
-def shadow_assets(assets: DataFrame, edges: DataFrame, limit: int = SHADOW_LIMIT) -> DataFrame:
-    """The scan's report: the first `limit` shadow assets by id."""
-    return shadow_candidates(assets, edges).orderBy("id").limit(limit)
+def shadow_assets(assets: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """The scan's report by id: all shadow assets, or the first page of `limit` if the caller asks for one."""
+    found = shadow_candidates(assets, edges).orderBy("id")
+    return found if limit is None else found.limit(limit)
 
 
 def shadow_exposures(shadow: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,13 +86,12 @@ def ratings_asof(df: DataFrame, entity: str, order: list[str], rating: str, **sc
 def insertable_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges whose two endpoints exist, and the rest for the quarantine."""
     ids = nodes.select("id").distinct()
-    good = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     flagged = edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(
         ids.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
     error = F.when(F.col("_s").isNull(), "source missing").when(F.col("_d").isNull(), "target missing")
-    bad = flagged.withColumn("error", error).filter(F.col("error").isNotNull()).drop("_s", "_d")
-    return good, bad
+    judged = keep(flagged.withColumn("error", error).drop("_s", "_d"))
+    good = judged.filter(F.col("error").isNull()).select(*edges.columns)
+    return good, judged.filter(F.col("error").isNotNull()).select(*edges.columns, "error")
 
 
 def mine_triplets(df: DataFrame, ident: str, category: str, seed: int = 0, **scan: float) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfabric.operators.scan import KeyedScan
+from riskfabric.session import cut, scratch
 
+# The genesis block.
 GENESIS_PREV = "0" * 64
+GENESIS_EVENT = '{"type": "GENESIS"}'
 
 
 def block_body(event: Column, index: Column, prev_hash: Column, timestamp: Column | None = None) -> Column:
@@ -28,37 +31,39 @@ def block_hash(event: Column, index: Column, prev_hash: Column, timestamp: Colum
     return F.sha2(block_body(event, index, prev_hash, timestamp), 256)
 
 
-def build_chain(df: DataFrame, key: str, order: list[str], event: str, segment_rows: int = 256,
-                min_rows: int | None = None) -> DataFrame:
-    """Chain the events of each key in order.
+def build_chain(df: DataFrame, key: str, order: list[str], event: str, round_rows: int = 1024) -> DataFrame:
+    """Chain the events of each key in order behind a genesis block: (key, index, event, prev_hash, hash).
 
-    A chain is serial by nature, so a key is cut into ledger segments of at most `segment_rows` blocks, each
-    with its own genesis; block numbers run on over the segments. No task ever folds more than one segment.
+    Block numbers run on from the genesis block 0 and every block holds the hash of the one before. A chain is serial by
+    nature, so it is built in rounds: a round folds the next `round_rows` events of every key, starting from the last hash
+    of the round before, and no task holds more of a key than that. Keys are independent and run side by side.
     """
-    options = {} if min_rows is None else {"min_rows": min_rows}
-    numbered = KeyedScan(df.select(key, *order, event), [key], order, **options).row_number("_rn").done()
-    placed = numbered.withColumn("segment", F.floor((F.col("_rn") - 1) / segment_rows)).withColumn(
-        "index", ((F.col("_rn") - 1) % segment_rows).cast("long"))
-    rows = placed.groupBy(key, "segment").agg(
-        F.sort_array(F.collect_list(F.struct("index", F.col(event).alias("event")))).alias("blocks"))
-    empty = F.array().cast("array<string>")
-    hashes = F.aggregate(
-        "blocks", empty,
-        lambda done, b: F.concat(done, F.array(block_hash(
-            b["event"], b["index"], F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(GENESIS_PREV))))),
-    )
-    chained = rows.withColumn("hashes", hashes)
-    linked = F.zip_with("blocks", "hashes", lambda b, h: F.struct(
-        b["index"].alias("index"), b["event"].alias("event"), h.alias("hash")))
-    flat = chained.select(key, "segment", "hashes", F.inline(linked))
-    # Arrays count from 1: the hash of the block before sits at this block's index; index 0 is no valid place.
-    before = F.try_element_at("hashes", F.greatest(F.col("index").cast("int"), F.lit(1)))
-    prev = F.when(F.col("index") > 0, before).otherwise(F.lit(GENESIS_PREV))
-    return flat.select(key, "segment", "index", "event", prev.alias("prev_hash"), "hash")
+    numbered = cut(KeyedScan(df.select(key, *order, event), [key], order).row_number("index").done().select(
+        key, F.col("index").cast("long").alias("index"), F.col(event).alias("event")))
+    first = F.struct(F.lit(0).cast("long").alias("index"), F.lit(GENESIS_EVENT).alias("event"), F.lit(GENESIS_PREV).alias("prev_hash"))
+    genesis = numbered.select(key).distinct().select(key, first.alias("_b")).select(key, "_b.*").withColumn(
+        "hash", block_hash(F.col("event"), F.col("index"), F.col("prev_hash")))
+    folder = scratch(df.sparkSession, "chain")
+    genesis.write.parquet(folder)
+    last = cut(genesis.select(F.col(key).alias("_key"), F.col("hash").alias("_last")))
+    longest = numbered.agg(F.max("index")).first()[0] or 0
+    start = F.array().cast("array<string>")
+    hashes = F.aggregate("_blocks", start, lambda done, b: F.concat(done, F.array(block_hash(
+        b["event"], b["index"], F.coalesce(F.try_element_at(done, F.lit(-1)), F.col("_last"))))))
+    for at in range(0, longest, round_rows):
+        part = numbered.filter((F.col("index") > at) & (F.col("index") <= at + round_rows)).groupBy(key).agg(
+            F.sort_array(F.collect_list(F.struct("index", "event"))).alias("_blocks"))
+        folded = part.join(last, F.col(key).eqNullSafe(F.col("_key"))).select(key, "_blocks", "_last").withColumn("_hashes", hashes)
+        before = F.concat(F.array("_last"), F.slice("_hashes", F.lit(1), F.size("_hashes") - 1))
+        linked = F.arrays_zip(F.col("_blocks.index").alias("index"), F.col("_blocks.event").alias("event"), before.alias("prev_hash"), F.col("_hashes").alias("hash"))
+        done = cut(folded.select(key, linked.alias("_linked"), F.element_at("_hashes", -1).alias("_last")))
+        done.select(key, F.inline("_linked")).write.mode("append").parquet(folder)
+        last = done.select(F.col(key).alias("_key"), "_last")
+    return df.sparkSession.read.schema(genesis.schema).parquet(folder)
 
 
 def check_blocks(df: DataFrame, keys: list[str], timestamp: str | None = None) -> DataFrame:
-    """Flag each block: hash recomputed, and previous hash equal to the block before.
+    """Flag each block: hash recomputed, and previous hash equal to the block before; block 0 must be the genesis block.
 
     The block before is found by an equi-join on (chain, index), so a single huge chain is checked in parallel.
     """
@@ -67,8 +72,8 @@ def check_blocks(df: DataFrame, keys: list[str], timestamp: str | None = None) -
     ts = F.col(timestamp) if timestamp else None
     recomputed = block_hash(F.col("event"), F.col("index"), F.col("prev_hash"), ts) == F.col("hash")
     linked = F.coalesce(F.col("prev_hash") == F.col("_before"), F.lit(False))
-    # The first block of a chain is the trust anchor and is not checked.
-    return joined.withColumn("ok", (F.col("index") == 0) | (recomputed & linked)).drop("_before")
+    genesis = (F.col("event") == GENESIS_EVENT) & (F.col("prev_hash") == GENESIS_PREV)
+    return joined.withColumn("ok", F.coalesce(recomputed & F.when(F.col("index") == 0, genesis).otherwise(linked), F.lit(False))).drop("_before")
 
 
 def verify_chain(df: DataFrame, keys: list[str], timestamp: str | None = None) -> DataFrame:

@@ -129,10 +129,14 @@ def prioritize(artefacts: DataFrame, reports: DataFrame, runs: DataFrame, key: s
     )
 
 
-def dp_release(df: DataFrame, score: str, epsilon: float = 1.0, sensitivity: float = 100.0, seed: int | None = None) -> DataFrame:
-    """Laplace noise by inverse CDF, clamped to 0..100; the raw score does not leave."""
+def dp_release(df: DataFrame, ident: str, score: str, secret: str, epsilon: float = 1.0, sensitivity: float = 100.0) -> DataFrame:
+    """Laplace noise by inverse CDF, clamped to 0..100; the raw score does not leave.
+
+    The draw is a keyed digest of the row's id, so a retry or another layout releases the same value again.
+    """
     scale = sensitivity / epsilon
-    drawn = df.withColumn("_u", F.rand(seed) - 0.5)
+    digits = F.substring(F.sha2(F.concat_ws("/", F.lit(secret), F.col(ident).cast("string")), 256), 1, 12)
+    drawn = df.withColumn("_u", F.conv(digits, 16, 10).cast("double") / float(16**12) - 0.5)
     noise = -F.lit(scale) * F.signum("_u") * F.log(F.lit(1.0) - F.abs("_u") * 2.0)
     noisy = F.when(F.col(score).isNotNull(), clamp(F.col(score) + noise, 0.0, 100.0))
     return drawn.withColumn(f"dp_{score}", noisy).drop(score, "_u")

@@ -1,9 +1,9 @@
 """Ordered scans per key that stay parallel when one key holds much of the data.
 
-A window partitioned by the key alone sorts a whole key in one task. When some key has more rows than a task should
-sort, the rows are laid out by range of (key, order), so a hot key spreads over many partitions. The window then
-runs per (key, partition), and what a partition needs from the ones before it (counts, sums, the last row) is carried
-over from a table with a row per key and partition border, which is at most as long as there are partitions.
+A window partitioned by the key alone sorts a whole key in one task. Here the rows are laid out by range of (key, order),
+so a hot key spreads over many partitions. The window then runs per (key, partition), and what a partition needs from the
+ones before it (counts, sums, the last row) is carried over from a table with a row per key and partition border, which is
+at most as long as there are partitions. The layout is the same for every input and needs no look at the data.
 """
 
 from __future__ import annotations
@@ -14,22 +14,15 @@ from pyspark.sql.window import Window
 
 from riskfabric.session import cut
 
-MIN_ROWS = 2_000_000
-CHUNK_ROWS = 1_000_000
-
 
 class KeyedScan:
     """Rows of `df` scanned per `keys` in the order of `order`, which should be unique within a key."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], descending: bool = False,
-                 min_rows: int = MIN_ROWS, chunk_rows: int = CHUNK_ROWS) -> None:
+                 ranges: int | None = None) -> None:
+        """ranges: partitions of the layout, by default as many as shuffles have."""
         self.keys, self.order, self.descending = keys, order, descending
-        sizes = df.groupBy(*keys).count()
-        self.split = not sizes.filter(F.col("count") > min_rows).isEmpty()
-        if not self.split:
-            self.df = df.withColumn("_chunk", F.lit(0))
-            return
-        ranges = max(2, -(-df.count() // chunk_rows))
+        ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         laid = df.repartitionByRange(ranges, *keys, *order)
         place = F.spark_partition_id()
         # Range borders come from a sample, so the layout is written out before anything is computed from it.
@@ -62,14 +55,11 @@ class KeyedScan:
         """Running sum of `value`, this row included or not."""
         self.df = self.df.withColumn("_v", value)
         frame = self._rows().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        if self.split:
-            totals = self.df.groupBy(*self.keys, "_chunk").agg(F.sum("_v").alias("_s"))
-            before = F.sum("_s").over(self._chunks().rowsBetween(Window.unboundedPreceding, -1))
-            table = totals.withColumn("_before", before).filter(F.col("_before").isNotNull()).select(
-                *self.keys, "_chunk", "_before")
-            self._carry(table)
-        else:
-            self.df = self.df.withColumn("_before", F.lit(0))
+        totals = self.df.groupBy(*self.keys, "_chunk").agg(F.sum("_v").alias("_s"))
+        before = F.sum("_s").over(self._chunks().rowsBetween(Window.unboundedPreceding, -1))
+        table = totals.withColumn("_before", before).filter(F.col("_before").isNotNull()).select(
+            *self.keys, "_chunk", "_before")
+        self._carry(table)
         running = F.coalesce(F.sum("_v").over(frame), F.lit(0)) + F.coalesce("_before", F.lit(0))
         self.df = self.df.withColumn(out, running).drop("_v", "_before")
         return self
@@ -78,14 +68,13 @@ class KeyedScan:
         """Value of each column in the row before, across chunk borders."""
         packed = F.struct(*[F.col(c).alias(c) for c in columns])
         self.df = self.df.withColumn("_p", F.lag(packed).over(self._rows()))
-        if self.split:
-            pick = F.min_by if self.descending else F.max_by
-            ends = self.df.groupBy(*self.keys, "_chunk").agg(
-                pick(packed, F.struct(*self.order)).alias("_end"))
-            table = ends.withColumn("_c", F.lag("_end").over(self._chunks())).filter(F.col("_c").isNotNull()).select(
-                *self.keys, "_chunk", "_c")
-            self._carry(table)
-            self.df = self.df.withColumn("_p", F.coalesce("_p", "_c")).drop("_c")
+        pick = F.min_by if self.descending else F.max_by
+        ends = self.df.groupBy(*self.keys, "_chunk").agg(
+            pick(packed, F.struct(*self.order)).alias("_end"))
+        table = ends.withColumn("_c", F.lag("_end").over(self._chunks())).filter(F.col("_c").isNotNull()).select(
+            *self.keys, "_chunk", "_c")
+        self._carry(table)
+        self.df = self.df.withColumn("_p", F.coalesce("_p", "_c")).drop("_c")
         self.df = self.df.withColumns({f"{c}{suffix}": F.col("_p")[c] for c in columns}).drop("_p")
         return self
 
@@ -94,14 +83,13 @@ class KeyedScan:
         self.df = self.df.withColumn("_v", value)
         frame = self._rows().rowsBetween(Window.unboundedPreceding, 0)
         self.df = self.df.withColumn("_l", F.last("_v", ignorenulls=True).over(frame))
-        if self.split:
-            pick = F.min_by if self.descending else F.max_by
-            ends = self.df.groupBy(*self.keys, "_chunk").agg(
-                pick(F.col("_v"), F.when(F.col("_v").isNotNull(), F.struct(*self.order))).alias("_end"))
-            carried = F.last("_end", ignorenulls=True).over(self._chunks().rowsBetween(Window.unboundedPreceding, -1))
-            table = ends.withColumn("_c", carried).filter(F.col("_c").isNotNull()).select(*self.keys, "_chunk", "_c")
-            self._carry(table)
-            self.df = self.df.withColumn("_l", F.coalesce("_l", "_c")).drop("_c")
+        pick = F.min_by if self.descending else F.max_by
+        ends = self.df.groupBy(*self.keys, "_chunk").agg(
+            pick(F.col("_v"), F.when(F.col("_v").isNotNull(), F.struct(*self.order))).alias("_end"))
+        carried = F.last("_end", ignorenulls=True).over(self._chunks().rowsBetween(Window.unboundedPreceding, -1))
+        table = ends.withColumn("_c", carried).filter(F.col("_c").isNotNull()).select(*self.keys, "_chunk", "_c")
+        self._carry(table)
+        self.df = self.df.withColumn("_l", F.coalesce("_l", "_c")).drop("_c")
         self.df = self.df.withColumn(out, F.col("_l")).drop("_v", "_l")
         return self
 

@@ -32,24 +32,17 @@ def rolling_zscore(df: DataFrame, key: str, order: list[str], value: str, n: int
     Null until two values precede, and where they do not vary. A hot key is cut into runs of rows; each run
     gets a copy of the n rows before it, which serve as context and are dropped again.
     """
-    scanner = KeyedScan(df, [key], order, **scan)
-    if not scanner.split:
-        rows, part, context = scanner.done(), [key], None
-    else:
-        length = max(n * 16, 10_000)
-        rows = scanner.row_number("_rn").done().withColumn("_run", F.floor((F.col("_rn") - 1) / length))
-        tail = (F.col("_rn") - 1) % length >= length - n
-        copies = F.array(F.struct(F.col("_run").alias("r"), F.lit(False).alias("c")), F.struct((F.col("_run") + 1).alias("r"), F.lit(True).alias("c")))
-        single = F.slice(copies, 1, 1)
-        rows = rows.withColumn("_t", F.explode(F.when(tail, copies).otherwise(single))).withColumns(
-            {"_run": F.col("_t.r"), "_context": F.col("_t.c")}).drop("_t", "_rn")
-        part, context = [key, "_run"], "_context"
-    frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(-n, -1)
+    length = max(n * 16, 10_000)
+    rows = KeyedScan(df, [key], order, **scan).row_number("_rn").done().withColumn("_run", F.floor((F.col("_rn") - 1) / length))
+    tail = (F.col("_rn") - 1) % length >= length - n
+    copies = F.array(F.struct(F.col("_run").alias("r"), F.lit(False).alias("c")), F.struct((F.col("_run") + 1).alias("r"), F.lit(True).alias("c")))
+    single = F.slice(copies, 1, 1)
+    rows = rows.withColumn("_t", F.explode(F.when(tail, copies).otherwise(single))).withColumns(
+        {"_run": F.col("_t.r"), "_context": F.col("_t.c")}).drop("_t", "_rn")
+    frame = Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(-n, -1)
     mean, std = F.avg(value).over(frame), F.stddev_samp(value).over(frame)
     scored = rows.withColumn("zscore", F.when(std > 0, (F.col(value) - mean) / std))
-    if context:
-        scored = scored.filter(~F.col(context)).drop(context, "_run")
-    return scored
+    return scored.filter(~F.col("_context")).drop("_context", "_run")
 
 
 def source_health(results: DataFrame, source: str, order: list[str], failed: Column, ts_us: str,

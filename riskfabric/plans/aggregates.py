@@ -17,12 +17,14 @@ REACH = """reach AS (SELECT vendor_id AS root, vendor_id AS node, 0 AS depth FRO
  near AS (SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node)"""
 
 PROFILE = f"""{REACH},
- parts AS (SELECT d.vendor_id, count(*) AS components, sum(coalesce(r.devices, 0)) AS links, sum(coalesce(v.cves, 0)) AS cves FROM developed d
-   LEFT JOIN (SELECT comp_id, count(*) AS devices FROM runs GROUP BY comp_id) r ON r.comp_id = d.comp_id
-   LEFT JOIN (SELECT comp_id, count(*) AS cves FROM component_vulns GROUP BY comp_id) v ON v.comp_id = d.comp_id GROUP BY d.vendor_id),
- profile AS (SELECT root, count(*) AS vendor_count, CAST(sum(coalesce(components, 0)) AS BIGINT) AS component_count, CAST(sum(coalesce(links, 0)) AS BIGINT) AS device_count,
-   CAST(sum(security_score) AS BIGINT) AS rating_sum, CAST(sum(coalesce(p.cves, 0)) AS BIGINT) AS active_cves, sum(security_score) / count(*) AS avg_rating
-   FROM near JOIN vendors n ON n.vendor_id = near.node LEFT JOIN parts p ON p.vendor_id = near.node GROUP BY root)"""
+ comps AS MATERIALIZED (SELECT DISTINCT near.root, d.comp_id FROM near JOIN developed d ON d.vendor_id = near.node WHERE near.depth < 4),
+ cves AS (SELECT comp_id, count(*) AS n FROM component_vulns GROUP BY comp_id),
+ parts AS (SELECT root, count(DISTINCT c.comp_id) AS component_count, CAST(sum(coalesce(v.n, 0)) AS BIGINT) AS active_cves FROM comps c LEFT JOIN cves v ON v.comp_id = c.comp_id GROUP BY root),
+ users AS (SELECT root, count(DISTINCT r.device_id) AS device_count FROM comps c JOIN runs r ON r.comp_id = c.comp_id GROUP BY root),
+ known AS (SELECT root, count(DISTINCT node) AS vendor_count, CAST(sum(security_score) AS BIGINT) AS rating_sum, sum(security_score) / count(*) AS avg_rating
+   FROM near JOIN vendors n ON n.vendor_id = near.node GROUP BY root),
+ profile AS (SELECT k.*, coalesce(component_count, 0) AS component_count, coalesce(device_count, 0) AS device_count, coalesce(active_cves, 0) AS active_cves
+   FROM known k LEFT JOIN parts p ON p.root = k.root LEFT JOIN users u ON u.root = k.root)"""
 
 
 def profiles(t: Lake):

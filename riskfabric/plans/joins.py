@@ -180,7 +180,7 @@ SHADOW = f"""SELECT id, type, value, name FROM ({ASSETS_ALL}) a WHERE type IN ('
   AND id NOT IN (SELECT CASE type WHEN 'resolves_to' THEN src ELSE dst END FROM ({HOST_EDGES}) h)"""
 
 
-@query("j8_shadow_assets", f"{SHADOW} ORDER BY id LIMIT 100")
+@query("j8_shadow_assets", f"{SHADOW} ORDER BY id")
 def j8(t: Lake):
     return joins.shadow_assets(t.sql(ASSETS_ALL), t.sql(HOST_EDGES))
 

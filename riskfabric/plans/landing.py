@@ -8,7 +8,7 @@ from riskfabric.bindings import Lake
 from riskfabric.operators import bom, quality
 from riskfabric.plans.registry import query
 from riskfabric.session import scratch
-from riskfabric.sources import graphstore, landing, schemas, streams, synthetic
+from riskfabric.sources import graphstore, landing, schemas, streams
 
 # --- streams over JSON lines: the given table goes out as text and comes back through the stream reader ------------
 
@@ -133,16 +133,16 @@ def asset_rows(t: Lake):
     stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return t.components.select(
         F.concat(F.lit("asset--"), "comp_id").alias("id"), F.lit("software").alias("type"), F.col("purl").alias("value"), "name",
-        stamp.alias("created_at"), stamp.alias("updated_at"), F.create_map(F.lit("brand"), F.col("brand")).alias("properties"))
+        stamp.alias("created_at"), stamp.alias("updated_at"), F.create_map(F.lit("brand"), F.col("brand"), F.lit("note"), F.concat(F.lit('a "quoted", \\ noted\nline of '), "kind")).alias("properties"))
 
 
-@query("s9_export_assets", "SELECT concat('asset--', comp_id) AS id, name, concat('{\"brand\":\"', brand, '\"}') AS properties FROM components")
+@query("s9_export_assets", r"""SELECT concat('asset--', comp_id) AS id, name, concat('{"brand":"', brand, '","note":"a \"quoted\", \\ noted\nline of ', kind, '"}') AS properties FROM components""")
 def s9(t: Lake):
     folder = scratch(t.spark, "s9")
     landing.export_assets(asset_rows(t), f"{folder}/csv", "csv")
-    back = t.spark.read.option("header", True).schema(
+    back = t.spark.read.options(**landing.CSV).schema(
         "id string, type string, value string, name string, created_at string, updated_at string, properties string").csv(f"{folder}/csv")
-    return back.select("id", "name", F.replace("properties", F.lit("\\"), F.lit("")).alias("properties"))
+    return back.select("id", "name", "properties")
 
 
 @query("s10_to_stix", "SELECT 'software' AS type, concat('asset--', comp_id) AS id, purl AS value, '2024-01-01' AS created, '2024-01-01' AS modified FROM components")
@@ -154,7 +154,7 @@ def s10(t: Lake):
 SELECT concat('v', vendor_id) AS id, 'Vendor' AS label, 'node' AS part FROM vendors
  UNION ALL SELECT concat('v', src, '>v', dst) AS id, 'SUPPLIES' AS label, 'edge' AS part FROM supplies""")
 def s11(t: Lake):
-    store = graphstore.GraphStore(t.spark, scratch(t.spark, "s11"))
+    store = graphstore.GraphStore(t.spark, scratch(t.spark, "s11"), "snapshot")
     nodes = t.vendors.select(F.concat(F.lit("v"), "vendor_id").alias("id"), F.lit("Vendor").alias("label"), "cves")
     edges = t.supplies.select(F.concat(F.lit("v"), "src").alias("src"), F.concat(F.lit("v"), "dst").alias("dst"), F.lit("SUPPLIES").alias("type"), "weight")
     store.save(nodes, edges)
@@ -198,21 +198,6 @@ def s14(t: Lake):
     return landing.read_ledger(t.spark, folder).select("index", "event")
 
 
-@query("s15_generated_signals")
-def s15(t: Lake):
-    return synthetic.gen_signals(t.events.select("event_id"), "event_id").groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("s15_generated_breaches")
-def s15_breach(t: Lake):
-    return synthetic.gen_breach(t.events.select("event_id"), "event_id")
-
-
-@query("s15_generated_traffic")
-def s15_traffic(t: Lake):
-    return synthetic.gen_traffic(t.events.select("event_id"), "event_id")
-
-
 # --- documents ----------------------------------------------------------------------------------------------------
 
 SBOMS = """SELECT comp_id, kind, CASE kind

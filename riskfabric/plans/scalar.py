@@ -249,9 +249,14 @@ def p30(t: Lake):
     return t.vendors.select("vendor_id", *[c.alias(n) for n, c in zip(names, parts.values())])
 
 
-@query("p31_dp_release")
+DRAWN = "CAST(CAST(concat('0x', substr(sha256(concat({0})), 1, 12)) AS BIGINT) AS DOUBLE) / 281474976710656e0"
+
+
+@query("p31_dp_release", f"""WITH u AS (SELECT *, {DRAWN.format("'release/', vendor_id")} - 0.5e0 AS u FROM vendors)
+SELECT vendor_id, name, tier, cves, {rounded('greatest(0e0, least(100e0, security_score - 100e0 * sign(u) * ln(1 - abs(u) * 2)))')} AS dp_security_score FROM u""")
 def p31(t: Lake):
-    return risk.dp_release(t.vendors, "security_score", epsilon=1.0, seed=7)
+    out = risk.dp_release(t.vendors, "vendor_id", "security_score", "release", epsilon=1.0)
+    return out.withColumn("dp_security_score", half_up(F.col("dp_security_score"), 6))
 
 
 @query("p32_payload_guard", """
@@ -424,7 +429,12 @@ def p45(t: Lake):
     return t.embeddings.select("vec_id", half_up(dot(F.col("embedding"), weights), 6).alias("score"))
 
 
-@query("p46_split_shares")
+SHARE = "CAST(concat('0x', substr(sha256(concat_ws('/', 11, vendor_id, {0})), 1, 12)) AS BIGINT) % 1000003"
+
+
+@query("p46_split_shares", f"""WITH d AS (SELECT vendor_id, security_score, {SHARE.format(0)} AS a, {SHARE.format(1)} AS b FROM vendors)
+SELECT vendor_id, 0 AS party, a AS share FROM d UNION ALL SELECT vendor_id, 1, b FROM d
+UNION ALL SELECT vendor_id, 2, ((security_score - a - b) % 1000003 + 1000003) % 1000003 FROM d""")
 def p46(t: Lake):
     return aggregates.split_shares(t.vendors, "vendor_id", "security_score", parties=3, seed=11)
 

@@ -67,7 +67,7 @@ def t1(t: Lake):
 def t3(t: Lake):
     folder = scratch(t.spark, "t3")
     batch = jobs.window_features(telemetry_batch(t)).withColumn("row_key", F.xxhash64("window_start", "asset_id"))
-    forest = models.IsolationForest.fit(batch, models.TELEMETRY_FEATURES, "row_key", trees=50, sample_rows=128)
+    forest = models.IsolationForest.fit(batch, models.TELEMETRY_FEATURES, "row_key")
     as_lines(t.sql(FEED), f"{folder}/in")
     stream = jobs.window_features(streams.read_telemetry(t.spark, path=f"{folder}/in"))
     return streams.drain(jobs.anomalies(stream, forest.predict), folder)
@@ -104,11 +104,12 @@ FUSED_NODES = """SELECT id, min(label) AS label, min(ts_us) AS first_seen, max(t
 def ingested(t: Lake, name: str, replays: int = 1):
     folder = scratch(t.spark, name)
     path = wire(t, folder)
-    store = graphstore.GraphStore(t.spark, f"{folder}/graph")
-    handle = jobs.ingest_batch(store, f"{folder}/dlq", WIRE_SCHEMA, "pepper")
     for i in range(replays):
-        # A fresh checkpoint stands for a restart that has lost its progress and delivers everything again.
-        streams.drain_batches(streams.read_values(t.spark, {"path": path}, "text"), f"{folder}/run{i}", handle)
+        # A fresh checkpoint stands for a restart that has lost its progress; it delivers everything again, cut otherwise.
+        store = graphstore.GraphStore(t.spark, f"{folder}/graph", f"run{i}")
+        handle = jobs.ingest_batch(store, f"{folder}/dlq", WIRE_SCHEMA, "pepper")
+        cutting = {"maxFilesPerTrigger": str(3 - i)} if i < 3 else {}
+        streams.drain_batches(streams.read_values(t.spark, {"path": path, **cutting}, "text"), f"{folder}/run{i}", handle)
     return store.current("nodes", ["id"], ["ts_us", "signal_id"], "seen")
 
 
@@ -128,7 +129,7 @@ def t6(t: Lake):
     as_lines(t.assets_ext.select("id", "ord", "value", "name", "cert_hash"), f"{folder}/in")
     raw = streams.read_values(t.spark, {"path": f"{folder}/in"}, "text")
     arriving = raw.select(F.from_json("value", "id string, ord bigint, value string, name string, cert_hash string").alias("s")).select("s.*")
-    streams.drain_batches(arriving, folder, jobs.correlate_batch(lambda: t.assets_int, f"{folder}/out"))
+    streams.drain_batches(arriving, folder, jobs.correlate_batch(lambda: t.assets_int, f"{folder}/out", "run0"))
     return t.spark.read.parquet(f"{folder}/out").select("ext_id", "int_id", half_up(F.col("score"), 6).alias("score"), "method")
 
 
@@ -140,7 +141,7 @@ SELECT concat(label, ':', value) AS id, min(ts_us) AS first_seen, max(ts_us) AS
 def t7(t: Lake):
     folder = scratch(t.spark, "t7")
     path = wire(t, folder)
-    store = graphstore.GraphStore(t.spark, f"{folder}/graph")
+    store = graphstore.GraphStore(t.spark, f"{folder}/graph", "run0")
     parsed = streams.read_values(t.spark, {"path": path}, "text").select(F.from_json("value", WIRE_SCHEMA).alias("s")).select("s.*")
     streams.drain_batches(normalize.normalize_signals(parsed), folder, jobs.graph_update_batch(store))
     return store.current("assets", ["id"], ["ts_us", "signal_id"], "seen").select("id", "first_seen", "last_seen", "severity")
@@ -152,7 +153,7 @@ def t8(t: Lake):
     as_lines(t.insights.select("insight_id", "title", "type", "severity", "vendor_id"), f"{folder}/in")
     raw = streams.read_values(t.spark, {"path": f"{folder}/in"}, "text")
     insights = raw.select(F.from_json("value", "insight_id bigint, title string, type string, severity string, vendor_id string").alias("s")).select("s.*")
-    streams.drain_batches(insights, folder, jobs.trigger_batch(f"{folder}/actions", f"{folder}/escalations"))
+    streams.drain_batches(insights, folder, jobs.trigger_batch(f"{folder}/actions", f"{folder}/escalations", "run0"))
     both = t.spark.read.parquet(f"{folder}/actions").unionByName(t.spark.read.parquet(f"{folder}/escalations"))
     return both.select("insight_id", "vendor_id", "action", "reason")
 

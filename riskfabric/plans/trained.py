@@ -8,7 +8,7 @@ from riskfabric.bindings import Lake
 from riskfabric.operators import binary, evaluate, models
 from riskfabric.plans.registry import query
 from riskfabric.plans.streams import telemetry_batch
-from riskfabric.sources import synthetic
+from riskfabric.session import cut
 from riskfabric.streaming import jobs
 
 
@@ -42,11 +42,16 @@ def m3(t: Lake):
 
 @query("m4_threat_classifier")
 def m4(t: Lake):
-    """Held-out metrics of the classifier, and of the forest on the same rows."""
-    rows = synthetic.gen_traffic(t.events.select("event_id"), "event_id")
-    train, test = models.split_rows(rows, "event_id")
-    scored = models.predict_threats(models.train_threats(train, "is_attack", trees=20), test)
-    forest = models.IsolationForest.fit(train, models.TRAFFIC_FEATURES, "event_id", contamination=0.1)
+    """Held-out metrics of the classifier on the labelled documents, low quality being the threat, and of the forest on the same rows."""
+    text = F.col("text")
+    features = ("size", "words", "capitals", "marks")
+    rows = t.labels.join(t.documents, "doc_id").select(
+        "doc_id", (1 - F.col("quality")).alias("is_attack"), F.length(text).cast("double").alias("size"), F.size(F.split(text, " ")).cast("double").alias("words"),
+        (F.length(F.regexp_replace(text, "[^A-Z]", "")) / F.greatest(F.length(text), F.lit(1))).alias("capitals"),
+        (F.length(F.regexp_replace(text, "[\\p{L}\\p{N}\\s]", "")) / F.greatest(F.length(text), F.lit(1))).alias("marks"))
+    train, test = models.split_rows(cut(rows), "doc_id")
+    scored = models.predict_threats(models.train_threats(train, "is_attack", features), test)
+    forest = models.IsolationForest.fit(train, features, "doc_id", contamination=0.1)
     flagged = forest.predict(test).withColumnRenamed("is_anomaly", "prob")
     parts = [evaluate.binary_metrics(df, "is_attack", "prob").withColumn("model", F.lit(name))
              for name, df in (("random_forest", scored), ("isolation_forest", flagged))]

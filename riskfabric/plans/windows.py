@@ -9,7 +9,6 @@ from riskfabric.functions.numeric import half_up
 from riskfabric.operators import ledger, normalize, remediate, textscan, windows
 from riskfabric.plans.registry import query, rounded
 from riskfabric.plans.scalar import PENALTY_SQL
-from riskfabric.session import cut
 
 VERSIONS = """SELECT user_id, event_id, EPOCH_US(ts) AS ts_us, CASE WHEN value > 20 THEN event_type END AS last_type, value AS last_value,
   CASE WHEN event_type = 'view' THEN props END AS view_props, event_type IN ('click', 'view') AS is_old FROM events"""
@@ -27,24 +26,18 @@ def w1(t: Lake):
 
 LOG = """SELECT user_id, EPOCH_US(ts) AS ts_us, event_id,
   concat('{"details": {"target_asset": "asset-', JSON_TEXT(props, '$.k'), '"}, "target": "vendor-', user_id, '", "type": "', event_type, '"}') AS event FROM events"""
-SEGMENT = 64
-CHAIN = f"""numbered AS (SELECT user_id, event, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) - 1 AS n FROM ({LOG}) l),
- placed AS (SELECT user_id, n // {SEGMENT} AS segment, n % {SEGMENT} AS index, event FROM numbered),
- chain AS (SELECT user_id, segment, index, event, repeat('0', 64) AS prev_hash, sha256(concat('{{"event": ', event, ', "index": 0, "prev_hash": "', repeat('0', 64), '"}}')) AS hash FROM placed WHERE index = 0
-   UNION ALL SELECT p.user_id, p.segment, p.index, p.event, c.hash, sha256(concat('{{"event": ', p.event, ', "index": ', p.index, ', "prev_hash": "', c.hash, '"}}'))
-   FROM chain c JOIN placed p ON p.user_id = c.user_id AND p.segment = c.segment AND p.index = c.index + 1)"""
+GENESIS = '{"type": "GENESIS"}'
+CHAIN = f"""placed AS (SELECT user_id, event, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS index FROM ({LOG}) l),
+ chain AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS index, '{GENESIS}' AS event, repeat('0', 64) AS prev_hash, sha256(concat('{{"event": {GENESIS}, "index": 0, "prev_hash": "', repeat('0', 64), '"}}')) AS hash FROM placed
+   UNION ALL SELECT p.user_id, p.index, p.event, c.hash, sha256(concat('{{"event": ', p.event, ', "index": ', p.index, ', "prev_hash": "', c.hash, '"}}'))
+   FROM chain c JOIN placed p ON p.user_id = c.user_id AND p.index = c.index + 1)"""
 
 
 def chain(t: Lake):
-    return ledger.build_chain(t.sql(LOG), "user_id", ["ts_us", "event_id"], "event", segment_rows=SEGMENT)
+    return ledger.build_chain(t.sql(LOG), "user_id", ["ts_us", "event_id"], "event")
 
 
-def written_chain(t: Lake):
-    """A ledger is a stored table; verification reads it more than once."""
-    return cut(chain(t))
-
-
-@query("w3_build_chain", f"WITH RECURSIVE {CHAIN} SELECT user_id, segment, index, event, prev_hash, hash FROM chain")
+@query("w3_build_chain", f"WITH RECURSIVE {CHAIN} SELECT user_id, index, event, prev_hash, hash FROM chain")
 def w3(t: Lake):
     return chain(t)
 
@@ -52,18 +45,18 @@ def w3(t: Lake):
 TAMPERED = "contains(event, 'asset-17\"') AND contains(event, 'purchase')"
 
 
-@query("w2_verify_chain", f"""WITH RECURSIVE {CHAIN}, ok AS (SELECT user_id, segment, index, index = 0 OR NOT ({TAMPERED}) AS ok FROM chain)
-SELECT user_id, segment, bool_and(ok) AS valid, count(*) AS blocks, min(index) FILTER (NOT ok) AS first_bad FROM ok GROUP BY user_id, segment""")
+@query("w2_verify_chain", f"""WITH RECURSIVE {CHAIN}, ok AS (SELECT user_id, index, NOT ({TAMPERED}) AS ok FROM chain)
+SELECT user_id, bool_and(ok) AS valid, count(*) AS blocks, min(index) FILTER (NOT ok) AS first_bad FROM ok GROUP BY user_id""")
 def w2(t: Lake):
     changed = F.contains("event", F.lit('asset-17"')) & F.contains("event", F.lit("purchase"))
-    edited = written_chain(t).withColumn("event", F.when(changed, F.replace(F.col("event"), F.lit("purchase"), F.lit("refund"))).otherwise(F.col("event")))
-    return ledger.verify_chain(edited, ["user_id", "segment"])
+    edited = chain(t).withColumn("event", F.when(changed, F.replace(F.col("event"), F.lit("purchase"), F.lit("refund"))).otherwise(F.col("event")))
+    return ledger.verify_chain(edited, ["user_id"])
 
 
-@query("u3_custody_log", f"""WITH RECURSIVE {CHAIN} SELECT user_id, segment, index, hash, true AS integrity_verified FROM chain
+@query("u3_custody_log", f"""WITH RECURSIVE {CHAIN} SELECT user_id, index, hash, true AS integrity_verified FROM chain
 WHERE json_extract_string(event, '$.target') = 'asset-42' OR json_extract_string(event, '$.details.target_asset') = 'asset-42'""")
 def u3(t: Lake):
-    return ledger.custody_log(written_chain(t), ["user_id", "segment"], "asset-42").select("user_id", "segment", "index", "hash", "integrity_verified")
+    return ledger.custody_log(chain(t), ["user_id"], "asset-42").select("user_id", "index", "hash", "integrity_verified")
 
 
 @query("w5_rolling_zscore", f"""WITH w AS (SELECT event_id, cve_criticality AS x, avg(cve_criticality) OVER p AS m, stddev_samp(cve_criticality) OVER p AS s FROM telemetry

@@ -10,12 +10,13 @@ from riskfabric.operators.windows import upsert
 class GraphStore:
     """Snapshots partitioned for label and type look-ups, plus deltas that a streaming job appends.
 
-    A delta is written under its batch id in overwrite mode, so a batch replayed after a failure replaces its
-    own files; readers fold all deltas with the upsert aggregate.
+    A delta is named by the run (the checkpoint that counts the batches) and the batch: a batch replayed after a failure
+    replaces its own files, a new run leaves the files of earlier ones. Readers fold all deltas with the upsert aggregate,
+    which gives the same rows however often a delta is there.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, run: str) -> None:
+        self.spark, self.root, self.run = spark, root.rstrip("/"), run
 
     def save(self, nodes: DataFrame, edges: DataFrame) -> None:
         nodes.write.mode("overwrite").partitionBy("label").parquet(f"{self.root}/nodes")
@@ -25,8 +26,8 @@ class GraphStore:
         return self.spark.read.parquet(f"{self.root}/nodes"), self.spark.read.parquet(f"{self.root}/edges")
 
     def append(self, table: str, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/delta_{table}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/delta_{table}/run={self.run}/batch={batch_id}")
 
     def current(self, table: str, keys: list[str], order: list[str], stamp: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.root}/delta_{table}").drop("batch")
+        rows = self.spark.read.option("basePath", f"{self.root}/delta_{table}").parquet(f"{self.root}/delta_{table}").drop("run", "batch")
         return upsert(rows, rows.limit(0), keys, order, stamp)

@@ -44,12 +44,16 @@ def land_multisignal(df: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumn("error", error).drop("_v")
 
 
+#: Quotes within a field are doubled, as CSV readers expect; backslashes stay as they are and fields may hold line ends.
+CSV = {"header": "true", "escape": '"', "multiLine": "true"}
+
+
 def export_assets(df: DataFrame, path: str, fmt: str) -> None:
     """JSON lines, or CSV with properties as JSON text; one file per task, as the data is laid out."""
     if fmt == "json":
         df.write.mode("overwrite").json(path)
     elif fmt == "csv":
-        df.withColumn("properties", F.to_json("properties")).write.mode("overwrite").option("header", True).csv(path)
+        df.withColumn("properties", F.to_json("properties")).write.mode("overwrite").options(**CSV).csv(path)
     else:
         raise ValueError(f"unknown export format {fmt}")
 

@@ -51,7 +51,7 @@ def ingest_batch(store: GraphStore, dlq: str, schema: str, salt: str) -> Callabl
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         good, bad = quality.split_valid(rows, [(m, rule()) for m, rule in SIGNAL_RULES], F.lit("signal_stream"), F.col("value"))
-        bad.write.mode("overwrite").json(f"{dlq}/batch={batch_id}")
+        bad.write.mode("overwrite").json(f"{dlq}/run={store.run}/batch={batch_id}")
         parsed = good.select(F.from_json("value", schema).alias("s")).select("s.*")
         nodes, edges = windows.signals_to_graph(enrich(parsed, salt))
         store.append("nodes", nodes.withColumn("seen", F.col("ts_us")), batch_id)
@@ -61,16 +61,16 @@ def ingest_batch(store: GraphStore, dlq: str, schema: str, salt: str) -> Callabl
     return handle
 
 
-def correlate_batch(inventory: Callable[[], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+def correlate_batch(inventory: Callable[[], DataFrame], out: str, run: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler: match arriving assets against the inventory as it is when the batch runs."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        match.match_assets(batch, inventory()).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        match.match_assets(batch, inventory()).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     return handle
 
 
 def graph_update_batch(store: GraphStore) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler: normalised events to asset nodes, idempotent by batch id."""
+    """foreachBatch handler: normalised events to asset nodes, idempotent by run and batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(
             F.concat("asset_type", F.lit(":"), F.coalesce("value", F.lit("unknown"))).alias("id"),
@@ -81,12 +81,12 @@ def graph_update_batch(store: GraphStore) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def trigger_batch(actions: str, escalations: str) -> Callable[[DataFrame, int], None]:
+def trigger_batch(actions: str, escalations: str, run: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler: blocking actions to one sink, escalations to the other."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = govern.trigger_actions(batch).persist()
-        rows.filter(F.col("action") == "block_vendor").write.mode("overwrite").parquet(f"{actions}/batch={batch_id}")
-        rows.filter(F.col("action") == "escalate").write.mode("overwrite").parquet(f"{escalations}/batch={batch_id}")
+        rows.filter(F.col("action") == "block_vendor").write.mode("overwrite").parquet(f"{actions}/run={run}/batch={batch_id}")
+        rows.filter(F.col("action") == "escalate").write.mode("overwrite").parquet(f"{escalations}/run={run}/batch={batch_id}")
         rows.unpersist()
 
     return handle

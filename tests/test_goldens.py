@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -342,19 +343,29 @@ def test_control_status(spark):
     assert [r.evidence for r in govern.control_evidence(assets, rules).collect()] == ["Asset d1 is not encrypted."]
 
 
-def test_ledger_detects_edits(spark):
+@pytest.mark.parametrize("round_rows", [4, 1024])
+def test_ledger_detects_every_change(spark, round_rows):
     import hashlib
 
-    df = spark.createDataFrame([("c", i, json.dumps({"n": i}, sort_keys=True)) for i in range(10)], "chain string, t int, event string")
-    chain = ledger.build_chain(df, "chain", ["t"], "event", segment_rows=4)
-    rows = chain.orderBy("segment", "index").collect()
-    assert [(r.segment, r["index"]) for r in rows][:6] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)]
-    body = json.dumps({"event": {"n": 1}, "index": 1, "prev_hash": rows[0].hash}, sort_keys=True)
-    assert rows[1].hash == hashlib.sha256(body.encode()).hexdigest()
-    assert all(r.valid for r in ledger.verify_chain(chain, ["chain", "segment"]).collect())
-    edited = chain.withColumn("event", F.when((F.col("segment") == 1) & (F.col("index") == 2), F.lit("{}")).otherwise(F.col("event")))
-    bad = {r.segment: (r.valid, r.first_bad) for r in ledger.verify_chain(edited, ["chain", "segment"]).collect()}
-    assert bad == {0: (True, None), 1: (False, 2), 2: (True, None)}
+    df = spark.createDataFrame([(k, i, json.dumps({"n": i}, sort_keys=True)) for k, n in (("c", 10), ("d", 3)) for i in range(n)], "chain string, t int, event string")
+    chain = ledger.build_chain(df, "chain", ["t"], "event", round_rows=round_rows)
+    rows = chain.filter("chain = 'c'").orderBy("index").collect()
+    assert [r["index"] for r in rows] == list(range(11)) and rows[0].event == ledger.GENESIS_EVENT
+    before = "0" * 64
+    for r in rows:
+        body = json.dumps({"event": json.loads(r.event), "index": r["index"], "prev_hash": before}, sort_keys=True)
+        assert r.prev_hash == before and r.hash == hashlib.sha256(body.encode()).hexdigest()
+        before = r.hash
+    verdict = lambda blocks: {r.chain: (r.valid, r.first_bad) for r in ledger.verify_chain(blocks, ["chain"]).collect()}
+    assert verdict(chain) == {"c": (True, None), "d": (True, None)}
+    mine = F.col("chain") == "c"
+    at = F.col("index")
+    edit = lambda i: F.when(mine & (at == i), F.lit("{}")).otherwise(F.col("event"))
+    for i in (0, 1, 5, 10):
+        assert verdict(chain.withColumn("event", edit(i))) == {"c": (False, i), "d": (True, None)}
+    assert verdict(chain.filter(~(mine & at.between(4, 7)))) == {"c": (False, 8), "d": (True, None)}
+    swapped = F.when(mine & (at == 3), 4).when(mine & (at == 4), 3).otherwise(at).cast("long")
+    assert verdict(chain.withColumn("index", swapped))["c"] == (False, 3)
 
 
 def test_playbooks(spark):
@@ -427,9 +438,12 @@ def test_shares_round_trip(spark):
 
 
 def test_forest_finds_breaches(spark):
-    from riskfabric.sources import synthetic
-
-    rows = synthetic.gen_breach(spark.range(4000), "id")
+    rng = random.Random(4)
+    found = []
+    for i in range(4000):
+        bad = rng.random() < 0.04
+        found.append((i, rng.gauss(90 if bad else 20, 5), rng.gauss(60 if bad else 10, 4), rng.gauss(80 if bad else 15, 6), rng.random() * (1.0 if bad else 0.4), float(bad)))
+    rows = spark.createDataFrame(found, "id long, avg_connection_rate double, cve_criticality_sum double, unique_ips_contacted double, degree_centrality double, is_anomaly double")
     forest = models.IsolationForest.fit(rows, models.TELEMETRY_FEATURES, "id")
     out = forest.predict(rows.withColumnRenamed("is_anomaly", "truth"))
     flagged = out.agg(F.avg("is_anomaly")).first()[0]
@@ -440,6 +454,31 @@ def test_forest_finds_breaches(spark):
 
 # --- graph --------------------------------------------------------------------------------------------------------------
 
+def test_profile_counts_a_shared_node_once(spark):
+    reach = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 4), (2, 2, 0)], "root long, node long, depth int")
+    vendors = spark.createDataFrame([(1, 80), (2, 60), (3, 40)], "vendor_id long, security_score int")
+    developed = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12)], "vendor_id long, comp_id long")
+    runs = spark.createDataFrame([(7, 10), (7, 11), (8, 10), (9, 12), (40_000, 11)], "device_id long, comp_id long")
+    vulns = spark.createDataFrame([(10, "a"), (10, "b"), (11, "c"), (12, "d")], "comp_id long, cve string")
+    got = {r.root: (r.vendor_count, r.component_count, r.device_count, r.active_cves, r.rating_sum) for r in aggregates.subgraph_profile(reach, vendors, developed, runs, vulns).collect()}
+    assert got == {1: (3, 2, 3, 3, 180), 2: (1, 2, 3, 3, 60)}
+
+
+def test_deep_chains_are_followed_to_the_end(spark):
+    n = 12
+    nodes = spark.createDataFrame([(i, 0) for i in range(n)], "id int, cves int")
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "src int, dst int, weight double")
+    levels, left = graph.topological_levels(nodes, edges)
+    assert left == 0 and {r.id: r.level for r in levels.collect()} == {i: i for i in range(n)}
+    assert graph.propagate_belief(nodes, edges).count() == n
+    pairs = spark.createDataFrame([(n - 1, 0), (0, n - 1)], "target int, source int")
+    effects = {r.target: r.effect for r in graph.causal_effects(nodes, edges, pairs).collect()}
+    assert effects[0] == 0.0 and effects[n - 1] > 0
+    loop = edges.union(spark.createDataFrame([(n - 1, 0, 1.0)], edges.schema))
+    assert {r.effect for r in graph.causal_effects(nodes, loop, pairs).collect()} == {None}
+
+
+
 def small_graph(spark):
     nodes = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 2)], "id int, cves int")
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 0.5), (1, 3, 0.8)], "src int, dst int, weight double")
@@ -540,3 +579,18 @@ def test_triplets_respect_categories(spark):
     label = {r.vec_id: r.label for r in df.collect()}
     assert len(rows) == 20
     assert all(label[r.anchor] == label[r.positive] != label[r.negative] and r.anchor != r.positive for r in rows)
+
+
+def test_csv_export_doubles_quotes(spark):
+    import csv
+    import pathlib
+
+    from riskfabric.session import scratch
+
+    folder = scratch(spark, "csv")
+    value = 'a "b", \\ c\nd'
+    df = spark.createDataFrame([("x", {"k": value})], "id string, properties map<string,string>").coalesce(1)
+    landing.export_assets(df, folder, "csv")
+    text = "".join(p.read_text() for p in pathlib.Path(folder.removeprefix("file:")).glob("part-*"))
+    rows = list(csv.reader(text.splitlines(keepends=True)))
+    assert rows[0] == ["id", "properties"] and json.loads(rows[1][1]) == {"k": value}

@@ -94,7 +94,7 @@ SCHEMA = schemas.SIGNAL + ", signal_id bigint, ts_us bigint"
 def test_ingest_quarantines_and_survives_replay(spark):
     folder = scratch(spark, "ingest")
     lines(spark, f"{folder}/in", [*SIGNALS, "not json", "[1, 2]"])
-    store = graphstore.GraphStore(spark, f"{folder}/graph")
+    store = graphstore.GraphStore(spark, f"{folder}/graph", "a")
     handle = landing.logged(f"{folder}/runs", "ingest", jobs.ingest_batch(store, f"{folder}/dlq", SCHEMA, "salt"))
     for i in range(2):
         streams.drain_batches(streams.read_values(spark, {"path": f"{folder}/in"}, "text"), f"{folder}/run{i}", handle)
@@ -110,6 +110,17 @@ def test_ingest_quarantines_and_survives_replay(spark):
     assert {r.state: r["count"] for r in log} == {"START": 2, "COMPLETE": 2}
 
 
+def test_a_new_run_keeps_the_deltas_of_earlier_ones(spark):
+    folder = scratch(spark, "runs")
+    rows = lambda *ids: spark.createDataFrame([(i, 1, 1, 1) for i in ids], "id string, ts_us long, signal_id long, seen long")
+    first, second = graphstore.GraphStore(spark, folder, "one"), graphstore.GraphStore(spark, folder, "two")
+    first.append("nodes", rows("a", "b"), 0)
+    first.append("nodes", rows("c", "d"), 1)
+    first.append("nodes", rows("c", "d"), 1)
+    second.append("nodes", rows("e"), 0)
+    assert sorted(r.id for r in second.current("nodes", ["id"], ["ts_us", "signal_id"], "seen").collect()) == ["a", "b", "c", "d", "e"]
+
+
 def test_failed_batch_is_logged(spark):
     folder = scratch(spark, "fail")
 
