@@ -67,7 +67,8 @@ def compare_shadow(df: DataFrame, y: str, primary: str, shadow: str, gain: float
 
 
 def promotion_gate(metrics: DataFrame, floor: float = PROMOTION_F1) -> DataFrame:
-    return metrics.filter(F.col("f1_score") > floor)
+    """The outcome of each run: `promoted`, or not."""
+    return metrics.withColumn("promoted", F.col("f1_score") > floor)
 
 
 def perturb(features: Column, gradient: Column, epsilon: float) -> Column:

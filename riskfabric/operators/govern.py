@@ -31,9 +31,9 @@ SERVICE_FLOWS = {
     ("agentic_execution", "semantic_fusion"): "Valid telemetry flow.",
 }
 AGENT_TASKS = {
-    "discovery_agent": ("discovery agent", "Discovery Agent", ["discover_vendor", "read_sbom"]),
-    "risk_evaluator_agent": ("risk evaluator", "Risk Evaluator", ["query_subgraph", "predict_risk"]),
-    "remediation_agent": ("remediation agent", "Remediation Agent", ["trigger_remediation", "verify_remediation"]),
+    "discovery_agent": (["discover_vendor", "read_sbom"], "Authorized task for discovery agent.", "Discovery Agent unauthorized for task: %s"),
+    "risk_evaluator_agent": (["query_subgraph", "predict_risk"], "Authorized task for risk evaluator.", "Risk Evaluator unauthorized for task: %s"),
+    "remediation_agent": (["trigger_remediation", "verify_remediation"], "Authorized task for remediation agent.", "Remediation Agent unauthorized for task: %s"),
 }
 REASONS = {
     "not_listed": "Target asset %s is not in the approved allow-list.",
@@ -41,8 +41,6 @@ REASONS = {
     "override": "Governance override.",
     "no_flow": "Unauthorized service-to-service flow: %s -> %s",
     "not_agent": "Caller role is not an agent.",
-    "task": "Authorized task for %s.",
-    "no_task": "%s unauthorized for task: %s",
     "no_agent": "Unknown agent type: %s",
     "write": "Service authorized to mutate graph state.",
     "no_write": "Service %s cannot write to graph.",
@@ -115,9 +113,8 @@ def decide_policy(df: DataFrame, issuer: str, allow_list: Sequence[str] = ()) ->
         verdict(False, r["no_flow"], c("src_service"), c("dest_service")))
     agent = choose(
         [(F.coalesce(c("role"), F.lit("")) != "agent", verdict(False, r["not_agent"]))]
-        + [((c("agent_type") == kind) & c("agent_task").isin(*tasks), verdict(True, r["task"], short))
-           for kind, (short, _, tasks) in AGENT_TASKS.items()]
-        + [(c("agent_type") == kind, verdict(False, r["no_task"], title, c("agent_task"))) for kind, (_, title, _) in AGENT_TASKS.items()],
+        + [((c("agent_type") == kind) & c("agent_task").isin(*tasks), verdict(True, yes)) for kind, (tasks, yes, _) in AGENT_TASKS.items()]
+        + [(c("agent_type") == kind, verdict(False, no, c("agent_task"))) for kind, (_, _, no) in AGENT_TASKS.items()],
         verdict(False, r["no_agent"], c("agent_type")))
     by_action = {
         "inter_service_call": flow,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,33 +22,31 @@ class Playbook:
     pb_id: str
     name: str
     pb_type: str
-    rules: Mapping[str, Sequence[str]] = field(default_factory=dict)
-    steps: Sequence[tuple[str, str, str]] = ()
-    guided_steps: Sequence[tuple[str, str, bool]] = ()
+    match_rules: Mapping[str, str | Sequence[str]] = field(default_factory=dict)
+    steps: Sequence[Mapping] = ()
     approval_roles: Sequence[str] = ()
 
 
-# The playbook table. Automated steps are (action, parameter, value), guided steps are
-# (step id, instruction, needs evidence).
+# The playbook table.
 PLAYBOOKS = (
     Playbook("pb_network_isolate_01", "Network Isolation for Critical Vulnerabilities", "automated",
-             {"severity": ["critical"], "type": ["vulnerability"]},
-             steps=[("network_segmentation", "isolation_level", "strict")], approval_roles=["SOC_ANALYST", "LEGAL"]),
+             {"severity": "critical", "type": "vulnerability"},
+             steps=[{"action": "network_segmentation", "params": {"isolation_level": "strict"}}], approval_roles=["SOC_ANALYST", "LEGAL"]),
     Playbook("pb_patch_guidance_01", "Guided Patching Workflow", "guided",
-             {"severity": ["high", "critical"], "type": ["vulnerability"]},
-             guided_steps=[("step_1", "Verify the asset is in the patch management system.", False),
-                           ("step_2", "Apply patch and provide proof of successful deployment.", True)]),
+             {"severity": ["high", "critical"], "type": "vulnerability"},
+             steps=[{"step_id": "step_1", "instruction": "Verify the asset is in the patch management system.", "requires_evidence": False},
+                    {"step_id": "step_2", "instruction": "Apply patch and provide proof of successful deployment.", "requires_evidence": True}]),
     Playbook("pb_generic_investigate", "Generic Investigation", "guided", {},
-             guided_steps=[("step_1", "Review the risk insight.", False)]),
+             steps=[{"step_id": "step_1", "instruction": "Review the risk insight.", "requires_evidence": False}]),
     Playbook("pb_soar_escalation", "Complex Incident SOAR Escalation", "automated",
-             {"severity": ["critical"], "type": ["complex_incident"]},
-             steps=[("soar_integration", "platform", "Cortex XSOAR")], approval_roles=["SOC_ANALYST"]),
+             {"severity": "critical", "type": "complex_incident"},
+             steps=[{"action": "soar_integration", "params": {"platform": "Cortex XSOAR", "escalation_level": "critical"}}], approval_roles=["SOC_ANALYST"]),
     Playbook("pb_supply_chain_comm", "Vendor Breach Notification", "automated",
-             {"severity": ["high", "critical"], "type": ["supply_chain_breach"]},
-             steps=[("vendor_communication", "template_type", "breach_notification")]),
+             {"severity": ["high", "critical"], "type": "supply_chain_breach"},
+             steps=[{"action": "vendor_communication", "params": {"template_type": "breach_notification"}}]),
     Playbook("pb_supply_chain_controls", "Apply Compensating Controls for Vendor Portal", "automated",
-             {"severity": ["high"], "type": ["vendor_portal_vulnerability"]},
-             steps=[("compensating_controls", "control_type", "waf_strict_filtering")]),
+             {"severity": "high", "type": "vendor_portal_vulnerability"},
+             steps=[{"action": "compensating_controls", "params": {"control_type": "waf_strict_filtering"}}]),
 )
 
 # Report of each action as title, impact (target, parameter or insight title), risk reduction, disruption.
@@ -69,7 +68,8 @@ GUIDED_REPORT = (
 
 
 def _eligible(pb: Playbook) -> Column:
-    checks = [F.coalesce(F.col(k).isin(*allowed), F.lit(False)) for k, allowed in pb.rules.items()]
+    wanted = {k: [allowed] if isinstance(allowed, str) else allowed for k, allowed in pb.match_rules.items()}
+    checks = [F.coalesce(F.col(k).isin(*allowed), F.lit(False)) for k, allowed in wanted.items()]
     return reduce(lambda a, b: a & b, checks, F.lit(True))
 
 
@@ -110,7 +110,7 @@ def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[P
     Choice depends only on the columns the rules look at, so it is made once per distinct combination of them
     and joined back. With probability `explore` a hash of the insight id picks any eligible playbook instead.
     """
-    columns = sorted({"type", "severity", *[k for pb in playbooks for k in pb.rules]})
+    columns = sorted({"type", "severity", *[k for pb in playbooks for k in pb.match_rules]})
     contexts = insights.select(*columns).distinct()
     matched = match_playbooks(contexts, playbooks).withColumn("state", state_key())
     valued = matched.join(values.select("state", "pb_id", "q"), ["state", "pb_id"], "left").withColumn(
@@ -135,34 +135,42 @@ def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[P
 
 
 def plan_actions(matched: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS) -> DataFrame:
-    """Simulated impact of each step of the matched playbook and whether its precondition holds."""
+    """Simulated impact of each step of the matched playbook, its parameters as JSON, and whether its precondition holds.
+
+    A guided playbook gives one row for the workflow it would start. The vendor's address is `vendor_email` where the
+    insight has one, else made from the vendor's id.
+    """
     vendor = F.coalesce("vendor_id", F.lit("Unknown Vendor"))
-    # Per action: what it acts on, what fills its impact text after that, and the column it cannot do without.
+    derived = F.concat(F.lit("security@"), vendor, F.lit(".com"))
+    address = F.coalesce("vendor_email", derived) if "vendor_email" in matched.columns else derived
+    # Per action: the parameter shown, what it acts on, what fills its impact text after that, the column it cannot do without.
     subjects = {
-        "network_segmentation": (F.coalesce("asset_id", F.lit("Unknown")), [], "asset_id"),
-        "soar_integration": (None, [F.coalesce("title", F.lit("Unknown Incident"))], None),
-        "vendor_communication": (F.concat(F.lit("security@"), vendor, F.lit(".com")), [vendor], "vendor_id"),
-        "compensating_controls": (F.coalesce("target_endpoint", F.lit("Unknown Endpoint")), [], "target_endpoint"),
+        "network_segmentation": ("isolation_level", F.coalesce("asset_id", F.lit("Unknown")), [], "asset_id"),
+        "soar_integration": ("platform", None, [F.coalesce("title", F.lit("Unknown Incident"))], None),
+        "vendor_communication": ("template_type", address, [vendor], "vendor_id"),
+        "compensating_controls": ("control_type", F.coalesce("target_endpoint", F.lit("Unknown Endpoint")), [], "target_endpoint"),
     }
 
-    def report(texts: tuple[str, str, str, str], target: Column, filled: list[Column], ok: Column) -> Column:
+    def report(texts: tuple[str, str, str, str], target: Column, filled: list[Column], ok: Column, params: Mapping) -> Column:
         title, impact, reduction, disruption = texts
         return F.struct(
             F.lit(title).alias("action"), target.alias("target"), F.format_string(impact, *filled).alias("impact"),
-            F.lit(reduction).alias("risk_reduction"), F.lit(disruption).alias("business_disruption"), ok.alias("success"))
+            F.lit(reduction).alias("risk_reduction"), F.lit(disruption).alias("business_disruption"), ok.alias("success"),
+            F.lit(json.dumps(params, sort_keys=True)).alias("params"))
 
-    def step(action: str, value: str) -> Column:
-        target, extra, needed = subjects[action]
-        filled = [F.lit(value), *extra] if target is None else [target, F.lit(value), *extra]
+    def step(action: str, params: Mapping) -> Column:
+        shown, target, extra, needed = subjects[action]
+        value = F.lit(params[shown])
+        filled = [value, *extra] if target is None else [target, value, *extra]
         ok = F.lit(True) if needed is None else F.coalesce(F.length(needed) > 0, F.lit(False))
-        return report(ACTION_REPORTS[action], F.lit(value) if target is None else target, filled, ok)
+        return report(ACTION_REPORTS[action], value if target is None else target, filled, ok, params)
 
     def guided(pb: Playbook) -> Column:
-        return report(GUIDED_REPORT, F.lit("Human Operator"), [F.lit(pb.name)], F.lit(True))
+        return report(GUIDED_REPORT, F.lit("Human Operator"), [F.lit(pb.name)], F.lit(True), {})
 
     steps = None
     for pb in playbooks:
-        rows = F.array(*[step(a, v) for a, _, v in pb.steps]) if pb.pb_type == "automated" else F.array(guided(pb))
+        rows = F.array(*[step(s["action"], s["params"]) for s in pb.steps]) if pb.pb_type == "automated" else F.array(guided(pb))
         cond = F.col("pb_id") == pb.pb_id
         steps = F.when(cond, rows) if steps is None else steps.when(cond, rows)
     return matched.select("*", F.inline(steps))

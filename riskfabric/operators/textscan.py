@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 CVE_PATTERN = r"CVE-\d{4}-\d{4,7}"
 ACTORS = ("APT29", "Lazarus", "Equation Group", "Sandworm")
 SECRET_PATTERNS = (
-    r"""(?i)(password|passwd|secret|api_key|token|auth_token|vault_token|private_key)\s*=\s*["'][a-zA-Z0-9_\-.:/+=%]{8,}["']""",
-    r"""(?i)(aws_access_key_id|aws_secret_access_key)\s*=\s*["'][a-zA-Z0-9_\-.:/+=]{10,}["']""",
+    r'(?i)(password|passwd|secret|api_key|token|auth_token|vault_token|private_key)\s*=\s*["\'][a-zA-Z0-9_\-\.\:\/\+\=\%]{8,}["\']',
+    r'(?i)(aws_access_key_id|aws_secret_access_key)\s*=\s*["\'][a-zA-Z0-9_\-\.\:\/\+\=]{10,}["\']',
 )
 LINE_BREAK = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 SECRET_EXEMPT = ("example", "localhost", "test")
@@ -20,7 +20,7 @@ UNSAFE_PATTERNS = {
     "shell_true": r"shell\s*=\s*True",
     "unsecured_temp": r"tempfile\.mktemp\(",
 }
-ADVISORIES = {"pyjwt": "2.8.0", "urllib3": "1.26.17", "requests": "2.31.0", "hvac": "1.1.0"}
+ADVISORIES = {"pyjwt": "<2.8.0", "urllib3": "<1.26.17", "requests": "<2.31.0", "hvac": "<1.1.0"}
 MESSAGE_ACTIONS = (
     (("Resolved", "SBOM"), "Discovery step completed."),
     (("Risk Level",), "Risk assessment performed."),
@@ -119,8 +119,9 @@ def version_key(version: Column) -> Column:
 
 
 def audit_requirements(df: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Requirement rows on an advisory's package; `below_fix` is our version comparison on top."""
-    return df.join(advisories, "package").withColumn(
+    """Requirement rows on an advisory's package; `below_fix` tells whether the version lies in its range `affected`, like `<2.8.0`."""
+    fixed_in = F.trim(F.regexp_replace("affected", "^<", ""))
+    return df.join(advisories, "package").withColumn("fixed_in", fixed_in).withColumn(
         "below_fix", version_key(F.col("version")) < version_key(F.col("fixed_in"))
     )
 

@@ -112,11 +112,11 @@ def a9(t: Lake):
 
 
 @query("a10_promotion_gate", f"""WITH m AS (SELECT asset_id, {metric_sql('CAST(1 - quality AS DOUBLE)')} FROM predictions GROUP BY asset_id), r AS (SELECT *, {RATIOS} FROM m)
-SELECT asset_id, {rounded('f1_score')} AS f1_score FROM r WHERE f1_score > 0.2""")
+SELECT asset_id, {rounded('f1_score')} AS f1_score, f1_score > 0.85 AS promoted FROM r""")
 def a10(t: Lake):
     scored = t.predictions.withColumn("prob", 1.0 - F.col("quality"))
     metrics = evaluate.binary_metrics(scored, "y", "prob", by=["asset_id"])
-    return evaluate.promotion_gate(metrics, 0.2).select("asset_id", half_up(F.col("f1_score"), 6).alias("f1_score"))
+    return evaluate.promotion_gate(metrics).select("asset_id", half_up(F.col("f1_score"), 6).alias("f1_score"), "promoted")
 
 
 MOVED = "list_transform(embedding, lambda v: greatest(0e0, least(1e0, CAST(v AS DOUBLE) + 0.05e0 * sign(0.5e0 - CAST(v AS DOUBLE)))))"

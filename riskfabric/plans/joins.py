@@ -327,7 +327,7 @@ SELECT comp_id, p.package, version, fixed_in, list_transform(string_split(versio
    list_transform(string_split(fixed_in, '.'), lambda x: coalesce(TRY_CAST(x AS INT), 0)) AS below_fix
 FROM ({PARSED}) p JOIN (VALUES ('pyjwt','2.8.0'), ('urllib3','1.26.17'), ('requests','2.31.0'), ('hvac','1.1.0')) a(package, fixed_in) ON a.package = p.package""")
 def j16(t: Lake):
-    advisories = t.spark.createDataFrame(list(textscan.ADVISORIES.items()), "package string, fixed_in string")
+    advisories = t.spark.createDataFrame(list(textscan.ADVISORIES.items()), "package string, affected string")
     found = textscan.audit_requirements(textscan.parse_requirements(t.sql(REQUIREMENTS), "line"), F.broadcast(advisories))
     return found.select("comp_id", "package", "version", "fixed_in", "below_fix")
 

@@ -383,23 +383,31 @@ def p41(t: Lake):
 
 
 @query("p42_plan_actions", """
-WITH picked AS (SELECT insight_id, title, asset_id, vendor_id, target_endpoint,
-  CASE WHEN type = 'vulnerability' AND severity = 'critical' THEN 'pb_network_isolate_01'
-       WHEN type = 'complex_incident' AND severity = 'critical' THEN 'pb_soar_escalation'
-       WHEN type = 'supply_chain_breach' AND severity IN ('high','critical') THEN 'pb_supply_chain_comm'
-       WHEN type = 'vendor_portal_vulnerability' AND severity = 'high' THEN 'pb_supply_chain_controls' END AS pb_id FROM insights)
-SELECT insight_id, pb_id, CASE pb_id WHEN 'pb_network_isolate_01' THEN 'Network Segmentation' WHEN 'pb_soar_escalation' THEN 'SOAR Escalation'
-   WHEN 'pb_supply_chain_comm' THEN 'Vendor Communication' ELSE 'Apply Compensating Control' END AS action,
-  CASE pb_id WHEN 'pb_network_isolate_01' THEN coalesce(asset_id, 'Unknown') WHEN 'pb_soar_escalation' THEN 'Cortex XSOAR'
-   WHEN 'pb_supply_chain_comm' THEN concat('security@', coalesce(vendor_id, 'Unknown Vendor'), '.com') ELSE coalesce(target_endpoint, 'Unknown Endpoint') END AS target,
-  CASE pb_id WHEN 'pb_network_isolate_01' THEN asset_id IS NOT NULL WHEN 'pb_soar_escalation' THEN true
-   WHEN 'pb_supply_chain_comm' THEN vendor_id IS NOT NULL ELSE target_endpoint IS NOT NULL END AS success
-FROM picked WHERE pb_id IS NOT NULL""")
+WITH mailed AS (SELECT *, CASE WHEN severity = 'high' THEN concat('desk@', vendor_id, '.example') END AS vendor_email FROM insights),
+ picked AS (SELECT m.*, p.pb_id, p.name FROM mailed m JOIN (VALUES
+  ('pb_network_isolate_01', '', 'vulnerability', ['critical']), ('pb_patch_guidance_01', 'Guided Patching Workflow', 'vulnerability', ['high', 'critical']),
+  ('pb_generic_investigate', 'Generic Investigation', NULL, NULL), ('pb_soar_escalation', '', 'complex_incident', ['critical']),
+  ('pb_supply_chain_comm', '', 'supply_chain_breach', ['high', 'critical']), ('pb_supply_chain_controls', '', 'vendor_portal_vulnerability', ['high'])
+ ) p(pb_id, name, want_type, want_severity) ON (want_type IS NULL OR want_type = type) AND (want_severity IS NULL OR list_contains(want_severity, severity))),
+ aimed AS (SELECT *, CASE pb_id WHEN 'pb_network_isolate_01' THEN coalesce(asset_id, 'Unknown') WHEN 'pb_soar_escalation' THEN 'Cortex XSOAR'
+   WHEN 'pb_supply_chain_comm' THEN coalesce(vendor_email, concat('security@', coalesce(vendor_id, 'Unknown Vendor'), '.com'))
+   WHEN 'pb_supply_chain_controls' THEN coalesce(target_endpoint, 'Unknown Endpoint') ELSE 'Human Operator' END AS target FROM picked)
+SELECT insight_id, pb_id, target, CASE pb_id WHEN 'pb_network_isolate_01' THEN 'Network Segmentation' WHEN 'pb_soar_escalation' THEN 'SOAR Escalation'
+   WHEN 'pb_supply_chain_comm' THEN 'Vendor Communication' WHEN 'pb_supply_chain_controls' THEN 'Apply Compensating Control' ELSE 'Guided Workflow' END AS action,
+  CASE pb_id WHEN 'pb_network_isolate_01' THEN concat('Would isolate asset ', target, ' with level ''strict''. Connections to/from this asset would be dropped.')
+   WHEN 'pb_soar_escalation' THEN concat('Would create an incident ticket in Cortex XSOAR for ''', coalesce(title, 'Unknown Incident'), ''' and trigger downstream SOAR playbooks.')
+   WHEN 'pb_supply_chain_comm' THEN concat('Would email the ''breach_notification'' template to ', target, ' representing vendor ''', coalesce(vendor_id, 'Unknown Vendor'), '''.')
+   WHEN 'pb_supply_chain_controls' THEN concat('Would apply ''waf_strict_filtering'' temporarily blocking/filtering traffic to ', target, '.')
+   ELSE concat('Would initiate a step-by-step guided workflow requiring human interaction for playbook: ', name, '.') END AS impact,
+  CASE pb_id WHEN 'pb_network_isolate_01' THEN '{"isolation_level": "strict"}' WHEN 'pb_soar_escalation' THEN '{"escalation_level": "critical", "platform": "Cortex XSOAR"}'
+   WHEN 'pb_supply_chain_comm' THEN '{"template_type": "breach_notification"}' WHEN 'pb_supply_chain_controls' THEN '{"control_type": "waf_strict_filtering"}' ELSE '{}' END AS params,
+  CASE pb_id WHEN 'pb_network_isolate_01' THEN asset_id IS NOT NULL WHEN 'pb_supply_chain_comm' THEN vendor_id IS NOT NULL
+   WHEN 'pb_supply_chain_controls' THEN target_endpoint IS NOT NULL ELSE true END AS success
+FROM aimed""")
 def p42(t: Lake):
-    automated = [pb for pb in remediate.PLAYBOOKS if pb.pb_type == "automated"]
-    matched = remediate.match_playbooks(t.insights, automated)
-    planned = remediate.plan_actions(matched)
-    return planned.select("insight_id", "pb_id", "action", "target", "success")
+    mailed = t.insights.withColumn("vendor_email", F.when(F.col("severity") == "high", F.concat(F.lit("desk@"), "vendor_id", F.lit(".example"))))
+    planned = remediate.plan_actions(remediate.match_playbooks(mailed))
+    return planned.select("insight_id", "pb_id", "action", "target", "impact", "params", "success")
 
 
 @query("p43_list_components", """

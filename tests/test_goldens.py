@@ -184,7 +184,7 @@ def test_requirements(spark):
     df = spark.createDataFrame([("# c",), ("",), ("PyJWT==2.4.0",), ("hvac >= 1.1.0",), ("plain",)], "line string")
     parsed = textscan.parse_requirements(df, "line")
     assert [(r.package, r.version) for r in parsed.collect()] == [("pyjwt", "2.4.0"), ("hvac", "1.1.0")]
-    adv = spark.createDataFrame(list(textscan.ADVISORIES.items()), "package string, fixed_in string")
+    adv = spark.createDataFrame(list(textscan.ADVISORIES.items()), "package string, affected string")
     assert {r.package: r.below_fix for r in textscan.audit_requirements(parsed, adv).collect()} == {"pyjwt": True, "hvac": False}
 
 
