@@ -81,20 +81,14 @@ class IsolationForest:
             contamination: float = 0.05, seed: int = 42) -> IsolationForest:
         """Each tree sees about `sample_rows` rows drawn by a hash of (row, tree), so no task holds more.
 
-        The features are written out once and then counted, thinned by one hash per row where there are many,
-        drawn per tree on the thinned rows, and scored in full for the threshold.
+        The features are written out once and then counted, drawn by one hash per row and tree whatever the number of rows,
+        and scored in full for the threshold.
         """
         data = cut(df.select(F.col(ident).alias("_id"), *[F.col(c).cast("double").alias(c) for c in features]).dropna())
         total = data.count()
-        wanted = trees * sample_rows
-        space = 1 << 30
-        rows, left = data, max(total, 1)
-        if total > wanted * 8:
-            share = int(space * wanted * 8 / total)
-            rows = cut(data.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(space)) < share))
-            left = max(rows.count(), 1)
-        share = int(space * min(1.0, sample_rows / left))
-        drawn = rows.withColumn("tree", F.explode(F.filter(
+        space = 1 << 60
+        share = int(space * min(1.0, sample_rows / max(total, 1)))
+        drawn = data.withColumn("tree", F.explode(F.filter(
             F.sequence(F.lit(0), F.lit(trees - 1)),
             lambda t: F.pmod(F.xxhash64(F.col("_id"), t, F.lit(seed + 1)), F.lit(space)) < share)))
         names = list(features)
@@ -107,7 +101,7 @@ class IsolationForest:
 
         table = drawn.groupBy("tree").applyInPandas(
             grow, "feature int, cut_at double, lo int, hi int, path double, tree int, node int").toPandas()
-        model = cls(features, table.sort_values(["tree", "node"], ignore_index=True), min(sample_rows, left))
+        model = cls(features, table.sort_values(["tree", "node"], ignore_index=True), min(sample_rows, max(total, 1)))
         cutoff = model.scores(data).agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 10_000)).first()[0]
         model.threshold = float(cutoff) if cutoff is not None else 1.0
         return model

@@ -60,16 +60,19 @@ def m4(t: Lake):
 
 @query("m5_schedule_delays")
 def m5(t: Lake):
-    history = models.delay_history(
-        t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("target"), "o_orderdate",
-                        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
-                        (F.col("o_orderstatus") == "F").alias("hit"), (F.col("o_totalprice") / 100000).alias("applied")),
-        "o_orderkey", "target", "o_orderdate", "hit", "applied")
-    return models.suggest_delay(models.train_delay(history), history).select("o_orderkey", "delay")
+    """Delays for the held-out events, next to what the rule of the history says."""
+    value = F.col("value")
+    decisions = t.events.select(
+        "event_id", F.col("user_id").cast("string").alias("target"), "ts", F.when(value >= 60, 3.0).when(value >= 25, 2.0).otherwise(1.0).alias("priority"),
+        F.col("event_type").isin("error", "purchase").alias("hit"), F.least(value, F.lit(60.0)).alias("applied"))
+    history = models.delay_history(decisions, "event_id", "target", "ts", "hit", "applied")
+    train, test = models.split_rows(cut(history), "event_id")
+    return models.suggest_delay(models.train_delay(train), test).select("event_id", "delay", F.col("label").alias("observed"))
 
 
 @query("m8_reward_model")
 def m8(t: Lake):
+    """Rewards of the held-out vectors."""
     rows = t.embeddings.withColumn("human_label", (F.col("label") < 5).cast("int"))
-    model = models.train_reward(rows, "embedding", "human_label")
-    return models.predict_reward(model, rows, "embedding").select("vec_id", "human_label", "reward")
+    train, test = models.split_rows(rows, "vec_id")
+    return models.predict_reward(models.train_reward(train, "embedding", "human_label"), test, "embedding").select("vec_id", "human_label", "reward")

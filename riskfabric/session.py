@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Beneath the default file system, where spark.checkpoint.dir is not set.
+DEFAULT_FOLDER = "/tmp/riskfabric-checkpoints"
+
+
 def build_session(app: str = "riskfabric", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on.
 
@@ -24,6 +27,7 @@ def build_session(app: str = "riskfabric", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -32,17 +36,18 @@ def build_session(app: str = "riskfabric", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only on a local master without one."""
+    """The folder in spark.checkpoint.dir; without the setting a folder of the default file system, by the same rule on every master.
+
+    A folder that only one machine sees is refused unless the master is local.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="riskfabric-checkpoint-")
-    sc.setCheckpointDir(configured)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{sc._jsc.hadoopConfiguration().get('fs.defaultFS').rstrip('/')}{DEFAULT_FOLDER}"
+    if folder.startswith("file:") and not spark.conf.get("spark.checkpoint.dir", None) and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

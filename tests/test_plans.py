@@ -5,12 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from riskfabric.plans import catalog
 
 # Small constant or scalar sides are joined by key or as scalar subqueries, so no plan needs a product.
 PRODUCTS = ("CartesianProduct", "BroadcastNestedLoopJoin")
-# Queries whose semantics need Python: trained models, ordered token buckets.
-PYTHON = {"t9_throttle", "t9_throttle_jobs", "m2_anomaly_scores"}
-BATCH = [n for n in entry.queries() if n[0] in "pjalwu" and not n.endswith("_stream")]
+# Scores of the isolation forest come from a pandas UDF.
+PYTHON = {"m2_anomaly_scores", "m4_threat_classifier"}
+BATCH = [n for n in catalog.queries() if n[0] in "pjalwugm" and not n.endswith("_stream")]
 
 
 def plan_of(frame) -> str:
