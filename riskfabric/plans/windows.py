@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskfabric.bindings import Lake
 from riskfabric.functions.numeric import half_up
-from riskfabric.operators import ledger, normalize, remediate, textscan, windows
+from riskfabric.operators import aggregates, fusion, ledger, normalize, remediate, textscan, windows
 from riskfabric.plans.registry import query, rounded
 from riskfabric.plans.scalar import PENALTY_SQL
 
@@ -196,3 +196,67 @@ def u1_edges(t: Lake):
     _, edges = fused_signals(t)
     edges = edges.withColumn("seen", F.col("ts_us"))
     return windows.upsert(edges.limit(0), edges, ["src", "dst", "type"], ["ts_us", "signal_id"], "seen")
+
+
+# --- sections of fused signals -----------------------------------------------------------------------------------------
+
+COMPONENT_SECTION = """SELECT brand AS entity, name, version, CASE WHEN kind <> 'MEDIUM' THEN purl END AS purl, 'CycloneDX' AS format, exploit_score, comp_id, kind FROM components WHERE kind <> 'LARGE'"""
+MODEL_SECTION = "SELECT brand AS entity, name AS model_name, version, has_provenance, kind FROM components WHERE kind = 'LARGE'"
+REPORT_SECTION = """SELECT DISTINCT c.purl AS target_purl, r.hash, false AS is_malicious FROM reports_bin r JOIN components c ON c.comp_id = r.comp_id WHERE kind IN ('SMALL', 'MEDIUM')"""
+
+
+def sections(t: Lake):
+    """Component, model and report sections bound to parts; vulnerabilities as listed for the part."""
+    cves = t.component_vulns.groupBy("comp_id").agg(F.collect_set("cve").alias("cves"))
+    parts = t.sql(COMPONENT_SECTION).join(cves, "comp_id", "left")
+    nested = F.array(F.struct(F.concat(F.lit("set-"), "entity").alias("name")))
+    needs = F.array(F.struct(F.concat(F.lit("lib-"), "entity").alias("package_name"), F.col("version"), F.lit(None).cast("string").alias("purl")))
+    models = t.sql(MODEL_SECTION).select("entity", "model_name", "version", F.col("has_provenance").alias("signature_verified"), nested.alias("datasets"), needs.alias("dependencies"))
+    n1, e1 = fusion.component_rows(parts)
+    n2, e2 = fusion.model_rows(models)
+    n3, e3 = fusion.report_rows(t.sql(REPORT_SECTION), n1.unionByName(n2))
+    return n1.unionByName(n2).unionByName(n3), e1.unionByName(e2).unionByName(e3)
+
+
+SECTIONS = f"""cs AS (SELECT *, concat('SoftwareComponent:', coalesce(purl, concat('pkg:generic/', name, '@', version))) AS c FROM ({COMPONENT_SECTION}) x),
+ ms AS (SELECT *, concat('AIModel:pkg:ml/', model_name, '@', version) AS m FROM ({MODEL_SECTION}) x),
+ rs AS (SELECT *, concat('BinaryAnalysisReport:report:binary/', hash) AS r FROM ({REPORT_SECTION}) x),
+ vs AS (SELECT cs.c, concat('Vulnerability:', v.cve) AS v FROM cs JOIN component_vulns v ON v.comp_id = cs.comp_id)"""
+
+
+@query("u1_section_nodes", f"""WITH {SECTIONS}, scored AS (SELECT c, max(exploit_score) AS score FROM cs WHERE c IN (SELECT c FROM vs) GROUP BY c)
+SELECT DISTINCT concat('Identity:', entity) AS id, 'Identity' AS label, NULL::DOUBLE AS exploit_score, NULL AS severity, NULL::BOOLEAN AS signature_verified, NULL::BOOLEAN AS is_malicious FROM (SELECT entity FROM cs UNION SELECT entity FROM ms) e
+UNION ALL SELECT DISTINCT cs.c, 'SoftwareComponent', s.score, CASE WHEN s.score > 0.85 THEN 'CRITICAL' WHEN s.score > 0.7 THEN 'HIGH' WHEN s.score > 0.4 THEN 'MEDIUM' WHEN s.score IS NOT NULL THEN 'LOW' END, NULL, NULL FROM cs LEFT JOIN scored s ON s.c = cs.c
+UNION ALL SELECT DISTINCT v, 'Vulnerability', NULL, NULL, NULL, NULL FROM vs
+UNION ALL SELECT m, 'AIModel', NULL, NULL, bool_or(has_provenance), NULL FROM ms GROUP BY m
+UNION ALL SELECT DISTINCT concat('Dataset:pkg:dataset/set-', entity), 'Dataset', NULL, NULL, NULL, NULL FROM ms
+UNION ALL SELECT DISTINCT concat('SoftwareComponent:pkg:generic/lib-', entity, '@', version), 'SoftwareComponent', NULL, NULL, NULL, NULL FROM ms
+UNION ALL SELECT r, 'BinaryAnalysisReport', NULL, NULL, NULL, bool_or(is_malicious) FROM rs GROUP BY r""")
+def u1_section_nodes(t: Lake):
+    return fusion.fold_nodes(sections(t)[0])
+
+
+@query("u1_section_edges", f"""WITH {SECTIONS}
+SELECT DISTINCT concat('Identity:', entity) AS src, c AS dst, 'DEVELOPED' AS type, format AS source FROM cs
+UNION ALL SELECT DISTINCT c, v, 'HAS_VULNERABILITY', NULL FROM vs
+UNION ALL SELECT DISTINCT concat('Identity:', entity), m, 'DEVELOPED', 'MBOM' FROM ms
+UNION ALL SELECT DISTINCT m, concat('Dataset:pkg:dataset/set-', entity), 'TRAINED_ON', NULL FROM ms
+UNION ALL SELECT DISTINCT m, concat('SoftwareComponent:pkg:generic/lib-', entity, '@', version), 'DEPENDS_ON', NULL FROM ms
+UNION ALL SELECT DISTINCT cs.c, r, 'HAS_ANALYSIS_REPORT', NULL FROM rs JOIN cs ON cs.c = concat('SoftwareComponent:', rs.target_purl)""")
+def u1_section_edges(t: Lake):
+    return sections(t)[1].distinct()
+
+
+@query("a3_section_counts", f"""WITH {SECTIONS},
+ n AS (SELECT entity, count(*) AS components, 0 AS models, 0 AS binaries FROM cs GROUP BY entity UNION ALL SELECT entity, 0, count(*), 0 FROM ms GROUP BY entity
+  UNION ALL SELECT c.brand, 0, 0, count(DISTINCT r.hash) FROM rs r JOIN components c ON c.purl = r.target_purl GROUP BY c.brand)
+SELECT entity, CAST(1 + 2 * sum(components) + 3 * sum(models) + sum(binaries) AS BIGINT) AS nodes_affected FROM n GROUP BY entity""")
+def a3_sections(t: Lake):
+    """Nodes touched by fusing all sections of an entity."""
+    counts = t.components.groupBy(F.col("brand").alias("entity")).agg(
+        F.count_if(F.col("kind") != "LARGE").alias("components"), F.count_if(F.col("kind") == "LARGE").alias("models"))
+    owners = t.components.select("purl", F.col("brand").alias("entity"))
+    binaries = t.sql(REPORT_SECTION).join(owners, F.col("target_purl") == F.col("purl")).groupBy("entity").agg(F.count(F.lit(1)).alias("binaries"))
+    none = F.lit(0)
+    return counts.join(binaries, "entity", "left").select("entity", aggregates.affected_counts(
+        F.col("components"), F.col("models"), F.col("binaries"), none, none).cast("long").alias("nodes_affected"))
