@@ -48,17 +48,25 @@ def error_patterns(most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(of[g[0]]): (patterns[g], weights[g]) for g in np.split(order, cuts)}
 
 
-def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Unsigned 64-bit fingerprint; see `fingerprints`."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 hashes of the runs of `words` words, repeats included; a shorter text is one run, one without words has none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], "<u8")
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], "<u8")
+
+
+def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """Unsigned 64-bit fingerprint; see `fingerprints`."""
+    hashes = shingle_hashes(text, words, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     set_bits = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         set_bits += np.unpackbits(hashes[i:i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

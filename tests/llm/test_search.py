@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskfabric.llm import decontam, simhash, topk, urls
+from riskfabric.llm import decontam, nearcopies, simhash, topk, urls
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "Ñandú", "été", "x1"]
 
@@ -113,6 +113,55 @@ def test_a_large_group_of_copies_makes_no_pairs(spark):
     assert simhash.near_duplicates(docs).select("component_id").distinct().collect() == [(0,)]
 
 
+# --- near copies by Jaccard similarity
+
+
+def plain_word_shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def plain_similar_components(texts, threshold=0.8):
+    sets = [plain_word_shingles(t) for t in texts]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= threshold * len(a | b) - 1e-9:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = [None, "", "  ", "one", "One ", "one two", "a b c d e", "A  b c d\te", "a b c d f"]
+    passage = prose(rng, 30)
+    for _ in range(30):
+        words = prose(rng, rng.randrange(5, 250)).split()
+        for _ in range(rng.randrange(1, 8)):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 25)):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy) + (" " + passage if rng.random() < 0.3 else ""))
+    texts += [" ".join([passage, *prose(rng, k).split()]) for k in range(1, 12) for _ in range(4)]
+    rng.shuffle(texts)
+    rows = [(i * 7 + 1, t, 5, "x") for i, t in enumerate(texts)]
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string, _key int, component_id string")).collect()
+    groups = plain_similar_components(texts)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {row[0]: rows[g][0] for row, g in zip(rows, groups, strict=True)}
+    assert len(got) == len(rows)
+    marks = [plain_fingerprint(t) for t in texts]
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if groups[i] == groups[j] and (marks[i] ^ marks[j]).bit_count() > 2]
+    assert len(far) > 50  # what fingerprints two bits apart do not link
+    assert nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # --- contamination
 
 
