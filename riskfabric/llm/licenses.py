@@ -9,7 +9,10 @@ before its size is counted. Everything happens within a row: no shuffle, whateve
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +101,90 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col), found.alias("_found")).select(
         id_col, F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["name"]))), ",").alias("licenses"),
         F.size("_found").alias("n_matches"), F.array_max(F.transform("_found", lambda m: m["dice"])).alias("best_dice"))
+
+
+def word_pairs(text: str | None) -> list[tuple[str, str]]:
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return list(zip(words, words[1:]))
+
+
+class Notices:
+    """Finds license notices anywhere in a text, whatever else stands on their line."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float = THRESHOLD):
+        self.known = [(name, grams) for name, text in templates if (grams := set(word_pairs(text)))]
+        self.threshold = threshold
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for t, (_, grams) in enumerate(self.known):
+            for g in grams:
+                self.having.setdefault(g, []).append(t)
+
+    def windows(self, grams: list[tuple[str, str]], t: int, places: list[int]) -> Iterator[tuple[int, int, int, int, float]]:
+        """(score, template, start, stop, dice) of the best run from each place that reaches the threshold.
+
+        A run starts and ends with a bigram of the template (others at its ends only lower Dice) and is as long as the bounds on
+        sizes allow. It can reach the threshold only where enough places lie within that length.
+        """
+        own = self.known[t][1]
+        n, longest = len(own), int(len(own) * (2 - self.threshold) / self.threshold + 1e-9)
+        need = -int(-(n * self.threshold / (2 - self.threshold) - 1e-9) // 1)
+        for j in range(len(places) - need + 1):
+            start = places[j]
+            if places[j + need - 1] - start >= longest:
+                continue
+            seen, shared, best = set(), 0, None
+            for at in range(start, min(start + longest, len(grams))):
+                if (g := grams[at]) in seen:
+                    continue
+                seen.add(g)
+                if g in own:
+                    shared += 1
+                    dice = 2 * shared / (len(seen) + n)
+                    if dice >= self.threshold and (best is None or dice >= best[4]):
+                        best = (3 * shared - len(seen) - n, t, start, at + 1, dice)
+            if best:
+                yield best
+
+    def find(self, text: str | None) -> list[tuple[str, float]]:
+        """(license, dice) of each notice. Of overlapping matches the best stays, or all on an exact tie: the one with the
+        most bigrams shared after taking off those that only the run or only the template has."""
+        grams = word_pairs(text)
+        places: dict[int, list[int]] = {}
+        for i, g in enumerate(grams):
+            for t in self.having.get(g, ()):
+                places.setdefault(t, []).append(i)
+        matches = sorted((m for t, p in places.items() for m in self.windows(grams, t, p)), key=lambda m: (-m[0], -m[4], m[2], m[3], m[1]))
+        taken: list[tuple[int, int, int, float]] = []  # by start; one entry for each place, so they do not overlap
+        ties: dict[int, set[int]] = {}
+        out = []
+        for score, t, start, stop, dice in matches:
+            i = bisect_left(taken, (stop,)) - 1
+            if i < 0 or taken[i][1] <= start:
+                insort(taken, (start, stop, score, dice))
+                ties[start] = {t}
+            elif taken[i][:1] + taken[i][2:] == (start, score, dice) and t not in ties[start]:
+                ties[start].add(t)
+            else:
+                continue
+            out.append((self.known[t][0], dice))
+        return out
+
+
+def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
+                 threshold: float = THRESHOLD) -> DataFrame:
+    """As `scan_licenses`, but runs of words instead of units, so a notice is found inside a longer line or a flat text.
+
+    `n_matches` counts notices. Without `templates` those of op1 are compared.
+    """
+    known = templates or TEMPLATES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notices = Notices(known, threshold)
+        for batch in batches:
+            found = [notices.find(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([",".join(sorted({name for name, _ in f})) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int32()),
+                 pa.array([max((d for _, d in f), default=None) for f in found], pa.float64())], names=[id_col, "licenses", "n_matches", "best_dice"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, licenses string, n_matches int, best_dice double")

@@ -61,6 +61,24 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_notices_inside_lines_and_flat_texts(spark):
+    rng = random.Random(2)
+    gpl, mit = licenses.TEMPLATES[6][1], licenses.TEMPLATES[4][1]
+    cases = [("Copyright 2020 Foo Inc. All rights reserved.", "LicenseRef-All-Rights-Reserved", 1), ("This software is licensed under the MIT License.", "MIT", 1),
+             (f"{prose(rng, 10)} {gpl}", "GPL-3.0-or-later", 1), (f"{prose(rng, 400)} {mit} {prose(rng, 400)} Licensed under CC BY 4.0. end", "CC-BY-4.0,MIT", 2),
+             ("x Released under the MIT License. " * 300, "MIT", 300), (prose(rng, 2000), "", 0), ("of the software and of the " * 300, "", 0), (None, "", 0), ("", "", 0), ("All", "", 0)]
+    docs = spark.createDataFrame([(i, c[0], 1) for i, c in enumerate(cases)], "doc_id long, text string, licenses int")
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.scan_notices(docs).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    # Whatever the unit scan finds is found here as well, or a better match at the same place.
+    texts = [prose(rng, 40) + "\n" + t.replace("the", "a", 1) + "\n" + prose(rng, 5) for _, t in licenses.TEMPLATES]
+    notices = licenses.Notices(licenses.TEMPLATES)
+    for text in texts:
+        _, n, best = plain_licenses(text)
+        assert not n or max(d for _, d in notices.find(text)) >= best - 1e-9
+    assert licenses.scan_notices(docs.limit(0)).count() == 0
+
+
 # --- secrets
 
 PATTERNS = [("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
