@@ -50,6 +50,44 @@ TEMPLATES = [
 ]
 
 
+GNU = [("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser ", ("2.1", "3.0")), ("AGPL", "Affero ", ("3.0",))]
+#: Notices of the common licenses and versions, for `scan_notices`; the list of op1 stays as its SQL has it.
+NOTICES = [t for t in TEMPLATES if t[0] not in ("BSD-3-Clause", "GPL-3.0-only", "GPL-3.0-or-later")]
+for _family, _word, _versions in GNU:
+    for _v in _versions:
+        for _said in sorted({_v, _v.removesuffix(".0")}):
+            _license = f"the GNU {_word}General Public License"
+            _program = "This program is free software: you can redistribute it and/or modify it under the terms of"
+            NOTICES += [
+                (f"{_family}-{_v}-only", f"This work is licensed under {_license}, version {_said}."),
+                (f"{_family}-{_v}-only", f"{_program} {_license} as published by the Free Software Foundation, version {_said} of the License."),
+                (f"{_family}-{_v}-only", f"{_program} {_license} version {_said} as published by the Free Software Foundation."),
+                (f"{_family}-{_v}-or-later", f"{_program} {_license} as published by the Free Software Foundation, either version {_said} of the License, or (at your option) any later version."),
+                (f"{_family}-{_v}-or-later", f"This work is licensed under {_license}, version {_said} or later.")]
+for _kind in ("", "SA", "NC", "ND", "NC SA", "NC ND"):
+    _long = "-".join(["Attribution", *({"SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}[k] for k in _kind.split())])
+    for _v, _region in (("3.0", "Unported"), ("4.0", "International")):
+        _name = f"CC BY {_kind}".strip().replace(" ", "-").replace("CC-BY", "CC BY")
+        NOTICES += [(f"{_name.replace(' ', '-')}-{_v}", f"Licensed under {_name} {_v}."),
+                    (f"{_name.replace(' ', '-')}-{_v}", f"This work is licensed under a Creative Commons {_long} {_v} {_region} License.")]
+_opening = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+_no_endorsement = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+                   "without specific prior written permission.")
+NOTICES += [
+    ("BSD-2-Clause", f"{_opening} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"),
+    ("BSD-3-Clause", f"{_opening} {_no_endorsement} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal.")]
+NOTICES = list(dict.fromkeys(NOTICES))
+
+
 def template_bigrams(text: str) -> list[str]:
     words = re.findall(r"[^\W_]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
@@ -174,9 +212,9 @@ def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  threshold: float = THRESHOLD) -> DataFrame:
     """As `scan_licenses`, but runs of words instead of units, so a notice is found inside a longer line or a flat text.
 
-    `n_matches` counts notices. Without `templates` those of op1 are compared.
+    `n_matches` counts notices. Without `templates` those in `NOTICES` are compared.
     """
-    known = templates or TEMPLATES
+    known = templates or NOTICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notices = Notices(known, threshold)

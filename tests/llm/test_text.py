@@ -68,7 +68,7 @@ def test_notices_inside_lines_and_flat_texts(spark):
              (f"{prose(rng, 10)} {gpl}", "GPL-3.0-or-later", 1), (f"{prose(rng, 400)} {mit} {prose(rng, 400)} Licensed under CC BY 4.0. end", "CC-BY-4.0,MIT", 2),
              ("x Released under the MIT License. " * 300, "MIT", 300), (prose(rng, 2000), "", 0), ("of the software and of the " * 300, "", 0), (None, "", 0), ("", "", 0), ("All", "", 0)]
     docs = spark.createDataFrame([(i, c[0], 1) for i, c in enumerate(cases)], "doc_id long, text string, licenses int")
-    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.scan_notices(docs).collect()}
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.scan_notices(docs, templates=licenses.TEMPLATES).collect()}
     assert got == {i: c[1:] for i, c in enumerate(cases)}
     # Whatever the unit scan finds is found here as well, or a better match at the same place.
     texts = [prose(rng, 40) + "\n" + t.replace("the", "a", 1) + "\n" + prose(rng, 5) for _, t in licenses.TEMPLATES]
@@ -79,6 +79,21 @@ def test_notices_inside_lines_and_flat_texts(spark):
     assert licenses.scan_notices(docs.limit(0)).count() == 0
 
 
+def test_notices_of_like_licenses_are_told_apart():
+    notices = licenses.Notices(licenses.NOTICES)
+    for name, text in licenses.NOTICES:
+        assert {n for n, _ in notices.find(text)} == {name}, text
+        assert {n for n, _ in notices.find(f"Some words before it. {text} And some words after it.")} == {name}, text
+    program = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software "
+               "Foundation; either version {} of the License, or (at your option) any later version.")
+    for kind, version, name in [("General Public License", "2", "GPL-2.0-or-later"), ("General Public License", "3", "GPL-3.0-or-later"), ("Affero General Public License", "3", "AGPL-3.0-or-later"),
+                                ("Lesser General Public License", "2.1", "LGPL-2.1-or-later"), ("Lesser General Public License", "3", "LGPL-3.0-or-later")]:
+        assert {n for n, _ in notices.find(program.format(kind, version))} == {name}
+    two, three = (t for _, t in licenses.NOTICES if t.startswith("Redistribution"))
+    assert [n for n, _ in notices.find("1. " + two)] == ["BSD-2-Clause"] and [n for n, _ in notices.find("1. " + three)] == ["BSD-3-Clause"]
+    assert [n for n, _ in notices.find("Licensed under CC BY 3.0.")] == ["CC-BY-3.0"]
+
+
 # --- secrets
 
 PATTERNS = [("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
