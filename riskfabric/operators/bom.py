@@ -37,6 +37,11 @@ def _optional(doc: Column, key: str) -> Column:
     return F.when(value.isNotNull(), sanitize(value))
 
 
+def _key(value: Column) -> Column:
+    """Text that is joined on: like `sanitize`, but whole, since two keys with an equal beginning are not equal."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
 def parse_sbom(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Format, spec version, serial and vendor per document; `error` when it is no JSON object."""
     parsed = df.withColumn("_v", F.try_parse_json(payload))
@@ -79,12 +84,13 @@ def sbom_components(df: DataFrame, payload: str = "payload") -> DataFrame:
     supplier = F.when(_is_object(supplier_object), _get(c, "$.supplier.name")).when(
         _kind(supplier_object) == "STRING", _get(c, "$.supplier"))
     refs = F.filter(_elements(c, "externalRefs"), lambda r: _get(r, "$.referenceType") == "purl")
-    spdx_purl = F.when(F.size(refs) > 0, sanitize(_get(F.try_element_at(refs, F.lit(1)), "$.referenceLocator")))
+    spdx_purl = F.when(F.size(refs) > 0, _key(_get(F.try_element_at(refs, F.lit(1)), "$.referenceLocator")))
+    cyclone_purl = _get(c, "$['purl']")
     return rows.select(
         *keep,
         _named(c, "name", "unknown").alias("name"),
         F.when(cyclone, _named(c, "version", "0.0.0")).otherwise(_named(c, "versionInfo", "0.0.0")).alias("version"),
-        F.when(cyclone, _optional(c, "purl")).otherwise(spdx_purl).alias("purl"),
+        F.when(cyclone, F.when(cyclone_purl.isNotNull(), _key(cyclone_purl))).otherwise(spdx_purl).alias("purl"),
         F.when(cyclone, _optional(c, "bom-ref")).otherwise(_optional(c, "SPDXID")).alias("bom_ref"),
         F.when(cyclone, F.nullif(sanitize(supplier), F.lit(""))).otherwise(_optional(c, "supplier")).alias("supplier"))
 

@@ -594,3 +594,12 @@ def test_csv_export_doubles_quotes(spark):
     text = "".join(p.read_text() for p in pathlib.Path(folder.removeprefix("file:")).glob("part-*"))
     rows = list(csv.reader(text.splitlines(keepends=True)))
     assert rows[0] == ["id", "properties"] and json.loads(rows[1][1]) == {"k": value}
+
+
+def test_long_package_urls_stay_apart(spark):
+    long = "pkg:npm/" + "x" * 1100
+    docs = [json.dumps({"bomFormat": "CycloneDX", "components": [{"name": "n" * 1100, "purl": long + end} for end in "ab"]}),
+            json.dumps({"spdxVersion": "SPDX-2.3", "packages": [{"name": "n", "externalRefs": [{"referenceType": "purl", "referenceLocator": long + end}]} for end in "ab"]})]
+    rows = bom.sbom_components(spark.createDataFrame([(d,) for d in docs], "payload string")).collect()
+    assert sorted(r["purl"] for r in rows) == sorted([long + "a", long + "b"] * 2)
+    assert {len(r["name"]) for r in rows} == {1, 1024}
