@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskfabric.llm import plans_search, plans_text
+from riskfabric.llm import plans_corpus, plans_search, plans_text
 
-PARTS = (plans_search, plans_text)
+PARTS = (plans_search, plans_text, plans_corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
