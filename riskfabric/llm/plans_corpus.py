@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfabric.llm import centroids
+from riskfabric.llm import centroids, mixing
 from riskfabric.llm.common import table
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.concat_ws(",", "centroid"), 256).alias("centroid_sha256"))
@@ -33,5 +38,5 @@ SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster)
   CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256 FROM f JOIN c{rounds} k ON k.c = f.cluster"""
 
 
-QUERIES = {"op13_centroids": op13_centroids}
+QUERIES = {"op12_mix": op12_mix, "op13_centroids": op13_centroids}
 ORACLES = {"op13_centroids": op13_sql()}
