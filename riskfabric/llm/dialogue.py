@@ -42,33 +42,45 @@ MEMORY = 50_000
 class Bounds:
     """What the rows from a place on cost at least, after a state.
 
-    Every row costs what it costs by itself. Of two neighbours that cannot stand side by side one must change or a row must come between; disjoint
-    pairs add up. Rows to be deleted do not separate neighbours, rows of other roles do.
+    Every row costs what it costs by itself; a row of another role, or of the system unless it is the first, must change. Between two
+    neighbours of the other rows these take turns, so their number must be odd or even; else a neighbour changes, a row comes between (2)
+    or one of them goes (1 more than to rerole it, nothing where its text breaks off). Pairs that share no row add up.
     """
 
     def __init__(self, rows: str, last: bool) -> None:
         n = len(rows)
-        self.rows, self.last, self.base, self.next = rows, last, [0] * (n + 1), [n] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            row = rows[i]
-            own = DELETE if row == "x" else (REROLE if row in "oO" else 0) + BROKEN * row.isupper()
-            self.base[i], self.next[i] = self.base[i + 1] + own, self.next[i + 1] if row == "x" else i
+        self.rows, self.last, self.base, self.systems = rows.lower(), last, [0] * (n + 1), [False] * (n + 1)
+        #: From a place on: the next row that may stay, how many must change before it, and whether one of those breaks off.
+        self.next, self.between, self.free = [n] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         self.pairs = [0] * (n + 1)
         for i in range(n - 1, -1, -1):
+            row, broken = self.rows[i], rows[i].isupper()
+            self.base[i] = self.base[i + 1] + (DELETE if row == "x" else REROLE * (row in "os") + BROKEN * broken)
+            self.systems[i] = self.systems[i + 1] or row == "s"
+            self.next[i], self.between[i], self.free[i] = self.next[i + 1], self.between[i + 1], self.free[i + 1]
+            if row in "os":
+                self.between[i], self.free[i] = self.between[i] + 1, self.free[i] or broken
+            elif row != "x":
+                self.next[i], self.between[i], self.free[i] = i, 0, False
             self.pairs[i] = self.pairs[i + 1]
-            if rows[i] not in "xoO":
-                self.pairs[i] = max(self.pairs[i], self._with(AFTER[rows[i].lower()], i + 1))
+            if row in "ua":
+                self.pairs[i] = max(self.pairs[i], self._with(AFTER[row], i + 1))
 
     def _with(self, state: int, i: int) -> int:
-        """Pairs from i on, the first of them made of the state and what comes next; 0 if these go together."""
-        i = self.next[i]
-        if i == len(self.rows):
-            return int(self.last and state not in COMPLETE)
-        row = self.rows[i].lower()
-        return 0 if row == "o" or (state, row) in FOLLOWS else 1 + self.pairs[i + 1]
+        """The pairs from i on, the first of them the state and the next row that may stay, or the end."""
+        j, k = self.next[i], self.between[i]
+        for _ in range(2 - k % 2 if k else 0):
+            state = TURN[state]
+        if j == len(self.rows):
+            together, rest = not self.last or state in COMPLETE, 0
+        else:
+            together, rest = (state, self.rows[j]) in FOLLOWS, self.pairs[j + 1]
+        return rest + (0 if together or self.free[i] else DELETE - REROLE if k else INSERT)
 
     def at(self, i: int, state: int) -> int:
-        return self.base[i] + INSERT * max(self.pairs[i], self._with(state, i))
+        if state == START and self.systems[i]:
+            return self.base[i] - REROLE + self.pairs[i]  # one system row may stay
+        return self.base[i] + max(self.pairs[i], self._with(state, i))
 
 
 def search(rows: str, entry: int, last: bool) -> dict[int, tuple[int, str]]:
