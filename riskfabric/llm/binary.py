@@ -13,6 +13,7 @@ second attempt of a task replaces it by the same bytes.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -20,37 +21,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfabric.llm.bpe import blocks
-from riskfabric.llm.worker import WordMemory, kept_in_worker, load_tokenizer
+from riskfabric.llm.worker import MEMORY_PIECES, MEMORY_SPACED, Memory, kept_in_worker, load_tokenizer
 
 SEQUENCE = 2048
 BATCH_ROWS = 256
 
 
-class SpaceCodec:
-    """Ids of whole texts under a byte-level BPE; words with the space before them are remembered, each encoded once."""
+#: Where a byte-level BPE cuts a text before it encodes the pieces, each by itself. A fixed value of that pre-tokenizer.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+class PieceCodec:
+    """Ids of whole texts under a byte-level BPE, which encodes pieces of a text one by one.
+
+    Texts are split at spaces; a space starts a piece unless white space follows it, so what a word with the space before it gives does not
+    depend on its neighbours. Words are remembered, and of new words the pieces, each encoded once. Texts with a space before white space or the end are cut
+    into pieces as a whole; texts that hold an added token, and all texts of tokenizers that cut otherwise, are encoded as they are.
+    """
 
     def __init__(self, definition: str, kind: str):
         self.tokenizer, self.kind = load_tokenizer(definition), kind
-        self.first = WordMemory(self.tokenizer, lambda word, ids: self._bytes(ids))
-        # A space starts a word unless white space follows it; such texts are encoded as a whole.
-        self.later = WordMemory(self.tokenizer, lambda word, ids: self._bytes(ids) if word and not word[0].isspace() else None, prefix=" ")
+        rules = json.loads(definition)
+        cut = rules.get("pre_tokenizer") or {}
+        self.by_piece = not rules.get("normalizer") and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex", True)) and not cut.get("add_prefix_space")
+        self.added = [token["content"] for token in rules.get("added_tokens") or []]
+        self.split = regex.compile(PIECES).findall
+        self.pieces = Memory(lambda new: [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], MEMORY_PIECES)
+        self.words = Memory(self._words, MEMORY_SPACED)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _words(self, new: list[str]) -> list[bytes | None]:
+        """Of words after a space; None where the space starts no piece."""
+        plain = [w for w in new if w and not w[0].isspace()]
+        pieces = self.split("".join([" " + w for w in plain]))
+        known = self.pieces.learn(set(pieces))
+        ids = [known[p] for p in pieces]
+        # Words hold no space, so each starts where a piece does.
+        starts = [*[i for i, p in enumerate(pieces) if p[0] == " "], len(ids)]
+        found = {w: ids[a] if b - a == 1 else b"".join(ids[a:b]) for w, a, b in zip(plain, starts[:-1], starts[1:], strict=True)}
+        return [found.get(w) for w in new]
+
+    def _whole(self, text: str) -> bytes:
+        if self._plain(text):
+            pieces = self.split(text)
+            known = self.pieces.learn(set(pieces))
+            return b"".join([known[p] for p in pieces])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _plain(self, text: str) -> bool:
+        return self.by_piece and not any(token in text for token in self.added)
+
     def block(self, texts: list[str | None]) -> Iterator[bytes]:
-        cut = [(t or "").split(" ") for t in texts]
-        first = self.first.learn(parts[0] for parts in cut)
-        later = self.later.learn(set().union(*(parts[1:] for parts in cut)))
+        """Ids of each text. The first word of a text has no space before it and is encoded by itself."""
+        cut = [(t or "").split(" ") if self._plain(t or "") else None for t in texts]
+        known = self.words.learn(set().union(*[parts[1:] for parts in cut if parts is not None]))
         for text, parts in zip(texts, cut, strict=True):
-            found = [first[parts[0]], *[later[p] for p in parts[1:]]]
-            yield self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if None in found else b"".join(found)
+            found = [None] if parts is None else [known[p] for p in parts[1:]]
+            yield self._whole(text or "") if None in found else b"".join([self._whole(parts[0]), *found])
 
 
 def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -147,12 +182,12 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, end_id: int = 0,
     Every executor must reach the folder. Null texts count as empty; each document ends with end_id. Rows with a null id come
     first; repeated ids stand together. Ids take 16 bits if the vocabulary allows. No shards for an empty table.
     """
-    key = ("space_codec", hashlib.sha256(definition.encode()).hexdigest())
+    key = ("piece_codec", hashlib.sha256(definition.encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make() -> SpaceCodec:
+        def make() -> PieceCodec:
             kind = "<u2" if load_tokenizer(definition).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-            return SpaceCodec(definition, kind)
+            return PieceCodec(definition, kind)
 
         shard, writer = TaskContext.get().partitionId(), None
         for batch in batches:

@@ -29,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 2**30
 #: A source is balanced where its tilted words are this close to the target, in proportion.
 TOLERANCE = 1e-6
+#: Rows of (source, size) up to which the copies per size are broadcast (about 2 MB).
+WIDE_ROWS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -142,7 +144,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     cells = _copies(cells, most).select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target",
                                         (F.col("_r") / UNIT).alias("rate"), F.floor(F.col("_m") / F.col("_n")).alias("_each"), F.pmod("_m", "_n").alias("_extra"))
     ranked = KeyedScan(sized.withColumn("_hash", F.xxhash64("_id")), ["source", "size"], ["_hash", "_id", "_tie"]).row_number("_rank").done()
-    joined = ranked.join(small_or_shuffled(cells), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    joined = ranked.join(small_or_shuffled(cells, WIDE_ROWS), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     copies = F.col("_each") + (F.col("_rank") <= F.col("_extra")).cast("long")
     return joined.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "rate", copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"))

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable
 
 #: Words a memory holds before it starts anew.
 MEMORY_WORDS = 400_000
+#: The same where words stand beside the pieces they are made of.
+MEMORY_SPACED, MEMORY_PIECES = 1_000_000, 600_000
 
 
 def kept_in_worker(key, make: Callable[[], object]):
@@ -45,3 +47,25 @@ class WordMemory:
             for word, encoded in zip(new, self.tokenizer.encode_batch_fast([self.prefix + w for w in new], add_special_tokens=False), strict=True):
                 self.known[word] = self.of(word, encoded.ids)
         return self.known
+
+
+class Memory:
+    """What `make` gives for texts, each made once while it is remembered: in one of two generations of `most` // 2 texts at most, or of those
+    asked for last. A text that is met moves to the younger; when that is full the older is forgotten."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
+        self.make, self.most, self.known, self.older = make, most // 2, {}, {}
+
+    def learn(self, texts: set[str]) -> dict[str, object]:
+        """Holds at least the given texts afterwards."""
+        missing = [t for t in texts if t not in self.known]
+        if len(self.known) + len(missing) > self.most:
+            self.older, self.known, missing = self.known, {}, texts
+        new = []
+        for text in missing:
+            if text in self.older:
+                self.known[text] = self.older[text]
+            else:
+                new.append(text)
+        self.known.update(zip(new, self.make(new), strict=True))
+        return self.known

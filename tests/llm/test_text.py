@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskfabric.llm import binary, bpe, langid, licenses, quality, secrets
+from riskfabric.llm import binary, bpe, langid, licenses, quality, secrets, worker
 from riskfabric.llm.plans_text import tokenizer_definition
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -203,6 +203,35 @@ def test_chunks_of_copies_are_cut_alike_and_reused():
     assert len(codec.chunks) - before < 1.5 * len(cut[0])
 
 
+SPACES = [" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "\u3000", "\xa0", "\u200b"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*SPACES, "a", "Bc", "é", "1", "22", ".", ",", "'s", "'", "'ll", "日本", "😀", "\u0301", "<|endoftext|>", "<|endof", "_", "Ⅷ", "²"]), max_size=20))
+def test_pieces_give_the_ids_of_whole_texts(parts):
+    codec, plain = piece_codec()
+    texts = ["".join(parts), None, "".join(parts) + " x"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u2").tolist() for b in codec.block(texts)] == want
+
+
+def piece_codec(made={}):  # noqa: B006
+    if not made:
+        definition = tokenizer_definition(BYTE_BPE)
+        made.update(codec=binary.PieceCodec(definition, "<u2"), plain=Tokenizer.from_str(definition))
+        made["codec"].words.most = made["codec"].pieces.most = 40
+    return made["codec"], made["plain"]
+
+
+def test_memory_keeps_what_is_met():
+    made = []
+    memory = worker.Memory(lambda new: made.extend(new) or [t.upper() for t in new], 8)
+    for i in range(50):
+        known = memory.learn({"kept", f"once {i}"})
+        assert known["kept"] == "KEPT" and known[f"once {i}"] == f"ONCE {i}" and len(memory.known) <= 5
+    assert made.count("kept") == 1
+
+
 @pytest.mark.parametrize(("sequence", "rows"), [(16, 4), (2048, 256)])
 def test_token_files_round_trip(spark, tmp_path, sequence, rows):
     definition = tokenizer_definition(BYTE_BPE)
