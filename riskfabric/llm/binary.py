@@ -17,6 +17,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,10 @@ BATCH_ROWS = 256
 
 #: Where a byte-level BPE cuts a text before it encodes the pieces, each by itself. A fixed value of that pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The character by which a byte-level BPE writes each byte: printable ones stand for themselves, the others follow from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {byte: chr(0x100 + i) for i, byte in enumerate(b for b in range(0x100) if b not in PRINTABLE)}
+
 
 class PieceCodec:
     """Ids of whole texts under a byte-level BPE, which encodes pieces of a text one by one.
@@ -47,18 +52,27 @@ class PieceCodec:
 
     def __init__(self, definition: str, kind: str):
         self.tokenizer, self.kind = load_tokenizer(definition), kind
+        self.code = {"<u2": "H", "<u4": "I"}[kind]  # as on all machines that Spark's Arrow exchange runs on
         rules = json.loads(definition)
         cut = rules.get("pre_tokenizer") or {}
         self.by_piece = not rules.get("normalizer") and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex", True)) and not cut.get("add_prefix_space")
         self.added = [token["content"] for token in rules.get("added_tokens") or []]
         self.split = regex.compile(PIECES).findall
-        self.pieces = Memory(lambda new: [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], MEMORY_PIECES)
+        self.pieces = Memory(self._encoded, MEMORY_PIECES)
         self.words = Memory(self._words, MEMORY_SPACED)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        """Of pieces, by the tokenizer's model alone: what stands before it has cut the text and written bytes as characters."""
+        of, code = self.tokenizer.model.tokenize, self.code
+        letters = "\0".join(new).encode().decode("latin-1").translate(BYTE_LETTERS).split(BYTE_LETTERS[0])
+        if len(letters) != len(new):  # a piece holds the separator
+            letters = [p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in new]
+        return {p: array(code, [token.id for token in of(text)]).tobytes() for p, text in zip(new, letters, strict=True)}
 
-    def _words(self, new: list[str]) -> list[bytes | None]:
+    def _words(self, new: list[str]) -> dict[str, bytes | None]:
         """Of words after a space; None where the space starts no piece."""
         plain = [w for w in new if w and not w[0].isspace()]
         pieces = self.split("".join([" " + w for w in plain]))
@@ -67,7 +81,7 @@ class PieceCodec:
         # Words hold no space, so each starts where a piece does.
         starts = [*[i for i, p in enumerate(pieces) if p[0] == " "], len(ids)]
         found = {w: ids[a] if b - a == 1 else b"".join(ids[a:b]) for w, a, b in zip(plain, starts[:-1], starts[1:], strict=True)}
-        return [found.get(w) for w in new]
+        return found if len(plain) == len(new) else dict.fromkeys(new) | found
 
     def _whole(self, text: str) -> bytes:
         if self._plain(text):

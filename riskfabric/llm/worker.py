@@ -53,12 +53,12 @@ class Memory:
     """What `make` gives for texts, each made once while it is remembered: in one of two generations of `most` // 2 texts at most, or of those
     asked for last. A text that is met moves to the younger; when that is full the older is forgotten."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
+    def __init__(self, make: Callable[[list[str]], dict[str, object]], most: int):
         self.make, self.most, self.known, self.older = make, most // 2, {}, {}
 
     def learn(self, texts: set[str]) -> dict[str, object]:
         """Holds at least the given texts afterwards."""
-        missing = [t for t in texts if t not in self.known]
+        missing = texts.difference(self.known)
         if len(self.known) + len(missing) > self.most:
             self.older, self.known, missing = self.known, {}, texts
         new = []
@@ -67,5 +67,5 @@ class Memory:
                 self.known[text] = self.older[text]
             else:
                 new.append(text)
-        self.known.update(zip(new, self.make(new), strict=True))
+        self.known.update(self.make(new))
         return self.known

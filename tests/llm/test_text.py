@@ -203,7 +203,7 @@ def test_chunks_of_copies_are_cut_alike_and_reused():
     assert len(codec.chunks) - before < 1.5 * len(cut[0])
 
 
-SPACES = [" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "\u3000", "\xa0", "\u200b"]
+SPACES = [" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "\0", "\u3000", "\xa0", "\u200b"]
 
 
 @settings(max_examples=400, deadline=None)
@@ -225,7 +225,7 @@ def piece_codec(made={}):  # noqa: B006
 
 def test_memory_keeps_what_is_met():
     made = []
-    memory = worker.Memory(lambda new: made.extend(new) or [t.upper() for t in new], 8)
+    memory = worker.Memory(lambda new: made.extend(new) or {t: t.upper() for t in new}, 8)
     for i in range(50):
         known = memory.learn({"kept", f"once {i}"})
         assert known["kept"] == "KEPT" and known[f"once {i}"] == f"ONCE {i}" and len(memory.known) <= 5
