@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfabric.llm.worker import WordMemory, kept_in_worker, load_tokenizer
+from riskfabric.llm.worker import WordMemory, give_back, kept_in_worker, load_tokenizer
 
 WINDOW = 32
 CHUNK_BITS = 10
@@ -164,4 +164,4 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema + (", ids binary" if ids else ""))
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(give_back(run), schema + (", ids binary" if ids else ""))

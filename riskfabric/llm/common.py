@@ -30,3 +30,16 @@ def lower_ascii(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_key(*columns: Column) -> Column:
+    """A text that names a row by its values: equal rows have equal keys, nulls differ from every value."""
+    return F.md5(F.concat_ws("/", *[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in (c.cast("string") for c in columns)]))

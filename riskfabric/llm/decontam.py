@@ -93,7 +93,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         hits = hashed.select("_id", F.size("_hashes").alias("_n"), F.explode("_hashes").alias("_hash")).join(
             probe, (F.col("_hash") == F.col("_probe")) & (F.col("_n") >= F.col("_need"))).select("_id", "_key")
         found = hits if found is None else found.unionByName(hits)
-    result = "_id long, _item long, n_shared int, n_item int"
+    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    result = f"_id {kinds[0]}, _item {kinds[1]}, n_shared int, n_item int"
     if found is None:
         verified = docs.sparkSession.createDataFrame([], result)
     else:

@@ -8,6 +8,7 @@ n-gram profile they share.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskfabric.llm.worker import give_back, kept_in_worker
+
 DIMENSIONS = 512
 GRAM = 3
 SEED = 20240607
@@ -25,9 +28,9 @@ UNKNOWN = "und"
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point up to U+2FFFF; others count as no letter."""
-    letters = np.array([chr(i).isalpha() for i in range(0x30000)])
-    points = np.arange(0x30000)
+    """Symbol of each code point; those that are no letter have 0."""
+    points = np.arange(sys.maxunicode + 1, dtype=np.int32)
+    letters = np.fromiter((chr(i).isalpha() for i in range(len(points))), bool, len(points))
     out = np.where(letters, 27 + points % (SYMBOLS - 27), 0)
     out[97:123] = np.arange(1, 27)
     return out.astype(np.uint8)
@@ -46,7 +49,7 @@ class Profiles:
         """Sum of the vectors of all letter trigrams, with one mark at word ends; None without a letter."""
         points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
         marks = np.zeros(len(points) + 2, np.int32)
-        marks[1:-1] = self.symbols[np.minimum(points, len(self.symbols) - 1)]
+        marks[1:-1] = self.symbols[points]
         if not marks.any():
             return None
         marks = marks[(marks > 0) | np.r_[True, marks[:-1] > 0]]  # one mark between words
@@ -64,7 +67,7 @@ class Profiles:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A prototype of unit length for each language of the labelled rows; rows without text, letter or language are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles, sums = Profiles(), {}
+        profiles, sums = kept_in_worker("language_profiles", Profiles), {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if (bundle := profiles.bundle(text.as_py())) is not None:
@@ -73,7 +76,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["_lang", "_at", "_sum"])
 
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
-    sums = rows.mapInArrow(run, "_lang string, _at int, _sum long").groupBy("_lang", "_at").agg(F.sum("_sum").alias("_sum"))
+    sums = rows.mapInArrow(give_back(run), "_lang string, _at int, _sum long").groupBy("_lang", "_at").agg(F.sum("_sum").alias("_sum"))
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():  # languages x dimensions rows
         found.setdefault(r["_lang"], np.zeros(DIMENSIONS))[r["_at"]] = r["_sum"]
@@ -89,7 +92,7 @@ def predicted(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        profiles = Profiles()
+        profiles = kept_in_worker("language_profiles", Profiles)
         for column in columns:
             langs, scores = [], []
             for text in column:
@@ -104,9 +107,10 @@ def predicted(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    whole = give_back(run)
+    whole.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return F.arrow_udf(run, kind)(text)
+    return F.arrow_udf(whole, kind)(text)
 
 
 def held_out(id_column: Column, parts: int, part: int) -> Column:

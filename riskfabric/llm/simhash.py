@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfabric.llm.worker import give_back
 from riskfabric.operators.graph import connected_components
 from riskfabric.session import cut
 
@@ -73,14 +74,16 @@ def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEE
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`_id` and `_fp` (long): each bit is 1 if set in over half of the XXH64 hashes of the text's word shingles."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """`_id`, `_fp` (long) and, if asked for, `_key` (text): each bit is 1 if set in over half of the XXH64 hashes of the text's word shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint_of(t.as_py()) for t in batch.column(1)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks)], names=["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks), *batch.columns[2:]], names=["_id", "_fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "_id long, _fp long")
+    key = [F.col(key_col).cast("string").alias("_key")] if key_col else []
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *key)
+    return rows.mapInArrow(give_back(run), "_id long, _fp long" + (", _key string" if key_col else ""))
 
 
 def anchored(marks: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -115,20 +118,22 @@ def near_pairs(marks: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return own.join(reached, (F.col("_anchor") == F.col("_at")) & (F.col("_a") < F.col("_b")) & (F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= threshold)).select("_a", "_b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, key_col: str | None = None) -> DataFrame:
     """id, `fingerprint` (16 hex digits) and `component_id`, the smallest id reachable over links of <= threshold bits.
 
     One row per input row; rows of the same id are linked by their texts alone and a row always reaches itself. Null and
     empty texts have fingerprint zero, linked like any other. Rows with a null id pass links on and take part in the
-    component, which is null only where no row of it has an id. Only the two columns are read.
+    component, which is null only where no row of it has an id. Only the two columns are read. With `key_col`, a text that names rows, that
+    column and `group` (a number for each component, null ids or not) follow.
     """
-    rows = cut(fingerprints(docs, id_col, text_col))
+    rows = cut(fingerprints(docs, id_col, text_col, key_col))
     marks = cut(rows.groupBy("_fp").agg(F.min("_id").alias("_least")))
     pairs = cut(near_pairs(marks.select("_fp").repartition("_fp"), threshold))
     linked = pairs.select(F.explode(F.array("_a", "_b")).alias("id")).distinct()
     groups = connected_components(linked, pairs.select(F.col("_a").alias("src"), F.col("_b").alias("dst")))
     merged = cut(marks.join(groups, F.col("_fp") == F.col("id"), "left").select("_fp", "_least", F.coalesce("component", "_fp").alias("_group")))
     least = cut(merged.groupBy("_group").agg(F.min("_least").alias("_component")))
-    classes = cut(merged.join(least, "_group").select(F.col("_fp").alias("_mark"), "_component"))
+    classes = cut(merged.join(least, "_group").select(F.col("_fp").alias("_mark"), "_component", "_group"))
+    more = [F.col("_key").alias(key_col), F.col("_group").alias("group")] if key_col else []
     return rows.join(classes, F.col("_fp") == F.col("_mark")).select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"), *more)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import types
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 
 #: Words a memory holds before it starts anew.
 MEMORY_WORDS = 400_000
@@ -21,6 +24,17 @@ def kept_in_worker(key, make: Callable[[], object]):
     return store[key]
 
 
+def give_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for one task; memory that it has freed goes back to the system at its end, since an idle worker would keep it beside those of later stages."""
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def load_tokenizer(definition: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
     from tokenizers import Tokenizer

@@ -203,6 +203,11 @@ def test_chunks_of_copies_are_cut_alike_and_reused():
     assert len(codec.chunks) - before < 1.5 * len(cut[0])
 
 
+def test_letters_of_all_planes():
+    profiles = langid.Profiles()
+    assert profiles.bundle("\U00030000\U00030001") is not None and profiles.bundle("\U0010ffff 1 .") is None
+
+
 SPACES = [" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "\0", "\u3000", "\xa0", "\u200b"]
 
 
