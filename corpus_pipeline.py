@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfabric.llm import bpe, decontam, langid, nearcopies, secrets, simhash
-from riskfabric.llm.common import small_or_shuffled, table
+from riskfabric.llm.common import row_key, small_or_shuffled, table, unused
 from riskfabric.llm.plans_text import tokenizer_definition
-from riskfabric.session import cut, scratch
-
-#: Below every cosine: a short text shares few trigrams with its language, so a bound would drop clean texts and no junk.
-LEAST_COSINE = -1.0
+from riskfabric.session import cut, discard, scratch
+#: Rows of a 32-letter key up to which a side is broadcast (about 4 MB).
+KEYS = 50_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,43 +28,61 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"), 4, 2)))
     if not prototypes:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    guess = langid.predicted(docs["text"], prototypes)
-    judged = docs.withColumn("_pipeline_guess", guess)
-    return judged.filter((F.col("_pipeline_guess.lang_pred") != langid.UNKNOWN) & (F.col("_pipeline_guess.score") >= LEAST_COSINE)).drop("_pipeline_guess")
+    guess = unused(docs, "_guess")
+    judged = docs.withColumn(guess, langid.predicted(docs["text"], prototypes))
+    return judged.filter(F.col(guess)["lang_pred"] != langid.UNKNOWN).drop(guess)
+
+
+def _without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not among the dropped ones (a column of their distinct keys, no other)."""
+    gone = dropped.toDF(unused(docs, "_gone"))
+    return docs.join(small_or_shuffled(gone, KEYS), F.col(key) == F.col(gone.columns[0]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None) -> DataFrame:
-    """Keeps the document of the smallest id of each group; of repeated rows of that id one. Rows without an id stay.
+    """Keeps one row of each group: that of the smallest id (rows without an id come last), of these the one with the least digest of id and text.
 
-    Groups are those of op7; with `similarity`, of all texts whose five-word shingles have that Jaccard similarity.
+    Decisions are by row, so different texts of one id, or without an id, are judged each by its own group. Groups are those of op7; with
+    `similarity`, of all texts whose five-word shingles have that Jaccard similarity.
     """
-    pairs = docs.select("doc_id", "text")
-    classes = simhash.near_duplicates(pairs) if similarity is None else nearcopies.near_copies(pairs, threshold=similarity)
-    dropped = cut(classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_pipeline_id")).distinct())
-    kept = docs.join(small_or_shuffled(dropped), F.col("doc_id") == F.col("_pipeline_id"), "left_anti")
-    repeated = small_or_shuffled(cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_pipeline_id"))))
-    single = kept.join(repeated, F.col("doc_id") == F.col("_pipeline_id"), "left_anti")
-    # Rows of one id are few or equal; they meet by id and one of them stays.
-    several = kept.join(repeated, F.col("doc_id") == F.col("_pipeline_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    key = unused(docs, "_row")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    own = keyed.select(F.col("doc_id"), F.col("text"), F.col(key).alias("_key"))
+    if similarity is None:
+        classes = simhash.near_duplicates(own, key_col="_key")
+    else:
+        # Rows are told apart by number, since ids may repeat or lack.
+        numbered = cut(own.withColumn("_number", F.monotonically_increasing_id()))
+        found = nearcopies.near_copies(numbered.select(F.col("_number").alias("doc_id"), "text"), threshold=similarity)
+        classes = numbered.drop("text").join(found.select(F.col("doc_id").alias("_number"), F.col("component_id").alias("group")), "_number")
+    classes = cut(classes.select("doc_id", "_key", "group"))
+    first = classes.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_first"))
+    dropped = cut(classes.join(first, "group").filter(F.col("_key") != F.col("_first")).select("_key").distinct())
+    repeated = cut(classes.groupBy("_key").count().filter("count > 1").select("_key").join(dropped, "_key", "left_anti"))
+    kept = _without(keyed, key, dropped)
+    several = unused(keyed, "_several")
+    # Rows of one key are equal in id and text; they meet by key and one of them stays.
+    copies = kept.join(small_or_shuffled(repeated.toDF(several), KEYS), F.col(key) == F.col(several), "left_semi").dropDuplicates([key])
+    return _without(kept, key, repeated).unionByName(copies).drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    found = decontam.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    ids = cut(found.select(F.col("doc_id").alias("_pipeline_id")).distinct())
-    return docs.join(small_or_shuffled(ids), F.col("doc_id") == F.col("_pipeline_id"), "left_anti")
+    """Drops rows whose text contains a benchmark item, whatever their id."""
+    key = unused(docs, "_row")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    found = decontam.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return _without(keyed, key, cut(found.select("doc_id").distinct())).drop(key)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark, and n_chars by the new length where the text changed."""
-    found = secrets.with_secrets(docs, into="_pipeline_spans")
-    changed = F.size("_pipeline_spans") > 0
-    text = secrets.redacted(F.col("text"), F.col("_pipeline_spans"))
-    out = found.withColumn("text", text)
+    spans = unused(docs, "_found")
+    found = secrets.with_secrets(docs, into=spans)
+    changed = F.size(spans) > 0
+    out = found.withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_pipeline_spans")
+    return out.drop(spans)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,9 +99,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs

@@ -65,3 +65,10 @@ def keep(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder beneath the checkpoint folder, for outputs that are read back in the same job."""
     return f"{ensure_checkpoint_dir(spark)}/riskfabric/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that `scratch` named, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
