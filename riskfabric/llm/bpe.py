@@ -25,7 +25,7 @@ from riskfabric.llm.worker import WordMemory, give_back, kept_in_worker, load_to
 WINDOW = 32
 CHUNK_BITS = 10
 BASE = 0x9E3779B97F4A7C15 | 1
-MEMORY_BYTES = 48 << 20
+MEMORY_BYTES = 24 << 20
 #: Texts whose new words are encoded together.
 BLOCK_CHARS = 4 << 20
 

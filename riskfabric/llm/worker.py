@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 
 #: Words a memory holds before it starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 #: The same where words stand beside the pieces they are made of.
 MEMORY_SPACED, MEMORY_PIECES = 1_000_000, 600_000
 
