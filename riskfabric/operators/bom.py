@@ -42,6 +42,11 @@ def _key(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def _whole(doc: Column, key: str) -> Column:
+    value = _get(doc, f"$['{key}']")
+    return F.when(value.isNotNull(), _key(value))
+
+
 def parse_sbom(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Format, spec version, serial and vendor per document; `error` when it is no JSON object."""
     parsed = df.withColumn("_v", F.try_parse_json(payload))
@@ -147,5 +152,5 @@ def parse_mbom(df: DataFrame, key: str, payload: str = "payload") -> tuple[DataF
     dependencies = docs.select(key, F.explode(_elements(v, "dependencies")).alias("_d")).select(
         key, F.when(F.length(F.coalesce(_get(d, "$.package_name"), F.lit(""))) > 0, sanitize(_get(d, "$.package_name")))
         .otherwise(_named(d, "name", "unknown")).alias("package_name"),
-        _named(d, "version", "0.0.0").alias("version"), _optional(d, "purl").alias("purl"), _optional(d, "license").alias("license"))
+        _named(d, "version", "0.0.0").alias("version"), _whole(d, "purl").alias("purl"), _optional(d, "license").alias("license"))
     return models, datasets, dependencies

@@ -129,13 +129,16 @@ def prioritize(artefacts: DataFrame, reports: DataFrame, runs: DataFrame, key: s
     )
 
 
-def dp_release(df: DataFrame, ident: str, score: str, secret: str, epsilon: float = 1.0, sensitivity: float = 100.0) -> DataFrame:
+def dp_release(df: DataFrame, ident: str, score: str, secret: str, release: str, epsilon: float = 1.0, sensitivity: float = 100.0) -> DataFrame:
     """Laplace noise by inverse CDF, clamped to 0..100; the raw score does not leave.
 
-    The draw is a keyed digest of the row's id, so a retry or another layout releases the same value again.
+    The draw is a digest, keyed by the secret, of the release's name, the row's id and the score. A retry of a release gives the same value, so it
+    cannot be averaged away by asking again; another release, or another score, has a draw of its own, so the difference of two
+    releases tells no more of the scores than two noisy values do. Each release spends `epsilon`.
     """
     scale = sensitivity / epsilon
-    digits = F.substring(F.sha2(F.concat_ws("/", F.lit(secret), F.col(ident).cast("string")), 256), 1, 12)
+    exact = F.floor(F.col(score) * 1e6 + 0.5).cast("long").cast("string")
+    digits = F.substring(F.sha2(F.concat_ws("/", F.lit(secret), F.lit(release), F.col(ident).cast("string"), exact), 256), 1, 12)
     drawn = df.withColumn("_u", F.conv(digits, 16, 10).cast("double") / float(16**12) - 0.5)
     noise = -F.lit(scale) * F.signum("_u") * F.log(F.lit(1.0) - F.abs("_u") * 2.0)
     noisy = F.when(F.col(score).isNotNull(), clamp(F.col(score) + noise, 0.0, 100.0))

@@ -252,10 +252,10 @@ def p30(t: Lake):
 DRAWN = "CAST(CAST(concat('0x', substr(sha256(concat({0})), 1, 12)) AS BIGINT) AS DOUBLE) / 281474976710656e0"
 
 
-@query("p31_dp_release", f"""WITH u AS (SELECT *, {DRAWN.format("'release/', vendor_id")} - 0.5e0 AS u FROM vendors)
+@query("p31_dp_release", f"""WITH u AS (SELECT *, {DRAWN.format("'release/first/', vendor_id, '/', CAST(floor(security_score * 1e6 + 0.5) AS BIGINT)")} - 0.5e0 AS u FROM vendors)
 SELECT vendor_id, name, tier, cves, {rounded('greatest(0e0, least(100e0, security_score - 100e0 * sign(u) * ln(1 - abs(u) * 2)))')} AS dp_security_score FROM u""")
 def p31(t: Lake):
-    out = risk.dp_release(t.vendors, "vendor_id", "security_score", "release", epsilon=1.0)
+    out = risk.dp_release(t.vendors, "vendor_id", "security_score", "release", "first", epsilon=1.0)
     return out.withColumn("dp_security_score", half_up(F.col("dp_security_score"), 6))
 
 

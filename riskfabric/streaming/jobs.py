@@ -54,8 +54,8 @@ def ingest_batch(store: GraphStore, dlq: str, schema: str, salt: str) -> Callabl
         bad.write.mode("overwrite").json(f"{dlq}/run={store.run}/batch={batch_id}")
         parsed = good.select(F.from_json("value", schema).alias("s")).select("s.*")
         nodes, edges = windows.signals_to_graph(enrich(parsed, salt))
-        store.append("nodes", nodes.withColumn("seen", F.col("ts_us")), batch_id)
-        store.append("edges", edges.withColumn("seen", F.col("ts_us")), batch_id)
+        store.append(batch_id, nodes=(nodes.withColumn("seen", F.col("ts_us")), ["id"]),
+                     edges=(edges.withColumn("seen", F.col("ts_us")), ["src", "dst", "type"]))
         rows.unpersist()
 
     return handle
@@ -76,7 +76,7 @@ def graph_update_batch(store: GraphStore) -> Callable[[DataFrame, int], None]:
             F.concat("asset_type", F.lit(":"), F.coalesce("value", F.lit("unknown"))).alias("id"),
             F.col("asset_type").alias("label"), F.col("norm_severity").alias("severity"), "event_type",
             "ts_us", "signal_id", F.col("ts_us").alias("seen"))
-        store.append("assets", rows, batch_id)
+        store.append(batch_id, assets=(rows, ["id"]))
 
     return handle
 

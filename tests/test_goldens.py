@@ -214,12 +214,32 @@ def test_priorities(spark):
 
 def test_dp_release_hides_the_score(spark):
     df = spark.range(2000).withColumn("security_score", F.lit(50.0))
-    out = risk.dp_release(df, "security_score", seed=3)
+    out = risk.dp_release(df, "id", "security_score", "key", "first")
     assert "security_score" not in out.columns
     low, high, mean = out.agg(F.min("dp_security_score"), F.max("dp_security_score"), F.avg("dp_security_score")).first()
     assert 0.0 <= low and high <= 100.0 and 40 < mean < 60
 
 
+def test_releases_do_not_reveal_a_change(spark):
+    """Two releases of an id differ by the draw, not by the change of the score; a retry does not differ."""
+    def released(score, release):
+        df = spark.range(2000).withColumn("security_score", F.lit(score))
+        return {r.id: r.dp_security_score for r in risk.dp_release(df, "id", "security_score", "key", release, epsilon=20.0).collect()}
+
+    first, again, changed, other = released(50.0, "a"), released(50.0, "a"), released(53.0, "a"), released(50.0, "b")
+    assert first == again
+    for later in (changed, other):
+        gaps = {round(later[i] - first[i], 6) for i in first}
+        assert len(gaps) > 1900
+
+
+def test_dependency_purls_are_whole(spark):
+    long = "pkg:generic/" + "x" * 2000
+    doc = json.dumps({"model_name": "m", "architecture": {}, "dependencies": [{"package_name": "a", "purl": long + "1"}, {"package_name": "a", "purl": long + "2"}]})
+    _, _, deps = bom.parse_mbom(spark.createDataFrame([(1, doc)], "id int, payload string"), "id")
+    assert sorted(r.purl for r in deps.collect()) == [long + "1", long + "2"]
+
+
 def test_reputation_and_malware(spark):
     df = spark.createDataFrame([("clean_hash_123", 4.2, 15, 4, False, True), ("compromised_hash_999", 7.9, 90, 8, True, False)],
                                "hash string, entropy double, num_imports int, num_sections int, packer_detected boolean, signature_valid boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import subprocess
 import sys
 
@@ -114,13 +115,85 @@ def test_a_new_run_keeps_the_deltas_of_earlier_ones(spark):
     folder = scratch(spark, "runs")
     rows = lambda *ids: spark.createDataFrame([(i, 1, 1, 1) for i in ids], "id string, ts_us long, signal_id long, seen long")
     first, second = graphstore.GraphStore(spark, folder, "one"), graphstore.GraphStore(spark, folder, "two")
-    first.append("nodes", rows("a", "b"), 0)
-    first.append("nodes", rows("c", "d"), 1)
-    first.append("nodes", rows("c", "d"), 1)
-    second.append("nodes", rows("e"), 0)
+    first.append(0, nodes=(rows("a", "b"), ["id"]))
+    first.append(1, nodes=(rows("c", "d"), ["id"]))
+    first.append(1, nodes=(rows("c", "d"), ["id"]))
+    second.append(0, nodes=(rows("e"), ["id"]))
     assert sorted(r.id for r in second.current("nodes", ["id"], ["ts_us", "signal_id"], "seen").collect()) == ["a", "b", "c", "d", "e"]
 
 
+KEYS, ORDER = ["id"], ["ts_us", "signal_id"]
+
+
+def versions(spark, rows):
+    return spark.createDataFrame(rows, "id string, ts_us long, signal_id long, seen long, score long, name string")
+
+
+def seen(store):
+    return sorted(tuple(r) for r in store.current("nodes", KEYS, ORDER, "seen").collect())
+
+
+def test_store_folds_snapshots_and_late_deltas(spark):
+    """Whatever is compacted when, every key has its latest value of each property; compaction rewrites only what deltas touch."""
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(30)}", rng.randrange(1000), i, 0, rng.choice([None, i]), rng.choice([None, f"v{i}"])) for i in range(300)]
+    rows = [(k, t, s, t, a, b) for k, t, s, _, a, b in rows]
+    want = sorted((k, min(r[1] for r in own), max(r[1] for r in own),
+                   max(((r[1], r[2], r[4]) for r in own if r[4] is not None), default=(0, 0, None))[2], max(((r[1], r[2], r[5]) for r in own if r[5] is not None), default=(0, 0, None))[2])
+                  for k in {r[0] for r in rows} for own in [[r for r in rows if r[0] == k]])
+    folder = scratch(spark, "store")
+    plain, store = (graphstore.GraphStore(spark, f"{folder}/{name}", "one", parts=5) for name in ("plain", "compacted"))
+    for batch in range(6):
+        part = versions(spark, rows[batch::6])
+        plain.append(batch, nodes=(part, KEYS))
+        store.append(batch, nodes=(part, KEYS))
+        if batch % 2:
+            store.compact("nodes", KEYS, ORDER, "seen")
+        if batch == 3:
+            store.append(3, nodes=(part, KEYS))  # replayed after it was compacted
+    assert seen(plain) == seen(store) == want
+    before = store.log.newest()["tables"]["nodes"]
+    assert store.compact("nodes", KEYS, ORDER, "seen") == []
+    store.append(9, nodes=(versions(spark, [("n1", 5000, 1, 5000, 1, "new")]), KEYS))
+    (touched,) = store.compact("nodes", KEYS, ORDER, "seen")
+    after = store.log.newest()["tables"]["nodes"]
+    assert after["deltas"] == [] and {p for p in after["parts"] if after["parts"][p] != before["parts"].get(p)} == {str(touched)}
+    assert ("n1", 5000, 1, "new") in [(r[0], *r[2:]) for r in seen(store)]
+    gone = store.vacuum(keep=1)
+    assert gone and len(store.log.numbers()) == 1 and ("n1", 5000, 1, "new") in [(r[0], *r[2:]) for r in seen(store)]
+
+
+def test_a_batch_is_seen_as_a_whole_or_not_at_all(spark):
+    folder = scratch(spark, "crash")
+    store = graphstore.GraphStore(spark, folder, "one")
+    store.append(0, nodes=(versions(spark, [("a", 1, 1, 1, 1, "x")]), KEYS), edges=(versions(spark, []), KEYS))
+    reader = store.current("nodes", KEYS, ORDER, "seen")
+    written = {t: store.write(versions(spark, [("b", 2, 2, 2, 2, "y")]), KEYS) for t in ("nodes", "edges")}
+    assert [r[0] for r in seen(store)] == ["a"]  # the writer died here
+    store.publish(written, 1)
+    assert [r[0] for r in seen(store)] == ["a", "b"] and store.current("edges", KEYS, ORDER, "seen").count() == 1
+    store.compact("nodes", KEYS, ORDER, "seen")
+    assert [r.id for r in reader.collect()] == ["a"]  # opened before, still whole
+
+
+def test_two_writers_do_not_lose_each_others_versions(spark):
+    folder = scratch(spark, "writers")
+    one, two = graphstore.GraphStore(spark, folder, "one"), graphstore.GraphStore(spark, folder, "two")
+    newest, calls = one.log.newest, []
+
+    def late():
+        found = newest()
+        if not calls:
+            calls.append(1)
+            two.append(0, nodes=(versions(spark, [("b", 1, 1, 1, 1, "x")]), KEYS))
+        return found
+
+    one.log.newest = late
+    one.append(0, nodes=(versions(spark, [("a", 1, 1, 1, 1, "x")]), KEYS))
+    assert [r[0] for r in seen(two)] == ["a", "b"] and two.log.numbers() == [1, 2]
+    assert not two.log.commit({"version": 2, "tables": {}})
+
+
 def test_failed_batch_is_logged(spark):
     folder = scratch(spark, "fail")
 
