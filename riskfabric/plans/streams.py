@@ -179,11 +179,35 @@ def t9(t: Lake):
 
 @query("t9_throttle_stream", f"WITH RECURSIVE req AS ({REQUESTS}), {bucket_sql('req', 'target', 'b')} SELECT event_id, ok AS allowed FROM b")
 def t9_stream(t: Lake):
-    folder = scratch(t.spark, "t9")
-    as_lines(t.sql(REQUESTS).select("event_id", "target", "ts_us"), f"{folder}/in")
-    raw = streams.read_values(t.spark, {"path": f"{folder}/in"}, "text")
-    rows = raw.select(F.from_json("value", "event_id bigint, target string, ts_us bigint").alias("s")).select("s.*")
-    return streams.drain(throttle.throttle_stream(rows, "target", "event_id", "ts_us", CAP, RATE), folder).select("event_id", "allowed")
+    rows = t.sql(REQUESTS).select("event_id", "target", "ts_us")
+
+    def decided(raw):
+        events = raw.select(F.from_json("value", "event_id bigint, target string, ts_us bigint").alias("s")).select("s.*")
+        return throttle.throttle_stream(events, "target", "event_id", "ts_us", CAP, RATE, "1 day", DAY_MS)
+
+    out = in_halves(t, "t9", rows, "ts_us", decided, {"target": F.lit("heartbeat")})
+    return out.filter("target <> 'heartbeat'").select("event_id", "allowed")
+
+
+DAY_MS = 24 * throttle.HOUR_MS
+
+
+def in_halves(t: Lake, name: str, rows, ts_us: str, stream, heartbeat: dict, run=streams.drain):
+    """Two runs of a stream over one checkpoint: the older rows, then the newer ones, each in no order; the first of them starts the second run's clock.
+
+    The last row is a heartbeat two days behind all others, which takes the watermark past them.
+    """
+    folder = scratch(t.spark, name)
+    middle, last = rows.agg(F.percentile_approx(ts_us, 0.5), F.max(ts_us)).first()
+    late = [c for c in rows.columns if c != ts_us and c not in heartbeat]
+    end = t.spark.range(1).select(F.lit((last or 0) + 2 * DAY_MS * 1000).alias(ts_us), *[v.alias(c) for c, v in heartbeat.items()], *[
+        F.lit(-1).cast(rows.schema[c].dataType).alias(c) for c in late])
+    as_lines(rows.filter(F.col(ts_us) <= F.lit(middle)), f"{folder}/in/a")
+    read = lambda: stream(streams.read_values(t.spark, {"path": f"{folder}/in/*"}, "text"))
+    run(read(), folder)
+    as_lines(rows.filter(F.col(ts_us) > F.lit(middle)), f"{folder}/in/b")
+    as_lines(end, f"{folder}/in/c")
+    return run(read(), folder)
 
 
 @query("t9_throttle_jobs", f"""WITH RECURSIVE req AS ({REQUESTS}), {bucket_sql('req', 'target', 'b')},
@@ -208,16 +232,21 @@ WITH e AS ({WORKFLOW}), s AS (SELECT workflow_id, min(at_us) FILTER (kind = 'sta
 SELECT workflow_id, CASE WHEN t2 IS NOT NULL THEN 2 WHEN t1 IS NOT NULL THEN 1 ELSE 0 END AS step_index,
  CASE WHEN t0 IS NULL THEN 'PENDING' WHEN t2 IS NOT NULL THEN 'COMPLETED' WHEN t1 IS NOT NULL THEN 'WAITING_EVIDENCE' ELSE 'IN_PROGRESS' END AS state FROM b""")
 def w9_stream(t: Lake):
-    folder = scratch(t.spark, "w9")
-    as_lines(t.sql(WORKFLOW), f"{folder}/in")
-    raw = streams.read_values(t.spark, {"path": f"{folder}/in"}, "text")
-    events = raw.select(F.from_json("value", "workflow_id bigint, at_us bigint, kind string").alias("s")).select("s.*")
+    def states(raw):
+        events = raw.select(F.from_json("value", "workflow_id bigint, at_us bigint, kind string").alias("s")).select("s.*")
+        return workflow.workflow_stream(events, "workflow_id", "at_us", "kind", [False, True], "1 day", slice_ms=DAY_MS)
+
+    rows = in_halves(t, "w9", t.sql(WORKFLOW), "at_us", states, {"workflow_id": F.lit(-1), "kind": F.lit("note")}, latest)
+    last = rows.filter("workflow_id >= 0").groupBy("workflow_id")
+    return last.agg(F.max_by("step_index", "batch").alias("step_index"), F.max_by("state", "batch").alias("state"))
+
 
-    def latest(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/part={batch_id}")
+def latest(states, folder: str):
+    """All updates with their batch; within a batch a workflow that crosses slices has several, the last of which has the furthest step."""
+    def keep(batch, batch_id):
+        final = batch.groupBy("workflow_id").agg(F.max("step_index").alias("step_index"), F.max_by("state", F.struct("step_index", F.col("state") != "PENDING")).alias("state"))
+        final.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/part={batch_id}")
 
-    states = workflow.workflow_stream(events, "workflow_id", "at_us", "kind", [False, True])
-    (states.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(latest)
+    (states.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep)
      .trigger(availableNow=True).start().awaitTermination())
-    rows = t.spark.read.parquet(f"{folder}/out")
-    return rows.groupBy("workflow_id").agg(F.max_by("step_index", "batch").alias("step_index"), F.max_by("state", "batch").alias("state"))
+    return states.sparkSession.read.parquet(f"{folder}/out")

@@ -11,9 +11,13 @@ from pyspark.sql.streaming import DataStreamWriter
 from riskfabric.sources.schemas import ASSET, SIGNAL, TELEMETRY
 
 
+#: What a micro-batch takes at most where the caller sets no limit, by transport.
+LIMITS = {"kafka": {"maxOffsetsPerTrigger": "5000000"}, "text": {"maxFilesPerTrigger": "1000"}}
+
+
 def read_values(spark: SparkSession, options: Mapping[str, str], fmt: str = "kafka") -> DataFrame:
-    """One string column `value` per record, whatever the transport."""
-    reader = spark.readStream.format(fmt).options(**options)
+    """One string column `value` per record, whatever the transport; a micro-batch is bounded."""
+    reader = spark.readStream.format(fmt).options(**(LIMITS.get(fmt, {}) | dict(options)))
     if fmt == "kafka":
         return reader.load().select(F.col("value").cast("string").alias("value"))
     return reader.load()

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskfabric.operators.scan import KeyedScan
 from riskfabric.session import cut
+from riskfabric.streaming.ordered import HOUR_MS, folded
 
 CAPACITY, REFILL = 100.0, 10.0
 SLOW_CAPACITY, SLOW_REFILL = 10.0, 0.5
@@ -71,20 +71,18 @@ def throttle_jobs(df: DataFrame, target: str, source_ip: str, order: list[str],
         stopped.withColumn("decision", F.lit("target_limit")))
 
 
-def throttle_stream(df: DataFrame, key: str, ident: str, ts_us: str, capacity: float = CAPACITY, rate: float = REFILL) -> DataFrame:
-    """The bucket as stream state.
+def throttle_stream(df: DataFrame, key: str, ident: str, ts_us: str, capacity: float = CAPACITY, rate: float = REFILL, delay: str = "10 minutes",
+                    slice_ms: int = HOUR_MS) -> DataFrame:
+    """The bucket as stream state: key, ident, time and `allowed`, decided in event-time order once the watermark (`delay` behind the newest row) has passed a row.
 
-    Arrow hands a group over in pieces; they are put in time order together. A group is at most one micro-batch,
-    which the source bounds (maxOffsetsPerTrigger, maxFilesPerTrigger).
+    The answer is that of `throttle` however the rows are cut into micro-batches and in whatever order they come within the delay. A key that
+    was idle until its bucket is full again leaves no state.
     """
-    def run(group, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, None)
-        ordered = pd.concat(list(pieces)).sort_values([ts_us, ident])
-        ok, tokens, last = take(ordered[ts_us].tolist(), tokens, last, capacity, rate)
-        state.update((tokens, last))
-        yield pd.DataFrame({key: ordered[key], ident: ordered[ident], ts_us: ordered[ts_us], "allowed": ok})
+    def fold(group, state, rows):
+        tokens, last = state or (capacity, None)
+        ok, tokens, last = take([row[0] for row in rows], tokens, last, capacity, rate)
+        return (tokens, last), [(group[0], row[1], row[0], allowed) for row, allowed in zip(rows, ok, strict=True)]
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = f"{key} {kinds[key]}, {ident} {kinds[ident]}, {ts_us} {kinds[ts_us]}, allowed boolean"
-    return df.select(key, ident, ts_us).groupBy(key).applyInPandasWithState(
-        run, out, "tokens double, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return folded(df, key, [ts_us, ident], "tokens double, last bigint", fold, out, "append", delay, int(capacity / rate * 1000) + 1, slice_ms)

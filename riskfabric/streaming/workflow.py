@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from riskfabric.streaming.ordered import HOUR_MS, folded
+
+#: 90 days.
+IDLE_MS = 90 * 24 * HOUR_MS
 
 
 def advance(step: int, kind: str, needs_evidence: Sequence[bool]) -> int:
@@ -27,17 +30,19 @@ def state_name(step: int, needs_evidence: Sequence[bool]) -> str:
     return "WAITING_EVIDENCE" if needs_evidence[step] else "IN_PROGRESS"
 
 
-def workflow_stream(df: DataFrame, key: str, ts_us: str, kind: str, needs_evidence: Sequence[bool]) -> DataFrame:
-    """(key, step_index, state) after each micro-batch, in update mode."""
+def workflow_stream(df: DataFrame, key: str, ts_us: str, kind: str, needs_evidence: Sequence[bool], delay: str = "10 minutes",
+                    idle_ms: int = IDLE_MS, slice_ms: int = HOUR_MS) -> DataFrame:
+    """(key, step_index, state) each time that events of the key are replayed, in event-time order and once the watermark has passed them; update mode.
+
+    Equal times are replayed by kind. A workflow that nobody has touched for `idle_ms` leaves no state and would begin anew.
+    """
     steps = list(needs_evidence)
 
-    def run(group, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (step,) = state.get if state.exists else (-1,)
-        for event in pd.concat(list(pieces)).sort_values(ts_us)[kind]:  # one micro-batch at most
+    def fold(group, state, rows):
+        (step,) = state or (-1,)
+        for _, event in rows:
             step = advance(step, event, steps)
-        state.update((step,))
-        yield pd.DataFrame({key: [group[0]], "step_index": [max(step, 0)], "state": [state_name(step, steps)]})
+        return (step,), [(group[0], max(step, 0), state_name(step, steps))]
 
     kind_of = df.schema[key].dataType.simpleString()
-    return df.select(key, ts_us, kind).groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind_of}, step_index int, state string", "step int", "update", GroupStateTimeout.NoTimeout)
+    return folded(df, key, [ts_us, kind], "step int", fold, f"{key} {kind_of}, step_index int, state string", "update", delay, idle_ms, slice_ms)

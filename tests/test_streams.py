@@ -7,6 +7,7 @@ import random
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from riskfabric.operators import models, windows
 from riskfabric.session import ensure_checkpoint_dir, scratch
 from riskfabric.sources import graphstore, landing, schemas, streams
-from riskfabric.streaming import jobs, throttle, workflow
+from riskfabric.streaming import jobs, ordered, throttle, workflow
 
 
 def lines(spark, folder, rows):
@@ -41,49 +42,127 @@ def test_helpers_travel_to_workers():
     assert out.stdout.decode().strip() == "[True, False] False"
 
 
-def test_bucket_state_lives_on_between_batches(spark):
-    folder = scratch(spark, "bucket")
-    rows = [{"id": i, "k": "a" if i % 3 else "b", "ts": i * 400_000} for i in range(60)]
+@pytest.mark.parametrize("batches", [1, 3, 50])
+def test_bucket_stream_equals_the_batch_form(spark, batches):
+    """However rows are cut into micro-batches, out of order within the delay; a third of them have one key, some keys fall idle."""
+    folder, rng = scratch(spark, "bucket"), random.Random(batches)
+    rows = [{"id": i, "k": "hot" if i % 3 == 0 else f"k{rng.randrange(4 + i // 100)}", "ts": 10**12 + i * 300_000 + rng.randrange(5_000_000)} for i in range(600)]
     schema = "id long, k string, ts long"
-
-    def run():
-        return streams.drain(throttle.throttle_stream(parsed(spark, f"{folder}/in", schema), "k", "id", "ts", 3.0, 1.0), folder)
-
-    lines(spark, f"{folder}/in", rows[:25])
-    run()
-    lines(spark, f"{folder}/in", rows[25:])
-    got = {r.id: r.allowed for r in run().collect()}
-    want = {}
-    for key in ("a", "b"):
-        mine = [r for r in rows if r["k"] == key]
-        ok, _, _ = throttle.take([r["ts"] for r in mine], 3.0, None, 3.0, 1.0)
-        want.update({r["id"]: o for r, o in zip(mine, ok)})
+    size = -(-len(rows) // batches)
+    for n in range(batches):
+        part = rows[n * size:(n + 1) * size]
+        rng.shuffle(part)
+        lines(spark, f"{folder}/in", part)
+    end = {"id": -1, "k": "heartbeat", "ts": 10**13}
+    lines(spark, f"{folder}/in", [end])
+    raw = streams.read_values(spark, {"path": f"{folder}/in", "maxFilesPerTrigger": "1"}, "text")
+    stream = throttle.throttle_stream(raw.select(F.from_json("value", schema).alias("s")).select("s.*"), "k", "id", "ts", 3.0, 1.0, "20 seconds", slice_ms=7_000)
+    got = {r.id: r.allowed for r in streams.drain(stream, folder).collect() if r.id >= 0}
+    batch = throttle.throttle(spark.createDataFrame([(r["id"], r["k"], r["ts"]) for r in rows], schema), "k", ["ts", "id"], 3.0, 1.0)
+    want = {r.id: r.allowed for r in batch.collect()}
     assert got == want and not all(want.values())
 
 
-def test_workflow_state_lives_on_between_batches(spark):
+class Store:
+    """What a processor keeps, without Spark."""
+
+    def __init__(self):
+        self.values, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return State(self.values, name)
+
+    def getMapState(self, name, key, value):
+        return Pairs(self.values, name)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class State:
+    def __init__(self, values, name):
+        self.values, self.name = values, name
+
+    def exists(self):
+        return self.name in self.values
+
+    def get(self):
+        return self.values[self.name]
+
+    def update(self, value):
+        self.values[self.name] = value
+
+    def clear(self):
+        self.values.pop(self.name, None)
+
+
+class Pairs:
+    def __init__(self, values, name):
+        self.held, self.read = values.setdefault(name, {}), 0
+
+    def keys(self):
+        return list(self.held)
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+def test_ordered_fold_holds_back_and_lets_go():
+    """Late rows wait for the watermark, pieces are not put together, an idle key leaves nothing."""
+    log = []
+
+    def fold(key, state, rows):
+        log.append(rows)
+        return ((state or (0,))[0] + len(rows),), [(key[0], r[1]) for r in rows]
+
+    fold_of = ordered.OrderedFold(["ts", "id"], "n long", fold, ["k", "id"], idle_ms=1000, slice_ms=10)
+    store = Store()
+    fold_of.init(store)
+    piece = lambda *rows: pd.DataFrame(rows, columns=["ts", "id"])
+    clock = lambda ms: type("Clock", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    run = lambda pieces, ms: [i for out in fold_of.handleInputRows(("a",), iter(pieces), clock(ms)) for i in out["id"]]
+    assert run([piece((25_000, 1), (3_000, 2)), piece((14_000, 3), (15_500, 4))], 0) == [] and store.timers == [1]
+    assert run([piece((2_000, 5))], 15) == [5, 2, 3] and store.timers[-1] == 16
+    assert run([], 16) == [4] and [i for out in fold_of.handleExpiredTimer(("a",), clock(26), None) for i in out["id"]] == [1]
+    assert store.values["value"] == (5,) and not store.values["waiting"] and store.timers[-1] == 1026
+    assert all(len({r[0] // 10_000 for r in rows}) == 1 for rows in log)
+    assert list(fold_of.handleExpiredTimer(("a",), clock(1026), None)) == []
+    assert store.values == {"waiting": {}}
+    assert list(fold_of.handleExpiredTimer(("a",), clock(2000), None)) == []
+
+
+def test_workflow_state_lives_on_between_runs(spark):
     folder = scratch(spark, "flow")
     schema = "w long, ts long, kind string"
     states = []
 
     def keep(batch, batch_id):
-        states.extend((r.w, r.state) for r in batch.collect())
+        states.extend((r.w, r.state) for r in batch.collect() if r.w > 0)
 
-    def run():
-        df = workflow.workflow_stream(parsed(spark, f"{folder}/in", schema), "w", "ts", "kind", [False, True])
+    def run(*rows):
+        lines(spark, f"{folder}/in", [{"w": w, "ts": ts * 10**6, "kind": kind} for w, ts, kind in rows])
+        df = workflow.workflow_stream(parsed(spark, f"{folder}/in", schema), "w", "ts", "kind", [False, True], "1 second")
         (df.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep)
          .trigger(availableNow=True).start().awaitTermination())
 
-    lines(spark, f"{folder}/in", [{"w": 1, "ts": 2, "kind": "evidence"}, {"w": 1, "ts": 1, "kind": "start"}])
-    run()
+    run((1, 12, "evidence"), (1, 11, "start"), (-1, 15, "note"))
     assert states == [(1, "IN_PROGRESS")]
-    lines(spark, f"{folder}/in", [{"w": 1, "ts": 3, "kind": "advance"}])
-    run()
-    lines(spark, f"{folder}/in", [{"w": 1, "ts": 4, "kind": "evidence"}])
-    run()
+    run((1, 24, "evidence"), (1, 20, "advance"), (-1, 22, "note"))
+    assert states == [(1, "IN_PROGRESS"), (1, "WAITING_EVIDENCE")]
+    run((-1, 30, "note"))
     assert states == [(1, "IN_PROGRESS"), (1, "WAITING_EVIDENCE"), (1, "COMPLETED")]
 
 
+def test_sources_are_bounded():
+    assert streams.LIMITS["kafka"]["maxOffsetsPerTrigger"] and streams.LIMITS["text"]["maxFilesPerTrigger"]
+
+
 SIGNALS = [
     {"signal_id": 1, "ts_us": 1, "source": "npm", "type": "sbom", "package": "react", "version": "1.0.0", "dependencies_count": 40},
     {"signal_id": 2, "ts_us": 2, "source": "threat_feed", "type": "report", "actor": "APT29", "content": "sandworm again"},
