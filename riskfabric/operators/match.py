@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskfabric.functions.tfidf import (
     Tokenizer, char_wb, cosine, fit_idf, prefix_terms, term_counts, vectors, weight_map, words,
@@ -133,27 +134,30 @@ def resolve_identities(names: DataFrame, name: str = "name", threshold: float =
         F.col("id").alias("name"), F.col("component").alias("resolved"), (F.col("id") != F.col("component")).alias("merged"))
 
 
-def map_requirements(texts: DataFrame, key: str, text: str, corpus: DataFrame, k: int = 2, max_controls: int = 10_000) -> DataFrame:
+#: Rows of a term table up to which it is broadcast (a term, a key and a weight: about 4 MB); counted before use.
+TERM_ROWS = 100_000
+
+
+def _side(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(TERM_ROWS + 1).count() <= TERM_ROWS else rows
+
+
+def map_requirements(texts: DataFrame, key: str, text: str, corpus: DataFrame, k: int = 2) -> DataFrame:
     """Top-k controls per text by word TF-IDF cosine, zero scores dropped.
 
-    `corpus(position, description)` is the control table, checked against its bound; its vocabulary is small, so
-    the words of the texts meet it in a broadcast join and only vocabulary words are ever shuffled. Stop words
-    are not in the vocabulary, so the texts need no stop-word pass.
+    `corpus(position, description)` is the control table, of any size. The words of the texts meet its vocabulary in a join, a broadcast one
+    where the vocabulary is counted to be small, so only vocabulary words go on. Stop words are not in the vocabulary, so the texts need no stop-word pass.
     """
-    if corpus.limit(max_controls + 1).count() > max_controls:
-        raise ValueError(f"more than {max_controls} controls")
     tokenize = words()
     rows = corpus.select(F.col("position").alias("c"), F.col("description").alias("text"), F.lit(1).alias("copies"))
     counts = term_counts(rows, "c", "text", tokenize)
-    idf = fit_idf(counts, rows, "c", "copies")
-    control = vectors(counts, idf, "c").select("c", F.inline("vec")).select("c", "term", F.col("w").alias("cw"))
+    idf = cut(fit_idf(counts, rows, "c", "copies"))
+    control = cut(vectors(counts, idf, "c").select("c", F.inline("vec")).select("c", "term", F.col("w").alias("cw")))
     seen = texts.select(key, F.explode(words(stop_words=False)(F.col(text))).alias("term"))
-    known = seen.join(F.broadcast(idf), "term").groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    known = seen.join(_side(idf), "term").groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     weighted = known.withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(control), "term").groupBy(key, "c").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"))
-    # One row per control and text remains, so the k best are picked from an array no longer than the table.
+    dots = weighted.join(_side(control), "term").groupBy(key, "c").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"))
     scored = dots.join(norms, key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-    ranked = scored.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "c", "score"))).alias("all"))
-    best = ranked.select(key, F.posexplode(F.slice("all", 1, k)).alias("pos", "hit"))
-    return best.select(key, (F.col("pos") + 1).alias("rank"), F.col("hit.c").alias("position"), F.col("hit.score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "c"))).filter(F.col("rank") <= k)
+    return ranked.select(key, "rank", F.col("c").alias("position"), "score")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskfabric.functions.numeric import dot
 from riskfabric.operators.scan import KeyedScan
 
 FAILURES_TO_OPEN = 5
@@ -88,25 +90,74 @@ def recent_k(df: DataFrame, thread: str, order: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_k_similar(base: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, max_queries: int = 1_000) -> DataFrame:
-    """(query, ident, score, rank): exact cosine neighbours of a short list of query vectors.
+def top_k_similar(base: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, block_rows: int = 32_768, query_rows: int = 4_096) -> DataFrame:
+    """(query, ident, score, rank): exact cosine neighbours of all query rows among all base rows of another id.
 
-    The list is checked against its bound and travels with the scan of the base table; k rows per query and
-    task survive to the shuffle.
+    Base rows are dealt to blocks and queries to groups, by place and not by id, so copies of one id spread. Each block meets each group once in a matrix
+    product, from which k rows per query go on to the ranking. Null vectors count as zero, shorter ones end in zeros; the score of a zero vector
+    is 0, equal scores go to the smaller id.
     """
-    rows = queries.select(ident, vector).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors")
-    asked = F.array(*[
-        F.struct(F.lit(r[0]).alias("query"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("v")) for r in rows])
-    norm = lambda v: F.sqrt(dot(v, v))
-    pairs = base.select(F.col(ident), F.col(vector).alias("_x"), F.explode(asked).alias("a")).filter(
-        F.col("a.query") != F.col(ident))
-    size = norm(F.col("_x")) * norm(F.col("a.v"))
-    score = F.round(F.when(size > 0, dot(F.col("_x"), F.col("a.v")) / size).otherwise(0.0), 9)
-    scored = pairs.select(F.col("a.query").alias("query"), ident, score.alias("score"))
+    blocks, groups = (max(1, -(-rows.count() // size)) for rows, size in ((base, block_rows), (queries, query_rows)))
+    place = F.monotonically_increasing_id()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    values = F.transform(F.coalesce(F.col(vector), F.array()), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    left = base.select(F.col(ident).alias("_id"), values.alias("_x"), F.pmod(place, F.lit(blocks)).cast("int").alias("_block")).withColumn("_group", every(groups))
+    right = queries.select(F.col(ident).alias("_id"), values.alias("_x"), F.pmod(place, F.lit(groups)).cast("int").alias("_group")).withColumn("_block", every(blocks))
+    kind = base.schema[ident].dataType.simpleString()
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("query", asked.schema.field("_id").type), (ident, rows.schema.field("_id").type), ("score", pa.float64())])
+        out = [[], [], []]
+        if rows.num_rows and asked.num_rows:
+            width = max(pc.max(pc.list_value_length(t.column("_x"))).as_py() for t in (rows, asked)) or 1
+            x, q = (_padded(t.column("_x").combine_chunks(), width) for t in (rows, asked))
+            ids, qids = (t.column("_id").to_pylist() for t in (rows, asked))
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
+            x, ids = x[order], [ids[i] for i in order]
+            sizes = np.sqrt(_in_order(x, x))
+            for start in range(0, len(q), 256):
+                part = q[start:start + 256]
+                lengths = np.sqrt(_in_order(part, part))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = np.nan_to_num((part @ x.T) / (lengths[:, None] * sizes), nan=0.0, posinf=0.0, neginf=0.0)
+                for row, own, size, vec in zip(near, qids[start:], lengths, part, strict=False):
+                    # The product's sums have another order than a row's own; what could be among the k is computed anew, component by component.
+                    least = np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -2.0
+                    maybe = [i for i in np.flatnonzero(row >= least - 1e-8) if ids[i] != own]
+                    if len(maybe) < k and len(row) > k + 1:
+                        maybe = [i for i in range(len(row)) if ids[i] != own]
+                    exact = _in_order(x[maybe], vec[None, :])
+                    scale = sizes[maybe] * size
+                    scores = np.where(scale > 0, exact / np.where(scale > 0, scale, 1.0), 0.0)
+                    best = sorted(zip((-scores).round(9).tolist(), maybe))[:k]
+                    out[0] += [own] * len(best)
+                    out[1] += [ids[i] for _, i in best]
+                    out[2] += [-s for s, _ in best]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+
+    keys = ["_block", "_group"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"query {kind}, `{ident}` {kind}, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), ident)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _padded(column: pa.Array, width: int) -> np.ndarray:
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise inner products, summed component by component."""
+    total = np.zeros(max(len(a), len(b)))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
 
 
 def job_order(jobs: DataFrame, target: str, order: list[str], **scan: float) -> DataFrame:
