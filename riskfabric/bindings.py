@@ -37,9 +37,9 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT o_custkey AS device_id, l_partkey AS comp_id
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "reports_bin": """
-        SELECT DISTINCT l_partkey AS comp_id,
+        SELECT l_partkey AS comp_id,
                md5(concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey)) AS hash
-        FROM lineitem WHERE l_returnflag = 'R'""",
+        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') r""",
     "binary_scans": """
         SELECT l_orderkey, l_linenumber, l_partkey AS comp_id, l_suppkey,
                md5(concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey)) AS hash,

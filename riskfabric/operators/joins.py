@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,22 +127,67 @@ def mine_triplets(df: DataFrame, ident: str, category: str, seed: int = 0, **sca
 
 
 def ipv4_number(ip: Column) -> Column:
+    """Number of a dotted address; null where a part is no number."""
     parts = F.split(ip, r"\.")
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p.cast("long"))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p.try_cast("long"))
 
 
 def enrich_by_domain(df: DataFrame, registry: DataFrame, domain: str) -> DataFrame:
     return df.join(registry, domain, "left")
 
 
-def enrich_by_range(df: DataFrame, ranges: DataFrame, ip: str, bits: int = 12) -> DataFrame:
-    """Attributes of the address range an address falls in (ranges do not overlap).
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, position, end) in order; an end opens a range, none asks for the open range that started last.
 
-    Ranges are spread over the 2^bits-wide buckets they touch, so the range condition becomes an equi-join.
+    The heap holds the open ranges of one chunk; a range whose end is passed never comes back, so it is dropped when it surfaces.
+    """
+    chunk, open_ranges = None, []
+    for batch in batches:
+        found = []
+        for at, position, end in zip(*[batch.column(c).to_pylist() for c in ("_chunk", "_at", "_end")]):
+            if at != chunk:
+                chunk, open_ranges = at, []
+            if end is not None:
+                heapq.heappush(open_ranges, (-position, end))
+                continue
+            while open_ranges and open_ranges[0][1] < position:
+                heapq.heappop(open_ranges)
+            if open_ranges:
+                found.append((position, -open_ranges[0][0], open_ranges[0][1]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["_ip", "_lo", "_hi"])
+
+
+def innermost_ranges(positions: DataFrame, networks: DataFrame, **scan: int) -> DataFrame:
+    """(_ip, _lo, _hi): for each of the distinct `positions(_ip)` the range that started last before it, then the shortest.
+
+    An interval sweep: positions and range starts are laid out together by order, a range that reaches into later chunks opens
+    in each of them again, and every chunk is swept on its own. Ranges may nest and overlap.
+    """
+    none = F.lit(None).cast("long")
+    starts = networks.select(F.col("lo").cast("long").alias("_at"), F.col("hi").cast("long").alias("_end")).filter(
+        F.col("_at") <= F.col("_end")).distinct().withColumn("_kind", F.lit(0))
+    asked = positions.select(F.col("_ip").alias("_at"), none.alias("_end"), F.lit(1).alias("_kind"))
+    laid = KeyedScan(starts.unionByName(asked), [], ["_at", "_kind", "_end"], **scan).df
+    # One entry per chunk, so at most as many as the layout has.
+    borders = laid.filter(F.col("_kind") == 1).groupBy("_chunk").agg(F.min("_at").alias("least")).agg(
+        F.collect_list(F.struct(F.col("_chunk").alias("c"), "least")))
+    reached = F.filter("_borders", lambda b: (b["c"] > F.col("_chunk")) & (b["least"] <= F.col("_end")))
+    again = laid.filter(F.col("_kind") == 0).withColumn("_borders", borders.scalar()).withColumn("_b", F.explode(reached)).select(
+        "_at", "_end", "_kind", F.col("_b.c").alias("_chunk"))
+    rows = laid.unionByName(again).repartition("_chunk").sortWithinPartitions("_chunk", "_at", "_kind")
+    return rows.select("_chunk", "_at", "_end").mapInArrow(_sweep, "_ip long, _lo long, _hi long")
+
+
+def enrich_by_range(df: DataFrame, networks: DataFrame, ip: str, **scan: int) -> DataFrame:
+    """Attributes of the address range (lo to hi, both included) an address falls in.
+
+    Of several ranges the one that starts last wins, then the shortest, then the least attributes; an address in none, null or
+    not an address gets nulls. The ranges are found once per distinct address, so a frequent one costs the sweep a single row.
     """
-    width = 1 << bits
-    spread = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    rows = df.withColumn("_ip", ipv4_number(F.col(ip))).withColumn("_b", F.floor(F.col("_ip") / width))
-    other = [c for c in ranges.columns if c not in ("lo", "hi")]
-    joined = rows.join(spread, (rows["_b"] == spread["_b"]) & F.col("_ip").between(F.col("lo"), F.col("hi")), "left")
-    return joined.select(*df.columns, *other)
+    other = [c for c in networks.columns if c not in ("lo", "hi")]
+    rows = df.withColumn("_ip", ipv4_number(F.col(ip)))
+    distinct = rows.select("_ip").filter(F.col("_ip").isNotNull()).distinct()
+    packed = networks.groupBy(F.col("lo").cast("long").alias("_lo"), F.col("hi").cast("long").alias("_hi")).agg(F.min(F.struct(*other)).alias("_r"))
+    found = innermost_ranges(distinct, networks, **scan).join(packed, ["_lo", "_hi"]).select("_ip", "_r.*")
+    return rows.join(found, "_ip", "left").select(*[rows[c] for c in df.columns], *[found[c] for c in other])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskfabric.operators import evaluate, joins, remediate, windows
+from riskfabric.operators import evaluate, joins, ledger, remediate, windows
 from riskfabric.operators.scan import KeyedScan
 from riskfabric.streaming import throttle
 
@@ -125,3 +126,51 @@ def test_throttle_equals_serial_bucket(skewed):
     for options in ({}, SPLIT):
         out = throttle.throttle(skewed.select("k", "ts_us", "id"), "k", ["ts_us", "id"], cap, rate, **options)
         assert {r.id: r.allowed for r in out.collect()} == want
+
+
+def test_ranges_nest_and_overlap(spark):
+    rng = random.Random(4)
+    ranges = [(lo, lo + rng.choice([0, 3, 40, 700, 5000]), f"n{i}") for i, lo in enumerate(rng.randrange(6000) for _ in range(150))]
+    ranges += [(0, 1 << 30, "all"), (7, 7, "b"), (7, 7, "a"), (50, 40, "reversed")]
+    numbers = [rng.randrange(12_000) for _ in range(700)] + [7] * 300
+    texts = [f"0.0.{n >> 8}.{n & 255}" for n in numbers] + [None, "no address", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, ip string")
+    table = spark.createDataFrame(ranges, "lo long, hi long, network string")
+
+    def brute(n):
+        fits = [(-lo, hi, name) for lo, hi, name in ranges if lo <= n <= hi]
+        return min(fits)[2] if fits else None
+
+    want = {i: brute(n) for i, n in enumerate(numbers)} | {len(numbers) + i: None for i in range(3)}
+    got = joins.enrich_by_range(df, table, "ip", **SPLIT).collect()
+    assert len(got) == len(texts) and {r.id: r.network for r in got} == want
+    none = joins.enrich_by_range(df, table.limit(0), "ip", **SPLIT)
+    assert none.columns == ["id", "ip", "network"] and none.filter("network IS NOT NULL").count() == 0
+    assert joins.enrich_by_range(df.limit(0), table, "ip", **SPLIT).count() == 0
+
+
+def test_sweep_spreads_one_block(spark):
+    """All addresses lie in one /20: the sweep still deals them over all chunks."""
+    positions = spark.range(4096).select((F.col("id") + (10 << 24)).alias("_ip"))
+    ranges = spark.createDataFrame([(10 << 24, (10 << 24) + 4095)], "lo long, hi long")
+    found = joins.innermost_ranges(positions, ranges, **SPLIT)
+    assert found.count() == 4096
+    laid = KeyedScan(positions, [], ["_ip"], **SPLIT).df.groupBy("_chunk").count().collect()
+    assert len(laid) == SPLIT["ranges"] and max(r["count"] for r in laid) < 2 * 4096 / SPLIT["ranges"]
+
+
+@pytest.mark.parametrize("round_rows", [100, 10_000])
+def test_chain_of_one_key(spark, round_rows):
+    """One key holds nearly all events, null keys and events included: rounds and the single pass give the same chain."""
+    rows = [("hot", i, f'{{"n": {i}}}') for i in range(950)] + [(None, i, None if i == 2 else f"{i}") for i in range(5)] + [("k", 0, '"\u00e9"')]
+    df = spark.createDataFrame(rows, "k string, t int, event string")
+    chain = ledger.build_chain(df, "k", ["t"], "event", round_rows=round_rows)
+    want = []
+    for key in ("hot", None, "k"):
+        last = ledger.GENESIS_PREV
+        for index, event in enumerate([ledger.GENESIS_EVENT] + [e or "null" for k, _, e in rows if k == key]):
+            done = hashlib.sha256(f'{{"event": {event}, "index": {index}, "prev_hash": "{last}"}}'.encode()).hexdigest()
+            want.append((key, index, event, last, done))
+            last = done
+    assert sorted(map(tuple, chain.collect()), key=repr) == sorted(want, key=repr)
+    assert ledger.build_chain(df.limit(0), "k", ["t"], "event", round_rows=round_rows).count() == 0
