@@ -168,7 +168,7 @@ def innermost_ranges(positions: DataFrame, networks: DataFrame, **scan: int) ->
     starts = networks.select(F.col("lo").cast("long").alias("_at"), F.col("hi").cast("long").alias("_end")).filter(
         F.col("_at") <= F.col("_end")).distinct().withColumn("_kind", F.lit(0))
     asked = positions.select(F.col("_ip").alias("_at"), none.alias("_end"), F.lit(1).alias("_kind"))
-    laid = KeyedScan(starts.unionByName(asked), [], ["_at", "_kind", "_end"], **scan).df
+    laid = KeyedScan(starts.unionByName(asked), [], ["_at", "_kind", "_end"], split_over=0, **scan).df
     # One entry per chunk, so at most as many as the layout has.
     borders = laid.filter(F.col("_kind") == 1).groupBy("_chunk").agg(F.min("_at").alias("least")).agg(
         F.collect_list(F.struct(F.col("_chunk").alias("c"), "least")))

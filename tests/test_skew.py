@@ -32,20 +32,28 @@ def same(a, b):
     assert left == right
 
 
+@pytest.mark.parametrize("scan", [SPLIT, SPLIT | {"split_over": 300}, {}])
 @pytest.mark.parametrize("descending", [False, True])
-def test_scans_equal_windows(skewed, descending):
+def test_scans_equal_windows(skewed, descending, scan):
     order = [F.desc("ts_us"), F.desc("id")] if descending else [F.asc("ts_us"), F.asc("id")]
     w = Window.partitionBy("k").orderBy(*order)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.select(
         "id", F.row_number().over(w).cast("long").alias("rn"), F.sum(F.col("id").cast("long")).over(running).alias("s"),
         F.last("v", True).over(running).alias("l"), F.lag("id").over(w).alias("id_prev"))
-    scan = KeyedScan(skewed, ["k"], ["ts_us", "id"], descending=descending, **SPLIT)
+    scan = KeyedScan(skewed, ["k"], ["ts_us", "id"], descending=descending, **scan)
     got = scan.row_number("rn").prefix_sum(F.col("id").cast("long"), "s").last_value(F.col("v"), "l").lag(["id"]).done()
     assert got.select("rn").count() == skewed.count()
     same(got.select("id", "rn", "s", "l", "id_prev"), want)
 
 
+def test_only_hot_keys_are_laid_out(skewed):
+    df = skewed.withColumn("k", F.when(F.col("k") != "k3", F.col("k"))).unionByName(skewed.filter("k = 'hot'").withColumn("k", F.lit(None).cast("string")))
+    scan = KeyedScan(df, ["k"], ["ts_us", "id"], split_over=300, **SPLIT)
+    assert {r.k for r in scan.df.filter("_chunk <> 0").select("k").distinct().collect()} == {"hot", None}
+    assert scan.df.count() == df.count()
+
+
 def test_scan_without_key(skewed):
     w = Window.orderBy("ts_us", "id")
     want = skewed.select("id", F.row_number().over(w).cast("long").alias("rn"))
