@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,19 +13,21 @@ from riskfabric.operators.graph import connected_components
 from riskfabric.session import cut
 
 THRESHOLD = 0.85
+#: Part of the threshold that the terms behind a prefix may add.
+REMAINDER = 0.75
 
 
-def match_exact(ext: DataFrame, internal: DataFrame) -> DataFrame:
-    """(ext_id, int_id, score 1.0): equal non-empty value or certificate hash, first candidate wins.
-
-    Columns: id, ord (candidate order), value, cert_hash. Each key keeps only its first candidate before the
-    join, so a value shared by many candidates multiplies nothing; two equi-joins replace the OR.
-    """
+def exact_keys(internal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First candidate per value and per certificate hash; a value shared by many candidates multiplies nothing."""
     def first_by(key: str) -> DataFrame:
         usable = internal.filter(F.length(key) > 0)
         return usable.groupBy(F.col(key).alias(f"_{key}")).agg(F.min(F.struct("ord", "id")).alias(f"_by_{key}"))
 
-    by_value, by_cert = first_by("value"), first_by("cert_hash")
+    return first_by("value"), first_by("cert_hash")
+
+
+def match_keys(ext: DataFrame, by_value: DataFrame, by_cert: DataFrame) -> DataFrame:
+    """(ext_id, int_id, score 1.0): equal non-empty value or certificate hash, first candidate wins; two equi-joins replace the OR."""
     joined = (
         ext.select("id", "value", "cert_hash")
         .join(by_value, (F.col("value") == F.col("_value")), "left")
@@ -36,31 +38,48 @@ def match_exact(ext: DataFrame, internal: DataFrame) -> DataFrame:
         "ext_id", F.col("_m.id").alias("int_id"), F.lit(1.0).alias("score"))
 
 
-def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float, tokenize: Tokenizer, fan: int = 4096) -> DataFrame:
-    """(q, c, score >= threshold) between distinct texts; without queries, pairs q < c inside the corpus.
+def match_exact(ext: DataFrame, internal: DataFrame) -> DataFrame:
+    """Exact matches. Columns: id, ord (candidate order), value, cert_hash."""
+    return match_keys(ext, *exact_keys(internal))
 
-    `queries(q, text)` and `corpus(c, text, copies)` hold distinct texts with unique keys. An equi-join of the
-    prefixes gives each candidate pair its partial dot product; only pairs whose partial can still reach the
-    threshold (exact, see prefix_terms) are computed in full. A shorter remainder verifies fewer pairs but joins
-    more terms; both costs grow alike, so the share between them is fixed.
-    """
-    remainder = 0.75 * threshold
+
+def fitted(corpus: DataFrame, remainder: float, tokenize: Tokenizer) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf) and (c, vec, prefix) of `corpus(c, text, copies)`, which holds distinct texts with unique keys."""
     counts = cut(term_counts(corpus, "c", "text", tokenize))
     idf = cut(fit_idf(counts, corpus, "c", "copies"))
-    prefixed = prefix_terms(F.col("vec"), remainder).alias("prefix")
-    c_vec = cut(vectors(counts, idf, "c").select("c", "vec", prefixed))
-    if queries is None:
-        q_vec = c_vec.withColumnRenamed("c", "q")
-    else:
-        q_vec = cut(vectors(term_counts(queries, "q", "text", tokenize), idf, "q").select("q", "vec", prefixed))
-    # A term that many corpus texts share is cut into slots of about `fan` postings; the query side visits each.
-    slots = F.ceil(F.col("df") / fan)
-    c_terms = c_vec.select("c", F.inline("prefix")).select(
-        "c", "term", F.col("w").alias("cw"), F.pmod(F.xxhash64("c"), slots).alias("slot"))
-    q_terms = q_vec.select("q", F.inline("prefix")).select(
-        "q", "term", F.col("w").alias("qw"), F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"))
-    met = q_terms.join(c_terms, ["term", "slot"])
-    if queries is None:
+    return idf, cut(vectors(counts, idf, "c").select("c", "vec", prefix_terms(F.col("vec"), remainder).alias("prefix")))
+
+
+def pairs_on_grid(q_vec: DataFrame, c_vec: DataFrame, threshold: float, remainder: float, fan: int, within: bool) -> DataFrame:
+    """(q, c, score >= threshold) of fitted vectors; `within`: pairs q < c of one set.
+
+    An equi-join of the prefixes gives each candidate pair its partial dot product; only pairs whose partial can still reach the
+    threshold (exact, see prefix_terms) are computed in full. The postings of a frequent term lie on a grid of slots of about `fan`
+    postings a side: a posting is dealt to one slot of its own side and visits all of the other, so a cell holds about fan x fan pairs.
+    """
+    rare = F.lit(1).cast("long")
+
+    def postings(vec: DataFrame, key: str, weight: str) -> DataFrame:
+        return vec.select(key, F.inline("prefix")).select(key, "term", F.col("w").alias(weight))
+
+    def slots(terms: DataFrame, name: str) -> DataFrame:
+        """Frequent terms only, so at most one row per `fan` postings."""
+        return cut(terms.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / fan).alias(name)).filter(F.col(name) > 1))
+
+    q_terms, c_terms = postings(q_vec, "q", "qw"), postings(c_vec, "c", "cw")
+    for name, table in (("_qs", slots(q_terms, "_qs")), ("_cs", slots(c_terms, "_cs"))):
+        def sized(terms: DataFrame) -> DataFrame:
+            return terms.withColumn(name, rare) if table.isEmpty() else terms.join(table, "term", "left").withColumn(name, F.coalesce(name, rare))
+
+        q_terms, c_terms = sized(q_terms), sized(c_terms)
+
+    def every(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+
+    q_cells = q_terms.select("q", "term", "qw", F.pmod(F.xxhash64("q"), F.col("_qs")).alias("_qslot"), every("_cs").alias("_cslot"))
+    c_cells = c_terms.select("c", "term", "cw", F.pmod(F.xxhash64("c"), F.col("_cs")).alias("_cslot"), every("_qs").alias("_qslot"))
+    met = q_cells.join(c_cells, ["term", "_qslot", "_cslot"])
+    if within:
         met = met.filter(F.col("q") < F.col("c"))
     partial = met.groupBy("q", "c").agg(F.sum(F.col("qw") * F.col("cw")).alias("partial"))
     candidates = partial.filter(F.col("partial") >= threshold - remainder - 1e-9).select("q", "c")
@@ -70,29 +89,52 @@ def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float
     return scored.filter(F.col("score") >= threshold)
 
 
-def match_fuzzy(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOLD, fan: int = 4096) -> DataFrame:
-    """Best internal asset per external one by character n-gram cosine of value and name.
+def query_vectors(queries: DataFrame, idf: DataFrame, remainder: float, tokenize: Tokenizer) -> DataFrame:
+    """(q, vec, prefix) of `queries(q, text)` under a fitted vocabulary."""
+    return cut(vectors(term_counts(queries, "q", "text", tokenize), idf, "q").select("q", "vec", prefix_terms(F.col("vec"), remainder).alias("prefix")))
+
 
-    Equal texts are matched once: copies on the corpus side keep their first candidate, copies on the query
-    side take the answer of their text. Ties go to the first candidate.
+def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float, tokenize: Tokenizer, fan: int = 4096) -> DataFrame:
+    """(q, c, score >= threshold) between distinct texts; without queries, pairs q < c inside the corpus.
+
+    A shorter remainder verifies fewer pairs but joins more terms; both costs grow alike, so the share between them is fixed.
     """
-    def doc(df: DataFrame) -> DataFrame:
-        text = F.concat(F.coalesce("value", F.lit("")), F.lit(" "), F.coalesce("name", F.lit("")))
-        return df.select("id", "ord", text.alias("text"))
-
-    corpus = cut(doc(internal).groupBy("text").agg(
-        F.min(F.struct("ord", "id")).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("c", F.sha2("text", 256)))
-    asked = doc(ext).withColumn("q", F.sha2("text", 256))
-    queries = asked.select("q", "text").distinct()
-    pairs = similar_pairs(queries, corpus.select("c", "text", "copies"), threshold, char_wb(), fan)
-    ranked = pairs.join(corpus.select("c", "first"), "c").groupBy("q").agg(
+    remainder = REMAINDER * threshold
+    idf, c_vec = fitted(corpus, remainder, tokenize)
+    q_vec = c_vec.withColumnRenamed("c", "q") if queries is None else query_vectors(queries, idf, remainder, tokenize)
+    return pairs_on_grid(q_vec, c_vec, threshold, remainder, fan, queries is None)
+
+
+def asset_text(df: DataFrame) -> DataFrame:
+    text = F.concat(F.coalesce("value", F.lit("")), F.lit(" "), F.coalesce("name", F.lit("")))
+    return df.select("id", "ord", text.alias("text"))
+
+
+def candidate_texts(internal: DataFrame) -> DataFrame:
+    """(c, text, copies, first): equal texts once, with their first candidate."""
+    return asset_text(internal).groupBy("text").agg(
+        F.min(F.struct("ord", "id")).alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("c", F.sha2("text", 256))
+
+
+def best_match(ext: DataFrame, first: DataFrame, idf: DataFrame, c_vec: DataFrame, threshold: float, remainder: float, fan: int = 4096) -> DataFrame:
+    """Best candidate per external asset against fitted texts; copies of a text take its answer, ties go to the first candidate."""
+    asked = asset_text(ext).withColumn("q", F.sha2("text", 256))
+    q_vec = query_vectors(asked.select("q", "text").distinct(), idf, remainder, char_wb())
+    pairs = pairs_on_grid(q_vec, c_vec, threshold, remainder, fan, False)
+    ranked = pairs.join(first.select("c", "first"), "c").groupBy("q").agg(
         F.max_by(F.struct(F.col("first.id").alias("id"), F.col("score").alias("score")),
                  F.struct("score", -F.col("first.ord"))).alias("best"))
     return asked.join(ranked, "q").select(
         F.col("id").alias("ext_id"), F.col("best.id").alias("int_id"), F.col("best.score").alias("score"))
 
 
+def match_fuzzy(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOLD, fan: int = 4096) -> DataFrame:
+    """Best internal asset per external one by character n-gram cosine of value and name."""
+    remainder = REMAINDER * threshold
+    corpus = cut(candidate_texts(internal))
+    return best_match(ext, corpus, *fitted(corpus, remainder, char_wb()), threshold, remainder, fan)
+
+
 def match_assets(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Exact match first, fuzzy for the rest."""
     exact = cut(match_exact(ext, internal))

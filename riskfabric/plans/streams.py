@@ -13,7 +13,7 @@ from riskfabric.plans.registry import query, rounded
 from riskfabric.plans.scalar import TRIGGER_SQL
 from riskfabric.plans.windows import GRAPH_NODES, WORKFLOW
 from riskfabric.session import scratch
-from riskfabric.sources import graphstore, streams
+from riskfabric.sources import graphstore, matchindex, streams
 from riskfabric.streaming import jobs, throttle, workflow
 
 WINDOWED = f"""w AS (SELECT asset_id, (ts_us // 60000000 - i) * 60000000 AS start_us, connection_count, cve_criticality, unique_ips, centrality
@@ -129,7 +129,8 @@ def t6(t: Lake):
     as_lines(t.assets_ext.select("id", "ord", "value", "name", "cert_hash"), f"{folder}/in")
     raw = streams.read_values(t.spark, {"path": f"{folder}/in"}, "text")
     arriving = raw.select(F.from_json("value", "id string, ord bigint, value string, name string, cert_hash string").alias("s")).select("s.*")
-    streams.drain_batches(arriving, folder, jobs.correlate_batch(lambda: t.assets_int, f"{folder}/out", "run0"))
+    matchindex.MatchIndex.build(t.assets_int, f"{folder}/index")
+    streams.drain_batches(arriving, folder, jobs.correlate_batch(f"{folder}/index", f"{folder}/out", "run0"))
     return t.spark.read.parquet(f"{folder}/out").select("ext_id", "int_id", half_up(F.col("score"), 6).alias("score"), "method")
 
 

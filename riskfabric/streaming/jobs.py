@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskfabric.operators import govern, joins, match, normalize, quality, textscan, windows
+from riskfabric.operators import govern, joins, normalize, quality, textscan, windows
 from riskfabric.sources.graphstore import GraphStore
+from riskfabric.sources.matchindex import MatchIndex
 
 WATERMARK, WINDOW, SLIDE = "10 minutes", "5 minutes", "1 minute"
 
@@ -61,10 +62,11 @@ def ingest_batch(store: GraphStore, dlq: str, schema: str, salt: str) -> Callabl
     return handle
 
 
-def correlate_batch(inventory: Callable[[], DataFrame], out: str, run: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler: match arriving assets against the inventory as it is when the batch runs."""
+def correlate_batch(root: str, out: str, run: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler: match arriving assets against the newest version of the inventory index; a batch fits nothing."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        match.match_assets(batch, inventory()).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
+        index = MatchIndex.newest(batch.sparkSession, root)
+        index.match(batch).withColumn("inventory", F.lit(index.version)).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     return handle
 

@@ -6,8 +6,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskfabric.operators import match, windows
+from riskfabric.sources.matchindex import MatchIndex
 
 
 def cosine(a, b):
@@ -45,3 +47,40 @@ def test_many_queries_and_controls_are_no_error(spark):
     got = match.map_requirements(texts, "id", "text", controls, 2).collect()
     assert [r["position"] for r in got if r["id"] == 1 and r["rank"] == 1] == [7]
     assert {r["id"] for r in got} == {1}
+
+
+def test_hot_term_on_a_grid(spark):
+    """300 queries share a term with 700 texts: cells of 25 postings a side give the pairs of one cell, and no cell holds many."""
+    texts = spark.range(700).select(F.concat(F.lit("acme unit "), (F.col("id") % 350).cast("string")).alias("value"), F.col("id").alias("ord"),
+                                    F.concat(F.lit("i"), "id").alias("id"), F.lit("").alias("name"), F.lit("").alias("cert_hash"))
+    asked = texts.filter("ord < 300").withColumns({"id": F.concat(F.lit("e"), "ord"), "value": F.concat("value", F.lit("x"))})
+    whole = sorted(map(tuple, match.match_fuzzy(asked, texts, threshold=0.6, fan=1_000_000).collect()))
+    split = sorted(map(tuple, match.match_fuzzy(asked, texts, threshold=0.6, fan=25).collect()))
+    assert whole and split == whole
+    pairs = lambda fan: sorted(map(tuple, match.similar_pairs(None, texts.select(
+        F.col("id").alias("c"), F.concat("value", F.lit(" "), "id").alias("text"), F.lit(1).alias("copies")).limit(120), 0.6, match.char_wb(), fan).collect()))
+    assert pairs(10) == pairs(1_000_000) and pairs(10)
+
+
+def test_index_gives_what_the_inventory_gives(spark, tmp_path):
+    columns = "id string, ord long, value string, name string, cert_hash string"
+    inventory = spark.createDataFrame([("a", 1, "10.0.0.1", "web frontend alpha", None), ("b", 2, "10.0.0.2", "database primary", "cc"),
+                                       ("c", 3, "10.0.0.2", "database primary", None), ("d", 4, None, "mail relay north", "")], columns)
+    arriving = spark.createDataFrame([("x", 1, "10.0.0.2", "other", None), ("y", 2, None, "mail relay north", None), ("z", 3, "new", "nothing alike", "cc"),
+                                      ("u", 4, None, None, None), ("v", 5, "", "web frontend alphas", "")], columns)
+    root = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        MatchIndex.newest(spark, root)
+    assert MatchIndex.build(inventory, root, threshold=0.7).version == 1
+    rows = lambda df: sorted(map(tuple, df.select("ext_id", "int_id", "score", "method").collect()))
+    got = rows(MatchIndex.newest(spark, root).match(arriving, 0.7))
+    assert got == rows(match.match_assets(arriving, inventory, 0.7)) and ("x", "b", 1.0, "exact") in got
+    with pytest.raises(ValueError):
+        MatchIndex.newest(spark, root).match(arriving, 0.5)
+    old = MatchIndex.newest(spark, root)
+    smaller = inventory.filter("id <> 'b'")
+    MatchIndex.build(smaller, root, threshold=0.7)
+    newest = MatchIndex.newest(spark, root)
+    assert newest.version == 2 and rows(newest.match(arriving, 0.7)) == rows(match.match_assets(arriving, smaller, 0.7)) != got
+    assert rows(old.match(arriving, 0.7)) == got
+    assert newest.match(arriving.limit(0), 0.7).count() == 0
