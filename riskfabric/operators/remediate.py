@@ -104,8 +104,8 @@ def fold_q(outcomes: DataFrame, keys: list[str], order: list[str], reward: str,
 
 
 def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS,
-                   key: str = "insight_id", explore: float = EXPLORE_SHARE, seed: int = 0) -> DataFrame:
-    """Best eligible playbook per insight: highest value, first in table order on ties.
+                   key: str = "insight_id", explore: float = EXPLORE_SHARE, seed: int = 0, unmatched: bool = False) -> DataFrame:
+    """Best eligible playbook per insight: highest value, first in table order on ties. `unmatched` keeps insights without one.
 
     Choice depends only on the columns the rules look at, so it is made once per distinct combination of them
     and joined back. With probability `explore` a hash of the insight id picks any eligible playbook instead.
@@ -120,7 +120,7 @@ def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[P
         F.sort_array(F.collect_list(F.struct("pb_position", "pb_id", "q"))).alias("eligible"))
     left, right = insights.alias("i"), best.alias("b")
     same = reduce(lambda a, b: a & b, [F.col(f"i.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
-    joined = left.join(right, same).select("i.*", "b.best", "b.eligible")
+    joined = left.join(right, same, "left" if unmatched else "inner").select("i.*", "b.best", "b.eligible")
     if explore <= 0:
         chosen = F.struct(F.col("best.pb_id").alias("pb_id"), F.col("best.q").alias("q"))
     else:
@@ -134,15 +134,15 @@ def pick_playbooks(insights: DataFrame, values: DataFrame, playbooks: Sequence[P
         *insights.columns, F.col("_c.pb_id").alias("pb_id"), F.col("_c.q").alias("q"))
 
 
-def plan_actions(matched: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS) -> DataFrame:
-    """Simulated impact of each step of the matched playbook, its parameters as JSON, and whether its precondition holds.
+def step_reports(columns: Sequence[str], playbooks: Sequence[Playbook] = PLAYBOOKS) -> Column:
+    """Reports of the steps of the playbook `pb_id`, as an array: action, target, impact, effects, success (precondition), params.
 
-    A guided playbook gives one row for the workflow it would start. The vendor's address is `vendor_email` where the
+    A guided playbook gives one report for the workflow it would start. The vendor's address is `vendor_email` where the
     insight has one, else made from the vendor's id.
     """
     vendor = F.coalesce("vendor_id", F.lit("Unknown Vendor"))
     derived = F.concat(F.lit("security@"), vendor, F.lit(".com"))
-    address = F.coalesce("vendor_email", derived) if "vendor_email" in matched.columns else derived
+    address = F.coalesce("vendor_email", derived) if "vendor_email" in columns else derived
     # Per action: the parameter shown, what it acts on, what fills its impact text after that, the column it cannot do without.
     subjects = {
         "network_segmentation": ("isolation_level", F.coalesce("asset_id", F.lit("Unknown")), [], "asset_id"),
@@ -173,7 +173,69 @@ def plan_actions(matched: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS)
         rows = F.array(*[step(s["action"], s["params"]) for s in pb.steps]) if pb.pb_type == "automated" else F.array(guided(pb))
         cond = F.col("pb_id") == pb.pb_id
         steps = F.when(cond, rows) if steps is None else steps.when(cond, rows)
-    return matched.select("*", F.inline(steps))
+    return steps
+
+
+def plan_actions(matched: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS) -> DataFrame:
+    """Simulated impact of each step of the matched playbook, its parameters as JSON, and whether its precondition holds."""
+    return matched.select("*", F.inline(step_reports(matched.columns, playbooks)))
+
+
+def process_insights(insights: DataFrame, values: DataFrame, votes: DataFrame, playbooks: Sequence[Playbook] = PLAYBOOKS,
+                     key: str = "insight_id", at: str = "ts_us", explore: float = EXPLORE_SHARE, seed: int = 0) -> DataFrame:
+    """From insight to outcome: the picked playbook, its status, the roles still missing, and the reward once it has run.
+
+    votes(key, role, decision `approve` or `reject`, at): a playbook with approval roles waits until each has approved; a
+    rejection by anybody up to then ends it, later votes change nothing, nor do approvals by other roles. Adds pb_id, state,
+    status, remaining, done_at (of the last approval needed, else of the insight) and reward (null where nothing ran):
+    NO_PLAYBOOK_FOUND, WORKFLOW_STARTED (guided), AWAITING_APPROVAL, AWAITING_FURTHER_APPROVAL, REJECTED, AUTOMATED_SUCCESS,
+    AUTOMATED_FAILED (a step's precondition does not hold). Votes are reduced to one row per insight before they are joined.
+    """
+    roles = sorted({r for pb in playbooks for r in pb.approval_roles})
+    approve, reject = F.col("decision") == "approve", F.col("decision") == "reject"
+    earliest = votes.filter(approve | reject).groupBy(key, "role").agg(F.min(F.when(approve, F.col("at"))).alias("_ok"), F.min(F.when(reject, F.col("at"))).alias("_no"))
+    given = F.when(F.col("_ok").isNotNull() & F.col("role").isin(*roles), F.struct("role", F.col("_ok").alias("at")))
+    voted = earliest.groupBy(key).agg(F.collect_list(given).alias("_given"), F.min("_no").alias("_no"))
+    picked = pick_playbooks(insights, values, playbooks, key, explore, seed, unmatched=True).withColumn("state", state_key())
+
+    def per_playbook(value) -> Column:
+        out = F.lit(None)
+        for pb in playbooks:
+            out = F.when(F.col("pb_id") == pb.pb_id, value(pb)).otherwise(out)
+        return out
+
+    nobody = F.array().cast("array<string>")
+    rows = picked.join(voted, key, "left").withColumns({
+        "_kind": per_playbook(lambda pb: F.lit(pb.pb_type)),
+        "_roles": F.coalesce(per_playbook(lambda pb: F.array(*map(F.lit, pb.approval_roles)).cast("array<string>")), nobody),
+        "_works": F.forall(step_reports(insights.columns, playbooks), lambda r: r["success"])})
+    rows = rows.withColumn("_mine", F.filter(F.coalesce("_given", F.array().cast(voted.schema["_given"].dataType)), lambda g: F.array_contains("_roles", g["role"])))
+    rows = rows.withColumns({"_last": F.array_max("_mine.at"), "_full": F.size("_mine") == F.size("_roles")})
+    ended = F.col("_no").isNotNull() & (~F.col("_full") | (F.col("_no") <= F.col("_last")))
+    waits = F.size("_roles") > 0
+    status = (
+        F.when(F.col("pb_id").isNull(), "NO_PLAYBOOK_FOUND").when(F.col("_kind") == "guided", "WORKFLOW_STARTED")
+        .when(waits & ended, "REJECTED").when(waits & (F.size("_mine") == 0), "AWAITING_APPROVAL").when(~F.col("_full"), "AWAITING_FURTHER_APPROVAL")
+        .when(F.col("_works"), "AUTOMATED_SUCCESS").otherwise("AUTOMATED_FAILED"))
+    rows = rows.withColumn("status", status)
+    ran = F.col("status").isin("AUTOMATED_SUCCESS", "AUTOMATED_FAILED")
+    waiting = F.col("status").isin("AWAITING_APPROVAL", "AWAITING_FURTHER_APPROVAL")
+    return rows.select(
+        *insights.columns, "pb_id", "state", "status",
+        F.when(waiting, F.sort_array(F.array_except("_roles", "_mine.role"))).otherwise(nobody).alias("remaining"),
+        F.when(ran, F.greatest(at, "_last")).alias("done_at"), F.when(ran, (F.col("status") == "AUTOMATED_SUCCESS").cast("int")).alias("reward"))
+
+
+def learn_outcomes(values: DataFrame, processed: DataFrame, key: str = "insight_id", rate: float = LEARNING_RATE, **scan: float) -> DataFrame:
+    """values(state, pb_id, q, updates) after the rewards of `process_insights`, in the order in which the playbooks ran."""
+    ran = processed.filter(F.col("reward").isNotNull()).select("state", "pb_id", "done_at", key, "reward")
+    # From a start of zero the fold gives what the new rewards add; what was known before fades with each of them.
+    added = fold_q(ran, ["state", "pb_id"], ["done_at", key], "reward", rate, 0.0, **scan).select(
+        "state", "pb_id", F.col("q").alias("_add"), F.col("updates").alias("_more"))
+    more = F.coalesce("_more", F.lit(0).cast("long"))
+    return values.join(added, ["state", "pb_id"], "full").select(
+        "state", "pb_id", (F.coalesce("q", F.lit(START_VALUE)) * F.pow(F.lit(1.0 - rate), more) + F.coalesce("_add", F.lit(0.0))).alias("q"),
+        (F.coalesce("updates", F.lit(0).cast("long")) + more).alias("updates"))
 
 
 def approval_status(requests: DataFrame, approvals: DataFrame, key: str = "execution_id") -> DataFrame:

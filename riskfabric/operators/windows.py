@@ -174,7 +174,8 @@ def page(df: DataFrame, order: str, limit: int, offset: int) -> DataFrame:
 def signals_to_graph(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node rows and edge rows of fused signals, several per signal, by signal type.
 
-    Input: signal_id, ts_us, type, entity, package, version, actors, ip_address, cves, score.
+    Input: signal_id, ts_us, type, entity, package, version, actors, ip_address, cves, score, open_ports (none where the
+    column is missing). A device keeps the ports and CVEs of its latest scan, empty lists included.
     """
     ident = F.concat(F.lit("Identity:"), "entity")
     comp_version = F.when(F.col("type") == "vulnerability", F.lit("unknown")).otherwise(F.coalesce("version", F.lit("0.0.0")))
@@ -197,9 +198,13 @@ def signals_to_graph(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         node(always, ident, "Identity"), node(has_comp, comp, "SoftwareComponent"), node(has_device, device, "Device")))
     actor_nodes = F.transform(actors, lambda a: F.struct(F.concat(F.lit("ThreatActor:"), a).alias("id"), F.lit("ThreatActor").alias("label")))
     vuln_nodes = F.transform(vulns, lambda v: F.struct(F.concat(F.lit("Vulnerability:"), v).alias("id"), F.lit("Vulnerability").alias("label")))
-    nodes = df.select("ts_us", "signal_id", F.col("score").alias("_score"),
+    no_port = F.array().cast("array<int>")
+    ports = F.coalesce("open_ports", no_port) if "open_ports" in df.columns else no_port
+    scanned = F.col("label") == "Device"
+    nodes = df.select("ts_us", "signal_id", F.col("score").alias("_score"), ports.alias("_ports"), F.coalesce("cves", no_actor).alias("_cves"),
                       F.inline(F.concat(one_nodes, actor_nodes, vuln_nodes))).select(
-        "id", "label", F.when(F.col("label") == "Identity", F.col("_score")).alias("security_score"), "ts_us", "signal_id")
+        "id", "label", F.when(F.col("label") == "Identity", F.col("_score")).alias("security_score"),
+        F.when(scanned, F.col("_ports")).alias("open_ports"), F.when(scanned, F.col("_cves")).alias("cves"), "ts_us", "signal_id")
     one_edges = F.array_compact(F.array(edge(has_comp, ident, comp, "DEVELOPED", 1.0)))
     actor_edges = F.transform(actors, lambda a: F.struct(
         F.concat(F.lit("ThreatActor:"), a).alias("src"), ident.alias("dst"), F.lit("TARGETS").alias("type"), F.lit(0.85).alias("confidence")))

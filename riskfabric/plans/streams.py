@@ -11,7 +11,7 @@ from riskfabric.plans.joins import ASSETS_ALL, HOST_EDGES, MATCHED, SHADOW
 from riskfabric.plans.landing import FEED, RAW, as_lines
 from riskfabric.plans.registry import query, rounded
 from riskfabric.plans.scalar import TRIGGER_SQL
-from riskfabric.plans.windows import GRAPH_NODES, WORKFLOW
+from riskfabric.plans.windows import GRAPH_NODES, SCANNED, WORKFLOW, listed, open_ports
 from riskfabric.session import scratch
 from riskfabric.sources import graphstore, matchindex, streams
 from riskfabric.streaming import jobs, throttle, workflow
@@ -87,18 +87,18 @@ def t4(t: Lake):
 
 WIRE = """SELECT signal_id, ts_us, source, type, repo, package, version, dependencies_count, cve_id, severity, actor, content, ip_address, cve_count FROM signals"""
 WIRE_SCHEMA = """signal_id bigint, ts_us bigint, source string, type string, repo string, package string, version string, dependencies_count int, cve_id string,
- severity string, actor string, content string, ip_address string, cve_detections array<string>"""
+ severity string, actor string, content string, ip_address string, open_ports array<int>, cve_detections array<string>"""
 
 
 def wire(t: Lake, folder: str) -> str:
     listed = F.transform(F.sequence(F.lit(1), F.col("cve_count")), lambda i: F.concat(F.lit("CVE-2024-"), (F.lit(1000) + i).cast("string")))
-    rows = t.sql(WIRE).withColumn("cve_detections", F.when(F.col("cve_count") > 0, listed)).drop("cve_count")
+    rows = t.sql(WIRE).withColumn("open_ports", open_ports()).withColumn("cve_detections", F.when(F.col("cve_count") > 0, listed)).drop("cve_count")
     return as_lines(rows, f"{folder}/in")
 
 
 HASHED = GRAPH_NODES.replace("concat('Device:', ip_address)", "concat('Device:', sha256(concat(ip_address, 'pepper')))")
-FUSED_NODES = """SELECT id, min(label) AS label, min(ts_us) AS first_seen, max(ts_us) AS last_seen,
-  arg_max(score, CAST(ts_us AS HUGEINT) * 1000000 + signal_id) FILTER (score IS NOT NULL) AS security_score FROM nodes GROUP BY id"""
+FUSED_NODES = f"""SELECT id, min(label) AS label, min(ts_us) AS first_seen, max(ts_us) AS last_seen,
+  arg_max(score, CAST(ts_us AS HUGEINT) * 1000000 + signal_id) FILTER (score IS NOT NULL) AS security_score, {SCANNED} FROM nodes GROUP BY id"""
 
 
 def ingested(t: Lake, name: str, replays: int = 1):
@@ -110,7 +110,7 @@ def ingested(t: Lake, name: str, replays: int = 1):
         handle = jobs.ingest_batch(store, f"{folder}/dlq", WIRE_SCHEMA, "pepper")
         cutting = {"maxFilesPerTrigger": str(3 - i)} if i < 3 else {}
         streams.drain_batches(streams.read_values(t.spark, {"path": path, **cutting}, "text"), f"{folder}/run{i}", handle)
-    return store.current("nodes", ["id"], ["ts_us", "signal_id"], "seen")
+    return listed(store.current("nodes", ["id"], ["ts_us", "signal_id"], "seen"))
 
 
 @query("t5_ingest_to_graph", f"WITH {HASHED} {FUSED_NODES}")

@@ -110,6 +110,50 @@ def w8(t: Lake):
     return picked.select("insight_id", "pb_id", half_up(F.col("q"), 6).alias("q"))
 
 
+# Each order line votes on the insight of its number, in the order of the lines.
+VOTES = """SELECT l_orderkey AS insight_id, l_linenumber AS voted_at, CASE WHEN l_returnflag = 'N' AND l_discount < 0.05 THEN 'LEGAL' WHEN l_returnflag = 'A' AND l_discount < 0.03 THEN 'CFO' ELSE 'SOC_ANALYST' END AS role,
+  CASE WHEN l_quantity > 45 THEN 'reject' WHEN l_quantity > 10 THEN 'approve' ELSE 'comment' END AS decision FROM lineitem"""
+#: The playbooks that ask for something; without the general one some insights find none.
+RULED = tuple(pb for pb in remediate.PLAYBOOKS if pb.match_rules)
+PROCESSED = f"""{FOLD}, pb(pos, pb_id, kind, roles, want_type, want_severity) AS (VALUES
+  (0, 'pb_network_isolate_01', 'automated', ['SOC_ANALYST', 'LEGAL'], 'vulnerability', ['critical']), (1, 'pb_patch_guidance_01', 'guided', CAST([] AS VARCHAR[]), 'vulnerability', ['high', 'critical']),
+  (3, 'pb_soar_escalation', 'automated', ['SOC_ANALYST'], 'complex_incident', ['critical']), (4, 'pb_supply_chain_comm', 'automated', CAST([] AS VARCHAR[]), 'supply_chain_breach', ['high', 'critical']),
+  (5, 'pb_supply_chain_controls', 'automated', CAST([] AS VARCHAR[]), 'vendor_portal_vulnerability', ['high'])),
+ best AS (SELECT i.insight_id, pb.pb_id, kind, roles, row_number() OVER (PARTITION BY i.insight_id ORDER BY coalesce(q.q, 0.5e0) DESC, pos) AS rn
+   FROM insights i JOIN pb ON want_type = type AND list_contains(want_severity, severity) LEFT JOIN q ON q.state = concat(type, '_', severity) AND q.pb_id = pb.pb_id),
+ votes AS (SELECT insight_id, role, min(voted_at) FILTER (decision = 'approve') AS ok, min(voted_at) FILTER (decision = 'reject') AS refused FROM ({VOTES}) v GROUP BY insight_id, role),
+ given AS (SELECT b.insight_id, count(ok) AS n, max(ok) AS last, list(role ORDER BY role) FILTER (ok IS NOT NULL) AS had FROM best b JOIN votes v ON v.insight_id = b.insight_id AND list_contains(roles, role) WHERE rn = 1 GROUP BY b.insight_id),
+ refused AS (SELECT insight_id, min(refused) AS refused FROM votes GROUP BY insight_id),
+ j AS (SELECT i.*, concat(type, '_', severity) AS state, b.pb_id, kind, roles, coalesce(n, 0) AS n, last, had, r.refused,
+   CASE b.pb_id WHEN 'pb_network_isolate_01' THEN asset_id IS NOT NULL WHEN 'pb_supply_chain_comm' THEN vendor_id IS NOT NULL WHEN 'pb_supply_chain_controls' THEN target_endpoint IS NOT NULL ELSE true END AS works
+   FROM insights i LEFT JOIN best b ON b.insight_id = i.insight_id AND rn = 1 LEFT JOIN given g ON g.insight_id = i.insight_id LEFT JOIN refused r ON r.insight_id = i.insight_id),
+ processed AS (SELECT *, CASE WHEN pb_id IS NULL THEN 'NO_PLAYBOOK_FOUND' WHEN kind = 'guided' THEN 'WORKFLOW_STARTED'
+   WHEN len(roles) > 0 AND refused IS NOT NULL AND (n < len(roles) OR refused <= last) THEN 'REJECTED' WHEN len(roles) > 0 AND n = 0 THEN 'AWAITING_APPROVAL'
+   WHEN n < len(roles) THEN 'AWAITING_FURTHER_APPROVAL' WHEN works THEN 'AUTOMATED_SUCCESS' ELSE 'AUTOMATED_FAILED' END AS status FROM j)"""
+
+
+def processed(t: Lake):
+    return remediate.process_insights(t.insights, learned(t), t.sql(VOTES).withColumnRenamed("voted_at", "at"), RULED, explore=0.0)
+
+
+@query("w8_insight_outcomes", f"""WITH {PROCESSED}
+SELECT insight_id, pb_id, state, status, CASE WHEN status LIKE 'AWAITING%' THEN array_to_string(list_sort(list_filter(roles, lambda r: NOT list_contains(coalesce(had, []), r))), ',') ELSE '' END AS remaining,
+  CASE WHEN status LIKE 'AUTOMATED%' THEN ts_us END AS done_at, CASE status WHEN 'AUTOMATED_SUCCESS' THEN 1 WHEN 'AUTOMATED_FAILED' THEN 0 END AS reward FROM processed""")
+def w8_outcomes(t: Lake):
+    out = processed(t).select("insight_id", "pb_id", "state", "status", "remaining", "done_at", "reward")
+    return out.withColumn("remaining", F.concat_ws(",", "remaining"))
+
+
+@query("w7_learn_outcomes", f"""WITH {PROCESSED},
+ ran AS (SELECT state, pb_id, CASE WHEN works THEN 1 ELSE 0 END AS reward, row_number() OVER (PARTITION BY state, pb_id ORDER BY ts_us, insight_id) AS i, count(*) OVER (PARTITION BY state, pb_id) AS n
+   FROM processed WHERE status LIKE 'AUTOMATED%'),
+ more AS (SELECT state, pb_id, sum(0.2e0 * reward * pow(0.8e0, n - i)) AS a, count(*) AS m FROM ran GROUP BY state, pb_id)
+SELECT coalesce(q.state, more.state) AS state, coalesce(q.pb_id, more.pb_id) AS pb_id, {rounded('coalesce(q, 0.5e0) * pow(0.8e0, coalesce(m, 0)) + coalesce(a, 0)')} AS q, coalesce(updates, 0) + coalesce(m, 0) AS updates
+FROM q FULL JOIN more ON q.state = more.state AND q.pb_id = more.pb_id""")
+def w7_learn(t: Lake):
+    return remediate.learn_outcomes(learned(t), processed(t)).withColumn("q", half_up(F.col("q"), 6))
+
+
 WORKFLOW = """SELECT user_id AS workflow_id, EPOCH_US(ts) AS at_us, CASE WHEN value <= 70 THEN 'note' WHEN event_type = 'signup' THEN 'start'
     WHEN event_type = 'error' THEN 'advance' WHEN event_type = 'purchase' THEN 'evidence' ELSE 'note' END AS kind FROM events"""
 
@@ -161,8 +205,14 @@ FUSED = f"""SELECT signal_id, ts_us, type, coalesce(nullif(repo,''), nullif(pack
   greatest(0, 70 - {PENALTY_SQL}) AS score FROM signals"""
 
 
+def open_ports():
+    """Ports of a scan, as many as it has findings and one more."""
+    return F.slice(F.array(*map(F.lit, (80, 443, 22, 3306, 8080))), F.lit(1), F.col("cve_count") + 1)
+
+
 def fused_signals(t: Lake):
     rows = t.signals.withColumns({
+        "open_ports": open_ports(),
         "entity": normalize.entity_name(), "score": normalize.adjusted_score(),
         "actors": textscan.extract_actors(F.col("content")),
         "cves": F.when(F.col("cve_count") > 0, F.transform(
@@ -171,19 +221,29 @@ def fused_signals(t: Lake):
 
 
 ACTOR_LIST = "(VALUES ('APT29'), ('Lazarus'), ('Equation Group'), ('Sandworm')) act(actor)"
-GRAPH_NODES = f"""f AS ({FUSED}), nodes AS (SELECT concat('Identity:', entity) AS id, 'Identity' AS label, score, ts_us, signal_id FROM f
- UNION ALL SELECT concat('SoftwareComponent:pkg:generic/', package, '@', CASE WHEN type = 'vulnerability' THEN 'unknown' ELSE coalesce(version, '0.0.0') END), 'SoftwareComponent', NULL, ts_us, signal_id FROM f WHERE type IN ('sbom','vulnerability') AND package IS NOT NULL
- UNION ALL SELECT concat('Device:', ip_address), 'Device', NULL, ts_us, signal_id FROM f WHERE type = 'network_scan' AND ip_address IS NOT NULL
- UNION ALL SELECT concat('ThreatActor:', actor), 'ThreatActor', NULL, ts_us, signal_id FROM f JOIN {ACTOR_LIST} ON contains(lower(content), lower(actor)) WHERE type = 'report'
- UNION ALL SELECT concat('Vulnerability:CVE-2024-', 1000 + i), 'Vulnerability', NULL, ts_us, signal_id FROM f JOIN (VALUES (1), (2), (3)) s(i) ON i <= cve_count WHERE type = 'network_scan')"""
+GRAPH_NODES = f"""f AS ({FUSED}), nodes AS (SELECT concat('Identity:', entity) AS id, 'Identity' AS label, score, ts_us, signal_id, NULL AS ports, NULL AS found FROM f
+ UNION ALL SELECT concat('SoftwareComponent:pkg:generic/', package, '@', CASE WHEN type = 'vulnerability' THEN 'unknown' ELSE coalesce(version, '0.0.0') END), 'SoftwareComponent', NULL, ts_us, signal_id, NULL, NULL FROM f WHERE type IN ('sbom','vulnerability') AND package IS NOT NULL
+ UNION ALL SELECT concat('Device:', ip_address), 'Device', NULL, ts_us, signal_id, coalesce(array_to_string([80, 443, 22, 3306, 8080][1:cve_count + 1], ','), ''), coalesce(array_to_string(list_transform(range(1, cve_count + 1), lambda i: concat('CVE-2024-', 1000 + i)), ','), '') FROM f WHERE type = 'network_scan' AND ip_address IS NOT NULL
+ UNION ALL SELECT concat('ThreatActor:', actor), 'ThreatActor', NULL, ts_us, signal_id, NULL, NULL FROM f JOIN {ACTOR_LIST} ON contains(lower(content), lower(actor)) WHERE type = 'report'
+ UNION ALL SELECT concat('Vulnerability:CVE-2024-', 1000 + i), 'Vulnerability', NULL, ts_us, signal_id, NULL, NULL FROM f JOIN (VALUES (1), (2), (3)) s(i) ON i <= cve_count WHERE type = 'network_scan')"""
+
+
+SCANNED = """arg_max(ports, CAST(ts_us AS HUGEINT) * 1000000 + signal_id) FILTER (ports IS NOT NULL) AS open_ports,
+  arg_max(found, CAST(ts_us AS HUGEINT) * 1000000 + signal_id) FILTER (found IS NOT NULL) AS cves"""
 
 
 @query("u1_graph_nodes", f"""WITH {GRAPH_NODES}
-SELECT id, min(label) AS label, min(ts_us) AS first_seen, max(ts_us) AS last_seen, arg_max(score, CAST(ts_us AS HUGEINT) * 1000000 + signal_id) FILTER (score IS NOT NULL) AS security_score FROM nodes GROUP BY id""")
+SELECT id, min(label) AS label, min(ts_us) AS first_seen, max(ts_us) AS last_seen, arg_max(score, CAST(ts_us AS HUGEINT) * 1000000 + signal_id) FILTER (score IS NOT NULL) AS security_score, {SCANNED} FROM nodes GROUP BY id""")
 def u1_nodes(t: Lake):
     nodes, _ = fused_signals(t)
     nodes = nodes.withColumn("seen", F.col("ts_us"))
-    return windows.upsert(nodes.limit(0), nodes, ["id"], ["ts_us", "signal_id"], "seen")
+    return listed(windows.upsert(nodes.limit(0), nodes, ["id"], ["ts_us", "signal_id"], "seen"))
+
+
+def listed(nodes):
+    """Lists of a device as text."""
+    as_text = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(",", F.col(c).cast("array<string>"))).alias(c)
+    return nodes.select(*[as_text(c) if c in ("open_ports", "cves") else c for c in nodes.columns])
 
 
 @query("u1_graph_edges", f"""WITH f AS ({FUSED}), edges AS (SELECT concat('Identity:', entity) AS src,

@@ -363,6 +363,49 @@ def test_control_status(spark):
     assert [r.evidence for r in govern.control_evidence(assets, rules).collect()] == ["Asset d1 is not encrypted."]
 
 
+def test_insight_to_outcome(spark):
+    columns = "insight_id int, ts_us long, type string, severity string, asset_id string, vendor_id string, target_endpoint string, title string"
+    isolate = ("vulnerability", "critical", "a1", None, None, None)
+    cases = [(1, "supply_chain_breach", "high", None, "v", None, None), (2, "supply_chain_breach", "high", None, None, None, None), (3, "vulnerability", "high", "a", None, None, None),
+             (4, "other", "low", None, None, None, None), (14, None, None, None, None, None, None)] + [(i, *isolate) for i in range(5, 13)] + [(13, "vulnerability", "critical", None, None, None, None)]
+    insights = spark.createDataFrame([(c[0], 100, *c[1:]) for c in cases], columns)
+    soc, legal, cfo = "SOC_ANALYST", "LEGAL", "CFO"
+    votes = [(6, soc, "approve", 110), (6, cfo, "approve", 111), (6, soc, "comment", 90), (7, soc, "approve", 110), (7, soc, "approve", 105), (7, legal, "approve", 120),
+             (8, soc, "approve", 110), (8, cfo, "reject", 115), (8, legal, "approve", 120), (9, soc, "approve", 110), (9, legal, "approve", 112), (9, cfo, "reject", 113),
+             (10, cfo, "approve", 101), (11, cfo, "reject", 101), (12, soc, "approve", 110), (12, legal, "approve", 111), (12, legal, "reject", 111),
+             (13, legal, "approve", 130), (13, soc, "approve", 140), (99, soc, "approve", 1), (None, soc, "approve", 1), (3, soc, "reject", 1)]
+    ballots = spark.createDataFrame(votes, "insight_id int, role string, decision string, at long")
+    ruled = tuple(pb for pb in remediate.PLAYBOOKS if pb.match_rules)
+    values = spark.createDataFrame([("vulnerability_critical", "pb_network_isolate_01", 0.9, 4)], "state string, pb_id string, q double, updates long")
+    done = remediate.process_insights(insights, values, ballots, ruled, explore=0.0)
+    got = {r.insight_id: r for r in done.collect()}
+    assert len(got) == len(cases) and {i: r.status for i, r in got.items()} == {
+        1: "AUTOMATED_SUCCESS", 2: "AUTOMATED_FAILED", 3: "WORKFLOW_STARTED", 4: "NO_PLAYBOOK_FOUND", 14: "NO_PLAYBOOK_FOUND", 5: "AWAITING_APPROVAL",
+        6: "AWAITING_FURTHER_APPROVAL", 7: "AUTOMATED_SUCCESS", 8: "REJECTED", 9: "AUTOMATED_SUCCESS", 10: "AWAITING_APPROVAL", 11: "REJECTED", 12: "REJECTED", 13: "AUTOMATED_FAILED"}
+    assert got[6].remaining == [legal] and got[5].remaining == [legal, soc] and got[7].remaining == []
+    assert {i: (r.done_at, r.reward) for i, r in got.items() if r.reward is not None} == {1: (100, 1), 2: (100, 0), 7: (120, 1), 9: (112, 1), 13: (140, 0)}
+    learned = {(r.state, r.pb_id): (r.q, r.updates) for r in remediate.learn_outcomes(values, done).collect()}
+    q = 0.9
+    for reward in (1, 1, 0):
+        q += 0.2 * (reward - q)
+    assert learned[("vulnerability_critical", "pb_network_isolate_01")] == (pytest.approx(q), 7)
+    assert learned[("supply_chain_breach_high", "pb_supply_chain_comm")] == (pytest.approx(0.8 * (0.8 * 0.5 + 0.2)), 2) and len(learned) == 2
+    assert remediate.process_insights(insights.limit(0), values, ballots.limit(0), ruled, explore=0.0).count() == 0
+
+
+def test_device_ports(spark):
+    rows = [(1, 10, "network_scan", "e", None, None, [], "1.2.3.4", ["CVE-2024-1001"], 5.0, [443, 22]), (2, 20, "network_scan", "e", None, None, [], "1.2.3.4", None, 5.0, None),
+            (3, 15, "network_scan", "e", None, None, [], "1.2.3.5", None, 5.0, [80]), (4, 16, "commit", "e", None, None, [], "1.2.3.5", None, 5.0, [81])]
+    df = spark.createDataFrame(rows, "signal_id int, ts_us long, type string, entity string, package string, version string, actors array<string>, ip_address string, cves array<string>, score double, open_ports array<int>")
+    nodes, _ = windows.signals_to_graph(df)
+    seen = nodes.withColumn("seen", F.col("ts_us"))
+    got = {r.id: r for r in windows.upsert(seen.limit(0), seen, ["id"], ["ts_us", "signal_id"], "seen").collect()}
+    assert (got["Device:1.2.3.4"].open_ports, got["Device:1.2.3.4"].cves) == ([], []) and got["Device:1.2.3.5"].open_ports == [80]
+    assert got["Identity:e"].open_ports is None
+    plain, _ = windows.signals_to_graph(df.drop("open_ports"))
+    assert plain.filter("label = 'Device'").first().open_ports == []
+
+
 @pytest.mark.parametrize("round_rows", [4, 1024])
 def test_ledger_detects_every_change(spark, round_rows):
     import hashlib
