@@ -45,9 +45,9 @@ def fused_verdict(status: Column, malware_detected: Column) -> Column:
 
 
 def link_reports(reports: DataFrame, components: DataFrame, models: DataFrame) -> DataFrame:
-    """Edges from a component, or failing that a model, with the report's target purl."""
-    c = components.select(F.col("purl").alias("target_purl"), F.col("id").alias("_c")).dropDuplicates(["target_purl"])
-    m = models.select(F.col("purl").alias("target_purl"), F.col("id").alias("_m")).dropDuplicates(["target_purl"])
+    """Edges from a component, or failing that a model, with the report's target purl; of several with one purl the least id."""
+    c = components.groupBy(F.col("purl").alias("target_purl")).agg(F.min("id").alias("_c"))
+    m = models.groupBy(F.col("purl").alias("target_purl")).agg(F.min("id").alias("_m"))
     return (
         reports.join(c, "target_purl", "left").join(m, "target_purl", "left")
         .withColumn("src", F.coalesce("_c", "_m"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskfabric.operators.normalize import DEFAULT_RATING, rating_tier
 from riskfabric.operators.scan import KeyedScan
-from riskfabric.session import keep
+from riskfabric.session import cut
 
 # The shadow exposure.
 SHADOW_TEXT = "Asset %s (%s) was discovered externally but is not present in internal telemetry systems (Splunk/Sentinel)."
@@ -93,7 +93,7 @@ def insertable_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     flagged = edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(
         ids.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
     error = F.when(F.col("_s").isNull(), "source missing").when(F.col("_d").isNull(), "target missing")
-    judged = keep(flagged.withColumn("error", error).drop("_s", "_d"))
+    judged = cut(flagged.withColumn("error", error).drop("_s", "_d"))
     good = judged.filter(F.col("error").isNull()).select(*edges.columns)
     return good, judged.filter(F.col("error").isNotNull()).select(*edges.columns, "error")
 

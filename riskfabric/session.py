@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,11 +56,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cache for reuse within one operator; recomputed from its source if an executor goes away."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder beneath the checkpoint folder, for outputs that are read back in the same job."""
     return f"{ensure_checkpoint_dir(spark)}/riskfabric/{name}-{uuid.uuid4().hex}"

@@ -393,6 +393,14 @@ def test_insight_to_outcome(spark):
     assert remediate.process_insights(insights.limit(0), values, ballots.limit(0), ruled, explore=0.0).count() == 0
 
 
+def test_reports_link_to_the_least_id(spark):
+    reports = spark.createDataFrame([("r1", "pkg:a"), ("r2", "pkg:m"), ("r3", "pkg:none"), ("r4", None)], "hash string, target_purl string")
+    components = spark.createDataFrame([("c2", "pkg:a"), ("c1", "pkg:a"), ("c0", None)], "id string, purl string")
+    models = spark.createDataFrame([("m9", "pkg:m"), ("m1", "pkg:m"), ("m0", "pkg:a")], "id string, purl string")
+    linked = binary.link_reports(reports, components, models)
+    assert sorted(r.src for r in linked.collect()) == ["c1", "m1"]
+
+
 def test_device_ports(spark):
     rows = [(1, 10, "network_scan", "e", None, None, [], "1.2.3.4", ["CVE-2024-1001"], 5.0, [443, 22]), (2, 20, "network_scan", "e", None, None, [], "1.2.3.4", None, 5.0, None),
             (3, 15, "network_scan", "e", None, None, [], "1.2.3.5", None, 5.0, [80]), (4, 16, "commit", "e", None, None, [], "1.2.3.5", None, 5.0, [81])]
