@@ -44,8 +44,8 @@ def words(stop_words: bool = True) -> Tokenizer:
 
 
 def term_counts(texts: DataFrame, key: str, text: str, tokenize: Tokenizer) -> DataFrame:
-    """(key, term, tf); `key` is unique per row of `texts`."""
-    return texts.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(
+    """(key, term, tf); `key` is unique per row of `texts`. The texts are dealt out by key, so no exchange carries terms."""
+    return texts.select(key, text).repartition(key).select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
@@ -65,31 +65,8 @@ def vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return packed.select(key, unit.alias("vec"))
 
 
-def prefix_terms(vec: Column, remainder: float) -> Column:
-    """Leading entries of a vector, up to where the norm of the rest falls below `remainder`.
-
-    Terms stand in one global order, rarest first. Take two unit vectors cut this way. The shared terms missing
-    from either prefix all lie in the rest of the one that was cut earlier, so they add less than `remainder`
-    to the dot product: prefixes whose partial dot product is below threshold - remainder can be dropped, and
-    with remainder <= threshold a pair that reaches the threshold shares at least one prefix term.
-    """
-    limit = (remainder - 1e-9) ** 2
-    start = F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n"))
-    length = F.aggregate(
-        vec, start,
-        lambda acc, e: F.struct(
-            (acc["rest"] - e["w"] * e["w"]).alias("rest"),
-            (acc["n"] + (acc["rest"] >= limit).cast("int")).alias("n"),
-        ),
-        lambda acc: acc["n"],
-    )
-    return F.slice(vec, F.lit(1), length)
-
-
-def weight_map(vec: Column) -> Column:
-    return F.map_from_arrays(F.transform(vec, lambda e: e["term"]), F.transform(vec, lambda e: e["w"]))
-
-
-def cosine(a: Column, b_map: Column) -> Column:
-    """Dot product of a vector with a term -> weight map."""
-    return F.aggregate(a, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(b_map, e["term"]), F.lit(0.0)))
+def numbered_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """One row per text: its normalised vector as two arrays, the numbers `t` that `idf` gives the terms, and the weights."""
+    weighted = counts.join(idf.select("term", "t", "idf"), "term").select(key, "t", (F.col("tf") * F.col("idf")).alias("w"))
+    packed = weighted.groupBy(key).agg(F.collect_list(F.struct("t", "w")).alias("raw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return packed.select(key, F.col("raw.t").alias("terms"), F.transform("raw.w", lambda w: w / F.col("norm")).alias("weights"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskfabric.functions.tfidf import (
-    Tokenizer, char_wb, cosine, fit_idf, prefix_terms, term_counts, vectors, weight_map, words,
+    Tokenizer, char_wb, fit_idf, numbered_vectors, term_counts, vectors, words,
 )
 from riskfabric.operators.graph import connected_components
-from riskfabric.session import cut
+from riskfabric.session import cut, scratch
 
 THRESHOLD = 0.85
-#: Part of the threshold that the terms behind a prefix may add.
+#: Part of the threshold that the terms of a query which are not added up may add.
 REMAINDER = 0.75
 
 
@@ -43,65 +49,136 @@ def match_exact(ext: DataFrame, internal: DataFrame) -> DataFrame:
     return match_keys(ext, *exact_keys(internal))
 
 
-def fitted(corpus: DataFrame, remainder: float, tokenize: Tokenizer) -> tuple[DataFrame, DataFrame]:
-    """(term, df, idf) and (c, vec, prefix) of `corpus(c, text, copies)`, which holds distinct texts with unique keys."""
-    counts = cut(term_counts(corpus, "c", "text", tokenize))
-    idf = cut(fit_idf(counts, corpus, "c", "copies"))
-    return idf, cut(vectors(counts, idf, "c").select("c", "vec", prefix_terms(F.col("vec"), remainder).alias("prefix")))
+def _counted(texts: DataFrame, key: str, tokenize: Tokenizer) -> DataFrame:
+    """Term counts, written once in columns, where a key and a term repeated in many rows cost little."""
+    folder = scratch(texts.sparkSession, "terms")
+    term_counts(texts, key, "text", tokenize).write.parquet(folder)
+    return texts.sparkSession.read.schema(f"`{key}` string, term string, tf bigint").parquet(folder)
 
 
-def pairs_on_grid(q_vec: DataFrame, c_vec: DataFrame, threshold: float, remainder: float, fan: int, within: bool) -> DataFrame:
-    """(q, c, score >= threshold) of fitted vectors; `within`: pairs q < c of one set.
+def fitted(corpus: DataFrame, tokenize: Tokenizer) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf, t) and (c, terms, weights) of `corpus(c, text, copies)`, which holds distinct texts with unique string keys."""
+    counts = _counted(corpus, "c", tokenize)
+    idf = cut(fit_idf(counts, corpus, "c", "copies").withColumn("t", F.monotonically_increasing_id()))
+    return idf, cut(numbered_vectors(counts, _side(idf), "c"))
+
+
+#: Texts a side of a cell at most, about 80 MB of terms and weights.
+SIDE = 32_768
+#: Cells wanted, as long as their sides stay between `fan` and SIDE texts.
+CELLS = 64
+
 
-    An equi-join of the prefixes gives each candidate pair its partial dot product; only pairs whose partial can still reach the
-    threshold (exact, see prefix_terms) are computed in full. The postings of a frequent term lie on a grid of slots of about `fan`
-    postings a side: a posting is dealt to one slot of its own side and visits all of the other, so a cell holds about fan x fan pairs.
+def _scored(asked: Vectors, held: Vectors, threshold: float, remainder: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of asked, rows of held, scores >= threshold), each pair once.
+
+    Of a query only the terms that this cell holds count, shortest posting list first. Once the norm of the rest falls below `remainder`,
+    the rest can add no more than that norm to a dot product of unit vectors: pairs whose partial product cannot reach the threshold
+    with it are left out, and the others are computed in full. Exact: nothing is capped.
     """
-    rare = F.lit(1).cast("long")
+    vocabulary, at = np.unique(held.terms, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    rows = np.repeat(np.arange(len(held.starts) - 1), np.diff(held.starts))[order]
+    weights = held.weights[order]
+    first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(vocabulary)))))
+    dense = np.zeros(len(vocabulary))
+    for i in range(len(asked.starts) - 1):
+        own = slice(asked.starts[i], asked.starts[i + 1])
+        place = np.searchsorted(vocabulary, asked.terms[own])
+        known = np.flatnonzero(vocabulary[np.minimum(place, len(vocabulary) - 1)] == asked.terms[own])
+        place, weight = place[known], asked.weights[own][known]
+        shortest = np.argsort(first[place + 1] - first[place], kind="stable")
+        place, weight = place[shortest], weight[shortest]
+        rest = np.sqrt(np.append(np.cumsum((weight * weight)[::-1])[::-1], 0.0))
+        if rest[0] < threshold - 1e-6:
+            continue
+        partial, used = np.zeros(len(held.starts) - 1), 0
+        while used < len(place) and rest[used] >= remainder - 1e-9:
+            span = slice(first[place[used]], first[place[used] + 1])
+            partial[rows[span]] += weight[used] * weights[span]
+            used += 1
+        found = np.flatnonzero((partial >= threshold - rest[used] - 1e-9) & (partial > 0))
+        if not len(found):
+            continue
+        sizes = held.starts[found + 1] - held.starts[found]
+        ends = np.cumsum(sizes)
+        picked = np.arange(ends[-1]) + np.repeat(held.starts[found] - (ends - sizes), sizes)
+        dense[place] = weight
+        score = np.round(np.add.reduceat(dense[at[picked]] * held.weights[picked], ends - sizes), 9)
+        dense[place] = 0.0
+        good = score >= threshold
+        if good.any():
+            yield i, found[good], score[good]
+
+
+class Vectors(NamedTuple):
+    """Vectors of a cell, one after the other: keys, where each begins, term numbers, weights."""
+
+    keys: pa.Array
+    starts: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table, key: str) -> Vectors:
+        lists = table[f"{key}_terms"].combine_chunks()
+        starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        return cls(table[key].combine_chunks(), starts, lists.flatten().to_numpy(), table[f"{key}_weights"].combine_chunks().flatten().to_numpy())
+
 
-    def postings(vec: DataFrame, key: str, weight: str) -> DataFrame:
-        return vec.select(key, F.inline("prefix")).select(key, "term", F.col("w").alias(weight))
+def pairs_on_grid(q_vec: DataFrame, c_vec: DataFrame, threshold: float, remainder: float, fan: int, within: bool) -> DataFrame:
+    """(q, c, score >= threshold) of fitted vectors with string keys; `within`: pairs q < c of one set.
+
+    Both sides are dealt into blocks by a hash of their key, and a task joins a block of queries with a block of texts: its cell of the
+    grid. Only vectors are shuffled, each once per block of the other side, and the pairs that reach the threshold come out; no pair that
+    merely shares a term is ever a row. Blocks grow with the input from `fan` up to SIDE texts, so up to there the copies stay as many.
+    """
+    held = c_vec.count()
+    sought = held if within else q_vec.count()
+    side = max(1, min(max(fan, math.ceil(math.sqrt(held * sought / CELLS))), SIDE))
+    down, across = max(1, math.ceil(sought / side)), max(1, math.ceil(held / side))
 
-    def slots(terms: DataFrame, name: str) -> DataFrame:
-        """Frequent terms only, so at most one row per `fan` postings."""
-        return cut(terms.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / fan).alias(name)).filter(F.col(name) > 1))
+    def block(key: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
-    q_terms, c_terms = postings(q_vec, "q", "qw"), postings(c_vec, "c", "cw")
-    for name, table in (("_qs", slots(q_terms, "_qs")), ("_cs", slots(c_terms, "_cs"))):
-        def sized(terms: DataFrame) -> DataFrame:
-            return terms.withColumn(name, rare) if table.isEmpty() else terms.join(table, "term", "left").withColumn(name, F.coalesce(name, rare))
+    def dealt(vec: DataFrame, key: str, own: str, blocks: int, other: str, start: Column, stop: Column) -> DataFrame:
+        placed = vec.select(key, F.col("terms").alias(f"{key}_terms"), F.col("weights").alias(f"{key}_weights"), block(key, blocks).alias(own))
+        return placed.withColumn(other, F.explode(F.sequence(start, stop)))
 
-        q_terms, c_terms = sized(q_terms), sized(c_terms)
+    zero = F.lit(0)
+    q_cells = dealt(q_vec, "q", "_qb", down, "_cb", F.col("_qb") if within else zero, F.lit(across - 1))
+    c_cells = dealt(c_vec, "c", "_cb", across, "_qb", zero, F.col("_cb") if within else F.lit(down - 1))
+    out = pa.schema([("q", pa.string()), ("c", pa.string()), ("score", pa.float64())])
 
-    def every(name: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            asked, texts = Vectors.of(left, "q"), Vectors.of(right, "c")
+            for i, rows, scores in _scored(asked, texts, threshold, remainder):
+                parts.append(pa.Table.from_arrays([pa.repeat(asked.keys[i], len(rows)).cast(pa.string()), texts.keys.take(pa.array(rows)).cast(pa.string()), pa.array(scores)], schema=out))
+        return pa.concat_tables(parts) if parts else out.empty_table()
 
-    q_cells = q_terms.select("q", "term", "qw", F.pmod(F.xxhash64("q"), F.col("_qs")).alias("_qslot"), every("_cs").alias("_cslot"))
-    c_cells = c_terms.select("c", "term", "cw", F.pmod(F.xxhash64("c"), F.col("_cs")).alias("_cslot"), every("_qs").alias("_qslot"))
-    met = q_cells.join(c_cells, ["term", "_qslot", "_cslot"])
-    if within:
-        met = met.filter(F.col("q") < F.col("c"))
-    partial = met.groupBy("q", "c").agg(F.sum(F.col("qw") * F.col("cw")).alias("partial"))
-    candidates = partial.filter(F.col("partial") >= threshold - remainder - 1e-9).select("q", "c")
-    with_vectors = candidates.join(q_vec.select("q", "vec"), "q").join(
-        c_vec.select("c", weight_map(F.col("vec")).alias("cmap")), "c")
-    scored = with_vectors.select("q", "c", F.round(cosine(F.col("vec"), F.col("cmap")), 9).alias("score"))
-    return scored.filter(F.col("score") >= threshold)
+    pairs = q_cells.groupBy("_qb", "_cb").cogroup(c_cells.groupBy("_qb", "_cb")).applyInArrow(joined, "q string, c string, score double")
+    if not within:
+        return pairs
+    # A pair of one block is met from both ends, one of two blocks from either.
+    return pairs.filter((F.col("q") < F.col("c")) | (block("q", down) != block("c", down))).select(
+        F.least("q", "c").alias("q"), F.greatest("q", "c").alias("c"), "score")
 
 
-def query_vectors(queries: DataFrame, idf: DataFrame, remainder: float, tokenize: Tokenizer) -> DataFrame:
-    """(q, vec, prefix) of `queries(q, text)` under a fitted vocabulary."""
-    return cut(vectors(term_counts(queries, "q", "text", tokenize), idf, "q").select("q", "vec", prefix_terms(F.col("vec"), remainder).alias("prefix")))
+def query_vectors(queries: DataFrame, idf: DataFrame, tokenize: Tokenizer) -> DataFrame:
+    """(q, terms, weights) of `queries(q, text)` under a fitted vocabulary."""
+    return cut(numbered_vectors(_counted(queries, "q", tokenize), _side(idf), "q"))
 
 
 def similar_pairs(queries: DataFrame | None, corpus: DataFrame, threshold: float, tokenize: Tokenizer, fan: int = 4096) -> DataFrame:
     """(q, c, score >= threshold) between distinct texts; without queries, pairs q < c inside the corpus.
 
-    A shorter remainder verifies fewer pairs but joins more terms; both costs grow alike, so the share between them is fixed.
+    A shorter remainder verifies fewer pairs but adds up more terms; both costs grow alike, so the share between them is fixed.
     """
     remainder = REMAINDER * threshold
-    idf, c_vec = fitted(corpus, remainder, tokenize)
-    q_vec = c_vec.withColumnRenamed("c", "q") if queries is None else query_vectors(queries, idf, remainder, tokenize)
+    idf, c_vec = fitted(corpus, tokenize)
+    q_vec = c_vec.withColumnRenamed("c", "q") if queries is None else query_vectors(queries, idf, tokenize)
     return pairs_on_grid(q_vec, c_vec, threshold, remainder, fan, queries is None)
 
 
@@ -119,7 +196,7 @@ def candidate_texts(internal: DataFrame) -> DataFrame:
 def best_match(ext: DataFrame, first: DataFrame, idf: DataFrame, c_vec: DataFrame, threshold: float, remainder: float, fan: int = 4096) -> DataFrame:
     """Best candidate per external asset against fitted texts; copies of a text take its answer, ties go to the first candidate."""
     asked = asset_text(ext).withColumn("q", F.sha2("text", 256))
-    q_vec = query_vectors(asked.select("q", "text").distinct(), idf, remainder, char_wb())
+    q_vec = query_vectors(asked.select("q", "text").distinct(), idf, char_wb())
     pairs = pairs_on_grid(q_vec, c_vec, threshold, remainder, fan, False)
     ranked = pairs.join(first.select("c", "first"), "c").groupBy("q").agg(
         F.max_by(F.struct(F.col("first.id").alias("id"), F.col("score").alias("score")),
@@ -132,7 +209,7 @@ def match_fuzzy(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOL
     """Best internal asset per external one by character n-gram cosine of value and name."""
     remainder = REMAINDER * threshold
     corpus = cut(candidate_texts(internal))
-    return best_match(ext, corpus, *fitted(corpus, remainder, char_wb()), threshold, remainder, fan)
+    return best_match(ext, corpus, *fitted(corpus, char_wb()), threshold, remainder, fan)
 
 
 def match_assets(ext: DataFrame, internal: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -28,7 +28,7 @@ class MatchIndex:
         spark = internal.sparkSession
         remainder = match.REMAINDER * threshold
         corpus = cut(match.candidate_texts(internal))
-        idf, vectors = match.fitted(corpus, remainder, char_wb())
+        idf, vectors = match.fitted(corpus, char_wb())
         by_value, by_cert = match.exact_keys(internal)
         folder, schemas = f"{root}/files/{uuid.uuid4().hex}", {}
         for name, table in zip(TABLES, (by_value, by_cert, corpus.select("c", "first"), idf, vectors)):
@@ -48,7 +48,7 @@ class MatchIndex:
         return cls(spark, held["version"], held["folder"], held["remainder"], held["schemas"])
 
     def match(self, ext: DataFrame, threshold: float = match.THRESHOLD) -> DataFrame:
-        """Exact match first, fuzzy for the rest. The threshold must not lie below the one the prefixes were cut for."""
+        """Exact match first, fuzzy for the rest. The threshold must not lie below the one the index was built for."""
         if threshold < self.remainder / match.REMAINDER - 1e-12:
             raise ValueError("the index was built for a higher threshold")
         t = self.tables

@@ -62,6 +62,17 @@ def test_hot_term_on_a_grid(spark):
     assert pairs(10) == pairs(1_000_000) and pairs(10)
 
 
+def test_pairs_that_only_share_terms_are_no_rows(spark):
+    """Texts of one frequent word and own numbers: all 500,000 pairs share terms, few are similar; what is shuffled follows the texts."""
+    texts = spark.range(1000).select(F.concat(F.lit("acme "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit(1).alias("copies"),
+                                     F.concat(F.lit("t"), "id").alias("c"))
+    texts = texts.unionByName(texts.filter("c = 't7'").select(F.concat("text", F.lit(" x")).alias("text"), "copies", F.lit("u7").alias("c")))
+    pairs = match.similar_pairs(None, texts, 0.8, match.char_wb(), fan=100)
+    assert [(r["q"], r["c"]) for r in pairs.collect()] == [("t7", "u7")]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_index_gives_what_the_inventory_gives(spark, tmp_path):
     columns = "id string, ord long, value string, name string, cert_hash string"
     inventory = spark.createDataFrame([("a", 1, "10.0.0.1", "web frontend alpha", None), ("b", 2, "10.0.0.2", "database primary", "cc"),
