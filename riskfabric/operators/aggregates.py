@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfabric.operators.risk import DEFAULT_VENDOR_RATING
+from riskfabric.session import cut
 
 MODULUS = 1_000_003
 
@@ -14,28 +19,77 @@ PER_COMPONENT, PER_MODEL, PER_BINARY, PER_ACTOR, PER_DEVICE = 2, 3, 1, 2, 1
 
 
 def _bits(df: DataFrame, owner: list[str], ident: str) -> DataFrame:
-    """(owner, _b, _bits): the ids of each owner as one bitmap per 32,768 ids."""
-    return df.groupBy(*owner, F.bitmap_bucket_number(F.col(ident)).alias("_b")).agg(
+    """(owner, _b, _bits): the ids of each owner as one bitmap per 32,768 ids. Ids move as rows; bitmaps are made where their owner lies."""
+    return df.repartition(owner[0]).groupBy(*owner, F.bitmap_bucket_number(F.col(ident)).alias("_b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col(ident))).alias("_bits"))
 
 
+#: Bits of a bitmap.
+BUCKET = 32_768
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vendor_id, _b, _at) in order of the first two -> (vendor_id, _b, _bits), a row per key and batch."""
+    for batch in batches:
+        owner, bucket = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])))) if len(owner) else []
+        ends = np.concatenate(([0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        at = batch.column(2).flatten().to_numpy()
+        for lo in range(0, len(first), 256):
+            rows = np.append(first[lo:lo + 257], len(owner))[:257]
+            edges = ends[rows]
+            keys = rows[:-1]
+            bits = np.zeros((len(keys), BUCKET), dtype=bool)
+            bits[np.repeat(np.arange(len(keys)), np.diff(edges)), at[edges[0]:edges[-1]]] = True
+            packed = np.packbits(bits, axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keys]), pa.array(bucket[keys]), pa.array([p.tobytes() for p in packed], pa.binary())], ["vendor_id", "_b", "_bits"])
+
+
+def _users(developed: DataFrame, runs: DataFrame) -> DataFrame:
+    """(vendor_id, _b, _bits): devices that run a component of the vendor, perhaps in several bitmaps of one key.
+
+    A component has few devices, so these travel as lists of two bytes each, and only a vendor's become a bitmap, batch by batch.
+    """
+    held = runs.groupBy("comp_id", F.bitmap_bucket_number(F.col("device_id")).alias("_b")).agg(
+        F.collect_list(F.bitmap_bit_position(F.col("device_id")).cast("short")).alias("_at"))
+    fanned = developed.select(F.col("vendor_id").cast("long").alias("vendor_id"), "comp_id").join(held, "comp_id").select("vendor_id", "_b", "_at")
+    return fanned.repartition("vendor_id", "_b").sortWithinPartitions("vendor_id", "_b").mapInArrow(_pack, "vendor_id bigint, _b bigint, _bits binary")
+
+
+def _sets_below(own: DataFrame, edges: DataFrame, keys: list[str], hops: int) -> DataFrame:
+    """(root, keys, _bits): what a vendor and those up to `hops` edges below it own; a hop ors the sets of the vendors one edge below."""
+    own = cut(own.groupBy(F.col("vendor_id").alias("root"), *keys).agg(F.bitmap_or_agg("_bits").alias("_bits")))
+    reached = own
+    for _ in range(hops):
+        below = edges.join(reached.withColumnRenamed("root", "dst"), "dst").select(F.col("src").alias("root"), *keys, "_bits")
+        reached = cut(own.unionByName(below).groupBy("root", *keys).agg(F.bitmap_or_agg("_bits").alias("_bits")))
+    return reached
+
+
 def subgraph_profile(reach: DataFrame, vendors: DataFrame, developed: DataFrame, runs: DataFrame,
-                     vulns: DataFrame, depth: int = 4) -> DataFrame:
+                     vulns: DataFrame, depth: int = 4, edges: DataFrame | None = None) -> DataFrame:
     """Per root: distinct vendors, components and devices in its subgraph, rating sum and mean, active CVEs.
 
     A node counts once however many ways lead to it. Components lie one hop below their vendor, so vendors at the depth
     limit add none. RUNS leads from a device to a component and a directed walk meets no device there; devices are
     those that run a component of the subgraph. A component's CVEs count once. Ids are whole numbers. Sets are bitmaps, or-ed per
-    root, so no row per (root, component) or (root, device) is formed.
+    root, so no row per (root, component) or (root, device) is formed. With the `edges(src, dst)` that `reach` was walked over, sets
+    pass from vendor to vendor hop by hop, so bitmaps move per edge; without them, per row of `reach`.
     """
     cves = vulns.groupBy("comp_id").agg(F.count(F.lit(1)).alias("_cves"))
     parts = _bits(developed.join(cves, "comp_id", "left").withColumn("_cves", F.coalesce("_cves", F.lit(0))), ["vendor_id", "_cves"], "comp_id")
-    users = developed.join(_bits(runs, ["comp_id"], "device_id"), "comp_id").groupBy("vendor_id", "_b").agg(F.bitmap_or_agg("_bits").alias("_bits"))
-    inner = reach.filter(F.col("depth") < depth).select("root", F.col("node").alias("vendor_id"))
-    by_root = inner.join(parts, "vendor_id").groupBy("root", "_b", "_cves").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n")).groupBy("root").agg(
+    users = _users(developed, runs)
+
+    def below(own: DataFrame, keys: list[str]) -> DataFrame:
+        if edges is not None:
+            return _sets_below(own, edges.select("src", "dst").distinct(), keys, depth - 1)
+        inner = reach.filter(F.col("depth") < depth).select("root", F.col("node").alias("vendor_id"))
+        return inner.join(own, "vendor_id").groupBy("root", *keys).agg(F.bitmap_or_agg("_bits").alias("_bits"))
+
+    sized = F.bitmap_count("_bits")
+    by_root = below(parts, ["_b", "_cves"]).select("root", "_cves", sized.alias("_n")).groupBy("root").agg(
         F.sum("_n").alias("component_count"), F.sum(F.col("_n") * F.col("_cves")).alias("active_cves"))
-    devices = inner.join(users, "vendor_id").groupBy("root", "_b").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n")).groupBy("root").agg(
-        F.sum("_n").alias("device_count"))
+    devices = below(users, ["_b"]).select("root", sized.alias("_n")).groupBy("root").agg(F.sum("_n").alias("device_count"))
     counted = reach.join(vendors.select(F.col("vendor_id").alias("node"), "security_score"), "node").groupBy("root").agg(
         F.count(F.lit(1)).alias("vendor_count"), F.sum("security_score").alias("rating_sum"))
     rating = F.when(F.col("vendor_count") > 0, F.col("rating_sum") / F.col("vendor_count")).otherwise(

@@ -29,8 +29,9 @@ PROFILE = f"""{REACH},
 
 def profiles(t: Lake):
     vendors = t.vendors
-    reach = graph.nth_party(cut(t.supplies.select("src", "dst")), vendors.select(F.col("vendor_id").alias("id")))
-    return aggregates.subgraph_profile(reach, vendors, t.developed, t.runs, t.component_vulns)
+    edges = cut(t.supplies.select("src", "dst"))
+    reach = graph.nth_party(edges, vendors.select(F.col("vendor_id").alias("id")))
+    return aggregates.subgraph_profile(reach, vendors, t.developed, t.runs, t.component_vulns, edges=edges)
 
 
 @query("a1_subgraph_profile", f"""WITH RECURSIVE {PROFILE}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskfabric.operators import evaluate, joins, ledger, remediate, windows
+from riskfabric.operators import aggregates, evaluate, graph, joins, ledger, remediate, windows
 from riskfabric.operators.scan import KeyedScan
 from riskfabric.streaming import throttle
 
@@ -182,3 +182,36 @@ def test_chain_of_one_key(spark, round_rows):
             last = done
     assert sorted(map(tuple, chain.collect()), key=repr) == sorted(want, key=repr)
     assert ledger.build_chain(df.limit(0), "k", ["t"], "event", round_rows=round_rows).count() == 0
+
+
+def test_profile_by_edges_equals_brute_force(spark):
+    """Sets pass along the edges: a hub, ids in several bitmaps, a hot component, cycles; the same as by rows of the reach."""
+    rng = random.Random(11)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)} | {(0, i) for i in range(1, 12)}
+    developed = {(rng.randrange(30), rng.randrange(40) * 3001) for _ in range(200)}
+    runs = {(rng.randrange(200_000), c) for _, c in developed for _ in range(4)} | {(d, 3001) for d in range(40_000)}
+    vulns = [(c * 3001, f"CVE-{c}-{i}") for c in range(0, 40, 3) for i in range(c % 4)]
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    e = frame(edges, "src long, dst long")
+    vendors = frame([(i, i) for i in range(30)], "vendor_id long, security_score int")
+    reach = graph.nth_party(e, vendors.selectExpr("vendor_id AS id"))
+    tables = [frame(developed, "vendor_id long, comp_id long"), frame(runs, "device_id long, comp_id long"), frame(vulns, "comp_id long, cve string")]
+    rows = lambda df: {r.root: (r.vendor_count, r.component_count, r.device_count, r.active_cves) for r in df.collect()}
+    got = rows(aggregates.subgraph_profile(reach, vendors, *tables, edges=e))
+    for root in range(30):
+        near, last = {root}, {root}
+        for hop in range(4):
+            inner = set(near)
+            last = {d for s, d in edges if s in last}
+            near |= last
+        comps = {c for v, c in developed if v in inner}
+        assert got[root] == (len(near), len(comps), len({d for d, c in runs if c in comps}), sum(c in comps for c, _ in vulns)), root
+    assert rows(aggregates.subgraph_profile(reach, vendors, *tables)) == got
+
+
+def test_graph_nodes_are_not_sorted(spark):
+    """Nodes are grouped by a flag and a number, so a task holds the distinct ids, not its rows; a vendor name wins over a component."""
+    rows = [("v", 2, [("component", "lib", "1"), ("vendor", "w", None)]), ("w", 0, [("component", "lib", "1"), ("vendor", "x", None)]), ("lib@1", 1, [])]
+    nodes, _ = graph.build_graph(spark.createDataFrame(rows, "vendor_name string, cves int, dependencies array<struct<type:string,name:string,version:string>>"))
+    assert sorted(map(tuple, nodes.collect())) == [("lib@1", "Vendor", 1), ("v", "Vendor", 2), ("w", "Vendor", 0), ("x", "Vendor", 0)]
+    assert "SortAggregate" not in nodes._jdf.queryExecution().executedPlan().toString()
