@@ -137,6 +137,31 @@ def test_ordered_fold_holds_back_and_lets_go():
     assert list(fold_of.handleExpiredTimer(("a",), clock(2000), None)) == []
 
 
+def test_few_rows_cost_few_calls():
+    """A key with few rows reads and writes its state a fixed number of times, however many slices they lie in; one with many goes to blocks."""
+    def fold(key, state, rows):
+        return ((state or (0,))[0] + len(rows),), [(key[0], r[1]) for r in rows]
+
+    calls = []
+    for rows, most in ((60, 12), (ordered.FEW * 2, 10**9)):
+        store = Store()
+        fold_of = ordered.OrderedFold(["ts", "id"], "n long", fold, ["k", "id"], idle_ms=1000, slice_ms=10)
+        fold_of.init(store)
+        calls.clear()
+        for state in (fold_of.place, fold_of.value, fold_of.waiting):
+            for name in ("exists", "get", "update", "clear", "keys", "getValue", "updateValue", "removeKey"):
+                if hasattr(state, name):
+                    setattr(state, name, lambda *a, _f=getattr(state, name), _n=name: (calls.append(_n), _f(*a))[1])
+        clock = lambda ms: type("Clock", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+        piece = pd.DataFrame([(i * 10_000, i) for i in reversed(range(rows))], columns=["ts", "id"])
+        assert not list(fold_of.handleInputRows(("a",), iter([piece[:rows // 2], piece[rows // 2:]]), clock(0)))
+        assert bool(store.values["waiting"]) == (rows > ordered.FEW)
+        half = rows * 5
+        assert [i for out in fold_of.handleExpiredTimer(("a",), clock(half), None) for i in out["id"]] == list(range(rows // 2))
+        assert [i for out in fold_of.handleExpiredTimer(("a",), clock(10**7), None) for i in out["id"]] == list(range(rows // 2, rows))
+        assert len(calls) <= most and not store.values["waiting"]
+
+
 def test_workflow_state_lives_on_between_runs(spark):
     folder = scratch(spark, "flow")
     schema = "w long, ts long, kind string"
