@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +68,72 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
     return nodes
 
 
+@dataclass
+class LeafTables:
+    """A forest as bit masks over the leaves of each tree, numbered from left to right.
+
+    A node whose cut lies below the value rules out the leaves of its left branch; the first leaf that no node rules out is the one a walk
+    ends in. What the nodes of a feature rule out together depends on how many of its cuts lie below the value only, so it is looked up.
+    """
+
+    words: int
+    leaf_path: np.ndarray
+    #: Per feature: cuts in order, tree of each, first and last leaf (exclusive) of its left branch.
+    cuts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    #: Bytes of the tables of one task at most; larger forests are walked.
+    LIMIT = 256 << 20
+
+    @classmethod
+    def of(cls, starts: np.ndarray, feature: np.ndarray, cut_at: np.ndarray, lo: np.ndarray, hi: np.ndarray, path: np.ndarray, features: int) -> LeafTables | None:
+        leaves: list[list[float]] = []
+        found: list[list[tuple]] = [[] for _ in range(features)]
+        for tree, root in enumerate(starts):
+            own: list[float] = []
+            todo = [(int(root), False, 0)]
+            while todo:
+                at, left_done, first = todo.pop()
+                if left_done:
+                    found[feature[at]].append((cut_at[at], tree, first, len(own)))
+                elif feature[at] < 0:
+                    own.append(path[at])
+                else:
+                    todo += [(int(hi[at]), False, 0), (at, True, len(own)), (int(lo[at]), False, 0)]
+            leaves.append(own)
+        most = max(map(len, leaves), default=1)
+        words = -(-most // 64)
+        if (sum(map(len, found)) + features) * len(leaves) * words * 8 > cls.LIMIT:
+            return None
+        cuts = []
+        for rows in found:
+            rows.sort()
+            cuts.append((np.array([r[0] for r in rows], dtype=float), *[np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3)]))
+        return cls(words, np.array([own + [0.0] * (most - len(own)) for own in leaves]), cuts)
+
+    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Rows of features -> path length per row and tree."""
+        trees, every = len(self.leaf_path), np.uint64(0xFFFFFFFFFFFFFFFF)
+        tables = []
+        for cuts, tree, first, last in self.cuts:
+            left = np.full((len(cuts) + 1, trees, self.words), every)
+            for word in range(self.words):
+                begin, end = (np.clip(v - 64 * word, 0, 64) for v in (first, last))
+                below = [np.array([(1 << int(n)) - 1 for n in v], dtype=np.uint64) for v in (begin, end)]
+                left[np.arange(1, len(cuts) + 1), tree, word] = ~(below[1] & ~below[0])
+            tables.append(np.bitwise_and.accumulate(left, axis=0))
+        each = np.arange(trees)
+
+        def paths(x: np.ndarray) -> np.ndarray:
+            masks = np.full((len(x), trees, self.words), every)
+            for i, (cuts, *_) in enumerate(self.cuts):
+                masks &= tables[i][np.searchsorted(cuts, x[:, i], side="left")]
+            word = (masks != 0).argmax(axis=2)
+            bits = np.take_along_axis(masks, word[:, :, None], axis=2)[:, :, 0]
+            return self.leaf_path[each, word * 64 + np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1))]
+
+        return paths
+
+
 @dataclass
 class IsolationForest:
     """Forest as one table of nodes; a few hundred kilobytes whatever the size of the data."""
@@ -115,20 +182,27 @@ class IsolationForest:
         lo, hi = self.nodes["lo"].to_numpy() + offset, self.nodes["hi"].to_numpy() + offset
         expected = float(average_path(self.sample_rows)) or 1.0
 
-        def score(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        def walk(x: np.ndarray) -> np.ndarray:
             at = np.broadcast_to(starts, (len(x), len(starts))).copy()
             row = np.arange(len(x))[:, None]
             while True:
                 f = feature[at]
                 inner = f >= 0
                 if not inner.any():
-                    break
+                    return path[at]
                 value = x[row, np.maximum(f, 0)]
                 at = np.where(inner, np.where(value <= cut_at[at], lo[at], hi[at]), at)
-            return pd.Series(np.power(2.0, -path[at].mean(axis=1) / expected))
 
-        udf = F.pandas_udf(score, "double")
+        tables = LeafTables.of(starts, feature, cut_at, lo, hi, path, len(self.features))
+
+        def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            paths = tables.reader() if tables else walk
+            for columns in batches:
+                x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+                parts = [paths(x[i:i + 1000]).mean(axis=1) for i in range(0, len(x), 1000)]
+                yield pd.Series(np.power(2.0, -np.concatenate(parts or [np.zeros(0)]) / expected))
+
+        udf = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
         return df.withColumn("anomaly_score", udf(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features]))
 
     def predict(self, df: DataFrame) -> DataFrame:

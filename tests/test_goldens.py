@@ -523,6 +523,16 @@ def test_forest_finds_breaches(spark):
     assert models.predict_or_normal(None, rows).agg(F.max("is_anomaly")).first()[0] == 0.0
 
 
+def test_leaf_tables_end_where_a_walk_ends(spark, monkeypatch):
+    rng = random.Random(5)
+    odd = [(10_000, None, 1.0, -1.0), (10_001, float("nan"), 0.0, 2.0), (10_002, float("inf"), float("-inf"), 3.0), (10_003, 2.0, 2.0, 2.0)]
+    rows = spark.createDataFrame([(i, float(rng.randrange(7)), rng.random(), 4.0) for i in range(2500)] + odd, "id long, a double, b double, c double")
+    forest = models.IsolationForest.fit(rows.filter("id < 2500"), ("a", "b", "c"), "id", trees=20)
+    read = {r.id: r.anomaly_score for r in forest.scores(rows).collect()}
+    monkeypatch.setattr(models.LeafTables, "LIMIT", 0)
+    assert {r.id: r.anomaly_score for r in forest.scores(rows).collect()} == read and len(read) == 2504
+
+
 # --- graph --------------------------------------------------------------------------------------------------------------
 
 def test_profile_counts_a_shared_node_once(spark):
