@@ -217,7 +217,7 @@ def write_tokens(docs: DataFrame, definition: str, folder: str, end_id: int = 0,
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "tokens": pa.array([done["tokens"]], pa.int64())})
 
     ordered = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
-    return sorted((r["shard"], r["tokens"]) for r in ordered.mapInArrow(give_back(run), "shard int, tokens long").collect())
+    return sorted((r["shard"], r["tokens"]) for r in ordered.mapInArrow(give_back(run, key), "shard int, tokens long").collect())
 
 
 def read_documents(spark: SparkSession, folder: str, shards: list[tuple[int, int]], id_col: str = "doc_id") -> DataFrame:

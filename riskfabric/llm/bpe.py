@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfabric.llm.common import bound_batches
 from riskfabric.llm.worker import WordMemory, give_back, kept_in_worker, load_tokenizer
 
 WINDOW = 32
 CHUNK_BITS = 10
 BASE = 0x9E3779B97F4A7C15 | 1
-MEMORY_BYTES = 24 << 20
-#: Texts whose new words are encoded together.
-BLOCK_CHARS = 4 << 20
+MEMORY_BYTES = 12 << 20
+#: Texts whose new words are encoded together; the second where chunks are kept beside them.
+BLOCK_CHARS, CHUNKED_CHARS = 4 << 20, 2 << 20
+POWERS = "bpe_powers"
 
 
 def chunk_ends(data: bytes, window: int = WINDOW, bits: int = CHUNK_BITS) -> list[int]:
@@ -36,14 +38,14 @@ def chunk_ends(data: bytes, window: int = WINDOW, bits: int = CHUNK_BITS) -> lis
         return [len(data)] if data else []
     raw = np.frombuffer(data, np.uint8)
     # sum of byte * base^-i, so that a window's sum times base^i is a polynomial in the window alone
-    powers, inverse = kept_in_worker("bpe_powers", lambda: [np.ones(0, np.uint64)] * 2)
+    powers, inverse = kept_in_worker(POWERS, lambda: [np.ones(0, np.uint64)] * 2)
     if len(powers) < len(raw):
         size = 1 << (len(raw) - 1).bit_length()
         for at, base in ((0, BASE), (1, pow(BASE, -1, 1 << 64))):
             table = np.full(size, base, np.uint64)
             table[0] = 1
-            kept_in_worker("bpe_powers", list)[at] = np.multiply.accumulate(table)
-        powers, inverse = kept_in_worker("bpe_powers", list)
+            kept_in_worker(POWERS, list)[at] = np.multiply.accumulate(table)
+        powers, inverse = kept_in_worker(POWERS, list)
     sums = np.cumsum((raw + np.uint64(1)) * inverse[:len(raw)])
     spans = sums[window:] - sums[:-window]
     hashes = spans * powers[window:len(raw)]
@@ -153,7 +155,7 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
         codec = kept_in_worker(key, lambda: ChunkCodec(definition))
         for batch in batches:
             rows = []
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), CHUNKED_CHARS):
                 for found, decoded in codec.block(block):
                     rows.append((len(found) // 4, hashlib.sha256(found).hexdigest(), hashlib.sha256(decoded).hexdigest(), found if ids else None))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -164,4 +166,5 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(give_back(run), schema + (", ids binary" if ids else ""))
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(give_back(run, key, POWERS), schema + (", ids binary" if ids else ""))

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Rows of two longs up to which a side may be broadcast (3 MB); counted before use, larger sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch of whole texts; Spark's own bound of 64 MB holds for each task in the JVM and again in its Python worker.
+TEXT_BATCH = 4 << 20
+#: Spark's bound as its configuration gives it.
+DEFAULT_BATCH = "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +23,13 @@ def small_or_shuffled(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of about TEXT_BATCH bytes to Python, unless it was told a size of its own. Batches hold whole rows; results do not depend on them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: lambda arguments are bound, column expressions may be repeated."""
     return F.element_at(F.transform(F.array(value), body), 1)

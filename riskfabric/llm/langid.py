@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskfabric.llm.common import bound_batches
 from riskfabric.llm.worker import give_back, kept_in_worker
 
 DIMENSIONS = 512
@@ -25,6 +26,7 @@ SEED = 20240607
 #: 0 stands for everything between words, 1 to 26 for a to z, the rest is shared by all other letters.
 SYMBOLS = 64
 UNKNOWN = "und"
+KEPT = "language_profiles"
 
 
 def symbol_table() -> np.ndarray:
@@ -67,7 +69,7 @@ class Profiles:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A prototype of unit length for each language of the labelled rows; rows without text, letter or language are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles, sums = kept_in_worker("language_profiles", Profiles), {}
+        profiles, sums = kept_in_worker(KEPT, Profiles), {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if (bundle := profiles.bundle(text.as_py())) is not None:
@@ -76,7 +78,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["_lang", "_at", "_sum"])
 
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
-    sums = rows.mapInArrow(give_back(run), "_lang string, _at int, _sum long").groupBy("_lang", "_at").agg(F.sum("_sum").alias("_sum"))
+    bound_batches(labelled.sparkSession)
+    sums = rows.mapInArrow(give_back(run, KEPT), "_lang string, _at int, _sum long").groupBy("_lang", "_at").agg(F.sum("_sum").alias("_sum"))
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():  # languages x dimensions rows
         found.setdefault(r["_lang"], np.zeros(DIMENSIONS))[r["_at"]] = r["_sum"]
@@ -92,7 +95,7 @@ def predicted(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        profiles = kept_in_worker("language_profiles", Profiles)
+        profiles = kept_in_worker(KEPT, Profiles)
         for column in columns:
             langs, scores = [], []
             for text in column:
@@ -107,7 +110,7 @@ def predicted(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    whole = give_back(run)
+    whole = give_back(run, KEPT)
     whole.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return F.arrow_udf(whole, kind)(text)

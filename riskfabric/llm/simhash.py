@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfabric.llm.common import bound_batches
 from riskfabric.llm.worker import give_back
 from riskfabric.operators.graph import connected_components
 from riskfabric.session import cut
@@ -29,6 +30,8 @@ HALF_BITS = 23
 RADIUS = 3
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code.
 GENERATOR = 0b110001110101
+#: Fingerprints whose anchors, some sixty each, are made and sent together.
+MARKS_AT_ONCE = 1_024
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -83,6 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     key = [F.col(key_col).cast("string").alias("_key")] if key_col else []
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *key)
+    bound_batches(docs.sparkSession)
     return rows.mapInArrow(give_back(run), "_id long, _fp long" + (", _key string" if key_col else ""))
 
 
@@ -93,22 +97,22 @@ def anchored(marks: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, D
 
     def run(batches: Iterator[pa.RecordBatch], all_in_reach: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, owners = [], []
-            marks = batch.column("_fp").to_numpy()
-            lows, highs = marks & mask, marks >> HALF_BITS & mask
-            for mark, low, high, s1, s2 in zip(*(a.tolist() for a in (marks, lows, highs, syndromes(lows), syndromes(highs))), strict=True):
-                (e1, w1), (e2, w2) = reach[s1], reach[s2]
-                if not all_in_reach:
-                    e1, e2, w1, w2 = e1[:1], e2[:1], w1[:1], w2[:1]
-                over = np.maximum(0, w1 - RADIUS)[:, None] + np.maximum(0, w2 - RADIUS)[None, :]
-                i, j = np.nonzero(over <= threshold)
-                anchors.append((low ^ e1[i]) << HALF_BITS | (high ^ e2[j]))
-                owners.append(np.full(len(i), mark))
-            if anchors:
+            for at in range(0, batch.num_rows, MARKS_AT_ONCE):
+                anchors, owners = [], []
+                marks = batch.column("_fp").slice(at, MARKS_AT_ONCE).to_numpy()
+                lows, highs = marks & mask, marks >> HALF_BITS & mask
+                for mark, low, high, s1, s2 in zip(*(a.tolist() for a in (marks, lows, highs, syndromes(lows), syndromes(highs))), strict=True):
+                    (e1, w1), (e2, w2) = reach[s1], reach[s2]
+                    if not all_in_reach:
+                        e1, e2, w1, w2 = e1[:1], e2[:1], w1[:1], w2[:1]
+                    over = np.maximum(0, w1 - RADIUS)[:, None] + np.maximum(0, w2 - RADIUS)[None, :]
+                    i, j = np.nonzero(over <= threshold)
+                    anchors.append((low ^ e1[i]) << HALF_BITS | (high ^ e2[j]))
+                    owners.append(np.full(len(i), mark))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors), pa.int64()), pa.array(np.concatenate(owners), pa.int64())], names=["_anchor", "_fp"])
 
     schema = "_anchor long, _fp long"
-    return marks.mapInArrow(lambda b: run(b, False), schema), marks.mapInArrow(lambda b: run(b, True), schema)
+    return marks.mapInArrow(give_back(lambda b: run(b, False)), schema), marks.mapInArrow(give_back(lambda b: run(b, True)), schema)
 
 
 def near_pairs(marks: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -7,30 +7,49 @@ import os
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 
 #: Words a memory holds before it starts anew.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 50_000
 #: The same where words stand beside the pieces they are made of.
 MEMORY_SPACED, MEMORY_PIECES = 1_000_000, 600_000
+#: Words that are encoded in one call; what the tokenizer returns for each is many times larger than its ids.
+WORDS_AT_ONCE = 4_096
 
 
 def kept_in_worker(key, make: Callable[[], object]):
-    """One object per key for the life of a Python worker; functions arrive anew with each task, their results stay here."""
-    store = sys.modules.setdefault("_riskfabric_worker", types.ModuleType("_riskfabric_worker")).__dict__
+    """One object per key, until a task that does not name the key begins in the Python worker; functions arrive anew with each task, their results stay here."""
+    store = _kept()
     if key not in store:
         store[key] = make()
     return store[key]
 
 
-def give_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`run` for one task; memory that it has freed goes back to the system at its end, since an idle worker would keep it beside those of later stages."""
+def _kept() -> dict:
+    return sys.modules.setdefault("_riskfabric_worker", types.ModuleType("_riskfabric_worker")).__dict__.setdefault("kept", {})
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def give_back(run: Callable[[Iterator], Iterator], *keys) -> Callable[[Iterator], Iterator]:
+    """`run` for one task, with the kept objects of `keys`; those of other jobs are forgotten first, since Spark hands workers on from stage to stage.
+
+    Memory that the task has freed goes back to the system at its end, since an idle worker would keep it beside those of later stages.
+    """
     def whole(batches: Iterator) -> Iterator:
+        store = _kept()
+        if others := store.keys() - set(keys):
+            for key in others:
+                del store[key]
+            _trim()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        _trim()
 
     return whole
 
@@ -56,9 +75,8 @@ class WordMemory:
         new = words - self.known.keys()
         if len(self.known) + len(new) > self.most:
             self.known = {w: self.known[w] for w in words - new}
-        if new:
-            new = list(new)
-            for word, encoded in zip(new, self.tokenizer.encode_batch_fast([self.prefix + w for w in new], add_special_tokens=False), strict=True):
+        for some in batched(new, WORDS_AT_ONCE):
+            for word, encoded in zip(some, self.tokenizer.encode_batch_fast([self.prefix + w for w in some], add_special_tokens=False), strict=True):
                 self.known[word] = self.of(word, encoded.ids)
         return self.known
 

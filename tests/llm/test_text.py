@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -237,6 +238,41 @@ def test_memory_keeps_what_is_met():
     assert made.count("kept") == 1
 
 
+def test_workers_forget_what_other_jobs_kept():
+    of_one, of_two = (lambda batches: (worker.kept_in_worker("test one", object) for _ in batches)), lambda batches: (0 for _ in batches)
+    first = list(worker.give_back(of_one, "test one")([1]))
+    assert list(worker.give_back(of_one, "test one")([1])) == first
+    list(worker.give_back(of_two)([1]))
+    assert list(worker.give_back(of_one, "test one")([1])) != first
+
+
+def test_words_are_encoded_a_few_at_a_time():
+    class Counting:
+        calls = []
+
+        def encode_batch_fast(self, words, add_special_tokens):
+            self.calls.append(len(words))
+            return [type("Encoding", (), {"ids": [len(w)]}) for w in words]
+
+    words = {"w" * n for n in range(1, 200)} | {f"{i}" for i in range(20_000)}
+    known = worker.WordMemory(Counting(), lambda word, ids: ids).learn(words)
+    assert known == {w: [len(w)] for w in words} and max(Counting.calls) <= 4_096
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    name, definition = "spark.sql.execution.arrow.maxBytesPerBatch", tokenizer_definition(WORD_BPE)
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 3000).alias("text"))
+    spark.conf.unset(name)
+    bpe.encode(docs, definition)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"]) for b in batches), "size long")
+    found = [r["size"] for r in sizes.collect()]
+    assert sum(found) > 4000 * 9000 and max(found) < 6 << 20
+    spark.conf.set(name, "1m")
+    bpe.encode(docs, definition)
+    assert spark.conf.get(name) in ("1m", "1048576b")
+    spark.conf.unset(name)
+
+
 @pytest.mark.parametrize(("sequence", "rows"), [(16, 4), (2048, 256)])
 def test_token_files_round_trip(spark, tmp_path, sequence, rows):
     definition = tokenizer_definition(BYTE_BPE)
