@@ -12,7 +12,7 @@ from itertools import batched
 import pyarrow as pa
 
 #: Words a memory holds before it starts anew.
-MEMORY_WORDS = 50_000
+MEMORY_WORDS = 150_000
 #: The same where words stand beside the pieces they are made of.
 MEMORY_SPACED, MEMORY_PIECES = 1_000_000, 600_000
 #: Words that are encoded in one call; what the tokenizer returns for each is many times larger than its ids.
