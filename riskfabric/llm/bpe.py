@@ -13,6 +13,7 @@ Reuse spans the documents that one worker sees, in a memory of fixed size. Texts
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,7 @@ class ChunkCodec:
         self.held = 0
 
     def _of(self, word: str, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), b" ".join([self.plain[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.plain[i] for i in ids])
 
     @staticmethod
     def _words(text: str) -> list[str]:
