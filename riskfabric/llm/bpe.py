@@ -7,22 +7,30 @@ independent of each other. What lies around a join, from the last space on the l
 together and encoded anew; a chunk without a space goes into the join as a whole and the search goes on, until both ends
 of the repaired piece stand at spaces and the ids agree exactly with those of the whole text.
 
-Reuse spans the documents that one worker sees, in a memory of fixed size. Texts are not shuffled.
+Words of new chunks are remembered too. Texts of common characters are lowered and signs behind words set off by a space, which
+leaves their ids as they are and makes more words equal; a new word is cut into pieces as the tokenizer cuts it, each for its
+model. Words of other texts, of texts that hold an added token, and of all texts of tokenizers that cut otherwise, are encoded by
+the whole tokenizer. Decoded texts follow from the ids.
+
+Reuse spans the documents that one worker sees, in memories of fixed size. Texts are not shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfabric.llm.common import bound_batches
-from riskfabric.llm.worker import WordMemory, give_back, kept_in_worker, load_tokenizer
+from riskfabric.llm.worker import Remembered, WordMemory, byte_letters, give_back, kept_in_worker, load_tokenizer
 
 WINDOW = 32
 CHUNK_BITS = 10
@@ -31,6 +39,20 @@ MEMORY_BYTES = 12 << 20
 #: Texts whose new words are encoded together.
 BLOCK_CHARS = 4 << 20
 POWERS = "bpe_powers"
+#: Words of common characters that are remembered, in two generations.
+KNOWN_WORDS = 600_000
+#: How a tokenizer must treat texts so that its words may be cut here.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Texts of these characters are in NFC, and all Unicode versions agree on their classes and small letters.
+COMMON = re.compile("[\\t\\n\\r -~¡-ɏ‐-‧‰-›€]*").fullmatch
+LETTERS = re.compile("[a-zßà-öø-ÿ]+").fullmatch
+#: ASCII signs between a letter and a space or line end.
+SIGNS = re.compile(r"[!-/:-@\[-`{-~](?<=[a-zßà-öø-ÿ].)[!-/:-@\[-`{-~]*(?=[ \n])")
 
 
 def chunk_ends(data: bytes, window: int = WINDOW, bits: int = CHUNK_BITS) -> list[int]:
@@ -63,66 +85,74 @@ class ChunkCodec:
         self.tokenizer = load_tokenizer(definition)
         if self.tokenizer.decoder is not None:
             raise ValueError("the tokenizer must join decoded tokens by spaces")
-        self.plain = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.words = WordMemory(self.tokenizer, self._of)
-        self.chunks: dict[bytes, tuple[str, bytes, bytes, str] | None] = {}
+        rules = json.loads(definition)
+        added = rules.get("added_tokens") or []
+        self.by_piece = rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and not any(token["normalized"] for token in added)
+        # Tokens that stand for themselves are found before anything is lowered or cut.
+        self.added = re.compile("|".join([re.escape(token["content"]) for token in added]) or "(?!)", re.IGNORECASE).search
+        self.split, self.model = regex.compile(PIECES).findall, self.tokenizer.model
+        plain = {i: t.encode() + b" " for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.plain = pa.array([plain.get(i, b"") for i in range(max(plain, default=-1) + 1)], pa.large_binary())
+        self.whole = WordMemory(self.tokenizer, lambda word, ids: self._bytes(ids))
+        self.words = Remembered(self._word, KNOWN_WORDS)
+        self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
         self.held = 0
 
-    def _of(self, word: str, ids: list[int]) -> tuple[bytes, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.plain[i] for i in ids])
-
     @staticmethod
-    def _words(text: str) -> list[str]:
-        return [w for w in text.replace("\n", " ").split(" ") if w]
-
-    def _joined(self, words: list[str]) -> tuple[bytes, bytes]:
-        found = [self.words.known[w] for w in words]
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[0]])
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, letters: str) -> bytes:
+        return self._bytes([token.id for token in self.model.tokenize(letters)])
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._piece(word)
+        pieces = [word] if LETTERS(word) else self.split(word)
+        return b"".join([self._piece(letters) for letters in byte_letters(pieces)])
+
+    def _joined(self, text: str) -> bytes:
+        if self.by_piece and COMMON(text) and not self.added(text):
+            words = SIGNS.sub(r" \g<0>", text.lower()).replace("\n", " ").split(" ")
+            known = self.words
+        else:
+            words = text.replace("\n", " ").split(" ")
+            known = self.whole.learn(words)
+        return b"".join([known[w] for w in words])
+
+    def _split(self, part: bytes) -> tuple[str, bytes | None, str]:
+        """What goes into the join before a chunk, the ids up to its last space, what goes into the join behind it."""
+        first, last = _spaces(part)
+        if first < 0:
+            return part.decode("utf-8", "replace"), None, ""
+        return part[:first].decode(), self._joined(part[first:last + 1].decode()), part[last + 1:].decode()
 
     def block(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian, 32 bits) and the decoded text of each, UTF-8."""
-        if self.held > MEMORY_BYTES:
-            self.chunks, self.held = {}, 0
-        cut, fresh, wanted = [], {}, set()
         for text in texts:
+            if self.held > MEMORY_BYTES:
+                self.chunks, self.held = {}, 0
             data = (text or "").encode("utf-8", "replace")
             ends = chunk_ends(data)
-            parts = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            cut.append(parts)
-            pending = ""
-            for part in parts:
-                split = fresh.get(part) or self.chunks.get(part)
+            ids, pending = [], ""
+            for a, b in zip([0, *ends], ends, strict=False):
+                part = data[a:b]
+                split = self.chunks.get(part)
                 if split is None:
-                    first, last = _spaces(part)
-                    if first < 0:
-                        split = fresh[part] = (part.decode("utf-8", "replace"), None, "")
-                    else:
-                        split = fresh[part] = (part[:first].decode(), self._words(part[first:last].decode()), part[last + 1:].decode())
-                        wanted.update(split[1])
+                    split = self.chunks[part] = self._split(part)
+                    self.held += 2 * len(part) + len(split[1] or b"")
                 if split[1] is None:
                     pending += split[0]
                 else:
-                    wanted.update(self._words(pending + split[0]))
+                    ids += [self._joined(pending + split[0]), split[1]]
                     pending = split[2]
-            wanted.update(self._words(pending))
-        self.words.learn(wanted)
-        for part, (head, core, tail) in fresh.items():
-            ids, decoded = self._joined(core) if core is not None else (None, b"")
-            self.chunks[part] = (head, ids, tail, decoded)
-            self.held += 2 * len(part) + len(ids or b"") + len(decoded)
-        for parts in cut:
-            ids, decoded, pending = [], [], ""
-            for part in parts:
-                head, core, tail, plain = self.chunks[part]
-                if core is None:
-                    pending += head
-                    continue
-                join, join_plain = self._joined(self._words(pending + head))
-                ids += [join, core]
-                decoded += [d for i, d in ((join, join_plain), (core, plain)) if i]
-                pending = tail
-            join, join_plain = self._joined(self._words(pending))
-            yield b"".join([*ids, join]), b" ".join([*decoded, join_plain] if join else decoded)
+            found = b"".join([*ids, self._joined(pending)])
+            yield found, self._decoded(found)
+
+    def _decoded(self, ids: bytes) -> bytes:
+        tokens = self.plain.take(pa.array(np.frombuffer(ids, "<u4")))
+        data = tokens.buffers()[2]
+        return data.to_pybytes()[:-1] if data else b""
 
 
 def _spaces(part: bytes) -> tuple[int, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import ctypes
 import os
 import sys
@@ -13,10 +14,15 @@ import pyarrow as pa
 
 #: Words a memory holds before it starts anew.
 MEMORY_WORDS = 150_000
-#: The same where words stand beside the pieces they are made of.
+#: Words and pieces in two generations, where words stand beside the pieces they are made of.
 MEMORY_SPACED, MEMORY_PIECES = 1_000_000, 600_000
 #: Words that are encoded in one call; what the tokenizer returns for each is many times larger than its ids.
 WORDS_AT_ONCE = 4_096
+#: Characters of the longest text that is remembered where it is looked up; longer ones are made each time.
+LONGEST = 128
+#: The characters by which byte-level tokenizers write the bytes: printable ones stand for themselves, the others follow from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = "".join(chr(b) if b in PRINTABLE else chr(0x100 + b - sum(p < b for p in PRINTABLE)) for b in range(0x100))
 
 
 def kept_in_worker(key, make: Callable[[], object]):
@@ -64,6 +70,13 @@ def load_tokenizer(definition: str):
     return tokenizer
 
 
+def byte_letters(texts: list[str]) -> list[str]:
+    """Texts as a byte-level tokenizer's model gets them."""
+    found = codecs.charmap_decode("\0".join(texts).encode(), "strict", BYTE_LETTERS)[0].split(BYTE_LETTERS[0])
+    # more if a text holds the separator
+    return found if len(found) == len(texts) else [codecs.charmap_decode(t.encode(), "strict", BYTE_LETTERS)[0] for t in texts]
+
+
 class WordMemory:
     """What `of` makes of the ids of a word, each word encoded once while it is remembered."""
 
@@ -72,7 +85,7 @@ class WordMemory:
 
     def learn(self, words: Iterable[str]) -> dict[str, object]:
         words = set(words)
-        new = words - self.known.keys()
+        new = words.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known = {w: self.known[w] for w in words - new}
         for some in batched(new, WORDS_AT_ONCE):
@@ -101,3 +114,21 @@ class Memory:
                 new.append(text)
         self.known.update(self.make(new))
         return self.known
+
+
+class Remembered(dict):
+    """What `make` gives for a text, made where it is looked up; remembered as in `Memory` if it is not long."""
+
+    def __init__(self, make: Callable[[str], object], most: int):
+        self.make, self.most, self.older = make, most // 2, {}
+
+    def __missing__(self, text: str):
+        if len(self) >= self.most:
+            self.older = self.copy()
+            self.clear()
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= LONGEST:
+            self[text] = found
+        return found

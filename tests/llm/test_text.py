@@ -204,6 +204,42 @@ def test_chunks_of_copies_are_cut_alike_and_reused():
     assert len(codec.chunks) - before < 1.5 * len(cut[0])
 
 
+def test_words_that_differ_in_case_or_signs_are_encoded_once():
+    codec, plain = bpe.ChunkCodec(tokenizer_definition(WORD_BPE)), codecs()[1]
+    model, asked = codec.model, []
+    codec.model = type("Counting", (), {"tokenize": staticmethod(lambda text: asked.append(text) or model.tokenize(text))})
+    text = "Grünfink grünfink, GRÜNFINK. Grünfink,***\ngrünfink$$$ grünfink? grünfink"
+    (ids, decoded), = codec.block([text])
+    want = plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == plain.decode(want, skip_special_tokens=False)
+    assert len(asked) == len(set(asked))
+
+
+WORDS = ["Σίσυφος", "ΟΔΟΣ", "İstanbul", "ǅ", "ẞ", "Straße", "it's", "IT'S", "don't,", "x.'s", "'ll", "dogs'", "a\tb", "a\xa0b", "a\xadb", "e\u0301", "Kå", "½x²", "q1.", "foo,***",
+         "<|endoftext|>", "<|ENDOFTEXT|>", "x<|startoftext|>.", "日本。", "“quoted”", "…", "naïve.)", "\x85", "\r\n", "i\u0307", "\u0301"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*WORDS, " ", "  ", "\n"]), max_size=30), st.sampled_from(["", " "]), st.integers(0, 3))
+def test_lowered_and_parted_texts_keep_their_ids(parts, between, copies):
+    codec, plain = codecs()
+    text = between.join(parts)
+    want = plain.encode(text, add_special_tokens=False).ids
+    decoded = plain.decode(want, skip_special_tokens=False).encode()
+    most, codec.words.most = codec.words.most, 5
+    assert [(np.frombuffer(i, "<u4").tolist(), d) for i, d in codec.block([text] * (copies + 1))] == [(want, decoded)] * (copies + 1)
+    codec.words.most = most
+
+
+def test_what_is_looked_up_is_kept():
+    made = []
+    memory = worker.Remembered(lambda t: made.append(t) or t.upper(), 8)
+    for i in range(50):
+        assert memory["kept"] == "KEPT" and memory[f"once {i}"] == f"ONCE {i}" and len(memory) <= 4
+    assert made.count("kept") == 1
+    assert memory["long" * 100] == "LONG" * 100 and len(memory) <= 4 and "long" * 100 not in memory
+
+
 def test_letters_of_all_planes():
     profiles = langid.Profiles()
     assert profiles.bundle("\U00030000\U00030001") is not None and profiles.bundle("\U0010ffff 1 .") is None
