@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfabric.llm.bpe import blocks
-from riskfabric.llm.worker import MEMORY_PIECES, MEMORY_SPACED, Memory, give_back, kept_in_worker, load_tokenizer
+from riskfabric.llm.worker import MEMORY_PIECES, MEMORY_SPACED, Memory, Remembered, byte_letters, give_back, kept_in_worker, load_tokenizer
 
 SEQUENCE = 2048
 BATCH_ROWS = 256
@@ -37,17 +37,21 @@ BATCH_ROWS = 256
 
 #: Where a byte-level BPE cuts a text before it encodes the pieces, each by itself. A fixed value of that pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The character by which a byte-level BPE writes each byte: printable ones stand for themselves, the others follow from U+0100 on.
-PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_LETTERS = {byte: chr(0x100 + i) for i, byte in enumerate(b for b in range(0x100) if b not in PRINTABLE)}
+#: Signs between a letter and a space or line end are a piece, and so is a line end between two characters that are no white space.
+SIGNS = re.compile(r"[!-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ɏ].)[!-/:-@\[-`{-~]*(?=[ \n])")
+LINE_END = re.compile(r"\n(?<=[!-~¡-ɏ]\n)(?=[!-~¡-ɏ])")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+#: Stands before a word that has no space before it.
+MARK = "\x01"
 
 
 class PieceCodec:
     """Ids of whole texts under a byte-level BPE, which encodes pieces of a text one by one.
 
     Texts are split at spaces; a space starts a piece unless white space follows it, so what a word with the space before it gives does not
-    depend on its neighbours. Words are remembered, and of new words the pieces, each encoded once. Texts with a space before white space or the end are cut
-    into pieces as a whole; texts that hold an added token, and all texts of tokenizers that cut otherwise, are encoded as they are.
+    depend on its neighbours. Signs behind words and line ends are set off as words without a space before them. Words are remembered, and the pieces
+    of words that have several. Texts with a space before white space or the end are cut into pieces as a whole; texts that hold an added token or
+    the mark, and all texts of tokenizers that cut otherwise, are encoded as they are.
     """
 
     def __init__(self, definition: str, kind: str):
@@ -57,49 +61,47 @@ class PieceCodec:
         cut = rules.get("pre_tokenizer") or {}
         self.by_piece = not rules.get("normalizer") and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex", True)) and not cut.get("add_prefix_space")
         self.added = [token["content"] for token in rules.get("added_tokens") or []]
-        self.split = regex.compile(PIECES).findall
+        self.split, self.model = regex.compile(PIECES).findall, self.tokenizer.model
         self.pieces = Memory(self._encoded, MEMORY_PIECES)
-        self.words = Memory(self._words, MEMORY_SPACED)
+        self.words = Remembered(self._word, MEMORY_SPACED)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def _piece(self, letters: str) -> bytes:
+        """By the tokenizer's model alone: what stands before it has cut the text and written bytes as characters."""
+        return self._bytes([token.id for token in self.model.tokenize(letters)])
+
     def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        """Of pieces, by the tokenizer's model alone: what stands before it has cut the text and written bytes as characters."""
-        of, code = self.tokenizer.model.tokenize, self.code
-        letters = "\0".join(new).encode().decode("latin-1").translate(BYTE_LETTERS).split(BYTE_LETTERS[0])
-        if len(letters) != len(new):  # a piece holds the separator
-            letters = [p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in new]
-        return {p: array(code, [token.id for token in of(text)]).tobytes() for p, text in zip(new, letters, strict=True)}
-
-    def _words(self, new: list[str]) -> dict[str, bytes | None]:
-        """Of words after a space; None where the space starts no piece."""
-        plain = [w for w in new if w and not w[0].isspace()]
-        pieces = self.split("".join([" " + w for w in plain]))
+        return {p: self._piece(letters) for p, letters in zip(new, byte_letters(new), strict=True)}
+
+    def _word(self, word: str) -> bytes | None:
+        """Of a word after a space, or of what follows the mark; None where the space starts no piece."""
+        if LETTERS(word):
+            return self._piece(byte_letters([" " + word])[0])
+        if not word or word[0].isspace():
+            return None
+        return self._pieces(word[1:] if word[0] == MARK else " " + word)
+
+    def _pieces(self, text: str) -> bytes:
+        pieces = self.split(text)
         known = self.pieces.learn(set(pieces))
-        ids = [known[p] for p in pieces]
-        # Words hold no space, so each starts where a piece does.
-        starts = [*[i for i, p in enumerate(pieces) if p[0] == " "], len(ids)]
-        found = {w: ids[a] if b - a == 1 else b"".join(ids[a:b]) for w, a, b in zip(plain, starts[:-1], starts[1:], strict=True)}
-        return found if len(plain) == len(new) else dict.fromkeys(new) | found
-
-    def _whole(self, text: str) -> bytes:
-        if self._plain(text):
-            pieces = self.split(text)
-            known = self.pieces.learn(set(pieces))
-            return b"".join([known[p] for p in pieces])
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join([known[p] for p in pieces])
 
     def _plain(self, text: str) -> bool:
-        return self.by_piece and not any(token in text for token in self.added)
+        return self.by_piece and MARK not in text and not any(token in text for token in self.added)
 
     def block(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text. The first word of a text has no space before it and is encoded by itself."""
-        cut = [(t or "").split(" ") if self._plain(t or "") else None for t in texts]
-        known = self.words.learn(set().union(*[parts[1:] for parts in cut if parts is not None]))
-        for text, parts in zip(texts, cut, strict=True):
-            found = [None] if parts is None else [known[p] for p in parts[1:]]
-            yield self._whole(text or "") if None in found else b"".join([self._whole(parts[0]), *found])
+        """Ids of each text. The first word of a text has no space before it."""
+        known = self.words
+        for text in texts:
+            text = text or ""
+            if self._plain(text):
+                parted = LINE_END.sub(f" {MARK}\n {MARK}", SIGNS.sub(rf" {MARK}\g<0>", text))
+                found = [known[w] for w in (MARK + parted).split(" ")]
+                yield self._pieces(text) if None in found else b"".join(found)
+            else:
+                yield self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def filesystem(folder: str) -> tuple[fs.FileSystem, str]:

@@ -265,6 +265,24 @@ def piece_codec(made={}):  # noqa: B006
     return made["codec"], made["plain"]
 
 
+def test_pieces_behind_signs_and_line_ends_are_encoded_once():
+    definition = tokenizer_definition(BYTE_BPE)
+    codec, plain = binary.PieceCodec(definition, "<u2"), piece_codec()[1]
+    model, asked = codec.model, []
+    codec.model = type("Counting", (), {"tokenize": staticmethod(lambda text: asked.append(text) or model.tokenize(text))})
+    texts = ["So grünfink, grünfink. grünfink", "Ein grünfink,*** grünfink.\nEin grünfink?\nEin grünfink"]
+    assert [np.frombuffer(b, "<u2").tolist() for b in codec.block(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) and list(codec.words).count("grünfink") == 1 and not any("grünfink" in w for w in codec.words if w != "grünfink")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*WORDS, "\x01", "x\x01,", " ", "  ", "\n", ".\n", ",", "'", "*** "]), max_size=30), st.sampled_from(["", " "]))
+def test_parted_texts_keep_their_piece_ids(parts, between):
+    codec, plain = piece_codec()
+    text = between.join(parts)
+    assert [np.frombuffer(b, "<u2").tolist() for b in codec.block([text])] == [plain.encode(text, add_special_tokens=False).ids]
+
+
 def test_memory_keeps_what_is_met():
     made = []
     memory = worker.Memory(lambda new: made.extend(new) or {t: t.upper() for t in new}, 8)
