@@ -116,10 +116,13 @@ def anchored(marks: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, D
 
 
 def near_pairs(marks: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """`_a` < `_b`: distinct fingerprints that differ in 1 to `threshold` bits. marks: distinct `_fp`."""
+    """`_a` < `_b`: distinct fingerprints that differ in 1 to `threshold` bits. marks: distinct `_fp`.
+
+    Spark takes both sides to be as large as `marks`, though one has some sixty rows for each, so neither may be broadcast by size.
+    """
     own, reached = anchored(marks, threshold)
     own, reached = own.select("_anchor", F.col("_fp").alias("_a")), reached.select(F.col("_anchor").alias("_at"), F.col("_fp").alias("_b"))
-    return own.join(reached, (F.col("_anchor") == F.col("_at")) & (F.col("_a") < F.col("_b")) & (F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= threshold)).select("_a", "_b")
+    return own.hint("merge").join(reached, (F.col("_anchor") == F.col("_at")) & (F.col("_a") < F.col("_b")) & (F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= threshold)).select("_a", "_b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, key_col: str | None = None) -> DataFrame:

@@ -113,6 +113,17 @@ def test_a_large_group_of_copies_makes_no_pairs(spark):
     assert simhash.near_duplicates(docs).select("component_id").distinct().collect() == [(0,)]
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anchors_are_not_broadcast(spark):
+    """Spark sizes 61 anchors a fingerprint like the fingerprint alone, which passes for small."""
+    pairs = simhash.near_pairs(spark.range(2000).select(F.xxhash64("id").alias("_fp")).repartition("_fp"))
+    pairs.count()
+    assert "SortMergeJoin" in (plan := plan_of(pairs)) and "Broadcast" not in plan
+
+
 # --- near copies by Jaccard similarity
 
 
