@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
-def small_or_shuffled(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if it was counted to be small, else left to a shuffled join."""
-    return F.broadcast(side) if side.count() <= rows else side
+def small_or_shuffled(side: DataFrame, rows: int = BROADCAST_ROWS, to_exploded: bool = False) -> DataFrame:
+    """The side with a broadcast hint if it was counted to be small, else left to a shuffled join.
+
+    With `to_exploded` what it is joined to comes from an explode, whose rows Spark does not foresee, and is not broadcast by size either.
+    """
+    if side.count() <= rows:
+        return F.broadcast(side)
+    return side.hint("merge") if to_exploded else side
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -88,7 +88,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null")
     found = None
     for n in widths:
-        probe = small_or_shuffled(probes.filter(F.col("_width") == n).select("_key", "_need", F.col("_hash").alias("_probe")))
+        probe = small_or_shuffled(probes.filter(F.col("_width") == n).select("_key", "_need", F.col("_hash").alias("_probe")), to_exploded=True)
         hashed = texts.select("_id", shingle_hashes(words_of(F.col("_text")), n).alias("_hashes"))
         hits = hashed.select("_id", F.size("_hashes").alias("_n"), F.explode("_hashes").alias("_hash")).join(
             probe, (F.col("_hash") == F.col("_probe")) & (F.col("_n") >= F.col("_need"))).select("_id", "_key")
@@ -101,7 +101,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         candidates = cut(found.distinct())
         wanted = small_or_shuffled(candidates.select(F.col("_id").alias("_wanted")).distinct())
         own = texts.join(wanted, F.col("_id") == F.col("_wanted"), "left_semi")
-        needed = small_or_shuffled(cut(sketches.select(F.col("_key").alias("_sought"), "_width", "_need", F.explode("_shingles").alias("_shingle"))), 50_000)
+        needed = small_or_shuffled(cut(sketches.select(F.col("_key").alias("_sought"), "_width", "_need", F.explode("_shingles").alias("_shingle"))), 50_000, to_exploded=True)
         parts = [own.select("_id", F.xxhash64("_text").alias("_row"), F.explode(shingles(words_of(F.col("_text")), n)).alias("_own")).join(
             needed.filter(F.col("_width") == n), F.col("_own") == F.col("_shingle")) for n in widths]
         shared = parts[0]

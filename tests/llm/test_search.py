@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskfabric.llm import decontam, nearcopies, simhash, topk, urls
+from riskfabric.llm import common, decontam, nearcopies, simhash, topk, urls
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "Ñandú", "été", "x1"]
 
@@ -124,6 +124,13 @@ def test_anchors_are_not_broadcast(spark):
     assert "SortMergeJoin" in (plan := plan_of(pairs)) and "Broadcast" not in plan
 
 
+def test_an_exploded_side_is_not_broadcast(spark):
+    exploded = spark.range(2000).select(F.explode(F.sequence(F.lit(0), F.col("id"))).alias("n"))
+    met = exploded.join(common.small_or_shuffled(spark.range(3000).withColumnRenamed("id", "m"), 0, to_exploded=True), F.col("n") == F.col("m"))
+    met.count()
+    assert "SortMergeJoin" in (plan := plan_of(met)) and "Broadcast" not in plan
+
+
 # --- near copies by Jaccard similarity
 
 
