@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskfabric.operators import idsets
 from riskfabric.operators.risk import DEFAULT_VENDOR_RATING
-from riskfabric.session import cut
 
 MODULUS = 1_000_003
 
@@ -56,45 +56,36 @@ def _users(developed: DataFrame, runs: DataFrame) -> DataFrame:
     return fanned.repartition("vendor_id", "_b").sortWithinPartitions("vendor_id", "_b").mapInArrow(_pack, "vendor_id bigint, _b bigint, _bits binary")
 
 
-def _sets_below(own: DataFrame, edges: DataFrame, keys: list[str], hops: int) -> DataFrame:
-    """(root, keys, _bits): what a vendor and those up to `hops` edges below it own; a hop ors the sets of the vendors one edge below."""
-    own = cut(own.groupBy(F.col("vendor_id").alias("root"), *keys).agg(F.bitmap_or_agg("_bits").alias("_bits")))
-    reached = own
-    for _ in range(hops):
-        below = edges.join(reached.withColumnRenamed("root", "dst"), "dst").select(F.col("src").alias("root"), *keys, "_bits")
-        reached = cut(own.unionByName(below).groupBy("root", *keys).agg(F.bitmap_or_agg("_bits").alias("_bits")))
-    return reached
-
-
 def subgraph_profile(reach: DataFrame, vendors: DataFrame, developed: DataFrame, runs: DataFrame,
                      vulns: DataFrame, depth: int = 4, edges: DataFrame | None = None) -> DataFrame:
     """Per root: distinct vendors, components and devices in its subgraph, rating sum and mean, active CVEs.
 
     A node counts once however many ways lead to it. Components lie one hop below their vendor, so vendors at the depth
     limit add none. RUNS leads from a device to a component and a directed walk meets no device there; devices are
-    those that run a component of the subgraph. A component's CVEs count once. Ids are whole numbers. Sets are bitmaps, or-ed per
-    root, so no row per (root, component) or (root, device) is formed. With the `edges(src, dst)` that `reach` was walked over, sets
-    pass from vendor to vendor hop by hop, so bitmaps move per edge; without them, per row of `reach`.
+    those that run a component of the subgraph. A component's CVEs count once. Ids are whole numbers. With the `edges(src, dst)` that `reach`
+    was walked over, sets are passed and counted within tasks (`idsets`); without them, bitmaps are or-ed per root, one per row of `reach`.
     """
     cves = vulns.groupBy("comp_id").agg(F.count(F.lit(1)).alias("_cves"))
-    parts = _bits(developed.join(cves, "comp_id", "left").withColumn("_cves", F.coalesce("_cves", F.lit(0))), ["vendor_id", "_cves"], "comp_id")
-    users = _users(developed, runs)
-
-    def below(own: DataFrame, keys: list[str]) -> DataFrame:
-        if edges is not None:
-            return _sets_below(own, edges.select("src", "dst").distinct(), keys, depth - 1)
+    if edges is not None:
+        sets = [idsets.counts_below(edges, developed, runs, cves, depth - 1)]
+    else:
+        parts = _bits(developed.join(cves, "comp_id", "left").withColumn("_cves", F.coalesce("_cves", F.lit(0))), ["vendor_id", "_cves"], "comp_id")
         inner = reach.filter(F.col("depth") < depth).select("root", F.col("node").alias("vendor_id"))
-        return inner.join(own, "vendor_id").groupBy("root", *keys).agg(F.bitmap_or_agg("_bits").alias("_bits"))
 
-    sized = F.bitmap_count("_bits")
-    by_root = below(parts, ["_b", "_cves"]).select("root", "_cves", sized.alias("_n")).groupBy("root").agg(
-        F.sum("_n").alias("component_count"), F.sum(F.col("_n") * F.col("_cves")).alias("active_cves"))
-    devices = below(users, ["_b"]).select("root", sized.alias("_n")).groupBy("root").agg(F.sum("_n").alias("device_count"))
+        def below(own: DataFrame, keys: list[str]) -> DataFrame:
+            return inner.join(own, "vendor_id").groupBy("root", *keys).agg(F.bitmap_or_agg("_bits").alias("_bits"))
+
+        sized = F.bitmap_count("_bits")
+        sets = [below(parts, ["_b", "_cves"]).select("root", "_cves", sized.alias("_n")).groupBy("root").agg(
+                    F.sum("_n").alias("component_count"), F.sum(F.col("_n") * F.col("_cves")).alias("active_cves")),
+                below(_users(developed, runs), ["_b"]).select("root", sized.alias("_n")).groupBy("root").agg(F.sum("_n").alias("device_count"))]
     counted = reach.join(vendors.select(F.col("vendor_id").alias("node"), "security_score"), "node").groupBy("root").agg(
         F.count(F.lit(1)).alias("vendor_count"), F.sum("security_score").alias("rating_sum"))
     rating = F.when(F.col("vendor_count") > 0, F.col("rating_sum") / F.col("vendor_count")).otherwise(
         F.lit(DEFAULT_VENDOR_RATING))
-    full = counted.join(by_root, "root", "left").join(devices, "root", "left")
+    full = counted
+    for found in sets:
+        full = full.join(found, "root", "left")
     return full.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("component_count", "device_count", "active_cves")}).withColumn("avg_rating", rating)
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskfabric.operators import aggregates, evaluate, graph, joins, ledger, remediate, windows
+from riskfabric.operators import aggregates, evaluate, graph, idsets, joins, ledger, remediate, windows
 from riskfabric.operators.scan import KeyedScan
 from riskfabric.streaming import throttle
 
@@ -207,6 +209,46 @@ def test_profile_by_edges_equals_brute_force(spark):
         comps = {c for v, c in developed if v in inner}
         assert got[root] == (len(near), len(comps), len({d for d, c in runs if c in comps}), sum(c in comps for c, _ in vulns)), root
     assert rows(aggregates.subgraph_profile(reach, vendors, *tables)) == got
+    plan = aggregates.subgraph_profile(reach, vendors, *tables, edges=e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_or_agg" not in plan.lower()  # no set leaves a task
+
+
+@pytest.mark.parametrize("matrix, piece, together", [(1, 1, 1), (1 << 13, 1 << 10, 50), (1 << 25, 1 << 24, 1_000_000)])
+def test_counts_below_in_slices(monkeypatch, matrix, piece, together):
+    """A part with several ranges of ids, negative ones too, in slices and pieces of any size."""
+    for name, value in {"MATRIX": matrix, "PIECE": piece, "TOGETHER": together}.items():
+        monkeypatch.setattr(idsets, name, value)
+    rng = random.Random(7)
+    edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(40)}
+    step = idsets.PARTS << idsets.RANGE_BITS  # the next range of the same part
+    comps = [rng.choice([-1, 0, 2]) * step + rng.randrange(200) for _ in range(60)]
+    developed = {(rng.randrange(25), c) for c in comps for _ in range(2)}
+    used = {(c, rng.choice([0, step, 40_000]) + rng.randrange(2000)) for c in comps for _ in range(5)} | {(999, 1)}
+    weights = {c: rng.randrange(1, 9) for c in comps[::2]}
+
+    def dealt(pairs, kind, part):
+        a, b = (np.array(v, np.int64) for v in zip(*sorted(pairs), strict=True))
+        return idsets._blobs(part(a, b).astype(np.int32), a, b, kind)
+
+    zero = lambda a, b: a * 0
+    to = lambda ids: (ids >> idsets.RANGE_BITS) % idsets.PARTS
+    lines = dealt(edges, idsets.EDGES, zero)
+    inputs = [lines, dealt(developed, idsets.OWNED, lambda a, b: to(b)), dealt(used, idsets.USED, lambda a, b: to(a)), dealt(weights.items(), idsets.WEIGHTS, lambda a, b: to(a))]
+    out = pa.Table.from_batches(idsets._components(3)(iter(inputs))).to_pylist()
+    found = {r["root"]: (r["n"], r["weight"]) for r in out if r["kind"] == idsets.COUNTS}
+    devices = {}
+    for part in {r["part"] for r in out} - {None}:
+        mine = [pa.RecordBatch.from_pylist([r for r in out if r["part"] == part], inputs[0].schema)]
+        here = [pa.RecordBatch.from_pylist([{**r, "part": part} for r in lines.to_pylist()], inputs[0].schema)]
+        for r in pa.Table.from_batches(idsets._devices(3)(iter(here + mine))).to_pylist():
+            devices[r["root"]] = devices.get(r["root"], 0) + r["n"]
+    for root in range(25):
+        near = {root}
+        for _ in range(3):
+            near |= {d for s, d in edges if s in near}
+        own = {c for v, c in developed if v in near}
+        assert found.get(root, (0, 0)) == (len(own), sum(weights.get(c, 0) for c in own)), root
+        assert devices.get(root, 0) == len({d for c, d in used if c in own}), root
 
 
 def test_graph_nodes_are_not_sorted(spark):
