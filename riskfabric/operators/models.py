@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfabric.operators.binary import with_feature_defaults
-from riskfabric.session import cut
+from riskfabric.session import discard, scratch
 
 TELEMETRY_FEATURES = ("avg_connection_rate", "cve_criticality_sum", "unique_ips_contacted", "degree_centrality")
 TRAFFIC_FEATURES = ("bytes_in", "bytes_out", "duration_ms", "protocol_modbus", "protocol_mqtt", "failed_logins")
@@ -151,7 +151,9 @@ class IsolationForest:
         The features are written out once and then counted, drawn by one hash per row and tree whatever the number of rows,
         and scored in full for the threshold.
         """
-        data = cut(df.select(F.col(ident).alias("_id"), *[F.col(c).cast("double").alias(c) for c in features]).dropna())
+        folder = scratch(df.sparkSession, "forest")  # Parquet takes a few bytes a value, a checkpoint some hundred a row
+        df.select(F.col(ident).alias("_id"), *[F.col(c).cast("double").alias(c) for c in features]).dropna().write.parquet(folder)
+        data = df.sparkSession.read.parquet(folder)
         total = data.count()
         space = 1 << 60
         share = int(space * min(1.0, sample_rows / max(total, 1)))
@@ -171,6 +173,7 @@ class IsolationForest:
         model = cls(features, table.sort_values(["tree", "node"], ignore_index=True), min(sample_rows, max(total, 1)))
         cutoff = model.scores(data).agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 10_000)).first()[0]
         model.threshold = float(cutoff) if cutoff is not None else 1.0
+        discard(df.sparkSession, folder)
         return model
 
     def scores(self, df: DataFrame) -> DataFrame:

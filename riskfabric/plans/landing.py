@@ -16,12 +16,30 @@ RAW = """SELECT signal_id, source, type, repo, package, version, dependencies_co
   CAST(ts_us AS DOUBLE) / 1000000 AS timestamp FROM signals"""
 
 
-def as_lines(df, folder: str, spoil=None) -> str:
+def as_lines(df, folder: str, spoil=None, compression: str = "none") -> str:
     """JSON text files of the rows; `spoil` marks rows written as broken text."""
     text = F.to_json(F.struct(*df.columns))
     if spoil is not None:
         text = F.when(spoil, F.concat(F.lit("broken "), text)).otherwise(text)
-    df.select(text.alias("value")).write.mode("overwrite").text(folder)
+    df.select(text.alias("value")).write.mode("overwrite").text(folder, compression=compression)
+    return folder
+
+
+#: Rows of a file of a feed, and files that a micro-batch takes.
+FILE_ROWS, BATCH_FILES = 125_000, 8
+
+
+def as_feed(df, folder: str, time: str) -> str:
+    """The rows as lines in files that hold and arrive in order of `time`, as a feed would, so that micro-batches of a few files find none late."""
+    files = max(1, -(-df.count() // FILE_ROWS))
+    as_lines(df.repartitionByRange(files, time), folder, compression="gzip")
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    written = sorted((f.getPath().getName(), f.getPath()) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+    last = fs.getFileStatus(path).getModificationTime()
+    for i, (_, file) in enumerate(written):  # the file source goes by the time of modification, and tasks end in any order
+        fs.setTimes(file, last - 1000 * (len(written) - i), -1)
     return folder
 
 

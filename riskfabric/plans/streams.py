@@ -8,13 +8,14 @@ from riskfabric.bindings import Lake
 from riskfabric.functions.numeric import half_up
 from riskfabric.operators import models, normalize
 from riskfabric.plans.joins import ASSETS_ALL, HOST_EDGES, MATCHED, SHADOW
-from riskfabric.plans.landing import FEED, RAW, as_lines
+from riskfabric.plans.landing import BATCH_FILES, FEED, RAW, as_feed, as_lines
 from riskfabric.plans.registry import query, rounded
 from riskfabric.plans.scalar import TRIGGER_SQL
 from riskfabric.plans.windows import GRAPH_NODES, SCANNED, WORKFLOW, listed, open_ports
 from riskfabric.session import scratch
 from riskfabric.sources import graphstore, matchindex, streams
 from riskfabric.streaming import jobs, throttle, workflow
+from riskfabric.streaming.ordered import PROVIDER, ROCKSDB
 
 WINDOWED = f"""w AS (SELECT asset_id, (ts_us // 60000000 - i) * 60000000 AS start_us, connection_count, cve_criticality, unique_ips, centrality
    FROM telemetry, (VALUES (0), (1), (2), (3), (4)) v(i)),
@@ -68,8 +69,9 @@ def t3(t: Lake):
     folder = scratch(t.spark, "t3")
     batch = jobs.window_features(telemetry_batch(t)).withColumn("row_key", F.xxhash64("window_start", "asset_id"))
     forest = models.IsolationForest.fit(batch, models.TELEMETRY_FEATURES, "row_key")
-    as_lines(t.sql(FEED), f"{folder}/in")
-    stream = jobs.window_features(streams.read_telemetry(t.spark, path=f"{folder}/in"))
+    as_feed(t.sql(FEED), f"{folder}/in", "timestamp")
+    t.spark.conf.set(PROVIDER, ROCKSDB)  # the windows of a micro-batch are five to a row and would fill the heap
+    stream = jobs.window_features(streams.read_telemetry(t.spark, path=f"{folder}/in", maxFilesPerTrigger=str(BATCH_FILES)))
     return streams.drain(jobs.anomalies(stream, forest.predict), folder)
 
 

@@ -14,6 +14,8 @@ from riskfabric.sources.schemas import ASSET, SIGNAL, TELEMETRY
 #: What a micro-batch takes at most where the caller sets no limit, by transport.
 LIMITS = {"kafka": {"maxOffsetsPerTrigger": "5000000"}, "text": {"maxFilesPerTrigger": "1000"}}
 
+RETAIN, RETAINED = "spark.sql.streaming.minBatchesToRetain", 10
+
 
 def read_values(spark: SparkSession, options: Mapping[str, str], fmt: str = "kafka") -> DataFrame:
     """One string column `value` per record, whatever the transport; a micro-batch is bounded."""
@@ -43,11 +45,12 @@ def decode(raw: DataFrame, schema: str) -> DataFrame:
         "error": F.when(~is_object, F.lit("message payload is not a valid JSON object"))})
 
 
-def read_telemetry(spark: SparkSession, brokers: str | None = None, topic: str = "signals", path: str | None = None) -> DataFrame:
+def read_telemetry(spark: SparkSession, brokers: str | None = None, topic: str = "signals", path: str | None = None, **more: str) -> DataFrame:
+    """Parsed telemetry; `more` options go to the source."""
     if path is not None:
-        raw = read_values(spark, {"path": path}, "text")
+        raw = read_values(spark, {"path": path, **more}, "text")
     else:
-        raw = read_values(spark, kafka_options(brokers, topic, "latest"))
+        raw = read_values(spark, kafka_options(brokers, topic, "latest", **more))
     return raw.select(F.from_json("value", TELEMETRY).alias("data")).select("data.*")
 
 
@@ -81,7 +84,9 @@ def write_events(df: DataFrame, primary, fallback_path: str) -> str:
 
 
 def drain(df: DataFrame, folder: str, fmt: str = "parquet", mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into files, and read the files back."""
+    """Run a stream over what is there now into files, and read the files back. Of the state, RETAINED micro-batches are kept."""
+    if df.sparkSession.conf.get(RETAIN) == "100":  # Spark's own number
+        df.sparkSession.conf.set(RETAIN, str(RETAINED))
     query = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).start(f"{folder}/out"))
     query.awaitTermination()

@@ -17,7 +17,8 @@ WATERMARK, WINDOW, SLIDE = "10 minutes", "5 minutes", "1 minute"
 def window_features(df: DataFrame, watermark: str = WATERMARK, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
     """Sliding event-time features per asset; the same plan on a batch and on a stream.
 
-    The connection rate is the mean of the counts and unique addresses are summed, as downstream models expect.
+    The connection rate is the mean of the counts and unique addresses are summed, as downstream models expect. The state of a stream holds the
+    windows of a micro-batch and those still open, so large inputs must come in time order and in bounded micro-batches.
     """
     timed = df.withWatermark("timestamp", watermark) if df.isStreaming else df
     grouped = timed.groupBy(F.window("timestamp", window, slide), "asset_id").agg(

@@ -6,6 +6,7 @@ import json
 import random
 import subprocess
 import sys
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -13,9 +14,12 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from riskfabric.operators import models, windows
+from riskfabric.plans import catalog
+from riskfabric.plans import landing as feeds
 from riskfabric.session import ensure_checkpoint_dir, scratch
 from riskfabric.sources import graphstore, landing, schemas, streams
 from riskfabric.streaming import jobs, ordered, throttle, workflow
+from riskfabric.streaming.ordered import PROVIDER, ROCKSDB
 
 
 def lines(spark, folder, rows):
@@ -344,3 +348,37 @@ def test_keyed_json_and_page_limits(spark):
 def test_kafka_options_ask_for_committed_records():
     options = streams.kafka_options("broker:9092", "t", "latest", **{"kafka.isolation.level": "read_committed"})
     assert options["subscribe"] == "t" and options["kafka.isolation.level"] == "read_committed"
+
+
+def test_telemetry_arrives_in_time_order(spark, tmp_path, monkeypatch):
+    """Rows in no order: files of a feed come in time order, so micro-batches of one file lose no window and keep only open ones."""
+    monkeypatch.setattr(feeds, "FILE_ROWS", 40)
+    rng = random.Random(2)
+    rows = [(f"a{i % 7}", i * 37, i % 5, float(i % 3), i % 4, 0.5) for i in range(600)]
+    rng.shuffle(rows)
+    batch = spark.createDataFrame(rows, "asset_id string, s int, connection_count int, cve_criticality double, unique_ips int, centrality double").repartition(5).select(
+        "asset_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")).alias("timestamp"), "connection_count", "cve_criticality", "unique_ips", "centrality")
+    feeds.as_feed(batch, f"{tmp_path}/in", "timestamp")
+    read = streams.read_telemetry(spark, path=f"{tmp_path}/in", maxFilesPerTrigger="1")
+    seen = []
+    query = read.writeStream.foreachBatch(lambda b, n: seen.append(b.agg(F.min("timestamp"), F.max("timestamp")).first())).option(
+        "checkpointLocation", f"{tmp_path}/plain").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(seen) > 5 and all(a[1] <= b[0] for a, b in zip(seen, seen[1:], strict=False))
+    got = streams.drain(jobs.window_features(read), str(tmp_path))
+    last = batch.agg(F.max("timestamp")).first()[0]
+    want = jobs.window_features(batch).filter(F.col("window_end") <= F.lit(last) - F.expr("INTERVAL 10 MINUTES"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+
+
+def test_stream_anomalies_keep_state_out_of_the_heap(spark, small_dir, monkeypatch):
+    """Micro-batches are bounded and windows lie in RocksDB; the same rows whatever the size of a micro-batch."""
+    taken = []
+    drain = streams.drain
+    monkeypatch.setattr(streams, "drain", lambda df, folder, *a: (taken.append((folder, df.sparkSession.conf.get(PROVIDER))), drain(df, folder, *a))[1])
+    run = catalog.queries()["t3_stream_anomalies"]
+    whole = sorted(map(tuple, run(spark, small_dir).collect()))
+    monkeypatch.setattr(feeds, "FILE_ROWS", 50)
+    assert sorted(map(tuple, run(spark, small_dir).collect())) == whole and whole
+    batches = [len([p for p in (Path(folder.removeprefix("file:")) / "checkpoint/offsets").iterdir() if p.name.isdigit()]) for folder, _ in taken]
+    assert batches[0] <= 2 < batches[1] and {provider for _, provider in taken} == {ROCKSDB}
