@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from riskfabric.operators import aggregates, evaluate, graph, idsets, joins, ledger, remediate, windows
 from riskfabric.operators.scan import KeyedScan
+from riskfabric.plans import catalog
 from riskfabric.streaming import throttle
 
 SPLIT = {"ranges": 13}
@@ -213,6 +214,12 @@ def test_profile_by_edges_equals_brute_force(spark):
     assert "bitmap_or_agg" not in plan.lower()  # no set leaves a task
 
 
+@pytest.mark.parametrize("name", ["a1_subgraph_profile", "vendor_risk_prediction"])
+def test_profiles_move_no_sets(spark, small_dir, name):
+    plan = catalog.queries()[name](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "bitmap" not in plan and "collect_list" not in plan
+
+
 @pytest.mark.parametrize("matrix, piece, together", [(1, 1, 1), (1 << 13, 1 << 10, 50), (1 << 25, 1 << 24, 1_000_000)])
 def test_counts_below_in_slices(monkeypatch, matrix, piece, together):
     """A part with several ranges of ids, negative ones too, in slices and pieces of any size."""
